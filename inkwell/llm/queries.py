@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import fingerprints, quality, toxicity
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,8 +18,18 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs).select("doc_id", *quality.BASE)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, settings = table(spark, sf_dir, "documents"), toxicity.Settings()
+    texts, toxic, share = toxicity.training_rows(docs, table(spark, sf_dir, "labels"), settings)
+    return toxicity.score_toxicity(docs, toxicity.fit(texts, toxic, settings, share))
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_rules,)}
+    return {f.__name__: f for f in (op1_quality_rules, op4_toxicity, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
