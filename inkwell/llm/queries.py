@@ -7,9 +7,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, quality, toxicity
+from . import fingerprints, packing, planes, quality, toxicity
 from .shared import table
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -28,8 +34,17 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_edits(table(spark, sf_dir, "documents"))
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), 2, with_ids=False).drop("ids")
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = planes.write_token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 1)
+    return planes.read_token_files(files)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_rules, op4_toxicity, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op4_toxicity, op9_token_files, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
