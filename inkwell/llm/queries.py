@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, packing, planes, quality, toxicity
+from . import fingerprints, packing, planes, quality, toxicity, warc
 from .shared import table
 
 def vocabulary(name: str) -> str:
@@ -24,6 +24,21 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs).select("doc_id", *quality.BASE)
 
 
+def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.read_archives(files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: DuckDB has SHA-256 of text; lengths of text in bytes come from its encoding.
+OP3_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes FROM pages),
+g AS (SELECT h, min(page_id) AS original FROM p WHERE payload_bytes >= 100 GROUP BY h)
+SELECT page_id, payload_bytes, sha256(p.h) AS payload_digest,
+  CASE WHEN g.original IS NULL OR g.original = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN g.original <> page_id THEN g.original END AS refers_to
+FROM p LEFT JOIN g USING (h)"""
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, settings = table(spark, sf_dir, "documents"), toxicity.Settings()
     texts, toxic, share = toxicity.training_rows(docs, table(spark, sf_dir, "labels"), settings)
@@ -44,8 +59,8 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op4_toxicity, op9_token_files, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_warc_revisits, op4_toxicity, op9_token_files, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality.oracle()}
+    return {"op1_quality_rules": quality.oracle(), "op3_warc_revisits": OP3_SQL}
