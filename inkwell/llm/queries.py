@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, packing, planes, quality, toxicity, warc
+from . import fingerprints, packing, pieces, planes, quality, toxicity, warc
 from .shared import table
 
 def vocabulary(name: str) -> str:
@@ -53,13 +53,17 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), 2, with_ids=False).drop("ids")
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_texts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model")).drop("ids")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = planes.write_token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 1)
     return planes.read_token_files(files)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_warc_revisits, op4_toxicity, op9_token_files, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_warc_revisits, op4_toxicity, op8_sentencepiece, op9_token_files, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
