@@ -6,8 +6,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import fingerprints, packing, pieces, planes, quality, toxicity, warc
+from . import fingerprints, packing, pieces, planes, quality, substrings, toxicity, warc
 from .shared import table
 
 def vocabulary(name: str) -> str:
@@ -53,6 +54,11 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), 2, with_ids=False).drop("ids")
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_texts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model")).drop("ids")
 
@@ -63,7 +69,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_warc_revisits, op4_toxicity, op8_sentencepiece, op9_token_files, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_warc_revisits, op4_toxicity, op7_suffix_array_dedup, op8_sentencepiece, op9_token_files, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
