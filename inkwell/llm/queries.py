@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, packing, pieces, planes, quality, similar, substrings, toxicity, warc
+from . import fingerprints, packing, pieces, planes, quality, similar, substrings, templates, toxicity, warc
 from .shared import table
 
 def vocabulary(name: str) -> str:
@@ -58,6 +58,11 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar.similar_components(table(spark, sf_dir, "documents"))
 
 
+def op6_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = templates.drop_templates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"))
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substrings.remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -73,7 +78,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_warc_revisits, op4_toxicity, op5_ngram_jaccard, op7_suffix_array_dedup, op8_sentencepiece, op9_token_files, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_warc_revisits, op4_toxicity, op5_ngram_jaccard, op6_line_templates, op7_suffix_array_dedup, op8_sentencepiece, op9_token_files, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -328,3 +328,25 @@ def remove_repeats(docs: DataFrame, opts: Matching | None = None) -> DataFrame:
     found = find_repeats(docs.select("doc_id", "text"), o).groupBy(F.col("doc_id").alias("doc")).agg(F.collect_list(F.struct("start", "runs")).alias("spans"))
     joined = docs.select("doc_id", "text").join(found.hint("shuffle_merge"), F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+
+
+def without_repeats(docs: DataFrame, opts: Matching | None = None) -> DataFrame:
+    """``docs`` with repeated runs cut out of ``text``, all its columns kept.
+
+    As in ``remove_repeats``; where a cut goes through a character its remaining
+    bytes are dropped.  A null text stays null.  n_chars, where there is one, follows
+    the new text.  Rows that repeat an id and a text stay as many as they are.
+    """
+    kept = remove_repeats(docs.select("doc_id", "text"), opts).where("doc_id IS NOT NULL AND n_removed > 0")
+    cut = kept.select(F.col("doc_id").alias("_id"), "n_bytes", "kept").dropDuplicates(["_id", "n_bytes"])
+
+    @F.pandas_udf("string")
+    def decoded(values):
+        return values.map(lambda b: b.decode("utf-8", "ignore"), na_action="ignore")
+
+    found = cut.select("_id", F.col("n_bytes").alias("_n"), decoded("kept").alias("_kept"))
+    out = docs.join(found.hint("shuffle_merge"), (F.col("doc_id") == F.col("_id")) & (F.octet_length("text") == F.col("_n")), "left")
+    out = out.withColumn("text", F.coalesce("_kept", "text"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
