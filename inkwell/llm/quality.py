@@ -180,6 +180,14 @@ def score_quality(docs: DataFrame, rules: Rules | None = None, text: str = "text
     return out.withColumns({"base_failed": failed, "kept": ~failed & fits})
 
 
+def keep_quality(docs: DataFrame, rules: Rules | None = None, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with the columns of ``docs``."""
+    # The row number keeps the filter above the projections: pushed below, every use
+    # of a verdict's inputs would be written out and computed again.
+    scored = score_quality(docs, rules, text).withColumn("_quality_row", F.monotonically_increasing_id())
+    return scored.where("kept AND _quality_row >= 0").select(*docs.columns)
+
+
 def _shares(x: tuple[float, ...]) -> list[float]:
     return [v / sum(x) for v in x]
 
