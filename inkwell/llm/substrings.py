@@ -110,7 +110,8 @@ def _spans(recs: np.ndarray, hot: np.ndarray | None = None) -> pa.RecordBatch:
 
 def find_boundaries(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes in order of their first ``length`` bytes or more, and for each
-    whether its common prefix with the one before is shorter than ``length``."""
+    whether its common prefix with the one before is shorter than ``length``.  That
+    holds for suffixes that meet no separator (255) within ``length`` bytes."""
     n = len(text)
     padded = np.concatenate((text, np.full(8, 255, np.uint8)))
     rank, size = np.ndarray((n,), ">u8", padded.tobytes(), 0, (1,)).astype(np.uint64), 8

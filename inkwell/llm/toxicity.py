@@ -57,8 +57,9 @@ def _ngrams(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all words' n-grams one after another, and where each word's start."""
     text = "".join([f"<{w}>" for w in words])
     code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    code = np.concatenate((code, np.zeros(max(LENGTHS), np.uint64)))  # room for the last word's longest n-gram
     size = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 2
-    left = np.repeat(np.cumsum(size), size) - np.arange(len(code))  # characters from here to the word's end
+    left = np.repeat(np.cumsum(size), size) - np.arange(size.sum())  # characters from here to the word's end
     found, place, h = [], [], np.zeros(len(code), np.uint64)
     for n in range(1, max(LENGTHS) + 1):
         h[: len(h) - n + 1] = h[: len(h) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + code[n - 1 :]
