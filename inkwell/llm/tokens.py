@@ -50,7 +50,7 @@ def _packed(ids: list[int]) -> bytes:
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit numbers."""
 
-    def __init__(self, path: str, most_words: int = 300_000):
+    def __init__(self, path: str, most_words: int = 400_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -59,13 +59,21 @@ class Encoder:
         self.drops_space = self.library.normalizer is not None
         self.pieces = _WORD_PIECES if self.drops_space else _BYTE_PIECES
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}  # words known before the last change of generation
+        self.piece_ids: dict[str, bytes] = {}
         self.most = most_words
 
     def _word(self, word: str) -> bytes:
-        ids: list[int] = []
+        found = self.before.get(word)
+        if found is not None:
+            return found
+        out = []
         for piece in self.pieces(word):
-            ids += [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_LETTERS))]
-        return _packed(ids)
+            ids = self.piece_ids.get(piece)
+            if ids is None:
+                ids = self.piece_ids[piece] = _packed([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_LETTERS))])
+            out.append(ids)
+        return b"".join(out)
 
     def encode(self, text: str | None) -> bytes:
         if not text:
@@ -79,7 +87,10 @@ class Encoder:
             words[1:] = [" " + w for w in words[1:]]
         known = self.known
         if len(known) > self.most:
-            known.clear()
+            self.before, self.known = known, {}
+            known = self.known
+        if len(self.piece_ids) > self.most:
+            self.piece_ids.clear()
         new = [w for w in dict.fromkeys(words) if w not in known]
         if new:
             known.update(zip(new, map(self._word, new), strict=True))
