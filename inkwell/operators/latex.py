@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import kernels, omml
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def strip_comments(texts):
     """Comments outside literal passages."""
     return texts.map(kernels.strip_comments, na_action="ignore")
@@ -24,13 +25,16 @@ def expand_macros(c: Column, keep_packages: bool = False) -> Column:
     return run(c)
 
 
-@F.pandas_udf("array<struct<name:string,arity:int,default:string,body:string>>")
+MACRO = T.StructType([T.StructField("name", T.StringType()), T.StructField("arity", T.IntegerType()), T.StructField("default", T.StringType()), T.StructField("body", T.StringType())])
+
+
+@F.pandas_udf(T.ArrayType(MACRO))
 def harvested(texts):
     """The macros that a text defines, by name."""
     return texts.map(lambda t: [{"name": m.name, "arity": m.arity, "default": m.default, "body": m.body} for _, m in sorted(kernels.harvest(t or "")[0].items())])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def omml_to_latex(xmls):
     """Office math markup as LaTeX."""
     return xmls.map(omml.omml_to_latex, na_action="ignore")

@@ -30,6 +30,14 @@ def query(oracle: str) -> Callable[[Query], Query]:
     return add
 
 
+class Name(str):
+    """A column's name among literal texts; columns need a session, names do not."""
+
+
+def _part(p):
+    return F.col(p) if isinstance(p, Name) else L(p) if isinstance(p, str) else p
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -40,17 +48,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def made(spark: SparkSession, sf_dir: str, *parts) -> DataFrame:
     """doc_id and content, composed of texts and columns of ``documents``."""
-    return documents(spark, sf_dir).withColumn("content", F.concat(*[L(p) if isinstance(p, str) else p for p in parts]))
+    return documents(spark, sf_dir).withColumn("content", F.concat(*map(_part, parts)))
 
 
-TEXT, LANG, SOURCE = F.col("text"), F.col("lang"), F.col("source")
-ESCAPED = F.replace(TEXT, L("%"), L("\\%"))
+TEXT, LANG, SOURCE = Name("text"), Name("lang"), Name("source")
 SQL_ESCAPED = "replace(text, chr(37), chr(92) || chr(37))"
 
 
 @query(f"SELECT doc_id, {SQL_ESCAPED} || chr(10) || 'tail ' || chr(92) || chr(92) AS content FROM documents")
 def strip_comments(spark, d):
-    docs = made(spark, d, "% head ", LANG, "\n", ESCAPED, " % tail\n   % only\ntail \\\\% gone")
+    docs = made(spark, d, "% head ", LANG, "\n", F.replace("text", L("%"), L("\\%")), " % tail\n   % only\ntail \\\\% gone")
     return docs.select("doc_id", T.strip_line_comments(F.col("content")).alias("content"))
 
 
@@ -138,7 +145,7 @@ def include_flatten(spark, d):
 def _project(spark, d, root, **others):
     docs = documents(spark, d)
     files = [("main.tex", root, True), *((f"{k}.tex", v, False) for k, v in others.items())]
-    rows = F.explode(F.array(*[F.struct(L(n).alias("rel_path"), F.concat(*[L(p) if isinstance(p, str) else p for p in v]).alias("content"), L(r).alias("is_root")) for n, v, r in files]))
+    rows = F.explode(F.array(*[F.struct(L(n).alias("rel_path"), F.concat(*map(_part, v)).alias("content"), L(r).alias("is_root")) for n, v, r in files]))
     return includes.flatten_includes(docs.select(F.col("doc_id").alias("root_dir"), rows.alias("f")).select("root_dir", "f.*"))
 
 

@@ -2,11 +2,31 @@
 
 from __future__ import annotations
 
+import codecs
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.text import universal_newlines
 from ..functions.kernels import parse_bibtex
+from ..functions.text import universal_newlines
+
+
+#: The encodings that Spark knows, by Python's names.
+NATIVE = {"iso8859-1": "ISO-8859-1", "ascii": "US-ASCII", "utf-16": "UTF-16", "utf-16-be": "UTF-16BE", "utf-16-le": "UTF-16LE", "utf-8": "UTF-8"}
+
+
+def decoded(content: Column, encoding: str) -> Column:
+    """Bytes as text; natively where Spark knows the encoding."""
+    known = NATIVE.get(codecs.lookup(encoding).name)
+    if known:
+        return F.decode(content, known)
+
+    @F.pandas_udf(T.StringType())
+    def decode(values):
+        return values.map(lambda b: b.decode(encoding), na_action="ignore")
+
+    return decode(content)
 
 
 def read_files(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
@@ -14,7 +34,7 @@ def read_files(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataF
     if encoding.lower() in ("utf-8", "utf8"):
         raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
     else:
-        raw = spark.read.format("binaryFile").load(path).select("path", F.decode("content", F.lit(encoding)).alias("content"))
+        raw = spark.read.format("binaryFile").load(path).select("path", decoded(F.col("content"), encoding).alias("content"))
     return raw.withColumn("content", universal_newlines(F.col("content")))
 
 
@@ -28,7 +48,10 @@ def kind_of(path: Column) -> Column:
     return F.when(ext.isin("pdf", "docx", "pptx"), ext).otherwise("tex")
 
 
-@F.pandas_udf("array<struct<key:string,kind:string,fields:map<string,string>>>")
+ENTRY = T.StructType([T.StructField("key", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("fields", T.MapType(T.StringType(), T.StringType()))])
+
+
+@F.pandas_udf(T.ArrayType(ENTRY))
 def _entries(texts):
     return texts.map(lambda t: [{"key": k, "kind": e, "fields": f} for k, e, f in parse_bibtex(t or "")])
 
