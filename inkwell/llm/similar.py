@@ -38,7 +38,7 @@ class Likeness:
     percent: int = 85
     sketch: int = 20
     crowd: int = 64
-    classes: int = 64
+    classes: int = 256
     flush: int = 1_500_000
     slices: int = 16
 
@@ -160,14 +160,22 @@ def _in_order(s: np.ndarray, counts: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _signature(s: np.ndarray, classes: int) -> bytes:
-    return np.bincount((s & np.uint64(classes - 1)).astype(np.int64), minlength=classes).astype("<u4").clip(0, 65535).astype("<u2").tobytes()
+    """How many n-grams are in each hash class, up to 15, in half bytes."""
+    c = np.bincount((s & np.uint64(classes - 1)).astype(np.int64), minlength=classes).clip(0, 15).astype(np.uint8)
+    return (c[::2] | (c[1::2] << 4)).tobytes()
+
+
+def _unpack(sig: list[bytes]) -> np.ndarray:
+    packed = np.frombuffer(b"".join(sig), np.uint8).reshape(len(sig), -1)
+    return np.stack((packed & 15, packed >> 4), axis=-1).reshape(len(sig), -1)
 
 
 def _alike(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sets could be linked: by sizes, and by overlap within hash classes."""
+    """Whether sets could be linked: by sizes, and by the overlap within hash classes.
+    What a class holds beyond 15 may be shared too."""
     fits = 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
-    most = np.minimum(a, b).sum(axis=-1, dtype=np.int64)
-    return fits & ((most >= needed(na, nb, percent)) | (np.maximum(na, nb) > 1 << 21))
+    beyond = np.minimum(na - a.sum(axis=-1, dtype=np.int64), nb - b.sum(axis=-1, dtype=np.int64))
+    return fits & (np.minimum(a, b).sum(axis=-1, dtype=np.int64) + beyond >= needed(na, nb, percent))
 
 
 REC = np.dtype([("token", "<u8"), ("set", "<i8"), ("n", "<i4")])
@@ -295,7 +303,7 @@ def _groups(batches: Iterator[pa.RecordBatch], extra: tuple[str, ...] = ()) -> I
 
     def group() -> tuple:
         node, n, sig, *more = zip(*held, strict=True)
-        return (np.array(node), np.array(n), np.frombuffer(b"".join(sig), "<u2").reshape(len(node), -1), *[np.array(m) for m in more])
+        return (np.array(node), np.array(n), _unpack(sig), *[np.array(m) for m in more])
 
     for b in batches:
         for token, *row in zip(b.column("token").to_pylist(), *[b.column(c).to_pylist() for c in names], strict=True):
@@ -335,8 +343,9 @@ def _first_pairs(o: Likeness):
     return run
 
 
-def _other_pairs(o: Likeness):
-    """Pairs of a crowd that could be linked and are not yet in one component."""
+def _other_pairs(o: Likeness, most: int | None):
+    """Pairs of a crowd that could be linked and are not yet in one component; with
+    ``most``, only so many for each set, the likeliest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: set[tuple[int, int]] = set()
@@ -348,7 +357,10 @@ def _other_pairs(o: Likeness):
             for i in np.flatnonzero(rest).tolist():
                 lo, hi = np.searchsorted(n, -(-o.percent * n[i] // 100)), np.searchsorted(n, 100 * n[i] // o.percent, "right")
                 near = _alike(sig[lo:hi], n[lo:hi], sig[i], n[i], o.percent) & (part[lo:hi] != part[i])
-                for j in (np.flatnonzero(near) + lo).tolist():
+                found = np.flatnonzero(near) + lo
+                if most and len(found) > most:
+                    found = found[np.argsort(-np.minimum(sig[found], sig[i]).sum(axis=-1, dtype=np.int64), kind="stable")[:most]]
+                for j in found.tolist():
                     a, b = int(node[i]), int(node[j])
                     if a != b:
                         out.add((max(a, b), min(a, b)))
@@ -426,10 +438,12 @@ def similar_components(docs: DataFrame, opts: Likeness | None = None) -> DataFra
     linked = _verify(pairs, sets, o, parts)
     known = connected_components(linked)
     if not crowds.isEmpty():
-        labelled = crowds.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        more = _verify(_by_token(labelled, parts).mapInArrow(_other_pairs(o), "a long, b long"), sets, o, parts)
-        if not more.isEmpty():
-            known = connected_components(linked.unionAll(more))
+        for most in (8, None):  # join components by few pairs, then look at all that are left
+            labelled = crowds.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            more = _verify(_by_token(labelled, parts).mapInArrow(_other_pairs(o, most), "a long, b long"), sets, o, parts)
+            if not more.isEmpty():
+                linked = linked.unionAll(more)
+                known = connected_components(linked)
     labels = classes.join(known, "node", "left").select(F.col("set").alias("_set"), F.coalesce("component", "node").alias("_component"), F.explode(F.sequence(F.lit(0), F.lit(31))).alias("_salt"))
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(32)).cast("int")
     out = rows.join(labels, (F.col("set") == F.col("_set")) & (salt == F.col("_salt")), "left")
