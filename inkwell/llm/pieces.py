@@ -27,7 +27,7 @@ SPACE = "▁"
 class Pieces:
     """A byte-pair model of normal, byte and control pieces without a normalizer."""
 
-    def __init__(self, path: str, most_words: int = 400_000):
+    def __init__(self, path: str, most_words: int = 500_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -37,6 +37,8 @@ class Pieces:
         self.unknown = model.unk_id()
         normal = [i for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         self.score = {i: model.get_score(i) for i in normal}
+        self.rank = np.zeros(n, np.int32)  # of scores: the best first, equal ones alike
+        self.rank[normal] = np.unique([-self.score[i] for i in normal], return_inverse=True)[1]
         self.as_bytes = [bytes([int(names[i][3:5], 16)]) if model.is_byte(i) else b"" if model.is_control(i) else names[i].encode() for i in range(n)]
         self.longest = max(len(names[i]) for i in normal)
         order = sorted(normal, key=lambda i: names[i])
@@ -47,6 +49,7 @@ class Pieces:
         # No piece reaches from a word into the next space: words are encoded alone.
         self.words = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall if not any(re.search(f"[^{SPACE}]{SPACE}", names[i]) for i in normal) else lambda t: [t]
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}  # words known before the last change of generation
         self.most = most_words
 
     def edges(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -104,23 +107,89 @@ class Pieces:
 
     def learn(self, words: list[str]) -> None:
         starts, sizes, ids = self.edges(words)
-        base = 0
-        bounds = np.searchsorted(starts, np.cumsum([0] + [len(w) + 1 for w in words])).tolist()
-        starts, ends, ids = starts.tolist(), (starts + sizes).tolist(), ids.tolist()
-        for k, w in enumerate(words):
+        size = np.array([len(w) for w in words])
+        base = np.cumsum(size + 1) - (size + 1)
+        bounds = np.searchsorted(starts, np.append(base, base[-1] + size[-1] + 1)).tolist()
+        short = size <= 64
+        self.known.update(self._relax_all([w for w, s in zip(words, short, strict=True) if s], base[short], size[short], starts, sizes, ids))
+        for k in np.flatnonzero(~short).tolist():
             a, b = bounds[k], bounds[k + 1]
-            edge = {(s - base, e - base): i for s, e, i in zip(starts[a:b], ends[a:b], ids[a:b], strict=True)}
-            self.known[w] = array("I", self.relax(w, edge)).tobytes()
-            base += len(w) + 1
+            edge = {(x, x + n): i for x, n, i in zip((starts[a:b] - base[k]).tolist(), sizes[a:b].tolist(), ids[a:b].tolist(), strict=True)}
+            self.known[words[k]] = array("I", self.relax(words[k], edge)).tobytes()
+
+    def _relax_all(self, words: list[str], base: np.ndarray, size: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> dict[str, bytes]:
+        """All words at once, a round after another: each word's best edge, the leftmost
+        of equals, joins its two symbols."""
+        if not words:
+            return {}
+        none, key, total = np.iinfo(np.int32).max, starts * (self.longest + 1) + sizes, int(base[-1] + size[-1])
+        rank_of = self.rank[ids]
+
+        def find(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            wanted = np.where(end - start > self.longest, -1, start * (self.longest + 1) + end - start)
+            at = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
+            hit = key[at] == wanted if len(key) else np.zeros(len(wanted), bool)
+            return hit, at
+
+        def rank(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+            hit, at = find(start, end)
+            return np.where(hit, rank_of[at], none) if len(key) else np.full(len(start), none, np.int32)
+
+        # Positions in the words' order; gaps of words left out are not visited.
+        place = np.repeat(base - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        first, stop = np.cumsum(size) - size, np.repeat(base + size, size)
+        end, before = np.full(total + 2, -1), np.full(total + 2, -1)
+        end[place], before[place] = place + 1, place - 1
+        before[base] = -1
+        limit = np.zeros(total + 2, np.int64)
+        limit[place] = stop
+        best = np.full(total + 2, none, np.int32)
+        inner = place[place + 1 < stop]
+        best[inner] = rank(inner, inner + 2)
+        while True:
+            here = best[place]
+            least = np.minimum.reduceat(here, first)
+            active = np.flatnonzero(least != none)
+            if not len(active):
+                break
+            hits = np.flatnonzero((here == np.repeat(least, size)) & (here != none))
+            word = np.searchsorted(first, hits, "right") - 1
+            p = place[hits[np.concatenate(([True], np.diff(word) != 0))]]  # the leftmost of each word
+            m = end[p]
+            j = end[m]
+            end[p], end[m], best[m] = j, -1, none
+            inside = j < limit[p]
+            before[j[inside]] = p[inside]
+            best[p] = none
+            best[p[inside]] = rank(p[inside], end[j[inside]])
+            q = before[p]
+            left = q >= 0
+            best[q[left]] = rank(q[left], j[left])
+        alive = place[end[place] >= 0]
+        hit, at = find(alive, end[alive])
+        code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")[end[place] >= 0]
+        count, other = np.ones(len(alive), np.int64), np.flatnonzero(~hit)
+        spelled = {c: [self.byte_ids[b] for b in chr(c).encode("utf-8", "surrogatepass")] if self.byte_ids else [self.unknown] for c in set(code[other].tolist())}
+        count[other] = [len(spelled[c]) for c in code[other].tolist()]
+        out, to = np.zeros(count.sum(), "<u4"), np.cumsum(count) - count
+        out[to[hit]] = ids[at[hit]]
+        for k in other.tolist():
+            out[to[k] : to[k] + count[k]] = spelled[int(code[k])]
+        edges = np.append(to, len(out))[np.searchsorted(alive, np.append(base, total + 2))].tolist()
+        raw = out.tobytes()
+        return {w: raw[4 * a : 4 * b] for w, a, b in zip(words, edges[:-1], edges[1:], strict=True)}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit numbers; an empty text has none."""
         if len(self.known) > self.most:
-            self.known.clear()
+            self.before, self.known = self.known, {}
         split = [self.words(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         new, held = [], 0
         for w in set().union(*split):
             if w not in self.known:
+                if (ids := self.before.get(w)) is not None:
+                    self.known[w] = ids
+                    continue
                 new.append(w)
                 held += len(w)
                 if held > 400_000:
