@@ -59,7 +59,7 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = templates.drop_templates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = templates.drop_templates(table(spark, sf_dir, "documents").select("doc_id", "text"), templates.EVERY_LINE)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"))
 
 

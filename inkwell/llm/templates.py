@@ -4,7 +4,8 @@ A line's place in the tree is its token count and its leading tokens, with token
 that hold a digit as variable fields: a fixed depth.  In each leaf, lines that agree
 in enough places share a template, whose differing places become variable too.  A
 template that recurs across documents is boilerplate: its lines are dropped, but for
-those of the first document.
+those of the first document.  Short lines say too little to be generalised: each has a
+leaf of its own, the whole line, and recurs only as it is.
 """
 
 from __future__ import annotations
@@ -28,24 +29,32 @@ _DIGIT = re.compile(r"\d")
 @dataclass(frozen=True)
 class Tree:
     """``depth`` leading tokens lead to a leaf.  Lines of under ``least_tokens``
-    tokens are left alone.  Lines share a template from ``agree`` equal tokens in
-    a hundred on.  It recurs when its different lines are in ``least_texts``
+    tokens are left alone, and blank lines always.  Lines of under ``whole_under``
+    tokens, lines of scripts without spaces among them, are compared whole.  Other
+    lines share a template from ``agree`` equal tokens in a hundred on.  It recurs when its different lines are in ``least_texts``
     different texts, summed over the lines."""
 
     depth: int = 4
     least_tokens: int = 4
+    whole_under: int = 4
     agree: int = 75
     least_texts: int = 10
     salts: int = 32
 
 
+#: Every line is looked at, and recurs from the second text on.
+EVERY_LINE = Tree(least_tokens=1, least_texts=2)
+
+
 def masked(tokens: list[str]) -> list[str]:
     return [FIELD if _DIGIT.search(t) else t for t in tokens]
 
 
-def leaf_of(tokens: list[str], depth: int) -> int:
-    """A signed 64-bit hash of the token count and the leading tokens."""
-    key = "\x1f".join((str(len(tokens)), *masked(tokens[:depth])))
+def leaf_of(tokens: list[str], tree: Tree) -> int:
+    """A signed 64-bit hash of the token count and the leading tokens; of a short
+    line, of all its tokens as they are."""
+    path = tokens if len(tokens) < tree.whole_under else masked(tokens[: tree.depth])
+    key = "\x1f".join((str(len(tokens)), *path))
     return xxhash.xxh64_intdigest(key.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
@@ -87,6 +96,7 @@ def drop_templates(docs: DataFrame, tree: Tree | None = None) -> DataFrame:
     one, follows the new text; a column named n_lines or n_dropped is replaced.
     """
     o, spark = tree or Tree(), docs.sparkSession
+    least = max(1, o.least_tokens)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_hash": F.xxhash64("text")})
     known = keyed.where("_id IS NOT NULL AND text IS NOT NULL").select("_id", "_hash", "text")
@@ -98,8 +108,8 @@ def drop_templates(docs: DataFrame, tree: Tree | None = None) -> DataFrame:
                 found = set()
                 for line in text.split("\n"):
                     tokens = line.split()
-                    if len(tokens) >= o.least_tokens:
-                        found.add(leaf_of(tokens, o.depth))
+                    if len(tokens) >= least:
+                        found.add(leaf_of(tokens, o))
                 out += [(i, h, x) for x in found]
             if out:
                 ids, hashes, leaf = zip(*out, strict=True)
@@ -114,8 +124,8 @@ def drop_templates(docs: DataFrame, tree: Tree | None = None) -> DataFrame:
                 asked = set(asked)
                 for k, line in enumerate(text.split("\n")):
                     tokens = line.split()
-                    if len(tokens) >= o.least_tokens and (leaf := leaf_of(tokens, o.depth)) in asked:
-                        shape = " ".join(masked(tokens))
+                    if len(tokens) >= least and (leaf := leaf_of(tokens, o)) in asked:
+                        shape = " ".join(tokens if len(tokens) < o.whole_under else masked(tokens))
                         out.append((i, h, k, leaf, xxhash.xxh64_intdigest(shape.encode("utf-8", "surrogatepass")) - (1 << 63), shape))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)

@@ -137,6 +137,14 @@ def test_templates(spark, empty):
     assert templates.grow(["a b c 1", "a b c 2", "x y z q"], 75) == [0, 0, 1]
 
 
+def test_short_and_unspaced_lines_recur(spark):
+    rows = [(i, f"{prose(100 + i, 9)}\nAll rights reserved.\n\n版权所有保留一切权利\nNo {i}") for i in range(3)] + [(9, "All rights kept.\n\nNo 2")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in templates.drop_templates(df, templates.EVERY_LINE).collect()}
+    assert got[0].text == rows[0][1] and got[9].text == "All rights kept.\n" and got[9].n_dropped == 1
+    assert all(got[i].text == f"{prose(100 + i, 9)}\n\nNo {i}" and got[i].n_dropped == 2 for i in (1, 2))
+
+
 @pytest.mark.parametrize("name, end", [("byte_bpe_50k.json", 2), ("word_bpe_49k.json", 1)])
 def test_tokens(docs, name, end):
     enc = tokens.Encoder(vocabulary(name), most_words=3)
