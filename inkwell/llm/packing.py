@@ -1,8 +1,10 @@
-"""Best-fit packing of token sequences by hierarchical residual packing.
+"""Best-fit packing of token sequences in two levels.
 
 Every input partition packs its own pieces by best fit and emits the nearly full
-sequences.  Its underfull ones become items: those of several partitions meet and
-are packed again, round after round of a tree, until one partition is left.
+sequences.  The pieces of its underfull ones are left over.  All partitions' left-over
+pieces are then packed together: best fit needs their sizes only, so it runs over how
+many there are of each size, and each piece finds its place by its rank in its size.
+No piece is closed early, and no partition holds the pieces of all others.
 """
 
 from __future__ import annotations
@@ -11,9 +13,10 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import stored
@@ -22,20 +25,20 @@ from .tokens import encoder
 
 @dataclass(frozen=True)
 class Packing:
-    """``full``: from this length on a sequence is emitted.  ``fan_in`` partitions
-    meet in the next round.  A partition passes on at most ``most_open`` underfull
-    sequences, those with the most room; the others are emitted as they are, which
-    costs room but no row.  It packs ``at_once`` items at a time."""
+    """``full``: from this length on a sequence is emitted by its partition, which
+    packs ``at_once`` items at a time.  ``fan_in`` is accepted and without effect:
+    all left-over pieces meet in one round."""
 
     length: int = 1024
     full: int = 1022
     fan_in: int = 16
-    most_open: int = 20_000
     at_once: int = 200_000
 
 
 ROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("origin", pa.int32()), ("open", pa.bool_())])
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, sequence_id long, offset long, origin int, open boolean"
+#: Bits of a key that hold a piece's rank; the bits above hold its size.
+_RANK = 44
 
 
 def best_fit(sizes: list[int], length: int) -> list[list[int]]:
@@ -59,47 +62,75 @@ def best_fit(sizes: list[int], length: int) -> list[list[int]]:
     return made
 
 
-class _Packer:
-    """Packs items (lists of piece rows with a total length) and writes out rows."""
+def best_fit_counts(counts: dict[int, int], length: int) -> list[tuple[int, int, int, int, int]]:
+    """``best_fit`` of ``counts[n]`` items of each size n, without the items.
+
+    Runs (size, rank, each, sequence, offset): from its rank on, items of the size go
+    into sequences numbered from ``sequence`` on, ``each`` of them into one, the first
+    at ``offset``; up to the next run of the same size.
+    """
+    room: list[list[tuple[int, int]]] = [[] for _ in range(length + 1)]  # first number and count of sequences
+    runs, made = [], 0
+    for n in sorted(counts, reverse=True):
+        rank, left, r = 0, counts[n], n
+        while left:
+            while r < length and not room[r]:
+                r += 1
+            at, many = room[r].pop() if r < length else (made, -(-left // (length // n)))
+            if r == length:
+                made += many
+            each = r // n
+            runs.append((n, rank, each, at, length - r))
+            whole = min(many, left // each)
+            placed = min(left, many * each)
+            if whole:
+                room[r - each * n].append((at, whole))
+            if rest := placed - whole * each:
+                room[r - rest * n].append((at + whole, 1))
+            used = whole + (rest > 0)
+            if used < many:
+                room[r].append((at + used, many - used))
+            rank, left = rank + placed, left - placed
+    return runs
 
-    def __init__(self, opts: Packing, level: int, last: bool):
-        self.o, self.last, self.origin = opts, last, TaskContext.get().partitionId()
-        self.next_id = (level << 57) | (self.origin << 31)
-        self.items: list[tuple[int, list[tuple]]] = []
-        self.open: list[tuple[int, list[tuple]]] = []
+
+class _Packer:
+    """Packs a partition's pieces and writes out rows: of full sequences, and of the
+    pieces left over, with their rank among those of their size as sequence_id."""
+
+    def __init__(self, opts: Packing):
+        self.o, self.origin = opts, TaskContext.get().partitionId()
+        self.next_id = self.origin << 31
+        self.items: list[tuple] = []
+        self.ranks: dict[int, int] = {}
         self.rows: list[tuple] = []
 
-    def add(self, size: int, pieces: list[tuple]) -> None:
-        if size >= self.o.full:
-            self._emit(pieces, False)
+    def add(self, piece: tuple) -> None:
+        if piece[3] >= self.o.full:
+            self._emit([piece])
             return
-        self.items.append((size, pieces))
+        self.items.append(piece)
         if len(self.items) >= self.o.at_once:
-            self._pack()
+            self.pack()
 
-    def _emit(self, pieces: list[tuple], is_open: bool) -> None:
+    def _emit(self, pieces: list[tuple]) -> None:
         self.next_id += 1
         at = 0
         for p in pieces:
-            self.rows.append((*p, self.next_id, at, self.origin, is_open))
+            self.rows.append((*p, self.next_id, at, self.origin, False))
             at += p[3]
 
-    def _pack(self) -> None:
-        items, self.items = self.open + self.items, []
-        self.open = []
-        for group in best_fit([n for n, _ in items], self.o.length):
-            size, pieces = sum(items[i][0] for i in group), [p for i in group for p in items[i][1]]
-            if size >= self.o.full:
-                self._emit(pieces, False)
-            else:
-                self.open.append((size, pieces))
-
-    def finish(self) -> None:
-        self._pack()
-        self.open.sort(key=lambda x: x[0])
-        for k, (_, pieces) in enumerate(self.open):
-            self._emit(pieces, not self.last and k < self.o.most_open)
-        self.open = []
+    def pack(self) -> None:
+        items, self.items = self.items, []
+        for group in best_fit([p[3] for p in items], self.o.length):
+            pieces = [items[i] for i in group]
+            if sum(p[3] for p in pieces) >= self.o.full:
+                self._emit(pieces)
+                continue
+            for p in pieces:
+                rank = self.ranks.get(p[3], 0)
+                self.ranks[p[3]] = rank + 1
+                self.rows.append((*p, rank, 0, self.origin, True))
 
     def batches(self) -> Iterator[pa.RecordBatch]:
         rows, self.rows = self.rows, []
@@ -130,44 +161,34 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int, opts: Packing
     end = int(end_id).to_bytes(4, "little")
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, tokens = _Packer(o, 0, only), encoder(vocabulary)
+        packer, tokens = _Packer(o), encoder(vocabulary)
         for b in batches:
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 for k, start, ids in pieces_of(tokens.encode(text) + end, o.length):
-                    packer.add(len(ids) // 4, [(doc_id, k, start, len(ids) // 4, zlib.crc32(ids), ids if with_ids else None)])
+                    packer.add((doc_id, k, start, len(ids) // 4, zlib.crc32(ids), ids if with_ids else None))
             yield from packer.batches()
-        packer.finish()
+        packer.pack()
         yield from packer.batches()
 
-    def merge(level: int, last: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            packer, now, size, held = _Packer(o, level, last), None, 0, []
-            for b in batches:
-                for *piece, sequence in zip(*[b.column(c).to_pylist() for c in ("doc_id", "piece", "start", "length", "ids_crc32", "ids", "sequence_id")], strict=True):
-                    if sequence != now and held:
-                        packer.add(size, held)
-                        size, held = 0, []
-                    now = sequence
-                    size += piece[3]
-                    held.append(tuple(piece))
-                yield from packer.batches()
-            if held:
-                packer.add(size, held)
-            packer.finish()
-            yield from packer.batches()
-
-        return run
-
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    width, level = source.rdd.getNumPartitions(), 0
-    only = width <= 1
-    rounds = [stored(source.mapInArrow(local, SCHEMA), "packing")]
-    while width > 1:
-        width, level = -(-width // o.fan_in), level + 1
-        items = rounds[-1].where("open").withColumn("at", F.floor(F.col("origin") / o.fan_in).cast("int"))
-        met = items.repartitionById(width, F.col("at")).sortWithinPartitions("sequence_id", "offset").drop("at")
-        rounds.append(stored(met.mapInArrow(merge(level, width == 1), SCHEMA), "packing"))
-    done = rounds[0].where("NOT open")
-    for r in rounds[1:]:
-        done = done.unionAll(r.where("NOT open"))
-    return done.drop("origin", "open")
+    found = stored(source.mapInArrow(local, SCHEMA), "packing")
+    left = found.where("open")
+    counts = left.groupBy("length", "origin").agg(F.count("*").alias("n"))
+    runs = best_fit_counts({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, o.length)
+    size, rank, each, sequence, offset = np.array(sorted(runs), np.int64).reshape(-1, 5).T
+    key = (size << _RANK) | rank
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Left-over pieces with their sequence and offset."""
+        for b in batches:
+            n, at = b.column("length").to_numpy(), b.column("sequence_id").to_numpy() + b.column("before").to_numpy()
+            run = np.searchsorted(key, (n << _RANK) | at, "right") - 1
+            at = at - rank[run]
+            new = {"sequence_id": (1 << 57) | (sequence[run] + at // each[run]), "offset": offset[run] + at % each[run] * n}
+            names = [f.name for f in ROW][:-2]
+            yield pa.RecordBatch.from_arrays([pa.array(new[c]) if c in new else b.column(c) for c in names], names)
+
+    # A piece's rank among all of its size: those of the partitions before, and its own.
+    before = counts.select("length", "origin", (F.sum("n").over(Window.partitionBy("length").orderBy("origin")) - F.col("n")).alias("before"))
+    kept = found.where("NOT open").drop("origin", "open")
+    return kept.unionAll(left.join(before, ["length", "origin"]).mapInArrow(placed, kept.schema))

@@ -174,6 +174,30 @@ def test_packing(docs, empty):
     assert packing.pack_documents(empty, vocabulary("byte_bpe_50k.json"), 2).count() == 0
 
 
+def test_counted_packing_is_best_fit():
+    rng = np.random.default_rng(3)
+    for length in (7, 64, 1024):
+        sizes = rng.integers(1, length, 500).tolist()
+        counts = {n: sizes.count(n) for n in sizes}
+        runs, held, made = sorted(packing.best_fit_counts(counts, length)), {}, packing.best_fit(sizes, length)
+        for k, (n, rank, each, sequence, offset) in enumerate(runs):
+            last = runs[k + 1][1] if k + 1 < len(runs) and runs[k + 1][0] == n else counts[n]
+            for i in range(last - rank):
+                held.setdefault(sequence + i // each, []).append((offset + i % each * n, n))
+        for parts in held.values():
+            ends = [0, *(a + n for a, n in sorted(parts))]
+            assert [a for a, _ in sorted(parts)] == ends[:-1] and ends[-1] <= length
+        whole = sorted(sorted(n for _, n in parts) for parts in held.values())
+        assert whole == sorted(sorted(sizes[i] for i in group) for group in made)
+
+
+def test_packing_fills_the_room_of_other_partitions(spark):
+    texts = [(i, " the" * (39 if i < 40 else 23)) for i in range(80)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartitionByRange(2, "doc_id")
+    rows = packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"), 2, packing.Packing(length=64, full=64)).collect()
+    assert len({r.sequence_id for r in rows}) == 40 and {r.length for r in rows} == {40, 24}
+
+
 @pytest.mark.parametrize("form", [planes.Format(block=7), planes.Format(block=16, unit="bit"), planes.Format()])
 def test_token_files(docs, form):
     enc = tokens.encoder(vocabulary("word_bpe_49k.json"))
