@@ -63,10 +63,10 @@ _DEF = re.compile(r"\\def\s*\\([A-Za-z@]+|\d)((?:#\d)*)\s*(?=\{)")
 _OPERATOR = re.compile(r"\\DeclareMathOperator(\*?)\s*\{\s*\\([A-Za-z@]+)\s*\}\s*")
 
 
-def harvest(text: str) -> tuple[dict[str, Macro], str]:
+def harvest(text: str, leave: frozenset[str] = frozenset()) -> tuple[dict[str, Macro], str]:
     """Macros by name, and the text without their definitions.
 
-    Of several definitions the last counts; ``providecommand`` only where there is
+    Macros named in ``leave`` are passed over and their definitions stay.  Of several definitions the last counts; ``providecommand`` only where there is
     none.  Operators come after ``def``, which comes after the commands.
     """
     found: list[tuple[int, int, int, bool, Macro]] = []
@@ -82,6 +82,7 @@ def harvest(text: str) -> tuple[dict[str, Macro], str]:
     for m in _OPERATOR.finditer(text):
         if (end := group_end(text, m.end())) > 0:
             found.append((2, m.start(), end, False, Macro(m[2], 0, None, f"\\operatorname{m[1]}{{{text[m.end() + 1 : end - 1]}}}")))
+    found = [f for f in found if f[4].name not in leave]
     macros: dict[str, Macro] = {}
     for *_, optional, macro in sorted(found, key=lambda f: f[:2]):
         if not (optional and macro.name in macros):
@@ -96,10 +97,35 @@ def harvest(text: str) -> tuple[dict[str, Macro], str]:
     return macros, "".join(out) + text[at:]
 
 
-def expand(text: str, macros: dict[str, Macro], passes: int = 10, most: int = 5_000_000) -> str:
-    """Uses replaced, pass after pass until nothing changes."""
+def circular(macros: dict[str, Macro]) -> frozenset[str]:
+    """Names of the macros whose bodies lead back to themselves."""
+    uses = {n: {u for u in re.findall(r"\\([A-Za-z@]+|\d)", m.body + (m.default or "")) if u in macros} for n, m in macros.items()}
+    found = set()
+    for name in macros:
+        seen: set[str] = set()
+        todo = list(uses[name])
+        while todo:
+            if (u := todo.pop()) not in seen:
+                seen.add(u)
+                todo += uses[u]
+        if name in seen:
+            found.add(name)
+    return frozenset(found)
+
+
+class Runaway(Exception):
+    """A text with circular macros outgrew its bound."""
+
+
+def expand(text: str, macros: dict[str, Macro], passes: int = 10, growth: int = 16, least: int = 5_000_000) -> str:
+    """Uses replaced, pass after pass until nothing changes.
+
+    Where macros are circular, ``Runaway`` is raised once the text is ``growth`` times
+    as long as it was, and longer than ``least``.
+    """
     if not macros:
         return text
+    most = max(least, growth * len(text)) if circular(macros) else None
     names = "|".join(sorted(map(re.escape, macros), key=len, reverse=True))
     use = re.compile(rf"\\\\|\\({names})(?![A-Za-z@])")
     for _ in range(passes):
@@ -127,8 +153,10 @@ def expand(text: str, macros: dict[str, Macro], passes: int = 10, most: int = 5_
             out += [text[at : m.start()], re.sub(r"#(\d)", lambda d: args[int(d[1]) - 1] if 0 < int(d[1]) <= len(args) else d[0], macro.body)]  # noqa: B023
             at = end
         changed = "".join(out) + text[at:]
-        if changed == text or len(changed) > most:
+        if changed == text:
             return text
+        if most is not None and len(changed) > most:
+            raise Runaway
         text = changed
     return text
 
@@ -136,17 +164,36 @@ def expand(text: str, macros: dict[str, Macro], passes: int = 10, most: int = 5_
 _CONDITIONAL = re.compile(r"\\ifodd\s+1\s(.*?)(?:\\else(?![A-Za-z]).*?)?\\fi(?![A-Za-z])", re.S)
 
 
-def expand_macros(text: str | None, keep_packages: bool = False) -> str | None:
-    """The whole macro stage for one document."""
+def expand_with_notes(text: str | None, keep_packages: bool = False) -> tuple[str | None, list[str]]:
+    """The whole macro stage for one document, and what it left undone.
+
+    Where circular macros run away, they and their definitions stay as they are, with
+    a note ``runaway:name`` for each; all others are expanded.
+    """
     if text is None:
-        return None
+        return None, []
     text, kept = mask(text)
     text = _CONDITIONAL.sub(lambda m: m[1], text)
-    macros, text = harvest(text)
-    text = re.sub(r"\\(?:DeclareMathAlphabet|SetMathAlphabet)\{[^\n]*\n?", "", text)
-    if not keep_packages:
-        text = re.sub(r"\\usepackage(?:\[[^\]]*\])?\{[^}]*\}\s*", "", text)
-    return unmask(re.sub("\n{3,}", "\n\n", expand(text, macros)), kept)
+    macros, bare = harvest(text)
+    notes: list[str] = []
+
+    def rest(t: str) -> str:
+        t = re.sub(r"\\(?:DeclareMathAlphabet|SetMathAlphabet)\{[^\n]*\n?", "", t)
+        return t if keep_packages else re.sub(r"\\usepackage(?:\[[^\]]*\])?\{[^}]*\}\s*", "", t)
+
+    try:
+        out = expand(rest(bare), macros)
+    except Runaway:
+        left = circular(macros)
+        notes = [f"runaway:{n}" for n in sorted(left)]
+        macros, bare = harvest(text, left)
+        out = expand(rest(bare), macros)
+    return unmask(re.sub("\n{3,}", "\n\n", out), kept), notes
+
+
+def expand_macros(text: str | None, keep_packages: bool = False) -> str | None:
+    """The whole macro stage for one document."""
+    return expand_with_notes(text, keep_packages)[0]
 
 
 _PERCENT = re.compile(r"((?:[^%\\]|\\.)*)%", re.S)

@@ -25,6 +25,16 @@ def expand_macros(c: Column, keep_packages: bool = False) -> Column:
     return run(c)
 
 
+def macro_notes(c: Column) -> Column:
+    """Notes on macros that ``expand_macros`` leaves in place, as ``runaway:name``."""
+
+    @F.pandas_udf("array<string>")
+    def run(texts):
+        return texts.map(lambda t: kernels.expand_with_notes(t)[1])
+
+    return run(c)
+
+
 MACRO = T.StructType([T.StructField("name", T.StringType()), T.StructField("arity", T.IntegerType()), T.StructField("default", T.StringType()), T.StructField("body", T.StringType())])
 
 

@@ -9,12 +9,14 @@ from ..operators import assets, bibliography, includes, latex
 from ..options import CleanOptions
 
 
-def clean_latex(docs: DataFrame, options: CleanOptions | None = None, files: DataFrame | None = None, entries: DataFrame | None = None, bbl: DataFrame | None = None, summaries: DataFrame | None = None) -> DataFrame:
+def clean_latex(docs: DataFrame, options: CleanOptions | None = None, files: DataFrame | None = None, entries: DataFrame | None = None, bbl: DataFrame | None = None, summaries: DataFrame | None = None, diagnostics: bool = False) -> DataFrame:
     """``docs`` (doc_id, content) cleaned.
 
     Stages are chosen while the plan is built.  ``files`` (root_dir = doc_id, rel_path,
     content, is_root) are needed to flatten, ``entries`` or ``bbl`` for bibliographies,
     ``summaries`` for figures; a stage without its table is left out.
+    With ``diagnostics``, a column of that name has notes on macros left in place;
+    documents that share a doc_id share their notes.
     """
     o = options or CleanOptions()
     if o.flatten and files is not None:
@@ -23,9 +25,17 @@ def clean_latex(docs: DataFrame, options: CleanOptions | None = None, files: Dat
     if o.comments:
         docs = docs.withColumn("content", latex.strip_comments("content"))
     if o.macros:
+        notes = docs.select("doc_id", latex.macro_notes(F.col("content")).alias("notes"))
         docs = docs.withColumn("content", latex.expand_macros(F.col("content"), o.keep_usepackage))
     if o.bibliography and entries is not None:
         docs = bibliography.inline_bibliography(docs, entries, bbl)
     if o.figures and summaries is not None:
         docs = assets.substitute_figures(docs.select("doc_id", "content"), summaries)
-    return docs.select("doc_id", "content")
+    docs = docs.select("doc_id", "content")
+    if not diagnostics:
+        return docs
+    none = F.array().cast("array<string>")
+    if not o.macros:
+        return docs.withColumn("diagnostics", none)
+    told = notes.groupBy(F.col("doc_id").alias("_noted")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("notes")))).alias("diagnostics"))
+    return docs.join(told, F.col("doc_id").eqNullSafe(F.col("_noted")), "left").select("doc_id", "content", F.coalesce("diagnostics", none).alias("diagnostics"))

@@ -40,6 +40,13 @@ def test_all_stages_off_is_identity(spark):
     assert clean_latex(docs.limit(0)).count() == 0
 
 
+def test_macro_diagnostics(spark):
+    made = "\\newcommand{\\a}{" + "\\a" * 10 + "}\\a"
+    docs = spark.createDataFrame([(1, made), (2, "\\def\\b{c}\\b"), (None, None)], "doc_id long, content string")
+    got = {r.doc_id: (r.content, r.diagnostics) for r in clean_latex(docs, diagnostics=True).collect()}
+    assert got == {1: (made, ["runaway:a"]), 2: ("c", []), None: (None, [])}
+
+
 def test_summaries(spark):
     class Echo:
         def describe(self, data, mime, kind):

@@ -46,6 +46,18 @@ def test_macros():
     assert run("\\begin{verbatim}\\a\\end{verbatim}\\def\\a{b}\\a") == "\\begin{verbatim}\\a\\end{verbatim}b"
 
 
+def test_macros_of_long_texts():
+    long = "x" * 5_000_001
+    assert K.expand_with_notes("\\newcommand{\\a}[1]{<#1>}\\a{b}" + long) == ("<b>" + long, [])
+    assert K.expand_macros("\\def\\b{" + "y" * 1000 + "}" + "\\b" * 6000) == "y" * 6_000_000
+
+
+def test_runaway_macros_keep_their_definitions():
+    made = "\\newcommand{\\a}{" + "\\a" * 10 + "}"
+    text, notes = K.expand_with_notes(made + "\\def\\ok{fine}\\a \\ok")
+    assert (text, notes) == (made + "\\a fine", ["runaway:a"])
+
+
 def test_bibtex():
     found = K.parse_bibtex('@string{j = "Jour"}@comment{x}@Article{k1, author = {A and {B}}, journal = j # " nal", year=1999}@book{k2,title="T {x}"}')
     assert found == [("k1", "article", {"author": "A and {B}", "journal": "Jour nal", "year": "1999"}), ("k2", "book", {"title": "T {x}"})]
