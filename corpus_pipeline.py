@@ -16,7 +16,7 @@ from inkwell.llm.shared import shared_dir, table
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality.keep_quality(docs)
+    return quality.keep_quality(docs, quality.CLASSES_JUDGED)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

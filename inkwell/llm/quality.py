@@ -51,7 +51,9 @@ REFERENCES: dict[str, Reference] = {
 
 @dataclass(frozen=True)
 class Rules:
-    """Limits.  The guards say from which length a histogram is judged at all."""
+    """Limits.  The guards ``min_chars`` and ``min_judged_words`` say from which length
+    a histogram is judged at all; ``min_class_words``, where given, takes their place
+    for the character classes, whose shares settle sooner than those of words."""
 
     references: dict[str, Reference] = field(default_factory=lambda: REFERENCES)
     max_class_distance: float = 0.28
@@ -60,9 +62,14 @@ class Rules:
     min_chars: int = 400
     min_words: int = 50
     min_judged_words: int = 80
+    min_class_words: int | None = None
     max_repeat_percent: int = 50
 
 
+#: The classes of every document that the base rules let through are judged.
+CLASSES_JUDGED = Rules(min_class_words=Rules.min_words)
+
+
 def _bind(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once, as a lambda's argument."""
     return F.transform(F.array(value), body)[0]
@@ -161,6 +168,7 @@ def score_quality(docs: DataFrame, rules: Rules | None = None, text: str = "text
         return _bind(common_counts(ws), lambda c: F.least(*[to_reference(r, c, F.size(ws)) for r in rules.references.values()]))
 
     long_enough = (F.length(t) >= rules.min_chars) & (F.size(words) >= rules.min_judged_words)
+    class_guard = long_enough if rules.min_class_words is None else F.size(words) >= rules.min_class_words
     out = docs.withColumn(tag + "text", F.coalesce(F.col(text), F.lit("")))
     out = out.withColumns({tag + "words": split, tag + "counts": _class_counts(t), tag + "dups": _bind(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))})
     out = out.withColumn(tag + "keys", F.sort_array(_window_keys(words)))
@@ -170,7 +178,7 @@ def score_quality(docs: DataFrame, rules: Rules | None = None, text: str = "text
         "n_symbols": F.get(counts, F.lit(7)).cast("long"),
         "n_dup_lines": F.col(tag + "dups").cast("long"),
         "n_repeat_words": F.when(F.size(words) < 3, 0).when(F.size(words) < 1 << _PLACE, _repeated(words, keys)).otherwise(_repeated_long(words)).cast("long"),
-        "class_distance": F.when(long_enough, class_distance(counts)),
+        "class_distance": F.when(class_guard, class_distance(counts)),
         "word_distance": F.when(long_enough, word_distance(words)),
     }).drop(*[tag + x for x in ("text", "words", "keys", "counts", "dups")])
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))

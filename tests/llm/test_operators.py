@@ -54,6 +54,13 @@ def test_quality(docs, empty):
     assert quality.score_quality(empty).count() == 0
 
 
+def test_short_junk_is_judged_by_its_classes(spark):
+    junk = " ".join(f"#|{'$%&*'[i % 4] * (i % 3 + 1)}{i}|#" for i in range(60))
+    docs = spark.createDataFrame([(1, junk), (2, prose(7, 60))], "doc_id long, text string")
+    assert [r.doc_id for r in quality.keep_quality(docs, quality.CLASSES_JUDGED).collect()] == [2]
+    assert {r.doc_id for r in quality.keep_quality(docs).collect()} == {1, 2}
+
+
 def test_long_texts_count_repeats_alike(spark):
     df = spark.createDataFrame([("a b c a b c d",), ("x y z",), ("q q q q",)], "text string").withColumn("w", F.split("text", " "))
     assert [r[0] for r in df.select(quality._repeated_long(F.col("w"))).collect()] == [6, 0, 4]
