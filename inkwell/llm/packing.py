@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import slices, stored
 from .tokens import encoder
 
 
@@ -134,8 +134,8 @@ class _Packer:
 
     def batches(self) -> Iterator[pa.RecordBatch]:
         rows, self.rows = self.rows, []
-        for a in range(0, len(rows), 20_000):
-            cols = zip(*rows[a : a + 20_000], strict=True)
+        for a in range(0, len(rows), 2_000):
+            cols = zip(*rows[a : a + 2_000], strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, ROW, strict=True)], schema=ROW)
 
 
@@ -162,7 +162,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int, opts: Packing
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, tokens = _Packer(o), encoder(vocabulary)
-        for b in batches:
+        for b in slices(batches):
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 for k, start, ids in pieces_of(tokens.encode(text) + end, o.length):
                     packer.add((doc_id, k, start, len(ids) // 4, zlib.crc32(ids), ids if with_ids else None))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import slices, stored
 
 FIELD = "<*>"
 _DIGIT = re.compile(r"\d")
@@ -102,7 +102,7 @@ def drop_templates(docs: DataFrame, tree: Tree | None = None) -> DataFrame:
     known = keyed.where("_id IS NOT NULL AND text IS NOT NULL").select("_id", "_hash", "text")
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             out: list[tuple] = []
             for i, h, text in zip(b.column("_id").to_pylist(), b.column("_hash").to_pylist(), b.column("text").to_pylist(), strict=True):
                 found = set()
@@ -118,7 +118,7 @@ def drop_templates(docs: DataFrame, tree: Tree | None = None) -> DataFrame:
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Lines of the leaves asked for."""
         names, kinds = ["_id", "_hash", "number", "leaf", "shape", "line"], [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
-        for b in batches:
+        for b in slices(batches):
             out: list[tuple] = []
             for i, h, text, asked in zip(*[b.column(c).to_pylist() for c in ("_id", "_hash", "text", "asked")], strict=True):
                 asked = set(asked)
