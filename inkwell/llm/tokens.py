@@ -54,7 +54,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = self.library.get_added_tokens_decoder().values()
+        # Strings of added tokens have one id each; the library finds them in whole texts.
+        self.added = re.compile("|".join(re.escape(t.content) for t in added) or r"(?!)", re.I if any(t.normalized for t in added) else 0)
         self.model = self.library.model
         self.drops_space = self.library.normalizer is not None
         self.pieces = _WORD_PIECES if self.drops_space else _BYTE_PIECES
@@ -78,7 +80,7 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if not _PLAIN.fullmatch(text) or not self.drops_space and _wide(text):
+        if not _PLAIN.fullmatch(text) or self.added.search(text) or not self.drops_space and _wide(text):
             return _packed(self.library.encode(text, add_special_tokens=False).ids)
         if self.drops_space:
             words = text.lower().split()

@@ -160,6 +160,17 @@ def test_tokens(docs, name, end):
         assert np.frombuffer(enc.encode(t), "<u4").tolist() == (enc.library.encode(t, add_special_tokens=False).ids if t else [])
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_added_tokens_as_the_plain_library_has_them(name):
+    from tokenizers import Tokenizer
+
+    enc, plain = tokens.Encoder(vocabulary(name)), Tokenizer.from_file(vocabulary(name))
+    added = [t.content for t in plain.get_added_tokens_decoder().values()]
+    assert added
+    for t in [*added, *(f"one {a} two{a.upper()} {a}" for a in added), "no such token"]:
+        assert np.frombuffer(enc.encode(t), "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
+
+
 def test_packing(docs, empty):
     opts = packing.Packing(length=64, full=64, fan_in=2)
     enc = tokens.encoder(vocabulary("byte_bpe_50k.json"))
