@@ -25,6 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import hashing
 from .shared import stored
 
 
@@ -37,29 +38,12 @@ class Matching:
 
     length: int = 50
     gram: int = 20
-    block: int = 4_000_000
+    block: int = 500_000
     hot: int = 5_000
     flush: int = 1_500_000
     slices: int = 32
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def _grams(data: bytes, n: int) -> np.ndarray:
-    """A hash of each run of n bytes, eight at a time."""
-    count, padded = len(data) - n + 1, data + b"\0" * 8
-    h = np.full(count, n, np.uint64)
-    for at in range(0, n, 8):
-        size = min(8, n - at)
-        part = np.ndarray((count,), "<u8", padded, at, (1,)) & np.uint64((1 << 8 * size) - 1)
-        h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + part)
-    return h
-
-
 #: An anchor, a hash of the stretch's bytes, its document and where its runs start.
 REC = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("runs", "<i4")])
 
@@ -68,7 +52,7 @@ def stretches(data: bytes, doc: int, opts: Matching) -> np.ndarray:
     """The stretches of one document: neighbouring runs with the same smallest q-gram."""
     if len(data) < opts.length:
         return np.zeros(0, REC)
-    h, span = _grams(data, opts.gram), opts.length - opts.gram + 1
+    h, span = hashing.runs(data, opts.gram), opts.length - opts.gram + 1
     low, size = h, 1
     while size * 2 <= span:
         low, size = np.minimum(low[:-size], low[size:]), size * 2
@@ -82,11 +66,11 @@ def stretches(data: bytes, doc: int, opts: Matching) -> np.ndarray:
     out = np.zeros(len(first), REC)
     out["anchor"], out["doc"], out["start"], out["runs"] = low[first], doc, first, size
     # Overlapping grams from the first byte to the last say all bytes of a stretch.
-    c, total = np.uint64(0x9E3779B97F4A7C15), size - 1 + opts.length - opts.gram
+    c, total = hashing.ODD, size - 1 + opts.length - opts.gram
     x = size.astype(np.uint64)
     for at in range(0, 2 * span + opts.gram, opts.gram):
         inside = np.minimum(first + at, first + total)
-        x = _mix(x * c + h[inside])
+        x = hashing.mix(x * c + h[inside])
     out["content"] = x
     return out
 
@@ -108,35 +92,103 @@ def _spans(recs: np.ndarray, hot: np.ndarray | None = None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(recs["doc"]), pa.array(recs["start"]), pa.array(recs["runs"]), anchor, flag], ["doc_id", "start", "runs", "anchor", "single"])
 
 
+def _sorted_places(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the keys in ascending order, and the keys in that order."""
+    bits = len(key).bit_length()
+    if int(key.max()).bit_length() + bits > 64:
+        at = np.argsort(key, kind="stable")
+        return at, key[at]
+    both = np.sort((key << np.uint64(bits)) | np.arange(len(key), dtype=np.uint64))  # far faster than argsort
+    return (both & np.uint64((1 << bits) - 1)).astype(np.int64), both >> np.uint64(bits)
+
+
+def _heads(key: np.ndarray) -> np.ndarray:
+    return np.concatenate(([True], key[1:] != key[:-1]))
+
+
+def sort_suffixes(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Suffixes in order of their first ``length`` bytes or more; whether a suffix and
+    the one before it differ within ``size`` bytes, and within one byte less; ``size``."""
+    n = len(text)
+    kinds = np.unique(text)
+    code = np.zeros(256, np.uint64)
+    code[kinds] = np.arange(1, len(kinds) + 1)
+    bits = len(kinds).bit_length()
+    size = min(length, max(1, (64 - n.bit_length()) // bits))
+    padded, key = np.concatenate((code[text], np.zeros(size, np.uint64))), np.zeros(n, np.uint64)
+    for i in range(size):
+        key = (key << np.uint64(bits)) | padded[i : i + n]
+    order, key = _sorted_places(key)
+    new, depth = _heads(key), size
+    differ, before = new.copy(), _heads(key >> np.uint64(bits))
+    rank = np.empty(n, np.int64)  # the first row of a suffix's group
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    while depth < length:  # prefix doubling of what is still tied, no deeper than needed
+        rows = np.flatnonzero(~(new & np.append(new[1:], True)))
+        if not len(rows):
+            break
+        at = order[rows]
+        ahead = np.where(at + depth < n, rank[np.minimum(at + depth, n - 1)] + 1, 0)
+        place, key = _sorted_places((np.cumsum(new[rows]).astype(np.uint64) << np.uint64(n.bit_length())) | ahead.astype(np.uint64))
+        order[rows], new[rows] = at[place], _heads(key)
+        rank[order[rows]] = np.maximum.accumulate(np.where(new[rows], rows, 0))
+        depth *= 2
+    return order, differ, before, size
+
+
 def find_boundaries(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes in order of their first ``length`` bytes or more, and for each
     whether its common prefix with the one before is shorter than ``length``.  That
-    holds for suffixes that meet no separator (255) within ``length`` bytes."""
+    holds for suffixes that meet no separator (255) within ``length`` bytes.
+
+    Breadth first from the prefixes that the sort keys show: the boundaries found last
+    (common prefixes of one length) split their intervals.  Every row of an interval's
+    smaller parts is extended backwards by its byte of the transform; where it and the
+    neighbour there come from different parts, a boundary of the next length is found.
+    The rows of a largest part, and intervals that are not split, are not visited.
+    """
     n = len(text)
-    padded = np.concatenate((text, np.full(8, 255, np.uint8)))
-    rank, size = np.ndarray((n,), ">u8", padded.tobytes(), 0, (1,)).astype(np.uint64), 8
-    order = np.argsort(rank, kind="stable")
-    while size < length:  # prefix doubling, no deeper than needed
-        dense = np.empty(n, np.uint64)
-        dense[order] = np.concatenate(([1], 1 + np.cumsum(rank[order[1:]] != rank[order[:-1]])))
-        ahead = np.zeros(n, np.uint64)
-        ahead[: max(0, n - size)] = dense[size:]
-        rank, size = (dense << np.uint64(32)) | ahead, size * 2
-        order = np.argsort(rank, kind="stable")
+    order, found, shorter, size = sort_suffixes(text, length)
     before = text[order - 1]  # the transform: the byte in front of each suffix
-    source = np.argsort(before, kind="stable")  # row r's suffix is one byte and the suffix of row source[r]
-    first = before[source]
-    found = np.concatenate(([True], first[1:] != first[:-1]))
-    waiting = np.flatnonzero(~found)
-    for _ in range(1, length):  # level by level: common prefixes of 1, 2, ... bytes
-        if not len(waiting):
+    source = np.argsort(before, kind="stable").astype(np.int32)  # row r's suffix is one byte and the suffix of row source[r]
+    back = np.empty(n, np.int32)  # the other way: a row's suffix with the byte in front of it
+    back[source] = np.arange(n, dtype=np.int32)
+    fresh = np.flatnonzero(found & ~shorter)
+    part, made = (np.cumsum(shorter) - 1).astype(np.int32), int(shorter.sum())
+    low, high = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    low[:made] = np.flatnonzero(shorter)
+    high[:made] = np.append(low[1:made], n)
+    for _ in range(size, length):
+        if not len(fresh):
             break
-        seen = np.cumsum(found)
-        split = seen[source[waiting]] != seen[source[waiting - 1]]
-        if not split.any():
-            continue
-        found[waiting[split]] = True
-        waiting = waiting[~split]
+        parent = part[fresh]
+        first = np.flatnonzero(_heads(parent))
+        start = np.insert(fresh, first, low[parent[first]])  # of each part of an interval
+        group = first + np.arange(len(first))
+        end = np.append(start[1:], 0)
+        end[np.append(group[1:], len(start)) - 1] = high[parent[first]]
+        width = end - start
+        largest = np.flatnonzero(width == np.repeat(np.maximum.reduceat(width, group), np.diff(np.append(group, len(start)))))
+        largest = largest[_heads(np.searchsorted(group, largest, "right"))]
+        low[parent[first]], high[parent[first]] = start[largest], end[largest]
+        small = np.ones(len(start), bool)
+        small[largest] = False
+        start, end, width = start[small], end[small], width[small]
+        own = np.arange(made, made + len(start), dtype=np.int32)
+        low[own], high[own], made = start, end, made + len(start)
+        rows = np.repeat(start - (np.cumsum(width) - width), width) + np.arange(width.sum())
+        own = np.repeat(own, width)
+        part[rows] = own
+        to = back[rows]
+        here = np.flatnonzero(~found[to])
+        a = to[here]
+        a = a[part[source[a - 1]] != own[here]]
+        here = np.flatnonzero(~found[np.minimum(to + 1, n - 1)] & (to + 1 < n))
+        b = to[here] + 1
+        b = b[part[source[b]] != own[here]]
+        fresh = np.sort(np.concatenate((a, b))).astype(np.int64)
+        fresh = fresh[_heads(fresh)] if len(fresh) else fresh
+        found[fresh] = True
     return order, found
 
 
