@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .shared import stored
+from .shared import slices, stored
 
 
 @dataclass(frozen=True)
@@ -40,15 +40,16 @@ class Matching:
     gram: int = 20
     block: int = 500_000
     hot: int = 5_000
-    flush: int = 1_500_000
-    slices: int = 32
+    flush: int = 500_000
+    slices: int = 8
 
 
 #: An anchor, a hash of the stretch's bytes, its document and where its runs start.
-REC = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("runs", "<i4")])
+#: ``row`` tells apart the texts of rows that repeat an id.
+REC = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("row", "<i4"), ("start", "<i4"), ("runs", "<i4")])
 
 
-def stretches(data: bytes, doc: int, opts: Matching) -> np.ndarray:
+def stretches(data: bytes, doc: int, opts: Matching, row: int = 0) -> np.ndarray:
     """The stretches of one document: neighbouring runs with the same smallest q-gram."""
     if len(data) < opts.length:
         return np.zeros(0, REC)
@@ -64,7 +65,7 @@ def stretches(data: bytes, doc: int, opts: Matching) -> np.ndarray:
         within = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
         first, size = np.repeat(first, parts) + within * span, np.minimum(span, np.repeat(size, parts) - within * span)
     out = np.zeros(len(first), REC)
-    out["anchor"], out["doc"], out["start"], out["runs"] = low[first], doc, first, size
+    out["anchor"], out["doc"], out["row"], out["start"], out["runs"] = low[first], doc, row, first, size
     # Overlapping grams from the first byte to the last say all bytes of a stretch.
     c, total = hashing.ODD, size - 1 + opts.length - opts.gram
     x = size.astype(np.uint64)
@@ -75,10 +76,23 @@ def stretches(data: bytes, doc: int, opts: Matching) -> np.ndarray:
     return out
 
 
+def _by_anchor(recs: np.ndarray) -> np.ndarray:
+    """The order of anchor, content, doc, row and start.  Most anchors are rare, so
+    only what has an anchor's upper bits in common is sorted by all five."""
+    bits = len(recs).bit_length()
+    key = np.sort((recs["anchor"] >> np.uint64(bits) << np.uint64(bits)) | np.arange(len(recs), dtype=np.uint64))
+    order, key = (key & np.uint64((1 << bits) - 1)).astype(np.int64), key >> np.uint64(bits)
+    same = key[1:] == key[:-1]
+    tied = np.flatnonzero(np.concatenate((same, [False])) | np.concatenate(([False], same)))
+    some = recs[order[tied]]
+    order[tied] = order[tied][np.lexsort((some["start"], some["row"], some["doc"], some["content"], some["anchor"]))]
+    return order
+
+
 def _combine(recs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted stretches without copies, and the copies of a smaller doc's stretch.
     Copies inside the same document stay."""
-    recs = recs[np.lexsort((recs["start"], recs["doc"], recs["content"], recs["anchor"]))]
+    recs = recs[_by_anchor(recs)]
     new = np.concatenate(([True], (np.diff(recs["anchor"]) != 0) | (np.diff(recs["content"]) != 0)))[: len(recs)]
     least = recs["doc"][np.maximum.accumulate(np.where(new, np.arange(len(recs)), 0))]
     later = recs["doc"] > least
@@ -89,7 +103,7 @@ def _spans(recs: np.ndarray, hot: np.ndarray | None = None) -> pa.RecordBatch:
     none = pa.nulls(len(recs), pa.int64())
     anchor = none if hot is None else pa.array(recs["anchor"].view(np.int64))
     flag = pa.array(np.zeros(len(recs), bool) if hot is None else hot)
-    return pa.RecordBatch.from_arrays([pa.array(recs["doc"]), pa.array(recs["start"]), pa.array(recs["runs"]), anchor, flag], ["doc_id", "start", "runs", "anchor", "single"])
+    return pa.RecordBatch.from_arrays([pa.array(recs["doc"]), pa.array(recs["row"]), pa.array(recs["start"]), pa.array(recs["runs"]), anchor, flag], ["doc_id", "row", "start", "runs", "anchor", "single"])
 
 
 def _sorted_places(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -192,7 +206,7 @@ def find_boundaries(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarr
     return order, found
 
 
-def earlier_runs(pieces: list[bytes], docs: list[int], starts: list[int], runs: list[int], length: int) -> np.ndarray:
+def earlier_runs(pieces: list[bytes], docs: list[int], rows: list[int], starts: list[int], runs: list[int], length: int) -> np.ndarray:
     """Spans (as REC) of the pieces' runs that also start in a piece of a smaller doc."""
     text = np.frombuffer(b"\xff".join(pieces) + b"\xff", np.uint8)  # no byte of UTF-8 text
     size, n = np.array([len(p) + 1 for p in pieces]), np.array(runs)
@@ -210,13 +224,15 @@ def earlier_runs(pieces: list[bytes], docs: list[int], starts: list[int], runs:
     new = np.concatenate(([True], (np.diff(hit) != 1) | (np.diff(own) != 0)))[: len(hit)]
     head = np.flatnonzero(new)
     out = np.zeros(len(head), REC)
-    out["doc"], out["start"], out["runs"] = doc[own[head]], np.array(starts)[own[head]] + hit[head] - base[own[head]], np.diff(np.append(head, len(hit)))
+    out["doc"], out["row"] = doc[own[head]], np.array(rows)[own[head]]
+    out["start"], out["runs"] = np.array(starts)[own[head]] + hit[head] - base[own[head]], np.diff(np.append(head, len(hit)))
     return out
 
 
 def find_repeats(docs: DataFrame, opts: Matching | None = None) -> DataFrame:
-    """Spans of runs that a document with a smaller doc_id also holds: doc_id, start
-    (byte) and runs (how many neighbouring runs start from there)."""
+    """Spans of runs that a document with a smaller doc_id also holds: doc_id, row,
+    start (byte) and runs (how many neighbouring runs start from there).  ``docs`` has
+    doc_id, row and text."""
     o, spark = opts or Matching(), docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = parts * o.slices
@@ -237,9 +253,9 @@ def find_repeats(docs: DataFrame, opts: Matching | None = None) -> DataFrame:
                 slot, blob, recs_in = zip(*rows[a : a + 2_000], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(blob, pa.binary()), pa.array(recs_in)], ["slot", "blob", "fresh"])
 
-        for b in batches:
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                held.append(stretches(text.encode("utf-8", "surrogatepass"), doc_id, o))
+        for b in slices(batches):
+            for doc_id, row, text in zip(*[b.column(c).to_pylist() for c in ("doc_id", "row", "text")], strict=True):
+                held.append(stretches(text.encode("utf-8", "surrogatepass"), doc_id, o, row))
                 n += len(held[-1])
                 if n >= o.flush:
                     yield from flush()
@@ -279,9 +295,9 @@ def find_repeats(docs: DataFrame, opts: Matching | None = None) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The bytes of the stretches to compare."""
-        for b in batches:
+        for b in slices(batches):
             rows = []
-            for doc_id, text, asked in zip(*[b.column(c).to_pylist() for c in ("doc_id", "text", "asked")], strict=True):
+            for doc_id, own, text, asked in zip(*[b.column(c).to_pylist() for c in ("doc_id", "row", "text", "asked")], strict=True):
                 if not asked:
                     continue
                 data = text.encode("utf-8", "surrogatepass")
@@ -289,9 +305,9 @@ def find_repeats(docs: DataFrame, opts: Matching | None = None) -> DataFrame:
                     if x["single"]:
                         for k in range(x["start"], x["start"] + x["runs"]):
                             run = data[k : k + o.length]
-                            rows.append((int.from_bytes(sha256(run).digest()[:8], "little", signed=True), doc_id, k, 1, run))
+                            rows.append((int.from_bytes(sha256(run).digest()[:8], "little", signed=True), doc_id, own, k, 1, run))
                     else:
-                        rows.append((x["anchor"], doc_id, x["start"], x["runs"], data[x["start"] : x["start"] + x["runs"] + o.length - 1]))
+                        rows.append((x["anchor"], doc_id, own, x["start"], x["runs"], data[x["start"] : x["start"] + x["runs"] + o.length - 1]))
                 if len(rows) > 20_000:
                     yield _cut(rows)
                     rows = []
@@ -299,36 +315,41 @@ def find_repeats(docs: DataFrame, opts: Matching | None = None) -> DataFrame:
                 yield _cut(rows)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, size = [], 0
+        rows, size, first = [], 0, None
         for b in batches:
-            for row in zip(*[b.column(c).to_pylist() for c in ("anchor", "doc_id", "start", "runs", "bytes")], strict=True):
-                if size >= o.block and row[0] != rows[-1][0]:
+            for row in zip(*[b.column(c).to_pylist() for c in ("anchor", "doc_id", "row", "start", "runs", "bytes")], strict=True):
+                new = first is None or row[0] != first[0]
+                # The rows of a run dealt alone are all equal: a block may end among them
+                # if the next begins with the smallest document again.
+                if size >= o.block and (new or row[4] == 1 and len(rows) > o.hot):
                     yield _found(rows)
-                    rows, size = [], 0
+                    rows, size = ([], 0) if new else ([first], len(first[5]) + 1)
+                first = row if new else first
                 rows.append(row)
-                size += len(row[4]) + 1
+                size += len(row[5]) + 1
         if rows:
             yield _found(rows)
 
     def _found(rows: list[tuple]) -> pa.RecordBatch:
-        _, doc, start, runs, data = zip(*rows, strict=True)
-        return _spans(earlier_runs(list(data), list(doc), list(start), list(runs), o.length)).select(["doc_id", "start", "runs"])
+        _, doc, row, start, runs, data = zip(*rows, strict=True)
+        return _spans(earlier_runs(list(data), list(doc), list(row), list(start), list(runs), o.length)).select(["doc_id", "row", "start", "runs"])
 
-    known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
+    known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
     slots = known.mapInArrow(deal, "slot int, blob binary, fresh boolean")
     met = slots.repartitionById(parts, F.expr(f"cast(slot / {o.slices} AS int)")).sortWithinPartitions("slot", F.col("fresh"))
-    spans = stored(met.mapInArrow(meet, "doc_id long, start int, runs int, anchor long, single boolean"), "repeats")
-    asked = spans.where("anchor IS NOT NULL").groupBy(F.col("doc_id").alias("doc")).agg(F.collect_list(F.struct("start", "runs", "anchor", "single")).alias("asked"))
+    spans = stored(met.mapInArrow(meet, "doc_id long, row int, start int, runs int, anchor long, single boolean"), "repeats")
+    asked = spans.where("anchor IS NOT NULL").groupBy(F.col("doc_id").alias("doc"), F.col("row").alias("r")).agg(F.collect_list(F.struct("start", "runs", "anchor", "single")).alias("asked"))
     # A left join, so that these texts are dealt out as for the last join and only once.
-    pieces = docs.select("doc_id", "text").join(asked.hint("shuffle_merge"), F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "asked").mapInArrow(cut, "anchor long, doc_id long, start int, runs int, bytes binary")
-    compared = pieces.repartition(parts, "anchor").sortWithinPartitions("anchor", "doc_id", "start").mapInArrow(compare, "doc_id long, start int, runs int")
-    return spans.where("anchor IS NULL").select("doc_id", "start", "runs").unionAll(compared)
+    pieces = docs.join(asked.hint("shuffle_merge"), (F.col("doc_id") == F.col("doc")) & (F.col("row") == F.col("r")), "left").select("doc_id", "row", "text", "asked").mapInArrow(cut, "anchor long, doc_id long, row int, start int, runs int, bytes binary")
+    compared = pieces.repartition(parts, "anchor").sortWithinPartitions("anchor", "doc_id", "row", "start").mapInArrow(compare, "doc_id long, row int, start int, runs int")
+    return spans.where("anchor IS NULL").select("doc_id", "row", "start", "runs").unionAll(compared)
 
 
 def _packed(recs: np.ndarray, pack) -> bytes:
     """Columns one after another, the anchors as differences."""
     anchor = np.diff(recs["anchor"], prepend=np.uint64(0))
-    raw = b"".join([anchor.tobytes(), recs["content"].tobytes(), recs["doc"].view(np.int64).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes() if len(recs) else b"", recs["start"].astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), recs["runs"].astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()])
+    planes = [np.ascontiguousarray(recs[f]).view(np.uint8).reshape(len(recs), -1).T.tobytes() for f in ("doc", "row", "start", "runs")]
+    raw = b"".join([anchor.tobytes(), recs["content"].tobytes(), *planes])
     return len(recs).to_bytes(4, "little") + pack.compress(raw)
 
 
@@ -338,13 +359,34 @@ def _unpacked(blob: bytes, unpack) -> np.ndarray:
     out["anchor"] = np.cumsum(np.frombuffer(raw, "<u8", n))
     out["content"] = np.frombuffer(raw, "<u8", n, 8 * n)
     planes = lambda at, width: np.ascontiguousarray(np.frombuffer(raw, np.uint8, width * n, at).reshape(width, n).T).view(f"<i{width}").reshape(-1)
-    out["doc"], out["start"], out["runs"] = planes(16 * n, 8), planes(24 * n, 4), planes(28 * n, 4)
+    out["doc"], out["row"], out["start"], out["runs"] = planes(16 * n, 8), planes(24 * n, 4), planes(28 * n, 4), planes(32 * n, 4)
     return out
 
 
 def _cut(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["anchor", "doc_id", "start", "runs", "bytes"])
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["anchor", "doc_id", "row", "start", "runs", "bytes"])
+
+
+def _with_spans(docs: DataFrame, opts: Matching) -> DataFrame:
+    """own (a struct of all columns), text and spans for every row of ``docs``.  Rows
+    with one id and different texts are told apart by a hash of the text."""
+    keyed = docs.select(F.struct(*docs.columns).alias("own"), F.col("doc_id").cast("long").alias("doc_id"), F.expr("cast(xxhash64(text) & 2147483647 AS int)").alias("row"), "text")
+    found = find_repeats(keyed.select("doc_id", "row", "text"), opts).groupBy(F.col("doc_id").alias("doc"), F.col("row").alias("r")).agg(F.collect_list(F.struct("start", "runs")).alias("spans"))
+    return keyed.join(found.hint("shuffle_merge"), (F.col("doc_id") == F.col("doc")) & (F.col("row") == F.col("r")), "left").select("own", "text", "spans")
+
+
+def _left_over(data: bytes, spans: list[dict] | None, length: int) -> tuple[bytes, int]:
+    """What spans of runs leave of the bytes, and how many maximal spans went."""
+    end, kept, n = 0, [], 0
+    for x in sorted(spans or (), key=lambda x: x["start"]):
+        a, z = x["start"], min(len(data), x["start"] + x["runs"] + length - 1)
+        if a > end or not n and a == 0:
+            kept.append(data[end:a])
+            n += 1
+        end = max(end, z)
+    kept.append(data[end:])
+    return b"".join(kept), n
 
 
 def remove_repeats(docs: DataFrame, opts: Matching | None = None) -> DataFrame:
@@ -354,52 +396,46 @@ def remove_repeats(docs: DataFrame, opts: Matching | None = None) -> DataFrame:
 
     Every whole text is UTF-8 bytes; runs are judged on the input.  A null text is
     empty and a text under ``length`` bytes stays whole; so does a row without an id,
-    which no other row is compared with.  Rows that repeat an id count as one
-    document; of several texts under one id each loses the spans found in any.  An
-    empty table gives no row; other columns are dropped.
+    which no other row is compared with.  doc_id is a whole number.  Rows that repeat
+    an id count as one document, so they lose nothing to each other; each loses what
+    its own text shares with smaller ids.  An empty table gives no row; other columns
+    are dropped.
     """
     o = opts or Matching()
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        names, kinds = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        for b in slices(batches):
             rows = []
             for doc_id, text, spans in zip(*[b.column(c).to_pylist() for c in ("doc_id", "text", "spans")], strict=True):
-                data, end, kept, n = (text or "").encode("utf-8", "surrogatepass"), 0, [], 0
-                for x in sorted(spans or (), key=lambda x: x["start"]):
-                    a, z = x["start"], min(len(data), x["start"] + x["runs"] + o.length - 1)
-                    if a > end or not n and a == 0:
-                        kept.append(data[end:a])
-                        n += 1
-                    end = max(end, z)
-                kept.append(data[end:])
-                left = b"".join(kept)
+                data = (text or "").encode("utf-8", "surrogatepass")
+                left, n = _left_over(data, spans, o.length)
                 rows.append((doc_id, len(data), len(data) - len(left), n, left))
-            kinds = [key, pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]) if rows else b.slice(0, 0)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    key = pa.int64()
-    found = find_repeats(docs.select("doc_id", "text"), o).groupBy(F.col("doc_id").alias("doc")).agg(F.collect_list(F.struct("start", "runs")).alias("spans"))
-    joined = docs.select("doc_id", "text").join(found.hint("shuffle_merge"), F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    found = _with_spans(docs.select("doc_id", "text"), o).select(F.col("own.doc_id").cast("long").alias("doc_id"), "text", "spans")
+    return found.mapInArrow(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def without_repeats(docs: DataFrame, opts: Matching | None = None) -> DataFrame:
-    """``docs`` with repeated runs cut out of ``text``, all its columns kept.
+    """``docs`` with repeated runs cut out of ``text``, all its columns kept, whatever
+    their names.
 
     As in ``remove_repeats``; where a cut goes through a character its remaining
     bytes are dropped.  A null text stays null.  n_chars, where there is one, follows
-    the new text.  Rows that repeat an id and a text stay as many as they are.
+    the new text.  Repeated rows stay as many as they are; an empty table stays empty.
     """
-    kept = remove_repeats(docs.select("doc_id", "text"), opts).where("doc_id IS NOT NULL AND n_removed > 0")
-    cut = kept.select(F.col("doc_id").alias("_id"), "n_bytes", "kept").dropDuplicates(["_id", "n_bytes"])
+    o = opts or Matching()
 
-    @F.pandas_udf("string")
-    def decoded(values):
-        return values.map(lambda b: b.decode("utf-8", "ignore"), na_action="ignore")
+    @F.arrow_udf("string")
+    def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        cut_out = lambda t, s: _left_over(t.encode("utf-8", "surrogatepass"), s, o.length)[0].decode("utf-8", "ignore")
+        return pa.array((None if t is None else cut_out(t, s) for t, s in zip(texts.to_pylist(), spans.to_pylist(), strict=True)), pa.string())
 
-    found = cut.select("_id", F.col("n_bytes").alias("_n"), decoded("kept").alias("_kept"))
-    out = docs.join(found.hint("shuffle_merge"), (F.col("doc_id") == F.col("_id")) & (F.octet_length("text") == F.col("_n")), "left")
-    out = out.withColumn("text", F.coalesce("_kept", "text"))
+    found = _with_spans(docs, o)
+    changed = cut(F.when(F.col("spans").isNotNull(), F.col("text")), "spans")  # other texts don't go to Python
+    text_of = {c: F.col("own").getField(c) for c in docs.columns} | {"text": F.coalesce(changed, F.col("text"))}
+    out = found.select(*[v.alias(c) for c, v in text_of.items()])
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out
