@@ -3,12 +3,16 @@
 A k-mer of a text is chosen when the smallest of its inner s-mers is the first or
 the last one.  The choice depends on the k-mer alone, so an edit disturbs only the
 k-mers that touch it and every other anchor keeps its hash.  The fingerprint is the
-bottom sketch of the distinct anchors: their smallest hashes.
+bottom sketch of the anchors, the n-th occurrence of an anchor under a hash of its
+own: their smallest hashes, each with its place in the text.  Two fingerprints are
+matched by position: of the anchors that both have, those count that stand in the
+same order in both texts.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from . import hashing
 from .ordering import in_order, ranges_of
 
 
@@ -31,10 +36,7 @@ class Syncmers:
     size: int = 64
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+_runs = hashing.runs
 
 
 def _least(x: np.ndarray, n: int) -> np.ndarray:
@@ -46,16 +48,6 @@ def _least(x: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (n - size)], x[n - size :]) if n > size else x
 
 
-def _runs(data: bytes, n: int) -> np.ndarray:
-    """A hash of each run of n bytes, eight at a time."""
-    count = len(data) - n + 1
-    eight = lambda at, size: np.ndarray((count,), "<u8", data + b"\0" * 8, at, (1,)) & np.uint64((1 << 8 * size) - 1 if size < 8 else 0xFFFFFFFFFFFFFFFF)
-    h = _mix(eight(0, min(8, n)) + np.uint64(n))
-    for at in range(8, n, 8):
-        h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + eight(at, min(8, n - at)))
-    return h
-
-
 def anchors(text: str, opts: Syncmers) -> tuple[np.ndarray, np.ndarray]:
     """Places (in UTF-8 bytes) and hashes of the closed syncmers of ``text``.
 
@@ -69,23 +61,51 @@ def anchors(text: str, opts: Syncmers) -> tuple[np.ndarray, np.ndarray]:
     first, last, least = inner[: len(inner) - span + 1], inner[span - 1 :], _least(inner, span)
     at = np.flatnonzero((first == least) | (last == least))
     if opts.k == 2 * opts.s:  # a k-mer is two s-mers side by side
-        return at, _mix(inner[at] * np.uint64(0x9E3779B97F4A7C15) + inner[at + opts.s])
-    return at, _mix(_runs(data, opts.k)[at])
+        return at, hashing.mix(inner[at] * hashing.ODD + inner[at + opts.s])
+    return at, hashing.mix(_runs(data, opts.k)[at])
 
 
 def sketch(text: str, opts: Syncmers) -> bytes:
-    """The smallest distinct anchor hashes, ascending, as big-endian 64-bit numbers."""
-    return np.unique(anchors(text, opts)[1])[: opts.size].astype(">u8").tobytes()
+    """The anchors with the smallest hashes, ascending: hash and place (in UTF-8 bytes,
+    at most 2**32 - 1) as big-endian numbers of 64 and 32 bits.  A repeated anchor's
+    later occurrences, in order, have hashes of their own."""
+    at, h = anchors(text, opts)
+    order = np.argsort(h, kind="stable")  # places ascend among equal hashes
+    at, h = at[order], h[order]
+    if len(h):
+        new = np.concatenate(([True], h[1:] != h[:-1]))
+        turn = (np.arange(len(h)) - np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))).astype(np.uint64)
+        h = np.where(turn > 0, hashing.mix(h + turn * hashing.ODD), h)
+    order = np.argsort(h, kind="stable")[: opts.size]
+    out = np.zeros(len(order), MARK)
+    out["hash"], out["place"] = h[order], np.minimum(at[order], 0xFFFFFFFF)
+    return out.tobytes()
+
+
+MARK = np.dtype([("hash", ">u8"), ("place", ">u4")])
+
+
+def in_order_in_both(a: list[int], b: list[int]) -> int:
+    """How many of the pairs of places can be taken so that both places ascend."""
+    ends: list[int] = []
+    for _, y in sorted(zip(a, b, strict=True)):
+        k = bisect_left(ends, y)
+        ends[k : k + 1] = [y]
+    return len(ends)
 
 
 def likeness(a: bytes, b: bytes, size: int) -> float:
-    """Estimated Jaccard likeness of two texts' anchors from their sketches.  Two
-    empty fingerprints are alike, an empty one is unlike any other."""
-    x, y = np.frombuffer(a, ">u8"), np.frombuffer(b, ">u8")
+    """The share of the smallest hashes of both texts' anchors that both have, in the
+    same order.  Two empty fingerprints are alike, an empty one is unlike any other."""
+    x, y = np.frombuffer(a, MARK), np.frombuffer(b, MARK)
     if not len(x) or not len(y):
         return float(len(x) == len(y))
-    both = np.union1d(x, y)[:size]
-    return float(np.isin(both, np.intersect1d(x, y, assume_unique=True), assume_unique=True).sum() / len(both))
+    if a == b:
+        return 1.0
+    both = np.union1d(x["hash"], y["hash"])[:size]
+    last = both[-1]
+    _, i, j = np.intersect1d(x["hash"][x["hash"] <= last], y["hash"][y["hash"] <= last], assume_unique=True, return_indices=True)
+    return in_order_in_both(x["place"][i].tolist(), y["place"][j].tolist()) / len(both)
 
 
 def fingerprint(text: Column | str, opts: Syncmers | None = None) -> Column:
