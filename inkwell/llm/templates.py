@@ -31,8 +31,9 @@ class Tree:
     """``depth`` leading tokens lead to a leaf.  Lines of under ``least_tokens``
     tokens are left alone, and blank lines always.  Lines of under ``whole_under``
     tokens, lines of scripts without spaces among them, are compared whole.  Other
-    lines share a template from ``agree`` equal tokens in a hundred on.  It recurs when its different lines are in ``least_texts``
-    different texts, summed over the lines."""
+    lines share a template from ``agree`` equal tokens in a hundred on.  It recurs when
+    its lines are in ``least_texts`` different texts.  With ``copies_keep``, copies of
+    the text that keeps its lines keep theirs too."""
 
     depth: int = 4
     least_tokens: int = 4
@@ -40,10 +41,14 @@ class Tree:
     agree: int = 75
     least_texts: int = 10
     salts: int = 32
+    copies_keep: bool = False
 
 
 #: Every line is looked at, and recurs from the second text on.
 EVERY_LINE = Tree(least_tokens=1, least_texts=2)
+#: For use in front of a search for near copies: every line is looked at, a pair or
+#: two of near copies is left to that search, and whole copies stay equal.
+FEW_TEXTS = Tree(least_tokens=1, least_texts=4, copies_keep=True)
 
 
 def masked(tokens: list[str]) -> list[str]:
@@ -91,20 +96,23 @@ def drop_templates(docs: DataFrame, tree: Tree | None = None) -> DataFrame:
     Lines are split at line feeds and joined by them again.  A null text stays null
     and a text without recurring lines stays as it is, empty ones included.  A row
     without a doc_id is left alone and does not count.  Equal texts count once and
-    lose the same lines, but that the smallest doc_id of a template keeps its lines.
-    An empty table stays empty.  Other columns stay, and n_chars, where there is
-    one, follows the new text; a column named n_lines or n_dropped is replaced.
+    lose the same lines, but that the smallest doc_id of a template keeps its lines
+    (with ``copies_keep``, so do rows with the same text).  An empty table stays empty.
+    Other columns stay, whatever their names, and n_chars, where there is one, follows
+    the new text; a column named n_lines or n_dropped is replaced.
     """
     o, spark = tree or Tree(), docs.sparkSession
     least = max(1, o.least_tokens)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_hash": F.xxhash64("text")})
-    known = keyed.where("_id IS NOT NULL AND text IS NOT NULL").select("_id", "_hash", "text")
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    # A row's own columns stay inside one struct, apart from the names used here.
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), "text")
+    known = keyed.where("id IS NOT NULL AND text IS NOT NULL").select("id", "hash", "text")
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             out: list[tuple] = []
-            for i, h, text in zip(b.column("_id").to_pylist(), b.column("_hash").to_pylist(), b.column("text").to_pylist(), strict=True):
+            for i, h, text in zip(b.column("id").to_pylist(), b.column("hash").to_pylist(), b.column("text").to_pylist(), strict=True):
                 found = set()
                 for line in text.split("\n"):
                     tokens = line.split()
@@ -113,14 +121,15 @@ def drop_templates(docs: DataFrame, tree: Tree | None = None) -> DataFrame:
                 out += [(i, h, x) for x in found]
             if out:
                 ids, hashes, leaf = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(leaf, pa.int64())], ["_id", "_hash", "leaf"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, b.column("id").type), pa.array(hashes, pa.int64()), pa.array(leaf, pa.int64())], ["id", "hash", "leaf"])
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Lines of the leaves asked for."""
-        names, kinds = ["_id", "_hash", "number", "leaf", "shape", "line"], [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
+        names = ["id", "hash", "number", "leaf", "shape", "line"]
         for b in slices(batches):
+            kinds = [b.column("id").type, pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
             out: list[tuple] = []
-            for i, h, text, asked in zip(*[b.column(c).to_pylist() for c in ("_id", "_hash", "text", "asked")], strict=True):
+            for i, h, text, asked in zip(*[b.column(c).to_pylist() for c in ("id", "hash", "text", "asked")], strict=True):
                 asked = set(asked)
                 for k, line in enumerate(text.split("\n")):
                     tokens = line.split()
@@ -130,8 +139,9 @@ def drop_templates(docs: DataFrame, tree: Tree | None = None) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    def recur(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Shapes of the templates that recur, and each template's first document."""
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each shape's template, named by the shape that began it; only templates
+        whose shapes have texts enough between them."""
         now, held = None, []
 
         def done() -> pa.RecordBatch:
@@ -139,14 +149,13 @@ def drop_templates(docs: DataFrame, tree: Tree | None = None) -> DataFrame:
             held.sort(key=lambda r: (-r[2], r[1]))
             label = np.array(grow([r[1] for r in held], o.agree))
             texts = np.bincount(label, [r[2] for r in held])
-            first = np.full(label.max() + 1, np.iinfo(np.int64).max)
-            np.minimum.at(first, label, np.array([r[3] for r in held]))
-            keep = [(r[0], int(first[t])) for r, t in zip(held, label, strict=True) if texts[t] >= o.least_texts]
-            shape, doc = zip(*keep, strict=True) if keep else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(shape, pa.int64()), pa.array(doc, pa.int64())], ["shape", "first"])
+            began = np.unique(label, return_index=True)[1]
+            keep = [(r[0], held[began[t]][0]) for r, t in zip(held, label, strict=True) if texts[t] >= o.least_texts]
+            shape, template = zip(*keep, strict=True) if keep else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(shape, pa.int64()), pa.array(template, pa.int64())], ["shape", "template"])
 
         for b in batches:
-            for leaf, *row in zip(*[b.column(c).to_pylist() for c in ("leaf", "shape", "line", "texts", "first")], strict=True):
+            for leaf, *row in zip(*[b.column(c).to_pylist() for c in ("leaf", "shape", "line", "texts")], strict=True):
                 if held and leaf != now:
                     yield done()
                     held = []
@@ -157,23 +166,31 @@ def drop_templates(docs: DataFrame, tree: Tree | None = None) -> DataFrame:
 
     def salted(big: DataFrame, small: DataFrame, key: str) -> DataFrame:
         """An inner join in which a hot key is shared out."""
-        many = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(o.salts - 1))))
-        return big.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(o.salts)).cast("int")).join(many.hint("shuffle_merge"), [key, "_salt"]).drop("_salt")
-
-    seen = stored(known.mapInArrow(leaves, "_id long, _hash long, leaf long"), "leaves")
-    common = seen.groupBy("leaf", "_hash").count().groupBy("leaf").agg(F.count("*").alias("texts")).where(F.col("texts") >= o.least_texts).select("leaf")
-    asked = salted(seen, common, "leaf").groupBy(F.col("_id").alias("i"), F.col("_hash").alias("h")).agg(F.collect_set("leaf").alias("asked"))
-    texts = known.join(asked.hint("shuffle_merge"), (F.col("_id") == F.col("i")) & (F.col("_hash") == F.col("h"))).select("_id", "_hash", "text", "asked")
-    found = stored(texts.mapInArrow(lines, "_id long, _hash long, number int, leaf long, shape long, line string"), "lines")
-    shapes = found.groupBy("leaf", "shape", "line", "_hash").agg(F.min("_id").alias("first")).groupBy("leaf", "shape", "line").agg(F.count("*").alias("texts"), F.min("first").alias("first"))
-    again = stored(shapes.repartition(parts, "leaf").sortWithinPartitions("leaf").mapInArrow(recur, "shape long, first long"), "templates")
-    dropped = salted(found.select("_id", "_hash", "number", "shape"), again, "shape").where("_id > first").groupBy(F.col("_id").alias("i"), F.col("_hash").alias("h")).agg(F.collect_set("number").alias("_drop"))
-
-    out = keyed.join(dropped.hint("shuffle_merge"), (F.col("_id") == F.col("i")) & (F.col("_hash") == F.col("h")), "left")
+        many = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(o.salts - 1))))
+        return big.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(o.salts)).cast("int")).join(many.hint("shuffle_merge"), [key, "salt"]).drop("salt")
+
+    seen = stored(known.mapInArrow(leaves, f"id {id_type}, hash long, leaf long"), "leaves")
+    common = seen.groupBy("leaf", "hash").count().groupBy("leaf").agg(F.count("*").alias("texts")).where(F.col("texts") >= o.least_texts).select("leaf")
+    asked = salted(seen, common, "leaf").groupBy(F.col("id").alias("i"), F.col("hash").alias("h")).agg(F.collect_set("leaf").alias("asked"))
+    texts = known.join(asked.hint("shuffle_merge"), (F.col("id") == F.col("i")) & (F.col("hash") == F.col("h"))).select("id", "hash", "text", "asked")
+    found = stored(texts.mapInArrow(lines, f"id {id_type}, hash long, number int, leaf long, shape long, line string"), "lines")
+    shapes = found.groupBy("leaf", "shape", "line", "hash").count().groupBy("leaf", "shape", "line").agg(F.count("*").alias("texts"))
+    label = stored(shapes.repartition(parts, "leaf").sortWithinPartitions("leaf").mapInArrow(gather, "shape long, template long"), "templates")
+    # A template's different texts: those of its shapes overlap.
+    of_text = salted(found.select("id", "hash", "shape"), label, "shape").groupBy("template", "hash").agg(F.min("id").alias("id"))
+    again = of_text.groupBy("template").agg(F.count("*").alias("texts"), F.min(F.struct("id", "hash")).alias("first")).where(F.col("texts") >= o.least_texts).select("template", "first")
+    again = stored(label.join(again, "template").select("shape", "first"), "recurring")
+    later = F.col("hash") != F.col("first.hash") if o.copies_keep else F.col("id") > F.col("first.id")
+    dropped = salted(found.select("id", "hash", "number", "shape"), again, "shape").where(later).groupBy(F.col("id").alias("i"), F.col("hash").alias("h")).agg(F.collect_set("number").alias("drop"))
+
+    out = keyed.join(dropped.hint("shuffle_merge"), (F.col("id") == F.col("i")) & (F.col("hash") == F.col("h")), "left")
     split = F.split("text", "\n")
-    kept = F.array_join(F.filter(split, lambda x, k: ~F.array_contains("_drop", k)), "\n")
-    out = out.withColumns({"n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long"), "n_dropped": F.coalesce(F.size("_drop"), F.lit(0)).cast("long"), "text": F.when(F.col("_drop").isNull(), F.col("text")).otherwise(kept)})
-    out = out.withColumn("n_dropped", F.greatest("n_dropped", F.lit(0)))
+    kept = F.array_join(F.filter(split, lambda x, k: ~F.array_contains("drop", k)), "\n")
+    new = {c: F.col("row").getField(c) for c in docs.columns}
+    new["n_lines"] = F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long")
+    new["n_dropped"] = F.coalesce(F.when(F.col("drop").isNotNull(), F.size("drop")), F.lit(0)).cast("long")
+    new["text"] = F.when(F.col("drop").isNull(), F.col("text")).otherwise(kept)
+    out = out.select(*[v.alias(c) for c, v in new.items()])
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns, *[c for c in ("n_lines", "n_dropped") if c not in docs.columns])
+    return out
