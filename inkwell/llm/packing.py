@@ -35,8 +35,8 @@ class Packing:
     at_once: int = 200_000
 
 
-ROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("origin", pa.int32()), ("open", pa.bool_())])
-SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, sequence_id long, offset long, origin int, open boolean"
+ROW = pa.schema([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("origin", pa.int32()), ("open", pa.bool_())])
+SCHEMA = "piece int, start long, length long, ids_crc32 long, ids binary, sequence_id long, offset long, origin int, open boolean"
 #: Bits of a key that hold a piece's rank; the bits above hold its size.
 _RANK = 44
 
@@ -99,7 +99,7 @@ class _Packer:
     pieces left over, with their rank among those of their size as sequence_id."""
 
     def __init__(self, opts: Packing):
-        self.o, self.origin = opts, TaskContext.get().partitionId()
+        self.o, self.origin, self.id_type = opts, TaskContext.get().partitionId(), pa.null()
         self.next_id = self.origin << 31
         self.items: list[tuple] = []
         self.ranks: dict[int, int] = {}
@@ -135,8 +135,8 @@ class _Packer:
     def batches(self) -> Iterator[pa.RecordBatch]:
         rows, self.rows = self.rows, []
         for a in range(0, len(rows), 2_000):
-            cols = zip(*rows[a : a + 2_000], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, ROW, strict=True)], schema=ROW)
+            ids, *cols = zip(*rows[a : a + 2_000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, self.id_type), *[pa.array(c, f.type) for c, f in zip(cols, ROW, strict=True)]], ["doc_id", *ROW.names])
 
 
 def pieces_of(ids: bytes, length: int) -> Iterator[tuple[int, int, bytes]]:
@@ -155,7 +155,8 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int, opts: Packing
     One row for each piece: doc_id, piece, start, length, ids_crc32, ids (little-endian
     unsigned 32-bit numbers; null unless ``with_ids``), sequence_id and offset.  A null
     or empty text has the end id alone; repeated rows and ids are packed each for
-    itself; an empty table gives no row.  Other columns are dropped.
+    itself, a null id too; an empty table gives no row.  Ids are of any type.  Other
+    columns are dropped.
     """
     o = opts or Packing()
     end = int(end_id).to_bytes(4, "little")
@@ -163,6 +164,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int, opts: Packing
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, tokens = _Packer(o), encoder(vocabulary)
         for b in slices(batches):
+            packer.id_type = b.column("doc_id").type
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 for k, start, ids in pieces_of(tokens.encode(text) + end, o.length):
                     packer.add((doc_id, k, start, len(ids) // 4, zlib.crc32(ids), ids if with_ids else None))
@@ -170,8 +172,8 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int, opts: Packing
         packer.pack()
         yield from packer.batches()
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = stored(source.mapInArrow(local, SCHEMA), "packing")
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    found = stored(docs.select("doc_id", "text").mapInArrow(local, f"doc_id {id_type}, {SCHEMA}"), "packing")
     left = found.where("open")
     counts = left.groupBy("length", "origin").agg(F.count("*").alias("n"))
     runs = best_fit_counts({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, o.length)
@@ -185,7 +187,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int, opts: Packing
             run = np.searchsorted(key, (n << _RANK) | at, "right") - 1
             at = at - rank[run]
             new = {"sequence_id": (1 << 57) | (sequence[run] + at // each[run]), "offset": offset[run] + at % each[run] * n}
-            names = [f.name for f in ROW][:-2]
+            names = ["doc_id", *ROW.names[:-2]]
             yield pa.RecordBatch.from_arrays([pa.array(new[c]) if c in new else b.column(c) for c in names], names)
 
     # A piece's rank among all of its size: those of the partitions before, and its own.

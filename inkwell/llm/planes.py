@@ -22,6 +22,8 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .ordering import in_order, ranges_of
 from .shared import shared_dir, stored
@@ -193,7 +195,7 @@ def read_token_files(files: DataFrame, key_type: str = "bigint") -> DataFrame:
     """Read the listed files back, a task each: doc_id, start (ids before the
     document in all files), n_tokens and the crc32 of its ids as little-endian
     unsigned 32-bit numbers."""
-    found = files.collect()  # a row for each file
+    found, keys_as = files.collect(), to_arrow_type(T._parse_datatype_string(key_type))  # a row for each file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -211,7 +213,7 @@ def read_token_files(files: DataFrame, key_type: str = "bigint") -> DataFrame:
                         counts.append(n)
                         sums.append(crc)
                         at += n
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, keys_as), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     spark = files.sparkSession
     return spark.range(0, len(found), 1, max(1, len(found))).mapInArrow(run, f"doc_id {key_type}, start long, n_tokens long, ids_crc32 long")

@@ -86,11 +86,13 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def fit(texts: list[str | None], toxic: list[int], settings: Settings | None = None, share: float | None = None) -> Model:
-    """Train on texts and 0/1 labels; ``share`` is that of label 1 outside the sample.  With one label only, or no rows, the model
-    gives every text that share."""
+    """Train on texts and 0/1 labels; ``share`` is that of label 1 outside the sample.
+    Texts without words are left out.  With one label only, or no rows, the model gives
+    every text that share."""
     s = settings or Settings()
     rng = np.random.default_rng(s.seed)
-    label = np.asarray(toxic, dtype=np.float64)
+    worded = [k for k, t in enumerate(texts) if (t or "").split()]  # texts without words teach nothing
+    texts, label = [texts[k] for k in worded], np.asarray([toxic[k] for k in worded], dtype=np.float64)
     if not len(label) or label.min() == label.max():
         return Model(np.zeros(s.buckets, np.float32), 0.0, 0.0, 40.0 * (label.mean() * 2 - 1) if len(label) else -4.0, s.window)
 
@@ -165,12 +167,18 @@ def training_rows(docs: DataFrame, labels: DataFrame, settings: Settings) -> tup
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~_held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
     some = known.where("toxic = 1").orderBy(*by_hash).limit(settings.rows_each).unionAll(known.where("toxic = 0").orderBy(*by_hash).limit(settings.rows_each))
-    found = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # 2 * rows_each rows at most
-    sample, room = {}, settings.max_chars
-    for row in found.orderBy(*by_hash).select("text", "toxic").limit(2 * settings.rows_each).toLocalIterator():
-        if row.text not in sample and (room := room - len(row.text or "")) >= 0:
-            sample[row.text] = row.toxic  # of equal texts the first counts
-    return list(sample), list(sample.values()), known.agg(F.avg("toxic")).first()[0]
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("content"))
+    sized = texts.select("doc_id", "content", F.coalesce(F.length("text"), F.lit(0)).alias("n")).join(F.broadcast(some), "doc_id")  # 2 * rows_each ids at most
+    picked, room = {}, settings.max_chars  # without the texts: only those that fit are fetched
+    for row in sized.orderBy(*by_hash, "content").limit(2 * settings.rows_each).collect():
+        if row.content not in picked and (room := room - row.n) >= 0:
+            picked[row.content] = (len(picked), row.doc_id, row.toxic)  # of equal texts the first counts
+    if not picked:
+        return [], [], known.agg(F.avg("toxic")).first()[0]
+    wanted = docs.sparkSession.createDataFrame([(i, c, k, t) for c, (k, i, t) in picked.items()], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, content long, place int, toxic int")
+    sample = {row.place: (row.text, row.toxic) for row in texts.join(F.broadcast(wanted), ["doc_id", "content"]).toLocalIterator()}
+    found = [sample[k] for k in sorted(sample)]
+    return [t for t, _ in found], [y for _, y in found], known.agg(F.avg("toxic")).first()[0]
 
 
 def _held_out():
