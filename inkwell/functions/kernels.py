@@ -10,19 +10,31 @@ VERBATIM = ("verbatim", "lstlisting", "minted")
 _LITERAL = re.compile(r"\\verb\*?([^A-Za-z\s*])(?:(?!\1)[^\n])+\1|\\begin\{(" + "|".join(VERBATIM) + r")\}.*?\\end\{\2\}", re.S)
 
 
+#: Characters that may stand around a key: private use, then the rarest planes.
+_SIGNS = (*range(0xF8FF, 0xDFFF, -1), *range(0x10FFFD, 0xEFFFF, -1))
+
+
 def mask(text: str) -> tuple[str, list[str]]:
-    """Literal passages replaced by keys, in one pass from the left."""
-    kept: list[str] = []
+    """Literal passages replaced by keys, in one pass from the left.  A key stands
+    between two signs, a character that the text does not have: the first of ``kept``."""
+    found = _LITERAL.search(text)
+    if not found:
+        return text, []
+    seen = set(text)
+    sign = next((c for c in map(chr, _SIGNS) if c not in seen), None)
+    if sign is None:
+        raise ValueError("a text holds every private character")
+    kept: list[str] = [sign]
 
     def key(m: re.Match) -> str:
         kept.append(m[0])
-        return f"\0{len(kept) - 1}\0"
+        return f"{sign}{len(kept) - 1}{sign}"
 
     return _LITERAL.sub(key, text), kept
 
 
 def unmask(text: str, kept: list[str]) -> str:
-    return re.sub("\0(\\d+)\0", lambda m: kept[int(m[1])], text)
+    return re.sub(f"{kept[0]}(\\d+){kept[0]}", lambda m: kept[int(m[1])], text) if kept else text
 
 
 def group_end(text: str, at: int, opening: str = "{", closing: str = "}") -> int:
