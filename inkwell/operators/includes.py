@@ -5,9 +5,11 @@ from __future__ import annotations
 import posixpath
 import re
 
-import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+#: The commands that include a file, and the list of those allowed.
 _USE = re.compile(r"\\(input|include|subfile)\{([^}]+)\}")
 _ONLY = re.compile(r"\\includeonly\{([^}]*)\}")
 _LITERAL = re.compile(r"(?<!\\)(?:\\\\)*%")
@@ -66,18 +68,26 @@ def flatten(files: dict[str, str], root: str) -> tuple[str, list[str]]:
     return expand(root, (root,)), notes
 
 
+FLAT = T.ArrayType(T.StructType([T.StructField("content", T.StringType()), T.StructField("diagnostics", T.ArrayType(T.StringType()))]))
+
+
+@F.pandas_udf(FLAT)
+def _flattened(projects):
+    def one(files):
+        found = {f["rel_path"]: f["content"] for f in files}
+        roots = sorted({f["rel_path"] for f in files if f["is_root"]})
+        return [dict(zip(("content", "diagnostics"), flatten(found, r), strict=True)) for r in roots]
+
+    return projects.map(one)
+
+
 def flatten_includes(files: DataFrame) -> DataFrame:
     """root_dir, content and diagnostics of each project.
 
-    ``files``: root_dir, rel_path, content, is_root.  A project is one group: its files
-    meet in one task, as they would in an editor; projects are spread over the cluster.
-    A project without a root gives no row.
+    ``files``: root_dir, rel_path, content, is_root.  A project's files meet in one row,
+    as they would in an editor, and many projects go to Python in one batch.  A project
+    without a root gives no row; of files with one path the last by content counts.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = dict(zip(pdf["rel_path"], pdf["content"].where(pdf["content"].notna(), None), strict=True))
-        done = [(pdf["root_dir"].iloc[0], *flatten(found, r)) for r in sorted(pdf.loc[pdf["is_root"].fillna(False).astype(bool), "rel_path"])]
-        return pd.DataFrame(done, columns=["root_dir", "content", "diagnostics"])
-
-    kind = files.schema["root_dir"].dataType.simpleString()
-    return files.select("root_dir", "rel_path", "content", "is_root").groupBy("root_dir").applyInPandas(run, f"root_dir {kind}, content string, diagnostics array<string>")
+    file = F.struct("rel_path", "content", F.coalesce("is_root", F.lit(False)).alias("is_root"))
+    projects = files.groupBy("root_dir").agg(F.array_sort(F.collect_list(file)).alias("files"))
+    return projects.where(F.exists("files", lambda f: f["is_root"])).select("root_dir", F.explode(_flattened("files")).alias("flat")).select("root_dir", "flat.content", "flat.diagnostics")

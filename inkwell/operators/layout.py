@@ -5,7 +5,6 @@ Every join has the page as its equality key, so no page meets another.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -52,28 +51,49 @@ def capped_padding(boxes: DataFrame, obstacles: DataFrame, pad: float = PAD) ->
     return caps.select(*PAGE, "box_no", F.greatest(F.col("x0") - pad, "left").alias("x0"), F.greatest(F.col("y0") - pad, "top").alias("y0"), F.least(F.col("x1") + pad, "right").alias("x1"), F.least(F.col("y1") + pad, "bottom").alias("y1"))
 
 
+def united(boxes: list[list[float]], gap: float) -> list[list[float]]:
+    """Hulls of boxes, united while any two are within ``gap`` on both axes, by top
+    then left."""
+    hulls, merged = boxes, True
+    while merged:
+        merged, done = False, []
+        for box in hulls:
+            near = next((d for d in done if max(d[0] - box[2], box[0] - d[2]) <= gap and max(d[1] - box[3], box[1] - d[3]) <= gap), None)
+            if near is None:
+                done.append(list(box))
+            else:
+                near[:] = [min(near[0], box[0]), min(near[1], box[1]), max(near[2], box[2]), max(near[3], box[3])]
+                merged = True
+        hulls = done
+    return sorted(hulls, key=lambda b: (b[1], b[0]))
+
+
 def merge_boxes(boxes: DataFrame, gap: float = MERGE_GAP) -> DataFrame:
     """Picture boxes of a page united while any two hulls are within ``gap`` on both
-    axes: doc_id, page_no, box_no (from 1, by top then left) and the hull."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        hulls = pdf[["x0", "y0", "x1", "y1"]].to_numpy().tolist()
-        merged = True
-        while merged:
-            merged, done = False, []
-            for box in hulls:
-                near = next((d for d in done if max(d[0] - box[2], box[0] - d[2]) <= gap and max(d[1] - box[3], box[1] - d[3]) <= gap), None)
-                if near is None:
-                    done.append(list(box))
-                else:
-                    near[:] = [min(near[0], box[0]), min(near[1], box[1]), max(near[2], box[2]), max(near[3], box[3])]
-                    merged = True
-            hulls = done
-        hulls.sort(key=lambda b: (b[1], b[0]))
-        return pd.DataFrame([(pdf["doc_id"].iloc[0], pdf["page_no"].iloc[0], i, *b) for i, b in enumerate(hulls, 1)], columns=[*PAGE, "box_no", "x0", "y0", "x1", "y1"])
-
-    kinds = {c: boxes.schema[c].dataType.simpleString() for c in PAGE}
-    return boxes.select(*PAGE, *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]).groupBy(*PAGE).applyInPandas(run, f"doc_id {kinds['doc_id']}, page_no {kinds['page_no']}, box_no int, x0 double, y0 double, x1 double, y1 double")
+    axes: doc_id, page_no, box_no (from 1, by top then left) and the hull.  A page's
+    boxes meet in one row, and many pages go to Python in one batch."""
+    sides = ("x0", "y0", "x1", "y1")
+
+    @F.pandas_udf("array<array<double>>")
+    def hulls(pages):
+        return pages.map(lambda page: united([list(map(float, b)) for b in page], gap))
+
+    box = F.array(*[F.col(c).cast("double") for c in sides])
+    pages = boxes.groupBy(*PAGE).agg(F.array_sort(F.collect_list(box)).alias("boxes"))
+    each = pages.select(*PAGE, F.posexplode(hulls("boxes")).alias("n", "b"))
+    return each.select(*PAGE, (F.col("n") + 1).alias("box_no"), *[F.col("b")[i].alias(c) for i, c in enumerate(sides)])
+
+
+def zip_tables(boxes: DataFrame, markdowns: DataFrame, summaries: DataFrame | None = None) -> DataFrame:
+    """Table boxes with their text: the n-th box of a page by ``box_no`` meets its n-th
+    pipe block, and the longer side is cut off.  A summary (doc_id, page_no, idx,
+    summary) takes the block's place.  ``markdowns``: doc_id, page_no, table_no, markdown."""
+    at = lambda rows, by: rows.withColumn("idx", F.row_number().over(Window.partitionBy(*PAGE).orderBy(by)))
+    met = at(boxes.select(*PAGE, "box_no", "x0", "y0", "x1", "y1"), "box_no").join(at(markdowns.select(*PAGE, "table_no", "markdown"), "table_no"), [*PAGE, "idx"])
+    if summaries is None:
+        return met.select(*PAGE, "idx", "x0", "y0", "x1", "y1", F.col("markdown").alias("text"))
+    told = met.join(summaries.select(*PAGE, "idx", "summary"), [*PAGE, "idx"], "left")
+    return told.select(*PAGE, "idx", "x0", "y0", "x1", "y1", F.when(F.col("summary") != "", F.col("summary")).otherwise(F.col("markdown")).alias("text"))
 
 
 def significant(boxes: DataFrame) -> DataFrame:
