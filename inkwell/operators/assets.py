@@ -16,8 +16,23 @@ from .blocks import joined
 #: The marker of an omitted picture, and extensions of images.
 MARKER = r"\*\*==> picture \[(\d+) x (\d+)\] intentionally omitted <==\*\*"
 EXTENSIONS = (".png", ".pdf", ".jpg", ".jpeg", ".eps", ".svg")
-#: What marks an error as passing.
+#: Patterns of figures in LaTeX, their graphics and captions.
+FIGURE = r"\\begin\{figure\}\s*(\[.*?\])?(.*?)\\end\{figure\}"
+GRAPHIC = r"\\includegraphics\s*(?:\[[^\]]*\])?\s*\{([^}]+)\}"
+#: A caption's braces, one more level deep; never looks back.
+CAPTION = r"\\caption\{((?:[^{}]++|\{[^{}]*+\})*+)\}"
+#: How often a call is made, seconds before it is made again, and what
+#: marks its error as passing.
 RETRIES, FIRST_WAIT, LONGEST_WAIT = 3, 10, 60
+PASSING = ("timeout", "503", "502", "504", "429", "unavailable", "cancelled", "overloaded", "rate limit", "connection")
+#: Media types by extension, and those that a provider takes as they are.
+MIMES = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "bmp": "image/bmp", "tif": "image/tiff", "tiff": "image/tiff", "webp": "image/webp", "svg": "image/svg+xml", "pdf": "application/pdf", "eps": "application/postscript"}
+TAKEN = ("image/png", "image/jpeg", "image/webp", "image/heic", "image/heif")
+#: What a provider is asked for, by prompt_kind.
+PROMPTS = {
+    "figure": "Say what the figure shows to a reader who cannot see it: give a chart's data as a table, a diagram's parts and how they are connected, a photograph's contents. Add no opinion.",
+    "table": "Give the table as a pipe table in markdown with every header, label and value as it stands. Leave nothing out and add nothing.",
+}
 
 
 def stem(path: Column) -> Column:
@@ -46,13 +61,66 @@ def distinct_calls(assets: DataFrame) -> DataFrame:
     return assets.groupBy(F.md5("bytes").alias("digest"), "prompt_kind").agg(F.min("bytes").alias("bytes"), F.min("mime").alias("mime"), F.count("*").alias("n_targets"))
 
 
+def distinct_refs(docs: DataFrame, content: str = "content") -> DataFrame:
+    """doc_id, ref and pos (from 0, of its first use) of a document's different graphics."""
+    refs = F.transform(F.regexp_extract_all(F.col(content), F.lit(GRAPHIC), 1), strip)
+    return docs.select("doc_id", F.posexplode(refs).alias("pos", "ref")).groupBy("doc_id", "ref").agg(F.min("pos").alias("pos"))
+
+
+def image_files(refs: DataFrame, files: DataFrame) -> DataFrame:
+    """``refs`` (doc_id, ref) with path: the file itself, else, for a name without an
+    image extension, the first of its extensions there is (null: none).  ``files``:
+    doc_id, path."""
+    bare = ~F.col("ref").rlike(rf"(?i)\.(?:{'|'.join(e[1:] for e in EXTENSIONS)})$")
+    tries = F.when(bare, F.array("ref", *[F.concat("ref", F.lit(e)) for e in EXTENSIONS])).otherwise(F.array("ref"))
+    each = refs.select("*", F.posexplode(tries).alias("priority", "tried"))
+    there = files.select(F.col("doc_id").alias("_doc"), F.col("path").alias("_found")).distinct()
+    hit = each.join(there, (F.col("doc_id") == F.col("_doc")) & (F.col("tried") == F.col("_found")), "left")
+    return hit.groupBy(*refs.columns).agg(F.min_by("_found", F.when(F.col("_found").isNotNull(), F.col("priority"))).alias("path"))
+
+
+def mime_of(path: Column) -> Column:
+    """Media type by the extension; unknown ones are plain bytes."""
+    known = F.create_map(*[F.lit(x) for pair in MIMES.items() for x in pair])
+    return F.coalesce(F.element_at(known, F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))), F.lit("application/octet-stream"))
+
+
+def side_files(files: DataFrame, suffix: str = "_summary.txt") -> DataFrame:
+    """root_dir, stem and text of the summaries among ``files`` (root_dir, rel_path,
+    content): those whose names end in ``suffix``.  The stem is the key of figures, and
+    of pages' and slides' images and tables (see ``summary_key``)."""
+    found = files.where(F.col("rel_path").endswith(suffix) & F.col("content").isNotNull())
+    return found.select("root_dir", F.expr(f"left(rel_path, length(rel_path) - {len(suffix)})").alias("stem"), strip(F.col("content")).alias("text"))
+
+
+def missing_notes(refs: DataFrame, summaries: DataFrame) -> DataFrame:
+    """doc_id, code and detail for every graphic of ``refs`` (doc_id, ref) without a summary."""
+    return refs.withColumn("stem", stem(F.col("ref"))).join(summaries.select("stem").distinct(), "stem", "left_anti").select("doc_id", F.lit("missing-summary").alias("code"), F.col("ref").alias("detail"))
+
+
+def choose_images(markers: DataFrame, embedded: DataFrame, boxes: DataFrame, by: tuple[str, ...] = ("doc_id", "page_no"), least: int = 64) -> DataFrame:
+    """by, idx (from 1), source and number of the images of each page: its large
+    embedded images in order; where the page has more large markers, as many boxes as
+    are then missing.  ``markers`` and ``embedded``: by, number, width, height;
+    ``boxes``: by, number.  A page without a large marker has none."""
+    large = (F.col("width") > least) & (F.col("height") > least)
+    wanted = markers.where(large).groupBy(*by).agg(F.count("*").alias("wanted"))
+    own = embedded.where(large).join(wanted, list(by)).select(*by, "wanted", F.lit("embedded").alias("source"), "number")
+    counts = own.groupBy(*by).agg(F.count("*").alias("held"))
+    nth = F.row_number().over(Window.partitionBy(*by).orderBy("number"))
+    crops = boxes.select(*by, "number", nth.alias("n")).join(wanted, list(by)).join(counts, list(by), "left").where(F.col("n") <= F.col("wanted") - F.coalesce("held", F.lit(0)))
+    both = own.select(*by, "source", "number").unionByName(crops.select(*by, F.lit("crop").alias("source"), "number"))
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.col("source") == "crop", "number"))
+    return both.select(*by, place.alias("idx"), "source", "number")
+
+
 class Provider(Protocol):
     """Describes an image.  Not part of this engine: hand one in."""
 
     def describe(self, data: bytes, mime: str, prompt_kind: str) -> str: ...
 
 
-def summarize(assets: DataFrame, summaries: DataFrame, provider: Provider, passing: tuple[str, ...] = ("429", "500", "503", "timeout"), wait=None) -> DataFrame:
+def summarize(assets: DataFrame, summaries: DataFrame, provider: Provider, passing: tuple[str, ...] = PASSING, wait=None) -> DataFrame:
     """stem, text and error for each asset without a summary.
 
     ``assets``: stem, bytes, mime, prompt_kind.  Each different image and prompt is
@@ -73,7 +141,7 @@ def summarize(assets: DataFrame, summaries: DataFrame, provider: Provider, passi
                         break
                     except Exception as e:  # noqa: BLE001 - a failing call becomes a row
                         error = str(e)
-                        if not any(x in error for x in passing) or k == RETRIES - 1:
+                        if not any(x in error.lower() for x in passing) or k == RETRIES - 1:
                             break
                         pause(min(FIRST_WAIT * 2**k, LONGEST_WAIT))
                 rows.append((d, kind, text, error))
@@ -84,10 +152,6 @@ def summarize(assets: DataFrame, summaries: DataFrame, provider: Provider, passi
     return wanted.join(told, ["digest", "prompt_kind"]).select("stem", "text", "error")
 
 
-_GRAPHIC = r"\\includegraphics\s*(?:\[[^\]]*\])?\s*\{([^}]+)\}"
-_FIGURE = r"(?s)\\begin\{figure\}\s*(?:\[.*?\])?(?:.*?)\\end\{figure\}"
-
-
 def _comment(text: Column) -> Column:
     """Every line of a text as a comment."""
     return F.concat(F.lit("% "), F.replace(text, F.lit("\n"), F.lit("\n% ")))
@@ -96,8 +160,9 @@ def _comment(text: Column) -> Column:
 def _substitute(docs: DataFrame, summaries: DataFrame, pattern: str, made) -> DataFrame:
     """Each match whose graphic has a summary replaced by ``made(match, summary)``."""
     cut = docs.select("doc_id", "content", F.regexp_extract_all("content", F.lit(pattern), 0).alias("hits"), F.split("content", pattern).alias("rest"))
-    asked = cut.select("doc_id", F.posexplode("hits").alias("n", "hit")).withColumn("stem", stem(F.regexp_extract("hit", _GRAPHIC, 1)))
-    told = asked.join(summaries.select("stem", strip(F.col("text")).alias("summary")), "stem", "left").withColumn("new", F.when(F.col("summary").isNotNull(), made(F.col("hit"), F.col("summary"))).otherwise(F.col("hit")))
+    asked = cut.select("doc_id", F.posexplode("hits").alias("n", "hit")).withColumn("stem", stem(F.regexp_extract("hit", GRAPHIC, 1)))
+    key = ["doc_id", "stem"] if "doc_id" in summaries.columns else ["stem"]
+    told = asked.join(summaries.select(*key, strip(F.col("text")).alias("summary")), key, "left").withColumn("new", F.when(F.col("summary").isNotNull(), made(F.col("hit"), F.col("summary"))).otherwise(F.col("hit")))
     each = told.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "new"))), lambda x: x["new"]).alias("news"))
     whole = F.concat(F.array_join(F.zip_with(F.slice("rest", 1, F.size("news")), "news", lambda a, b: F.concat(a, b)), ""), F.element_at("rest", -1))
     return cut.join(each, "doc_id", "left").select("doc_id", F.when(F.col("news").isNull(), F.col("content")).otherwise(whole).alias("content"))
@@ -105,14 +170,15 @@ def _substitute(docs: DataFrame, summaries: DataFrame, pattern: str, made) -> Da
 
 def substitute_figures(docs: DataFrame, summaries: DataFrame) -> DataFrame:
     """Figures and single graphics of ``docs`` (doc_id, content) by their summaries
-    (stem, text); those without one stay as they are."""
+    (stem, text, and doc_id where they belong to one document); those without one stay
+    as they are."""
 
     def figure(hit: Column, summary: Column) -> Column:
-        label, caption = F.regexp_extract(hit, r"(\\label\{[^}]+\})", 1), F.regexp_extract(hit, r"\\caption\{((?:[^{}]++|\{[^{}]*+\})*+)\}", 1)
+        label, caption = F.regexp_extract(hit, r"(\\label\{[^}]+\})", 1), F.regexp_extract(hit, CAPTION, 1)
         return F.concat_ws("\n", F.lit("% --- Figure summary ---"), F.when(label != "", label), F.when(hit.rlike(r"\\caption\{"), F.concat(F.lit("% Caption: "), F.replace(caption, F.lit("\n"), F.lit("\n% ")))), _comment(summary), F.lit("% --- End figure summary ---"))
 
-    whole = _substitute(docs, summaries, _FIGURE, figure)
-    return _substitute(whole, summaries, _GRAPHIC, lambda _, s: F.concat(F.lit("% [Image: "), F.replace(s, F.lit("\n"), F.lit("\n% ")), F.lit("]")))
+    whole = _substitute(docs, summaries, f"(?s){FIGURE}", figure)
+    return _substitute(whole, summaries, GRAPHIC, lambda _, s: F.concat(F.lit("% [Image: "), F.replace(s, F.lit("\n"), F.lit("\n% ")), F.lit("]")))
 
 
 def replace_markers(pages: DataFrame, summaries: DataFrame) -> DataFrame:
@@ -129,4 +195,4 @@ def replace_markers(pages: DataFrame, summaries: DataFrame) -> DataFrame:
     return cut.join(each, ["doc_id", "page_no"], "left").select("doc_id", "page_no", F.when(F.col("news").isNull(), F.col("text")).otherwise(whole).alias("text"))
 
 
-__all__ = ["Provider", "distinct_calls", "joined", "missing", "numbered", "replace_markers", "stem", "substitute_figures", "summarize", "summary_key"]
+__all__ = ["Provider", "choose_images", "distinct_calls", "distinct_refs", "image_files", "mime_of", "missing_notes", "side_files", "joined", "missing", "numbered", "replace_markers", "stem", "substitute_figures", "summarize", "summary_key"]

@@ -68,9 +68,12 @@ def inline_bibliography(docs: DataFrame, entries: DataFrame, bbl: DataFrame | No
 
 def resolve_bibs(wanted: DataFrame, files: DataFrame, folders: list[str]) -> DataFrame:
     """doc_id, file_ord, name and the first path in ``folders`` that has the file
-    (null: missing).  ``wanted``: doc_id, names (comma list); ``files``: path."""
+    (null: missing).  ``wanted``: doc_id, names (comma list); ``files``: path, and
+    doc_id where a file belongs to one document."""
     names = wanted.select("doc_id", F.posexplode(F.split("names", r"\s*,\s*")).alias("file_ord", "name"))
     name = F.when(F.col("name").endswith(".bib"), F.col("name")).otherwise(F.concat("name", F.lit(".bib")))
     tries = names.withColumn("name", F.trim(name)).select("*", F.posexplode(F.array(*[F.concat(F.lit(f"{f}/" if f else ""), "name") for f in folders])).alias("priority", "path"))
-    hit = tries.join(files.select(F.col("path").alias("found")), F.col("path") == F.col("found"), "left")
+    own = "doc_id" in files.columns
+    there = files.select(F.col("path").alias("found"), *[F.col("doc_id").alias("of")] * own)
+    hit = tries.join(there, (F.col("path") == F.col("found")) & (F.col("doc_id") == F.col("of") if own else F.lit(True)), "left")
     return hit.groupBy("doc_id", "file_ord", "name").agg(F.min_by("found", F.when(F.col("found").isNotNull(), F.col("priority"))).alias("path"))

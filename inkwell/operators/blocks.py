@@ -32,15 +32,17 @@ def table_blocks(docs: DataFrame, content: str = "content") -> DataFrame:
     return blocks.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no")).alias("table_no"), "line_no", "markdown")
 
 
-def replace_tables(docs: DataFrame, summaries: DataFrame, content: str = "content") -> DataFrame:
+def replace_tables(docs: DataFrame, summaries: DataFrame, content: str = "content", label: str = "") -> DataFrame:
     """``docs`` (doc_id and content) with each summarised pipe block replaced.
-    ``summaries``: doc_id, table_no, summary; blocks without one stay."""
+    ``summaries``: doc_id, table_no, summary; blocks without one, or with an empty one,
+    stay.  With a ``label``, the summary stands in brackets after it."""
     lines = lines_of(docs, content).withColumn("pipe", F.col("line").rlike(r"(?U)^\s*\|"))
     runs = islands(lines, ["doc_id"], "line_no", "pipe")
     parts = runs.groupBy("doc_id", "island", "pipe").agg(F.min("line_no").alias("line_no"), joined(F.col("line"), F.col("line_no"), "\n").alias("text"))
     parts = parts.withColumn("table_no", F.sum(F.col("pipe").cast("int")).over(Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)))
     told = parts.join(summaries, ["doc_id", "table_no"], "left")
-    text = F.when(F.col("pipe") & F.col("summary").isNotNull(), F.concat(F.lit("[Table: "), "summary", F.lit("]"))).otherwise(F.col("text"))
+    summary = F.concat(F.lit(f"[{label}: "), "summary", F.lit("]")) if label else F.col("summary")
+    text = F.when(F.col("pipe") & (F.col("summary") != ""), summary).otherwise(F.col("text"))
     return told.groupBy("doc_id").agg(joined(text, F.col("line_no"), "\n").alias(content))
 
 

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import assets, bibliography, blocks, includes, latex, layout
-from . import cleaning
+from ..sources.office import office_markdown
+from . import cleaning, fixtures, pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -318,7 +319,7 @@ def table_blocks(spark, d):
 @query("SELECT doc_id, 'top' || chr(10) || '| ' || lang || ' |' || chr(10) || '|---|' || chr(10) || 'mid' || chr(10) || '[Table: ' || source || ']' || chr(10) || 'end' AS content FROM documents")
 def table_block_summary(spark, d):
     told = documents(spark, d).select("doc_id", L(2).cast("long").alias("table_no"), F.col("source").alias("summary"))
-    return blocks.replace_tables(_tables(spark, d), told)
+    return blocks.replace_tables(_tables(spark, d), told, label="Table")
 
 
 @query("""WITH s AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS n, l_linestatus AS fmt, l_suppkey::VARCHAR AS t FROM lineitem),
@@ -510,6 +511,131 @@ def full_pipeline(spark, d):
     return cleaning.clean_latex(docs.select("doc_id", "content"), files=named, summaries=told)
 
 
+@query("SELECT doc_id, lang || '.png' AS ref, 0::BIGINT AS pos FROM documents UNION ALL SELECT doc_id, 'x/' || source, 1 FROM documents")
+def distinct_refs(spark, d):
+    docs = made(spark, d, "\\includegraphics{", LANG, ".png} \\includegraphics [w=1]{x/", SOURCE, "}\n\\includegraphics{ ", LANG, ".png }")
+    return assets.distinct_refs(docs).select("doc_id", "ref", F.col("pos").cast("long").alias("pos"))
+
+
+@query("SELECT doc_id, 'missing-summary' AS code, 'figs/f' || doc_id || '.pdf' AS detail FROM documents WHERE doc_id % 2 <> 0")
+def missing_summary_notes(spark, d):
+    docs = made(spark, d, TEXT, "\\includegraphics{figs/f", F.col("doc_id").cast("string"), ".pdf}")
+    return assets.missing_notes(assets.distinct_refs(docs), _summaries(spark, d))
+
+
+@query("SELECT source AS root_dir, 'p' || doc_id || '_page1_image2' AS stem, 'x' || text || 'y' AS text FROM documents WHERE doc_id % 2 = 0")
+def summary_files(spark, d):
+    name = F.when(F.col("doc_id") % 2 == 0, assets.summary_key(F.concat(L("p"), "doc_id"), "page", L(1), "image", L("2_summary.txt"))).otherwise(F.concat(L("n"), "doc_id", L(".txt")))
+    files = made(spark, d, " x", TEXT, "y\n\u00a0").select(F.col("source").alias("root_dir"), name.alias("rel_path"), "content")
+    return assets.side_files(files)
+
+
+@query("SELECT doc_id, 'g' AS ref, CASE doc_id % 4 WHEN 0 THEN 'g' WHEN 1 THEN 'g.pdf' WHEN 2 THEN 'g.svg' END AS path FROM documents")
+def image_files(spark, d):
+    docs = documents(spark, d)
+    names = F.when(F.col("doc_id") % 4 == 0, F.array(L("g.png"), L("g"))).when(F.col("doc_id") % 4 == 1, F.array(L("g.svg"), L("g.pdf"), L("h"))).when(F.col("doc_id") % 4 == 2, F.array(L("g.svg"))).otherwise(F.array(L("g.txt")))
+    return assets.image_files(docs.select("doc_id", L("g").alias("ref")), docs.select("doc_id", F.explode(names).alias("path")))
+
+
+@query("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/jpeg' WHEN 2 THEN 'application/pdf' WHEN 3 THEN 'image/svg+xml' ELSE 'application/octet-stream' END AS mime, doc_id % 5 < 2 AS taken FROM documents")
+def mime_guess(spark, d):
+    ends = F.element_at(F.array(*map(L, (".PNG", ".jpg", ".pdf", ".svg", ""))), (F.col("doc_id") % 5 + 1).cast("int"))
+    mime = assets.mime_of(F.concat(L("a.b/"), "lang", ends))
+    return documents(spark, d).select("doc_id", mime.alias("mime"), mime.isin(*assets.TAKEN).alias("taken"))
+
+
+_SQL_NUMBERED = "n AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS number, l_quantity AS q, l_returnflag AS r, l_linestatus AS s FROM lineitem)"
+
+
+def _numbered(spark, d):
+    from pyspark.sql.window import Window
+
+    n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    return read(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), L(1).alias("page_no"), n.alias("number"), F.col("l_quantity").alias("q"), F.col("l_returnflag").alias("r"), F.col("l_linestatus").alias("s"))
+
+
+@query(f"""WITH {_SQL_NUMBERED}, w AS (SELECT doc_id, count(*) AS wanted FROM n WHERE q > 16 GROUP BY doc_id),
+e AS (SELECT doc_id, number FROM n JOIN w USING (doc_id) WHERE r = 'A' AND q > 30), h AS (SELECT doc_id, count(*) AS held FROM e GROUP BY doc_id),
+x AS (SELECT doc_id, number, row_number() OVER (PARTITION BY doc_id ORDER BY number) AS k FROM n WHERE s = 'O'),
+b AS (SELECT doc_id, 0 AS late, number FROM e UNION ALL SELECT doc_id, 1, number FROM x JOIN w USING (doc_id) LEFT JOIN h USING (doc_id) WHERE k <= wanted - coalesce(held, 0))
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY late, number)::BIGINT AS idx, CASE late WHEN 0 THEN 'embedded' ELSE 'crop' END AS source, number::BIGINT AS number FROM b""")
+def image_choice(spark, d):
+    n = _numbered(spark, d)
+    sized = lambda rows, by: rows.withColumns({"width": F.col("q") * by, "height": L(100)})
+    got = assets.choose_images(sized(n, 4), sized(n.where("r = 'A'"), 64 / 30), n.where("s = 'O'"))
+    return got.select("doc_id", F.col("idx").cast("long").alias("idx"), "source", F.col("number").cast("long").alias("number"))
+
+
+@query(f"""WITH {_SQL_NUMBERED}, b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY number) AS i FROM n WHERE r = 'R'),
+m AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY number) AS i FROM n WHERE s = 'F')
+SELECT b.doc_id, b.i::BIGINT AS idx, b.q::DOUBLE AS y0, CASE WHEN b.i = 1 AND b.doc_id % 2 = 0 THEN 's' || b.doc_id ELSE '| ' || m.number || ' |' END AS text FROM b JOIN m ON m.doc_id = b.doc_id AND m.i = b.i""")
+def table_zip(spark, d):
+    n = _numbered(spark, d)
+    boxes = n.where("r = 'R'").select("doc_id", "page_no", F.col("number").alias("box_no"), L(0.0).alias("x0"), F.col("q").cast("double").alias("y0"), L(9.0).alias("x1"), F.col("q").alias("y1"))
+    grids = n.where("s = 'F'").select("doc_id", "page_no", F.col("number").alias("table_no"), F.concat(L("| "), "number", L(" |")).alias("markdown"))
+    told = _pages(spark, d).select("doc_id", "page_no", L(1).alias("idx"), F.when(F.col("doc_id") % 2 == 0, F.concat(L("s"), "doc_id")).otherwise("").alias("summary"))
+    return layout.zip_tables(boxes, grids, told).select("doc_id", F.col("idx").cast("long").alias("idx"), "y0", "text")
+
+
+@query("SELECT doc_id, 'top' || chr(10) || '| ' || lang || ' |' || chr(10) || '|---|' || chr(10) || 'mid' || chr(10) || source || chr(10) || 'end' AS content FROM documents")
+def table_summary(spark, d):
+    docs = documents(spark, d)
+    told = docs.select("doc_id", F.explode(F.array(F.struct(L(1).cast("long").alias("table_no"), L("").alias("summary")), F.struct(L(2).cast("long").alias("table_no"), F.col("source").alias("summary")))).alias("x")).select("doc_id", "x.*")
+    return blocks.replace_tables(_tables(spark, d), told)
+
+
+@query("SELECT doc_id, 'a [Image: ' || lang || '] b ' || lang || ' c' || chr(10) || '-----' || chr(10) || chr(10) || 'S ' || source || chr(10) || 'mid' || chr(10) || '| x |' || chr(10) || 'ˆe ' || source AS text FROM documents")
+def page_markdown(spark, d):
+    docs = documents(spark, d)
+    marker = "**==> picture [65 x 300] intentionally omitted <==**"
+    text = lambda n, *t: F.struct(L(n).alias("page_no"), F.concat(*map(_part, t)).alias("text"))
+    chunks = docs.select("doc_id", F.explode(F.array(text(2, "| old |\n|---|\nmid\n| _x_ |\nˆ e ", SOURCE), text(1, "a ", marker, " b _", LANG, "_ c"))).alias("p")).select("doc_id", "p.*")
+    images = docs.select("doc_id", L(1).alias("page_no"), L(1).alias("idx"), F.col("lang").alias("summary"))
+    tables = docs.select("doc_id", L(2).alias("page_no"), L(1).alias("idx"), F.concat(L("S "), "source").alias("summary"))
+    return pages.page_markdown(chunks, images, tables)
+
+
+@query(f"""WITH {_SQL_LINES}, kept AS (SELECT doc_id, line_no, text, x0, y0, x1 FROM g WHERE text <> '12'
+  AND NOT (doc_id % 3 = 0 AND y0 + 5 BETWEEN 270 AND 470 AND x1 > -30 AND x0 < 530) AND NOT (doc_id % 5 = 0 AND y0 + 5 BETWEEN 770 AND 930 AND x1 > 570 AND x0 < 930)
+UNION ALL SELECT o_orderkey, 1000000, '[Image: s1]', 0, 440, 500 FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, 1000001, '| m' || o_orderkey || ' |', 0, 800, 1000 FROM orders WHERE o_orderkey % 5 = 0),
+f AS (SELECT *, sum((x1 - x0 > 500)::INT) OVER (PARTITION BY doc_id ORDER BY y0, line_no ROWS UNBOUNDED PRECEDING) AS a,
+  CASE WHEN doc_id % 3 = 0 THEN (y0 >= 300)::INT + (y0 >= 440)::INT ELSE 0 END + CASE WHEN doc_id % 5 = 0 THEN (y0 >= 800)::INT + (y0 >= 900)::INT ELSE 0 END AS e FROM kept),
+t AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY a, e, CASE WHEN x1 - x0 > 500 THEN 0 WHEN x0 = 520 THEN 2 ELSE 1 END, y0, line_no) AS text FROM f GROUP BY doc_id)
+SELECT o_orderkey AS doc_id, coalesce(text, '') || CASE WHEN o_orderkey % 3 = 0 OR o_orderkey % 5 = 0 THEN '' ELSE chr(10) || chr(10) || '[Image: s1]' || chr(10) || chr(10) || '[Image: s2]' END AS text FROM orders LEFT JOIN t ON doc_id = o_orderkey""")
+def ocr_documents(spark, d):
+    one = _pages(spark, d)
+    box = lambda n, c, *v: F.struct(L(n).alias("box_no"), L(c).alias("class"), *[L(float(x)).alias(s) for s, x in zip(("x0", "y0", "x1", "y1"), v, strict=True)])
+    found = F.concat(F.when(F.col("doc_id") % 3 == 0, F.array(box(1, "picture", 0, 150, 250, 200), box(2, "picture", 10, 180, 200, 220))).otherwise(F.array()), F.when(F.col("doc_id") % 5 == 0, F.array(box(3, "table", 300, 400, 450, 450))).otherwise(F.array()))
+    boxes = one.select("doc_id", "page_no", F.explode(found).alias("b")).select("doc_id", "page_no", "b.*")
+    text = one.withColumn("text", F.concat(L("x\n| m"), "doc_id", L(" |\ny")))
+    told = one.select("doc_id", "page_no", F.explode(F.array(*map(L, (1, 2, 4)))).alias("idx")).withColumn("summary", F.concat(L("s"), "idx"))
+    return pages.ocr_documents(_lines(spark, d), boxes, text, told, told.where("idx > 9"))
+
+
+@query("SELECT doc_id, '## ' || lang || chr(10) || chr(10) || 'x' || lang || ' **' || source || '** link' || chr(10) || chr(10) || '> **Comment (Ann):** so ' || lang || chr(10) || chr(10) || '| Name | Text |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || lang || ' | ' || source || chr(92) || '| |' || chr(10) AS markdown FROM documents")
+def docx_files(spark, d):
+    data = fixtures.office_file(fixtures.docx, F.col("lang"), F.concat(L("x"), "lang"), F.col("source"))
+    return documents(spark, d).select("doc_id", office_markdown(data, L("a/b.DOCX")).alias("markdown"))
+
+
+@query("SELECT doc_id, '# Slide 1: ' || lang || chr(10) || chr(10) || 'x' || lang || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '# Slide 2' || chr(10) || chr(10) || '| Key | Value |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || lang || ' | ' || source || ' |' || chr(10) AS markdown FROM documents")
+def pptx_files(spark, d):
+    data = fixtures.office_file(fixtures.pptx, F.col("lang"), F.concat(L("x"), "lang"), F.col("source"))
+    return documents(spark, d).select("doc_id", office_markdown(data, L("a/b.pptx")).alias("markdown"))
+
+
+@query(f"WITH {_SQL_CITED}, {_SQL_BLOCK} SELECT doc_id, '<a>' || chr(10) || 'See ' || chr(92) || 'citep{{' || keys || '}}.' || chr(10) || block || chr(10) || '% [Image: s ' || doc_id || ']' AS content FROM k JOIN b USING (doc_id)".replace("{{", "{").replace("}}", "}"))
+def full_pipeline_bib(spark, d):
+    cites = _cites(spark, d).select("doc_id", F.regexp_extract("content", r"\{([^}]*)\}", 1).alias("keys"))
+    file = lambda name, root, *t: F.struct(L(name).alias("rel_path"), F.concat(*map(_part, t)).alias("content"), L(root).alias("is_root"))
+    main = file("main.tex", True, "% head\n\\newcommand{\\w}[1]{<#1>}\n\\w{a}\n\\input{b}\n\\bibliographystyle{plain}\n\\bibliography{refs}\n\\includegraphics{g", F.col("doc_id").cast("string"), "}")
+    files = cites.select(F.col("doc_id").alias("root_dir"), F.explode(F.array(main, file("b.tex", False, "See \\citep{", Name("keys"), "}. % no"))).alias("f")).select("root_dir", "f.*")
+    docs = cites.select("doc_id", L("").alias("content"))
+    cited = _cites(spark, d).select("doc_id", F.explode(F.array_distinct(T.cited_keys(F.col("content")))).alias("key"))
+    told = cites.select("doc_id", F.concat(L("g"), "doc_id").alias("stem"), F.concat(L("s "), "doc_id").alias("text"))
+    return cleaning.clean_latex(docs, files=files, entries=cited.join(_entries(spark, d, None), "key"), summaries=told)
+
+
 def _again(names: list[str], suffix: str, kind: type, told: Callable[[str], str]) -> None:
     """Registers queries once more over a larger job, the oracles over the same."""
     for name in names:
@@ -526,7 +652,7 @@ _again(
     ["verbatim_protect", "strip_comment_env", "resolve_conditionals", "strip_usepackage", "strip_math_alphabet", "squeeze_blank_lines", "macro_zero_arg", "macro_args", "macro_optional_default", "macro_nested", "macro_precedence", "math_operator", "include_flatten", "include_only", "include_cycle", "subfile_unwrap", "picture_markers"],
     "_text", Lines, _over_texts(Lines),
 )
-_again(["figure_summary", "figure_standalone", "table_blocks", "table_block_summary", "italic_strip", "diacritic_merge", "bracket_cleanup", "clean_markdown", "normalize_math", "full_pipeline"], "_text", Line, _over_texts(Line))
+_again(["figure_summary", "figure_standalone", "table_blocks", "table_block_summary", "italic_strip", "diacritic_merge", "bracket_cleanup", "clean_markdown", "normalize_math", "full_pipeline", "distinct_refs", "table_summary", "page_markdown", "docx_files", "pptx_files"], "_text", Line, _over_texts(Line))
 _again(["capped_padding", "virtual_lines", "asset_index_per_page"], "_every", Every, lambda sql: sql.replace(" WHERE r.o_orderkey % 3 = 0", "").replace(" WHERE o_orderkey % 3 = 0", "").replace(" WHERE l_quantity > 20", ""))
 
 
