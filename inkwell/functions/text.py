@@ -64,7 +64,7 @@ def strip_comment_environments(c: Column) -> Column:
 
 
 #: A line up to its first unescaped percent sign; linear on any length.
-_COMMENT = r"^([^%\\]*+(?:\\.[^%\\]*+)*+)%.*$"
+_COMMENT = r"(?s)^([^%\\]*+(?:\\.[^%\\]*+)*+)%.*$"
 
 
 def strip_line_comments(c: Column) -> Column:

@@ -7,14 +7,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import kernels, omml
+from ..functions.text import strip_comment_environments, strip_line_comments
 
 
 @F.pandas_udf(T.StringType())
-def strip_comments(texts):
-    """Comments outside literal passages."""
+def _strip_around_literals(texts):
     return texts.map(kernels.strip_comments, na_action="ignore")
 
 
+def strip_comments(c: Column | str) -> Column:
+    """Comments outside literal passages.  Only texts that may have such a passage
+    need the parser; the others stay in native expressions."""
+    c = F.col(c) if isinstance(c, str) else c
+    literal = c.rlike(r"\\verb|\\begin\{(?:" + "|".join(kernels.VERBATIM) + r")\}")
+    return F.when(literal, _strip_around_literals(F.when(literal, c))).otherwise(strip_line_comments(strip_comment_environments(c)))
+
+
 def expand_macros(c: Column, keep_packages: bool = False) -> Column:
     """Definitions harvested, removed and expanded."""
 
