@@ -25,7 +25,8 @@ SPACE = "▁"
 
 
 class Pieces:
-    """A byte-pair model of normal, byte and control pieces without a normalizer."""
+    """A byte-pair model of normal, byte and control pieces without a normalizer;
+    another one is an error."""
 
     def __init__(self, path: str, most_words: int = 500_000):
         import sentencepiece
@@ -51,6 +52,12 @@ class Pieces:
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}  # words known before the last change of generation
         self.most = most_words
+        # A normalizer, or pieces that the user defined, would show here.
+        probes = ["a  b\tc", "ﬁ Ａ ｱ ½ e\u0301", *[names[i].replace(SPACE, " ") + "x" for i in normal[:: max(1, len(normal) // 400)]]]
+        for text, ids in zip(probes, self.encode(probes), strict=True):
+            if array("I", ids).tolist() != model.encode(text):
+                raise ValueError(f"{path}: not a byte-pair model that keeps texts as they are")
+        self.known = {}
 
     def edges(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, size and id of every piece that occurs in the words laid end to
