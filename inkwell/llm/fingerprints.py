@@ -29,11 +29,13 @@ from .ordering import in_order, ranges_of
 
 @dataclass(frozen=True)
 class Syncmers:
-    """k and s in bytes, and how many of the smallest hashes a fingerprint keeps."""
+    """k and s in bytes, and how many of the smallest hashes a fingerprint keeps.
+    ``segment`` k-mers of a text are looked at together."""
 
     k: int = 16
     s: int = 8
     size: int = 64
+    segment: int = 1 << 20
 
 
 _runs = hashing.runs
@@ -54,7 +56,13 @@ def anchors(text: str, opts: Syncmers) -> tuple[np.ndarray, np.ndarray]:
     Equal smallest s-mers count alike: one at an edge is enough.  A text shorter than k has
     one anchor, the hash of the whole; an empty one has none.
     """
-    data = text.encode("utf-8", "surrogatepass")
+    return _anchors(text.encode("utf-8", "surrogatepass"), opts)
+
+
+def _anchors(data: bytes, opts: Syncmers) -> tuple[np.ndarray, np.ndarray]:
+    if len(data) - opts.k >= opts.segment:  # the choice depends on the k-mer alone
+        parts = [(a, *_anchors(data[a : a + opts.segment + opts.k - 1], opts)) for a in range(0, len(data) - opts.k + 1, opts.segment)]
+        return np.concatenate([a + at for a, at, _ in parts]), np.concatenate([h for *_, h in parts])
     if len(data) < opts.k:
         return (np.zeros(1, np.int64), _runs(data, len(data))) if data else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
     inner, span = _runs(data, opts.s), opts.k - opts.s + 1

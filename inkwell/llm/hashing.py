@@ -45,9 +45,23 @@ def _kept_powers() -> tuple[np.ndarray, np.ndarray]:
     return _powers(_KEPT)
 
 
-def words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each word of ``data``, A-Z read as a-z, and where it starts."""
-    code = np.frombuffer(data, np.uint8)
+def words(data: bytes, most: int = _KEPT) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word of ``data``, A-Z read as a-z, and where it starts.  About
+    ``most`` bytes are worked on at a time, or one longer word."""
+    code, at, found = np.frombuffer(data, np.uint8), 0, []
+    while len(code) - at > most:
+        gaps = np.flatnonzero(_SPACE[code[at : at + most]])
+        end = at + int(gaps[-1]) + 1 if len(gaps) else at + most
+        while not len(gaps) and end < len(code) and not _SPACE[code[end]]:  # in a long word
+            ahead = np.flatnonzero(_SPACE[code[end : end + most]])
+            end += int(ahead[0]) if len(ahead) else min(most, len(code) - end)
+        found.append((at, *_words(code[at:end])))
+        at = end
+    found.append((at, *_words(code[at:])))
+    return np.concatenate([h for _, h, _ in found]), np.concatenate([a + s for a, _, s in found])
+
+
+def _words(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     space = np.concatenate(([True], _SPACE[code], [True]))
     edge = np.flatnonzero(space[1:] != space[:-1])
     start, end = edge[::2], edge[1::2]

@@ -34,7 +34,8 @@ class Matching:
     """``gram``: bytes of an anchor.  ``block``: bytes of stretches that one index
     holds.  ``hot``: an anchor of more different stretches has its runs dealt one by
     one, each with its copies.  ``flush``: stretches that a task sorts at a time.
-    ``slices``: a partition of anchors is worked off in so many steps."""
+    ``slices``: a partition of anchors is worked off in so many steps.  ``segment``: runs
+    of one text that are looked at together."""
 
     length: int = 50
     gram: int = 20
@@ -42,6 +43,7 @@ class Matching:
     hot: int = 5_000
     flush: int = 500_000
     slices: int = 8
+    segment: int = 1 << 20
 
 
 #: An anchor, a hash of the stretch's bytes, its document and where its runs start.
@@ -50,9 +52,16 @@ REC = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("row", "
 
 
 def stretches(data: bytes, doc: int, opts: Matching, row: int = 0) -> np.ndarray:
-    """The stretches of one document: neighbouring runs with the same smallest q-gram."""
+    """The stretches of one document: neighbouring runs with the same smallest q-gram.
+    A run's anchor depends on the run alone, so a long text is cut in segments."""
     if len(data) < opts.length:
         return np.zeros(0, REC)
+    if len(data) - opts.length >= opts.segment:
+        parts = []
+        for a in range(0, len(data) - opts.length + 1, opts.segment):
+            parts.append(stretches(data[a : a + opts.segment + opts.length - 1], doc, opts, row))
+            parts[-1]["start"] += a
+        return np.concatenate(parts)
     h, span = hashing.runs(data, opts.gram), opts.length - opts.gram + 1
     low, size = h, 1
     while size * 2 <= span:

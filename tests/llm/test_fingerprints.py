@@ -56,7 +56,7 @@ def rows():
     return [*enumerate(texts), (3, "again"), (None, b)]
 
 
-@pytest.mark.parametrize("opts", [O, fingerprints.Syncmers(k=11, s=4, size=10)])
+@pytest.mark.parametrize("opts", [O, fingerprints.Syncmers(k=11, s=4, size=10), fingerprints.Syncmers(size=9, segment=50)])
 def test_brute_force(spark, rows, opts):
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, fingerprint string, part int").repartition(3)
     ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))

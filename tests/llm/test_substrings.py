@@ -49,7 +49,7 @@ def test_clashing_columns(spark):
     assert got[3].text is None and got[4].text == ""
 
 
-@pytest.mark.parametrize("opts", [substrings.Matching(hot=2, block=200), substrings.Matching(block=300, flush=30, slices=2)])
+@pytest.mark.parametrize("opts", [substrings.Matching(hot=2, block=200), substrings.Matching(block=300, flush=30, slices=2), substrings.Matching(segment=70)])
 def test_one_run_in_many_documents(spark, opts):
     hot = prose(9, 12)
     rows = [(i, f"{prose(100 + i, 8)} {hot} {prose(200 + i, 8)}") for i in range(40)]
