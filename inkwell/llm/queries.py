@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, packing, pieces, planes, quality, similar, substrings, templates, toxicity, warc
+from . import fingerprints, middle, packing, pieces, planes, quality, similar, substrings, templates, toxicity, warc
 from .shared import table
 
 def vocabulary(name: str) -> str:
@@ -77,9 +77,15 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes.read_token_files(files)
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    text = middle.restored("output", "form")
+    return made.select(*[c for c in made.columns if c != "output"], F.sha2(F.encode(text, "UTF-8"), 256).alias("restored_sha256"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_warc_revisits, op4_toxicity, op5_ngram_jaccard, op6_line_templates, op7_suffix_array_dedup, op8_sentencepiece, op9_token_files, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_warc_revisits, op4_toxicity, op5_ngram_jaccard, op6_line_templates, op7_suffix_array_dedup, op8_sentencepiece, op9_token_files, op10_fingerprints, op13_fill_in_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality.oracle(), "op3_warc_revisits": OP3_SQL}
+    return {"op1_quality_rules": quality.oracle(), "op3_warc_revisits": OP3_SQL, "op13_fill_in_middle": middle.oracle()}
