@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, licenses, middle, packing, pieces, planes, quality, similar, substrings, templates, toxicity, warc
+from . import fingerprints, licenses, middle, negatives, packing, pieces, planes, quality, similar, substrings, templates, toxicity, warc
 from .shared import table
 
 def vocabulary(name: str) -> str:
@@ -77,6 +77,11 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes.read_token_files(files)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = negatives.relabelled(table(spark, sf_dir, "embeddings"))
+    return negatives.mine_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
 def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents")).withColumn("n_spans", F.size("spans")).drop("spans")
 
@@ -88,8 +93,8 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_warc_revisits, op4_toxicity, op5_ngram_jaccard, op6_line_templates, op7_suffix_array_dedup, op8_sentencepiece, op9_token_files, op10_fingerprints, op12_license_scan, op13_fill_in_middle)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_warc_revisits, op4_toxicity, op5_ngram_jaccard, op6_line_templates, op7_suffix_array_dedup, op8_sentencepiece, op9_token_files, op10_fingerprints, op11_hard_negatives, op12_license_scan, op13_fill_in_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality.oracle(), "op3_warc_revisits": OP3_SQL, "op13_fill_in_middle": middle.oracle()}
+    return {"op1_quality_rules": quality.oracle(), "op3_warc_revisits": OP3_SQL, "op11_hard_negatives": negatives.oracle(), "op13_fill_in_middle": middle.oracle()}
