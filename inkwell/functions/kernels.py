@@ -3,210 +3,12 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
-
-#: Environments whose content is never read as LaTeX.
-VERBATIM = ("verbatim", "lstlisting", "minted")
-_LITERAL = re.compile(r"\\verb\*?([^A-Za-z\s*])(?:(?!\1)[^\n])+\1|\\begin\{(" + "|".join(VERBATIM) + r")\}.*?\\end\{\2\}", re.S)
-
-
-#: Characters that may stand around a key: private use, then the rarest planes.
-_SIGNS = (*range(0xF8FF, 0xDFFF, -1), *range(0x10FFFD, 0xEFFFF, -1))
-
-
-def mask(text: str) -> tuple[str, list[str]]:
-    """Literal passages replaced by keys, in one pass from the left.  A key stands
-    between two signs, a character that the text does not have: the first of ``kept``."""
-    found = _LITERAL.search(text)
-    if not found:
-        return text, []
-    seen = set(text)
-    sign = next((c for c in map(chr, _SIGNS) if c not in seen), None)
-    if sign is None:
-        raise ValueError("a text holds every private character")
-    kept: list[str] = [sign]
-
-    def key(m: re.Match) -> str:
-        kept.append(m[0])
-        return f"{sign}{len(kept) - 1}{sign}"
-
-    return _LITERAL.sub(key, text), kept
-
-
-def unmask(text: str, kept: list[str]) -> str:
-    return re.sub(f"{kept[0]}(\\d+){kept[0]}", lambda m: kept[int(m[1])], text) if kept else text
-
-
-def group_end(text: str, at: int, opening: str = "{", closing: str = "}") -> int:
-    """The place after the group that opens at ``at``; -1 where it has no end."""
-    if at >= len(text) or text[at] != opening:
-        return -1
-    depth, i = 0, at
-    while i < len(text):
-        c = text[i]
-        if c == "\\":
-            i += 1
-        elif c == opening:
-            depth += 1
-        elif c == closing:
-            depth -= 1
-            if not depth:
-                return i + 1
-        i += 1
-    return -1
-
-
-def _blank(text: str, at: int) -> int:
-    while at < len(text) and text[at].isspace():
-        at += 1
-    return at
-
-
-@dataclass(frozen=True)
-class Macro:
-    name: str
-    arity: int
-    default: str | None
-    body: str
-
-
-_COMMAND = re.compile(r"\\(newcommand|renewcommand|providecommand)\*?\s*(?:\{\s*\\([A-Za-z@]+)\s*\}|\\([A-Za-z@]+))\s*(?:\[(\d)\])?")
-_DEF = re.compile(r"\\def\s*\\([A-Za-z@]+|\d)((?:#\d)*)\s*(?=\{)")
-_OPERATOR = re.compile(r"\\DeclareMathOperator(\*?)\s*\{\s*\\([A-Za-z@]+)\s*\}\s*")
-
-
-def harvest(text: str, leave: frozenset[str] = frozenset()) -> tuple[dict[str, Macro], str]:
-    """Macros by name, and the text without their definitions.
-
-    Macros named in ``leave`` are passed over and their definitions stay.  Of several definitions the last counts; ``providecommand`` only where there is
-    none.  Operators come after ``def``, which comes after the commands.
-    """
-    found: list[tuple[int, int, int, bool, Macro]] = []
-    for m in _COMMAND.finditer(text):
-        at, default = _blank(text, m.end()), None
-        if (end := group_end(text, at, "[", "]")) > 0:
-            default, at = text[at + 1 : end - 1], _blank(text, end)
-        if (end := group_end(text, at)) > 0:
-            found.append((0, m.start(), end, m[1] == "providecommand", Macro(m[2] or m[3], int(m[4] or 0), default, text[at + 1 : end - 1])))
-    for m in _DEF.finditer(text):
-        if (end := group_end(text, m.end())) > 0:
-            found.append((1, m.start(), end, False, Macro(m[1], m[2].count("#"), None, text[m.end() + 1 : end - 1])))
-    for m in _OPERATOR.finditer(text):
-        if (end := group_end(text, m.end())) > 0:
-            found.append((2, m.start(), end, False, Macro(m[2], 0, None, f"\\operatorname{m[1]}{{{text[m.end() + 1 : end - 1]}}}")))
-    found = [f for f in found if f[4].name not in leave]
-    macros: dict[str, Macro] = {}
-    for *_, optional, macro in sorted(found, key=lambda f: f[:2]):
-        if not (optional and macro.name in macros):
-            macros[macro.name] = macro
-    out, at = [], 0
-    for start, end in sorted((s, e) for _, s, e, _, _ in found):
-        if start >= at:
-            out.append(text[at:start])
-            at = end + (text[end : end + 1] == "\n")
-        else:
-            at = max(at, end)  # a definition inside another one goes with it
-    return macros, "".join(out) + text[at:]
-
-
-def circular(macros: dict[str, Macro]) -> frozenset[str]:
-    """Names of the macros whose bodies lead back to themselves."""
-    uses = {n: {u for u in re.findall(r"\\([A-Za-z@]+|\d)", m.body + (m.default or "")) if u in macros} for n, m in macros.items()}
-    found = set()
-    for name in macros:
-        seen: set[str] = set()
-        todo = list(uses[name])
-        while todo:
-            if (u := todo.pop()) not in seen:
-                seen.add(u)
-                todo += uses[u]
-        if name in seen:
-            found.add(name)
-    return frozenset(found)
-
-
-class Runaway(Exception):
-    """A text with circular macros outgrew its bound."""
-
-
-def expand(text: str, macros: dict[str, Macro], passes: int = 10, growth: int = 16, least: int = 5_000_000) -> str:
-    """Uses replaced, pass after pass until nothing changes.
-
-    Where macros are circular, ``Runaway`` is raised once the text is ``growth`` times
-    as long as it was, and longer than ``least``.
-    """
-    if not macros:
-        return text
-    most = max(least, growth * len(text)) if circular(macros) else None
-    names = "|".join(sorted(map(re.escape, macros), key=len, reverse=True))
-    use = re.compile(rf"\\\\|\\({names})(?![A-Za-z@])")
-    for _ in range(passes):
-        out, at = [], 0
-        for m in use.finditer(text):
-            if m.start() < at or m[1] is None:
-                continue
-            macro, end, args = macros[m[1]], m.end(), []
-            if not macro.arity:
-                gap = _blank(text, end)
-                end = gap + 2 if text.startswith("{}", gap) else end
-            for k in range(macro.arity):
-                place = _blank(text, end)
-                if k == 0 and macro.default is not None:
-                    stop = group_end(text, place, "[", "]")
-                    args.append(text[place + 1 : stop - 1] if stop > 0 else macro.default)
-                    end = stop if stop > 0 else end
-                elif (stop := group_end(text, place)) > 0:
-                    args.append(text[place + 1 : stop - 1])
-                    end = stop
-                else:
-                    break
-            if len(args) < macro.arity:
-                continue
-            out += [text[at : m.start()], re.sub(r"#(\d)", lambda d: args[int(d[1]) - 1] if 0 < int(d[1]) <= len(args) else d[0], macro.body)]  # noqa: B023
-            at = end
-        changed = "".join(out) + text[at:]
-        if changed == text:
-            return text
-        if most is not None and len(changed) > most:
-            raise Runaway
-        text = changed
-    return text
-
-
-_CONDITIONAL = re.compile(r"\\ifodd\s+1\s(.*?)(?:\\else(?![A-Za-z]).*?)?\\fi(?![A-Za-z])", re.S)
-
-
-def expand_with_notes(text: str | None, keep_packages: bool = False) -> tuple[str | None, list[str]]:
-    """The whole macro stage for one document, and what it left undone.
-
-    Where circular macros run away, they and their definitions stay as they are, with
-    a note ``runaway:name`` for each; all others are expanded.
-    """
-    if text is None:
-        return None, []
-    text, kept = mask(text)
-    text = _CONDITIONAL.sub(lambda m: m[1], text)
-    macros, bare = harvest(text)
-    notes: list[str] = []
-
-    def rest(t: str) -> str:
-        t = re.sub(r"\\(?:DeclareMathAlphabet|SetMathAlphabet)\{[^\n]*\n?", "", t)
-        return t if keep_packages else re.sub(r"\\usepackage(?:\[[^\]]*\])?\{[^}]*\}\s*", "", t)
-
-    try:
-        out = expand(rest(bare), macros)
-    except Runaway:
-        left = circular(macros)
-        notes = [f"runaway:{n}" for n in sorted(left)]
-        macros, bare = harvest(text, left)
-        out = expand(rest(bare), macros)
-    return unmask(re.sub("\n{3,}", "\n\n", out), kept), notes
-
-
-def expand_macros(text: str | None, keep_packages: bool = False) -> str | None:
-    """The whole macro stage for one document."""
-    return expand_with_notes(text, keep_packages)[0]
 
+from .literals import VERBATIM as VERBATIM
+from .literals import group_end, mask, unmask
+from .macros import expand_macros as expand_macros
+from .macros import expand_with_notes as expand_with_notes
+from .macros import harvest as harvest
 
 _PERCENT = re.compile(r"((?:[^%\\]|\\.)*)%", re.S)
 
