@@ -13,6 +13,7 @@ import re
 from collections.abc import Iterable
 from dataclasses import dataclass
 
+from .graphs import circular, components
 from .literals import after_blanks, free_sign, group_end, mask, put_away, unmask
 
 
@@ -102,7 +103,7 @@ def harvest(text: str) -> tuple[dict[str, Macro], str]:
 
 
 class Calls:
-    """Which macros use which, without recursion: components by lowest links."""
+    """Which macros use which."""
 
     def __init__(self, macros: dict[str, Macro]):
         self.uses = {n: sorted({u for u in _USED.findall(m.body + (m.default or "")) if u in macros}) for n, m in macros.items()}
@@ -110,39 +111,10 @@ class Calls:
         for n, used in self.uses.items():
             for u in used:
                 self.used_by[u].append(n)
-        #: Every macro after those that it uses; circular ones in any order.
-        self.inner_first: list[str] = []
-        self.circular: set[str] = set()
-        number: dict[str, int] = {}
-        low: dict[str, int] = {}
-        open_: list[str] = []
-        is_open: set[str] = set()
-        for root in macros:
-            todo = [] if root in number else [(root, iter(self.uses[root]))]
-            while todo:
-                name, rest = todo[-1]
-                if name not in number:
-                    number[name] = low[name] = len(number)
-                    open_.append(name)
-                    is_open.add(name)
-                for u in rest:
-                    if u not in number:
-                        todo.append((u, iter(self.uses[u])))
-                        break
-                    if u in is_open:
-                        low[name] = min(low[name], number[u])
-                else:
-                    todo.pop()
-                    if todo:
-                        low[todo[-1][0]] = min(low[todo[-1][0]], low[name])
-                    if low[name] == number[name]:
-                        part = []
-                        while name not in part:
-                            part.append(open_.pop())
-                        is_open -= {*part}
-                        if len(part) > 1 or name in self.uses[name]:
-                            self.circular |= {*part}
-                        self.inner_first += part
+        parts = components(self.uses)
+        self.circular = {n for p in parts if circular(p, self.uses) for n in p}
+        #: Every macro that is not circular after those that it uses.
+        self.inner_first = [n for p in parts for n in p if n not in self.circular]
 
     def _reach(self, names: Iterable[str], edges: dict[str, list[str]]) -> frozenset[str]:
         found, todo = set(names), list(names)
@@ -306,7 +278,7 @@ def expand_with_notes(text: str | None, keep_packages: bool = False, bounds: Bou
     macros = counting(found)
     calls = Calls(macros)
     most = max(b.text, b.growth * len(text))
-    open_ = [n for n in calls.inner_first if n not in calls.circular]
+    open_ = calls.inner_first
     lengths = Lengths({n: macros[n] for n in open_}, open_)
     weight = {n: sum(lengths.of[n]) for n in open_}
     overlong = calls.leading_to(n for n in open_ if weight[n] > max(b.use, b.growth * len(text))) - calls.circular

@@ -158,14 +158,16 @@ def _comment(text: Column) -> Column:
 
 
 def _substitute(docs: DataFrame, summaries: DataFrame, pattern: str, made) -> DataFrame:
-    """Each match whose graphic has a summary replaced by ``made(match, summary)``."""
-    cut = docs.select("doc_id", "content", F.regexp_extract_all("content", F.lit(pattern), 0).alias("hits"), F.split("content", pattern).alias("rest"))
-    asked = cut.select("doc_id", F.posexplode("hits").alias("n", "hit")).withColumn("stem", stem(F.regexp_extract("hit", GRAPHIC, 1)))
+    """Each match whose graphic has a summary replaced by ``made(match, summary)``; all
+    columns of ``docs`` stay."""
+    cut = docs.select("*", F.regexp_extract_all("content", F.lit(pattern), 0).alias("_hits"), F.split("content", pattern).alias("_rest"))
+    asked = cut.select("doc_id", F.posexplode("_hits").alias("n", "hit")).withColumn("stem", stem(F.regexp_extract("hit", GRAPHIC, 1)))
     key = ["doc_id", "stem"] if "doc_id" in summaries.columns else ["stem"]
     told = asked.join(summaries.select(*key, strip(F.col("text")).alias("summary")), key, "left").withColumn("new", F.when(F.col("summary").isNotNull(), made(F.col("hit"), F.col("summary"))).otherwise(F.col("hit")))
-    each = told.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "new"))), lambda x: x["new"]).alias("news"))
-    whole = F.concat(F.array_join(F.zip_with(F.slice("rest", 1, F.size("news")), "news", lambda a, b: F.concat(a, b)), ""), F.element_at("rest", -1))
-    return cut.join(each, "doc_id", "left").select("doc_id", F.when(F.col("news").isNull(), F.col("content")).otherwise(whole).alias("content"))
+    each = told.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "new"))), lambda x: x["new"]).alias("_news"))
+    whole = F.concat(F.array_join(F.zip_with(F.slice("_rest", 1, F.size("_news")), "_news", lambda a, b: F.concat(a, b)), ""), F.element_at("_rest", -1))
+    text = F.when(F.col("_news").isNull(), F.col("content")).otherwise(whole)
+    return cut.join(each, "doc_id", "left").withColumn("content", text).select(*docs.columns)
 
 
 def substitute_figures(docs: DataFrame, summaries: DataFrame) -> DataFrame:

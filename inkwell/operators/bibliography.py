@@ -23,7 +23,11 @@ def last_entries(entries: DataFrame, by: list[str]) -> DataFrame:
 
 def chosen_entries(citations: DataFrame, entries: DataFrame) -> DataFrame:
     """Entries of the cited keys in their order; ``\\nocite{*}`` (key ``*``) adds the
-    others by key.  Unknown keys have no entry."""
+    others by key.  Unknown keys have no entry.  ``entries`` without a doc_id belong to
+    all documents alike; of those, ``\\nocite{*}`` adds none."""
+    if "doc_id" not in entries.columns:
+        place = F.struct(F.lit(0).alias("late"), F.col("ord"), F.lit("").alias("name")).alias("place")
+        return citations.select("doc_id", "key", place).join(entries, "key")
     cited = entries.join(citations.select("doc_id", "key", F.struct(F.lit(0).alias("late"), F.col("ord"), F.lit("").alias("name")).alias("place")), ["doc_id", "key"])
     everything = citations.where("key = '*'").select("doc_id").distinct()
     rest = entries.join(everything, "doc_id", "left_semi").join(citations, ["doc_id", "key"], "left_anti")
@@ -53,7 +57,8 @@ def inline_block(content: Column, block: Column) -> Column:
 def inline_bibliography(docs: DataFrame, entries: DataFrame, bbl: DataFrame | None = None) -> DataFrame:
     """``docs`` (doc_id, content) with the bibliography inlined.
 
-    ``entries``: doc_id, file_ord, entry_no, key, kind, fields.  ``bbl``: doc_id, priority,
+    ``entries``: file_ord, entry_no, key, kind, fields, and doc_id where they belong to one
+    document.  ``bbl``: doc_id, priority,
     content; the first one there is taken as it is, and its document's entries are not
     read.  Documents with neither stay as they are.
     """
@@ -61,7 +66,7 @@ def inline_bibliography(docs: DataFrame, entries: DataFrame, bbl: DataFrame | No
     if bbl is not None:
         ready = bbl.where("content IS NOT NULL").groupBy("doc_id").agg(F.min_by("content", "priority").alias("block"))
         used = used.join(ready, "doc_id", "left_anti")
-    made = thebibliography(chosen_entries(citation_order(used), last_entries(entries, ["doc_id"])))
+    made = thebibliography(chosen_entries(citation_order(used), last_entries(entries, [c for c in ("doc_id",) if c in entries.columns])))
     blocks = made if bbl is None else made.unionByName(ready)
     return docs.join(blocks, "doc_id", "left").withColumn("content", inline_block(F.col("content"), F.col("block"))).drop("block")
 

@@ -1,16 +1,24 @@
-"""Include flattening: files of a project joined into their root by recursion."""
+"""Includes: which files a root leads to, by joins, and the root's text with them."""
 
 from __future__ import annotations
 
 import posixpath
 import re
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import notes
+from ..functions.graphs import circular, components
+from ..functions.paths import below, folder_of
+from ..functions.text import strip_line_comments
+from ..lineage import cut
+
 #: The commands that include a file, and the list of those allowed.
-_USE = re.compile(r"\\(input|include|subfile)\{([^}]+)\}")
+USE = r"\\(input|include|subfile)\{([^}]+)\}"
+_USE = re.compile(USE)
 _ONLY = re.compile(r"\\includeonly\{([^}]*)\}")
 _LITERAL = re.compile(r"(?<!\\)(?:\\\\)*%")
 
@@ -24,54 +32,105 @@ def _body(text: str) -> str:
     return (rest if start else text).partition("\\end{document}")[0].strip()
 
 
-def flatten(files: dict[str, str], root: str) -> tuple[str, list[str]]:
-    """The root file with its includes, and diagnostics.
+@dataclass(frozen=True)
+class _Use:
+    """An include command of a file: its text, kind and name, and the file it names."""
+
+    text: str
+    kind: str
+    name: str
+    target: str | None
 
-    A name is looked up below the project's top, then beside the file that uses it;
-    ``.tex`` is added to names without an extension.  A file that includes one of its
-    own ancestors is left out there and reported; the same file in two places is
-    not a cycle.  What follows a comment sign is not read.
-    """
-    only = _ONLY.search(files.get(root) or "")
-    allowed = {_stem(x) for x in only[1].split(",")} if only else None
-    notes: list[str] = []
 
-    def find(name: str, folder: str) -> str | None:
+class _Project:
+    def __init__(self, files: dict[str, str | None], root: str, top: str, most: int):
+        self.files, self.top, self.most = files, top, most
+        only = _ONLY.search(files.get(root) or "")
+        self.allowed = {_stem(x) for x in only[1].split(",")} if only else None
+        self.pieces = {p: self.parse(p) for p in files}
+        self.edges = {p: sorted({u.target for u in own if isinstance(u, _Use) and self.is_read(u)}) for p, own in self.pieces.items()}
+        self.done: dict[str, tuple[str, list[str]]] = {}
+        self.steps = 0
+        for part in components(self.edges, [root]):
+            loop = frozenset(part) if circular(part, self.edges) else frozenset()
+            for path in part:
+                self.done[path] = self.expand(path, (path,), loop)
+
+    def find(self, name: str, folder: str) -> str | None:
         name = name.strip()
         name = name if posixpath.splitext(name)[1] else f"{name}.tex"
-        tries = [posixpath.normpath(name), posixpath.normpath(posixpath.join(folder, name))]
-        return next((t for t in tries if t in files), None)
-
-    def expand(path: str, above: tuple[str, ...]) -> str:
-        def use(m: re.Match) -> str:
-            kind, name = m[1], m[2]
-            if kind == "include" and allowed is not None and _stem(name) not in allowed:
-                return ""
-            target = find(name, posixpath.dirname(path))
-            if target is None or files[target] is None:
-                notes.append(f"not-found:{name}" if target is None else f"unreadable:{name}")
-                return m[0]
-            if target in above:
-                notes.append(f"cycle:{name}")
-                return m[0]
-            text = expand(target, (*above, target))
-            text = _body(text) if kind == "subfile" else text
-            return f"\\clearpage\n{text}\n\\clearpage" if kind == "include" else text
-
-        lines = []
-        for line in (files[path] or "").split("\n"):
-            sign = _LITERAL.search(line)
-            cut = sign.end() - 1 if sign else len(line)
-            lines.append(_USE.sub(use, line[:cut]) + line[cut:])
-        return "\n".join(lines)
+        tries = [posixpath.normpath(posixpath.join(f, name)) for f in (self.top, folder)]
+        return next((t for t in tries if t in self.files), None)
 
-    return expand(root, (root,)), notes
+    def parse(self, path: str) -> list[str | _Use]:
+        out: list[str | _Use] = []
+        for k, line in enumerate((self.files[path] or "").split("\n")):
+            sign = _LITERAL.search(line)
+            end = sign.end() - 1 if sign else len(line)
+            out, at = out + ["\n"] * (k > 0), 0
+            for m in _USE.finditer(line, 0, end):
+                out += [line[at : m.start()], _Use(m[0], m[1], m[2], self.find(m[2], posixpath.dirname(path)))]
+                at = m.end()
+            out.append(line[at:])
+        return out
+
+    def is_left_out(self, u: _Use) -> bool:
+        return u.kind == "include" and self.allowed is not None and _stem(u.name) not in self.allowed
+
+    def is_read(self, u: _Use) -> bool:
+        return not self.is_left_out(u) and u.target is not None and self.files[u.target] is not None
+
+    def expand(self, path: str, above: tuple[str, ...], loop: frozenset[str]) -> tuple[str, list[str]]:
+        """A file's text and notes.  Files outside of its loop are done already, as what
+        they give does not depend on where they are used."""
+        out, told, length = [], [], 0
+        self.steps += 1
+        for u in self.pieces[path]:
+            text = u
+            if isinstance(u, _Use):
+                text = u.text
+                if self.is_left_out(u):
+                    text = ""
+                elif u.target is None:
+                    told.append(f"not-found:{u.name}")
+                elif self.files[u.target] is None:
+                    told.append(f"unreadable:{u.name}")
+                elif u.target in above:
+                    told.append(f"cycle:{u.name}")
+                elif u.target in loop and self.steps > 10_000:
+                    told.append(f"overlong:{u.name}")
+                else:
+                    inner, more = self.expand(u.target, (*above, u.target), loop) if u.target in loop else self.done[u.target]
+                    told += more
+                    inner = _body(inner) if u.kind == "subfile" else inner
+                    inner = f"\\clearpage\n{inner}\n\\clearpage" if u.kind == "include" else inner
+                    if length + len(inner) > self.most:
+                        told.append(f"overlong:{u.name}")
+                    else:
+                        text = inner
+            out.append(text)
+            length += len(text)
+        return "".join(out), list(dict.fromkeys(told))
+
+
+def flatten(files: dict[str, str | None], root: str, top: str = "", most: int = 8_000_000) -> tuple[str, list[str]]:
+    """The root file with its includes, and different notes on what was left.
+
+    A name is looked up below ``top``, the project's folder, then beside the file that
+    uses it; ``.tex`` is added to names without an extension.  A file that includes one of
+    its own ancestors is left out there and reported; the same file in two places is not a
+    cycle, and its text is made once.  What follows a comment sign is not read.  A use
+    that would make its file longer than ``most`` characters, or 16 times all the files,
+    stays as it is, with a note; so do uses in a tangle of cycles beyond 10,000 steps.
+    """
+    most = max(most, 16 * sum(len(t or "") for t in files.values()))
+    return _Project(files, root, top, most).done[root]
 
 
-FLAT = T.ArrayType(T.StructType([T.StructField("content", T.StringType()), T.StructField("diagnostics", T.ArrayType(T.StringType()))]))
+FLAT = T.StructType([T.StructField("content", T.StringType()), T.StructField("diagnostics", T.ArrayType(T.StringType()))])
 
 
-@F.pandas_udf(FLAT)
+@F.pandas_udf(T.ArrayType(FLAT))
 def _flattened(projects):
     def one(files):
         found = {f["rel_path"]: f["content"] for f in files}
@@ -91,3 +150,58 @@ def flatten_includes(files: DataFrame) -> DataFrame:
     file = F.struct("rel_path", "content", F.coalesce("is_root", F.lit(False)).alias("is_root"))
     projects = files.groupBy("root_dir").agg(F.array_sort(F.collect_list(file)).alias("files"))
     return projects.where(F.exists("files", lambda f: f["is_root"])).select("root_dir", F.explode(_flattened("files")).alias("flat")).select("root_dir", "flat.content", "flat.diagnostics")
+
+
+def used_names(content: Column) -> Column:
+    """The different names that a text includes, outside of comments; ``.tex`` is added
+    to those without an extension."""
+    named = F.transform(F.regexp_extract_all(strip_line_comments(content), F.lit(USE), 2), lambda x: F.trim(x))
+    return F.array_distinct(F.transform(named, lambda x: F.when(x.rlike(r"[^./]\.[^./]*$"), x).otherwise(F.concat(x, F.lit(".tex")))))
+
+
+def include_edges(files: DataFrame) -> DataFrame:
+    """path and name of every different include of ``files`` (path, content)."""
+    return files.select("path", F.explode(used_names(F.col("content"))).alias("name"))
+
+
+def reached(roots: DataFrame, files: DataFrame) -> DataFrame:
+    """root and path of every file that a root's text leads to, the root included.
+
+    ``roots``: path; ``files``: path, content.  A frontier of (root, path) pairs takes one
+    step along the includes at a time; pairs seen before are not taken again, so cycles
+    end and the rows are as many as pairs there are, whatever lies beside the roots.  The
+    top of a root is its own folder.  Each step is cut from its lineage.
+    """
+    edges, there = cut(include_edges(files)), files.select(F.col("path").alias("found")).distinct()
+    frontier = roots.select(F.col("path").alias("root")).distinct().join(there, F.col("root") == F.col("found"), "left_semi").withColumn("path", F.col("root"))
+    frontier = seen = cut(frontier)
+    while True:
+        tops = F.array(folder_of(F.col("root")), folder_of(F.col("path")))
+        tries = frontier.join(edges, "path").select("root", "path", "name", F.posexplode(F.transform(tops, lambda t: below(t, F.col("name")))).alias("priority", "tried"))
+        hits = tries.join(there, F.col("tried") == F.col("found")).groupBy("root", "path", "name").agg(F.min_by("found", "priority").alias("next"))
+        frontier = cut(hits.select("root", F.col("next").alias("path")).distinct().join(seen, ["root", "path"], "left_anti"))
+        if frontier.isEmpty():
+            return seen
+        seen = cut(seen.unionByName(frontier))
+
+
+@F.pandas_udf(FLAT)
+def _flattened_root(roots, files):
+    import pandas as pd
+
+    rows = [flatten({f["path"]: f["content"] for f in own}, r, posixpath.dirname(r)) for r, own in zip(roots, files, strict=True)]
+    return pd.DataFrame(rows, columns=["content", "diagnostics"])
+
+
+def flatten_roots(roots: DataFrame, files: DataFrame) -> DataFrame:
+    """path, content and notes of each root, with the files that it leads to.
+
+    ``roots``: path; ``files``: path, content (null: unreadable).  Only the files that a
+    root reaches meet in its row.  A root that is not among the files gives no row; of
+    files with one path the last by content counts.
+    """
+    texts = files.groupBy("path").agg(F.max("content").alias("content"))
+    pairs = reached(roots, texts).join(texts, "path")
+    whole = pairs.groupBy("root").agg(F.collect_list(F.struct("path", "content")).alias("files"))
+    flat = whole.select(F.col("root").alias("path"), _flattened_root("root", "files").alias("flat"))
+    return flat.select("path", "flat.content", notes.parsed(F.col("flat.diagnostics")).alias("notes"))

@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import kernels, omml
-from ..functions.text import strip_comment_environments, strip_line_comments
+from ..functions import kernels, macros, omml
+from ..functions.text import squeeze_blank_lines, strip_comment_environments, strip_line_comments
 
 
 @F.pandas_udf(T.StringType())
@@ -23,24 +23,33 @@ def strip_comments(c: Column | str) -> Column:
     return F.when(literal, _strip_around_literals(F.when(literal, c))).otherwise(strip_line_comments(strip_comment_environments(c)))
 
 
-def expand_macros(c: Column, keep_packages: bool = False) -> Column:
-    """Definitions harvested, removed and expanded."""
+EXPANDED = T.StructType([T.StructField("text", T.StringType()), T.StructField("notes", T.ArrayType(T.StringType()))])
+
 
-    @F.pandas_udf("string")
+def macro_stage(c: Column, keep_packages: bool = False) -> Column:
+    """text and notes of the macro stage, in one hop: definitions harvested, removed and
+    expanded, and what was left (``runaway:name``, ``overlong:name``).  Texts without a
+    backslash have nothing to expand and stay in native expressions."""
+
+    @F.pandas_udf(EXPANDED)
     def run(texts):
-        return texts.map(lambda t: kernels.expand_macros(t, keep_packages), na_action="ignore")
+        import pandas as pd
 
-    return run(c)
+        return pd.DataFrame([macros.expand_with_notes(t, keep_packages) for t in texts], columns=["text", "notes"])
 
+    some = c.contains("\\")
+    plain = F.struct(squeeze_blank_lines(c).alias("text"), F.array().cast("array<string>").alias("notes"))
+    return F.when(some, run(F.when(some, c))).otherwise(plain)
 
-def macro_notes(c: Column) -> Column:
-    """Notes on macros that ``expand_macros`` leaves in place, as ``runaway:name``."""
 
-    @F.pandas_udf("array<string>")
-    def run(texts):
-        return texts.map(lambda t: kernels.expand_with_notes(t)[1])
+def expand_macros(c: Column, keep_packages: bool = False) -> Column:
+    """Definitions harvested, removed and expanded."""
+    return macro_stage(c, keep_packages)["text"]
 
-    return run(c)
+
+def macro_notes(c: Column) -> Column:
+    """Notes on macros that ``expand_macros`` leaves in place."""
+    return macro_stage(c)["notes"]
 
 
 MACRO = T.StructType([T.StructField("name", T.StringType()), T.StructField("arity", T.IntegerType()), T.StructField("default", T.StringType()), T.StructField("body", T.StringType())])

@@ -5,37 +5,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import notes
 from ..operators import assets, bibliography, includes, latex
 from ..options import CleanOptions
 
 
-def clean_latex(docs: DataFrame, options: CleanOptions | None = None, files: DataFrame | None = None, entries: DataFrame | None = None, bbl: DataFrame | None = None, summaries: DataFrame | None = None, diagnostics: bool = False) -> DataFrame:
-    """``docs`` (doc_id, content) cleaned.
+def clean_with_notes(docs: DataFrame, options: CleanOptions | None = None, entries: DataFrame | None = None, bbl: DataFrame | None = None, summaries: DataFrame | None = None) -> DataFrame:
+    """doc_id, content and notes of ``docs`` (doc_id, content, and notes so far), cleaned.
 
-    Stages are chosen while the plan is built.  ``files`` (root_dir = doc_id, rel_path,
-    content, is_root) are needed to flatten, ``entries`` or ``bbl`` for bibliographies,
-    ``summaries`` for figures; a stage without its table is left out.
-    With ``diagnostics``, a column of that name has notes on macros left in place;
-    documents that share a doc_id share their notes.
+    All stages but flattening, chosen while the plan is built; a stage without its table
+    is left out.  The macro stage adds what it could not do to its row's notes.
     """
     o = options or CleanOptions()
-    if o.flatten and files is not None:
-        flat = includes.flatten_includes(files).select(F.col("root_dir").alias("doc_id"), F.col("content").alias("_flat"))
-        docs = docs.join(flat, "doc_id", "left").withColumn("content", F.coalesce("_flat", "content")).drop("_flat")
+    if "notes" not in docs.columns:
+        docs = docs.withColumn("notes", notes.none())
+    docs = docs.select("doc_id", "content", "notes")
     if o.comments:
         docs = docs.withColumn("content", latex.strip_comments("content"))
     if o.macros:
-        notes = docs.select("doc_id", latex.macro_notes(F.col("content")).alias("notes"))
-        docs = docs.withColumn("content", latex.expand_macros(F.col("content"), o.keep_usepackage))
+        done = docs.withColumn("_done", latex.macro_stage(F.col("content"), o.keep_usepackage))
+        docs = done.select("doc_id", F.col("_done.text").alias("content"), F.concat("notes", notes.parsed(F.col("_done.notes"))).alias("notes"))
     if o.bibliography and entries is not None:
         docs = bibliography.inline_bibliography(docs, entries, bbl)
     if o.figures and summaries is not None:
-        docs = assets.substitute_figures(docs.select("doc_id", "content"), summaries)
-    docs = docs.select("doc_id", "content")
-    if not diagnostics:
-        return docs
-    none = F.array().cast("array<string>")
-    if not o.macros:
-        return docs.withColumn("diagnostics", none)
-    told = notes.groupBy(F.col("doc_id").alias("_noted")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("notes")))).alias("diagnostics"))
-    return docs.join(told, F.col("doc_id").eqNullSafe(F.col("_noted")), "left").select("doc_id", "content", F.coalesce("diagnostics", none).alias("diagnostics"))
+        docs = assets.substitute_figures(docs, summaries)
+    return docs.select("doc_id", "content", "notes")
+
+
+def clean_latex(docs: DataFrame, options: CleanOptions | None = None, files: DataFrame | None = None, entries: DataFrame | None = None, bbl: DataFrame | None = None, summaries: DataFrame | None = None, diagnostics: bool = False) -> DataFrame:
+    """``docs`` (doc_id, content) cleaned.
+
+    ``files`` (root_dir = doc_id, rel_path, content, is_root) are needed to flatten,
+    ``entries`` or ``bbl`` for bibliographies, ``summaries`` for figures; a stage without
+    its table is left out.  With ``diagnostics``, a column of that name has the notes of
+    includes and macros as sorted texts (see ``functions.notes``).
+    """
+    o = options or CleanOptions()
+    if o.flatten and files is not None:
+        flat = includes.flatten_includes(files).select(F.col("root_dir").alias("doc_id"), F.col("content").alias("_flat"), notes.parsed(F.col("diagnostics")).alias("notes"))
+        joined = docs.join(flat, "doc_id", "left")
+        docs = joined.select("doc_id", F.coalesce("_flat", "content").alias("content"), F.coalesce("notes", notes.none()).alias("notes"))
+    done = clean_with_notes(docs, o, entries, bbl, summaries)
+    told = [notes.texts(F.col("notes")).alias("diagnostics")] if diagnostics else []
+    return done.select("doc_id", "content", *told)

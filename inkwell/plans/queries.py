@@ -11,10 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import notes as N
 from ..functions import text as T
 from ..operators import assets, bibliography, blocks, includes, latex, layout
 from ..sources.office import office_markdown
-from . import cleaning, fixtures, pages
+from . import cleaning, fixtures, pages, run
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -230,9 +231,7 @@ def bib_format(spark, d):
 
 
 def _inlined(spark, d, bbl=None):
-    docs = _cites(spark, d)
-    cited = bibliography.citation_order(docs).select("doc_id", "key")
-    return bibliography.inline_bibliography(docs, cited.join(_entries(spark, d, None), "key"), bbl)
+    return bibliography.inline_bibliography(_cites(spark, d), _entries(spark, d, None), bbl)
 
 
 _SQL_BLOCK = f"""
@@ -631,9 +630,69 @@ def full_pipeline_bib(spark, d):
     main = file("main.tex", True, "% head\n\\newcommand{\\w}[1]{<#1>}\n\\w{a}\n\\input{b}\n\\bibliographystyle{plain}\n\\bibliography{refs}\n\\includegraphics{g", F.col("doc_id").cast("string"), "}")
     files = cites.select(F.col("doc_id").alias("root_dir"), F.explode(F.array(main, file("b.tex", False, "See \\citep{", Name("keys"), "}. % no"))).alias("f")).select("root_dir", "f.*")
     docs = cites.select("doc_id", L("").alias("content"))
-    cited = _cites(spark, d).select("doc_id", F.explode(F.array_distinct(T.cited_keys(F.col("content")))).alias("key"))
     told = cites.select("doc_id", F.concat(L("g"), "doc_id").alias("stem"), F.concat(L("s "), "doc_id").alias("text"))
-    return cleaning.clean_latex(docs, files=files, entries=cited.join(_entries(spark, d, None), "key"), summaries=told)
+    return cleaning.clean_latex(docs, files=files, entries=_entries(spark, d, None), summaries=told)
+
+
+def _plain(spark, d):
+    """doc_id, lang and text of the documents, the texts without markup."""
+    return documents(spark, Lines(d)).select("doc_id", F.col("lang").alias("text"), "source")
+
+
+_SQL_PLAIN = f"(SELECT doc_id, 'a' || regexp_replace(regexp_replace(coalesce(text, ''), '{Lines.sql_marks}', ' ', 'g'), chr(10) || '{{3,}}', chr(10) || chr(10), 'g') || 'z' AS text, source FROM documents)"
+
+
+@query(f"""WITH p AS {_SQL_PLAIN}, n AS (SELECT *, count(*) OVER (PARTITION BY doc_id // 2) AS n FROM p)
+SELECT a.doc_id, string_agg('S-' || b.source || chr(10) || b.text, chr(10) ORDER BY (b.doc_id - a.doc_id + a.n) % a.n) || chr(10) || chr(92) || 'input{{d' || a.doc_id || '}}' AS content,
+'cycle:d' || a.doc_id AS note FROM n a JOIN n b ON a.doc_id // 2 = b.doc_id // 2 GROUP BY a.doc_id""".replace("{{", "{").replace("}}", "}").replace("{3,}", "{3,}"))
+def include_reach(spark, d):
+    # All roots lie in one folder; each leads to its neighbour, a file that many share,
+    # and back to itself.
+    docs = _plain(spark, d).withColumn("pair", F.expr("doc_id div 2"))
+    pairs = docs.groupBy("pair").agg(F.max("doc_id").alias("last"), F.min("doc_id").alias("first"))
+    other = F.when(F.col("doc_id") == F.col("first"), F.col("last")).otherwise(F.col("first"))
+    files = docs.join(pairs, "pair").select("doc_id", F.concat(L("d"), "doc_id", L(".tex")).alias("path"), F.concat(L("\\input{shared/"), "source", L("}\n"), "text", L("\n\\input{d"), other, L("}")).alias("content"))
+    shared = docs.select("source").distinct().select(F.concat(L("shared/"), "source", L(".tex")).alias("path"), F.concat(L("S-"), "source").alias("content"))
+    flat = includes.flatten_roots(files.select("path"), files.select("path", "content").unionByName(shared))
+    return flat.select(F.regexp_extract("path", r"\d+", 0).cast("long").alias("doc_id"), "content", F.array_join(N.texts(F.col("notes")), ",").alias("note"))
+
+
+_DEPTH = [f"m{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60)]
+
+
+@query(f"WITH p AS {_SQL_PLAIN} SELECT doc_id, repeat('<', {len(_DEPTH)}) || text || repeat('>', {len(_DEPTH)}) AS content FROM p")
+def macro_chain(spark, d):
+    """Sixty macros, each of which uses the next one on its argument."""
+    steps = "".join(f"\\newcommand{{\\{a}}}[1]{{<{f'{chr(92)}{b}{{#1}}' if b else '#1'}>}}\n" for a, b in zip(_DEPTH, [*_DEPTH[1:], None], strict=True))
+    docs = _plain(spark, d).withColumn("content", F.concat(L(f"{steps}\\{_DEPTH[0]}{{"), "text", L("}")))
+    return docs.select("doc_id", latex.expand_macros(F.col("content")).alias("content"))
+
+
+_TENS = "".join(f"\\def\\t{a}{{{f'{chr(92)}t{b}' * 10}}}\n" for a, b in zip("abcdef", [*"bcdef", "g"], strict=True)) + "\\def\\tg{xyz}\n"
+_SQL_TENS = " || chr(10) || ".join(f"repeat('', 0) || chr(92) || 'def' || chr(92) || 't{a}{{' || repeat(chr(92) || 't{b}', 10) || '}}'" for a, b in zip("abcdef", "bcdefg", strict=True)).replace("repeat('', 0) || ", "") + " || chr(10) || chr(92) || 'def' || chr(92) || 'tg{xyz}' || chr(10)"
+
+
+@query(f"WITH p AS {_SQL_PLAIN} SELECT doc_id, chr(92) || 'def' || chr(92) || 'c{{x' || chr(92) || 'c}}' || chr(10) || {_SQL_TENS} || text || ' ' || chr(92) || 'c ' || chr(92) || 'ta ' || text AS content, 'overlong:ta,overlong:tb,runaway:c' AS notes FROM p WHERE length(text) < 6000 UNION ALL SELECT doc_id, NULL, NULL FROM p WHERE length(text) >= 6000".replace("{{x", "{x").replace("c}}", "c}"))
+def macro_limits(spark, d):
+    """Circular and overlong macros keep their definitions; longer texts bear longer
+    macros, so their rows are only counted here."""
+    made = F.concat(L("\\def\\c{x\\c}\n" + _TENS + "\\def\\w{"), "text", L("}\n"), "text", L(" \\c \\ta \\w"))
+    docs = _plain(spark, d).withColumn("stage", latex.macro_stage(made))
+    short = F.length("text") < 6000
+    return docs.select("doc_id", F.when(short, F.col("stage.text")).alias("content"), F.when(short, F.array_join(F.array_sort("stage.notes"), ",")).alias("notes"))
+
+
+@query(f"""WITH p AS {_SQL_PLAIN}, n AS (SELECT 'p' || doc_id || '/main.tex' AS path, text FROM p),
+t AS (SELECT path, text || chr(10) || chr(92) || 'input{{main}} ' || chr(92) || 'input{{gone}} ' || chr(92) || 'include{{bad}}' || chr(10) || chr(92) || 'bibliography{{refs}}' || chr(10) || chr(92) || 'includegraphics{{f/g.png}} ' || chr(92) || 'newcommand{{' || chr(92) || 'a}}{{x' || chr(92) || 'a}}' AS content FROM n)
+SELECT path, content, code, detail FROM t, (VALUES ('cycle', 'main'), ('not-found', 'gone'), ('unreadable', 'bad'), ('runaway', 'a'), ('missing-bib', 'refs.bib'), ('missing-summary', 'f/g')) v(code, detail)""".replace("{{", "{").replace("}}", "}"))
+def run_notes(spark, d):
+    """Every kind of note that a document's run can leave, in one channel."""
+    docs = _plain(spark, d)
+    main = F.concat("text", L("\n\\input{main} \\input{gone} \\include{bad}\n\\bibliography{refs}\n\\includegraphics{f/g.png} \\newcommand{\\a}{x\\a}"))
+    file = lambda name, text: F.struct(F.concat(L("p"), "doc_id", L(f"/{name}")).alias("path"), text.alias("content"))
+    texts = docs.select(F.explode(F.array(file("main.tex", main), file("bad.tex", L(None).cast("string")), file("refs.txt", L("x")))).alias("f")).select("f.*")
+    done = run.clean_projects(texts.where("path LIKE '%/main.tex'").select("path"), texts)
+    return done.select(F.col("doc_id").alias("path"), "content", F.inline("notes"))
 
 
 def _again(names: list[str], suffix: str, kind: type, told: Callable[[str], str]) -> None:

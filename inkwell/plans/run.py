@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import assets, bibliography
+from ..functions import notes
+from ..functions.paths import below, extension, folder_of
+from ..functions.text import strip, strip_line_comments
+from ..operators import assets, bibliography, includes
 from ..options import CleanOptions
 from ..sources import tex
 from ..sources.office import office_markdown
@@ -15,51 +18,99 @@ from . import cleaning
 
 #: Commands that name bibliography files.
 BIBLIOGRAPHY = r"\\(?:bibliography|addbibresource)\{([^}]+)\}"
+#: Extensions of text files; the empty one is a name without a dot.
+TEXTUAL = ("tex", "bib", "bbl", "txt", "sty", "cls", "ltx", "")
 
 
-def clean_folder(spark: SparkSession, folder: str, roots: list[str], options: CleanOptions | None = None, pdf: DataFrame | None = None) -> DataFrame:
-    """path, kind, text of the files of ``folder`` whose names below it are in ``roots``.
-
-    The kind is chosen by extension.  A LaTeX root sees the files beside and below it
-    for includes, bibliographies and summaries; ``.docx`` and ``.pptx`` are read from their bytes;
-    ``.pdf`` files get their text from ``pdf`` (path, text; see ``plans.pages``), since
-    no reader of them is part of this engine.  A root that is not there is an error.
-    """
-    o, top = options or CleanOptions(), folder.rstrip("/")
-    below = F.expr("substring(path, length(top) + 1)")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(top).select("path", "content")
+def listed(spark: SparkSession, folder: str) -> DataFrame:
+    """path (below ``folder``) and content, in bytes, of all its files."""
+    top = folder.rstrip("/")
     home = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(top)
     home = home.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(home).toString()
-    files = raw.withColumn("top", F.lit(f"{home}/")).select(below.alias("rel_path"), "content")
-    found = files.where(F.col("rel_path").isin(roots)).select("rel_path", tex.kind_of(F.col("rel_path")).alias("kind"), "content")
-    if absent := set(roots) - {r.rel_path for r in found.select("rel_path").collect()}:
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(top).select("path", "content")
+    return raw.withColumn("top", F.lit(f"{home}/")).select(F.expr("substring(path, length(top) + 1)").alias("path"), "content")
+
+
+def _beside(docs: DataFrame, names: Column, files: DataFrame) -> DataFrame:
+    """``files`` (path, content) that documents name, as seen from their own folder:
+    doc_id, pos, name, path and content, null where there is none."""
+    asked = docs.select("doc_id", F.posexplode(names).alias("pos", "name")).withColumn("_at", below(folder_of(F.col("doc_id")), F.col("name")))
+    there = files.select(F.col("path"), "content")
+    return asked.join(there, F.col("_at") == F.col("path"), "left").drop("_at")
+
+
+def clean_projects(roots: DataFrame, texts: DataFrame, options: CleanOptions | None = None) -> DataFrame:
+    """doc_id, content and notes of the LaTeX documents at ``roots`` (path).
+
+    ``texts``: path, content of all text files.  A root's includes, bibliographies and
+    summaries are found by the names that stand in it, one join each, so that files it
+    does not name cost it nothing.  Notes tell what was not there: includes, ``.bib``
+    files (unless a ``.bbl`` beside the root is taken) and summaries of graphics.
+    """
+    o = options or CleanOptions()
+    if o.flatten:
+        docs = includes.flatten_roots(roots, texts).select(F.col("path").alias("doc_id"), "content", "notes")
+    else:
+        docs = texts.join(roots.select("path").distinct(), "path", "left_semi").select(F.col("path").alias("doc_id"), "content", notes.none().alias("notes"))
+    entries = bbl = summaries = None
+    seen = docs.select("doc_id", strip_line_comments(F.col("content")).alias("content"))
+    if o.bibliography:
+        own = docs.select("doc_id", F.regexp_replace("doc_id", r"\.[^./]+$", ".bbl").alias("path"))
+        bbl = own.join(texts, "path").select("doc_id", F.lit(0).alias("priority"), "content")
+        names = F.transform(F.split(F.array_join(F.regexp_extract_all("content", F.lit(BIBLIOGRAPHY), 1), ","), ","), lambda x: F.trim(x))
+        names = F.transform(F.filter(names, lambda n: n != ""), lambda n: F.when(n.endswith(".bib"), n).otherwise(F.concat(n, F.lit(".bib"))))
+        bibs = _beside(seen, names, texts)
+        read = tex.bib_entries(bibs.where("content IS NOT NULL").select("path", "content").distinct().select(F.lit("").alias("root_dir"), F.col("path").alias("bib_path"), "content"))
+        entries = bibs.where("content IS NOT NULL").select("doc_id", F.col("pos").alias("file_ord"), F.col("path").alias("bib_path")).join(read, "bib_path").select("doc_id", "file_ord", "entry_no", "key", "kind", "fields")
+        gone = bibs.where("content IS NULL").join(bbl.where("content IS NOT NULL"), "doc_id", "left_anti").select("doc_id", F.lit("missing-bib").alias("code"), F.col("name").alias("detail"))
+        docs = notes.with_rows(docs, gone)
+    if o.figures:
+        stems = F.array_distinct(F.transform(F.regexp_extract_all("content", F.lit(assets.GRAPHIC), 1), lambda g: F.concat(assets.stem(g), F.lit(o.figure_summary_suffix))))
+        told = _beside(seen, stems, texts).withColumn("stem", F.expr(f"left(name, length(name) - {len(o.figure_summary_suffix)})"))
+        summaries = told.where("content IS NOT NULL").select("doc_id", "stem", strip(F.col("content")).alias("text"))
+        docs = notes.with_rows(docs, told.where("content IS NULL").select("doc_id", F.lit("missing-summary").alias("code"), F.col("stem").alias("detail")))
+    return cleaning.clean_with_notes(docs, o, entries, bbl, summaries)
+
+
+def image_summaries(texts: DataFrame, suffix: str = "_summary.txt") -> DataFrame:
+    """path (of a document, without its extension) and a map of its pictures' summaries,
+    from side files such as ``deck_slide2_image1_summary.txt`` beside it."""
+    named = texts.where(F.col("path").endswith(suffix) & F.col("content").isNotNull()).select(F.expr(f"left(path, length(path) - {len(suffix)})").alias("key"), strip(F.col("content")).alias("text"))
+    # A key of a slide's picture may also be that of a picture in a document named so.
+    owners = [F.regexp_extract("key", rf"^(.*)_{place}$", 1) for place in (r"slide\d+_image\d+", r"image\d+")]
+    own = named.select(F.explode(F.array(*owners)).alias("path"), F.element_at(F.split("key", "/"), -1).alias("key"), "text").where("path <> ''")
+    return own.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("key", "text"))).alias("summaries"))
+
+
+def clean_folder(spark: SparkSession, folder: str, roots: list[str] | DataFrame, options: CleanOptions | None = None, pdf: DataFrame | None = None) -> DataFrame:
+    """path, kind, text and notes of the files of ``folder`` whose names below it are in
+    ``roots`` (a list, or a table with ``path``).
+
+    The kind is chosen by extension.  A LaTeX root sees what it names, below the folder;
+    ``.docx`` and ``.pptx`` are read from their bytes, with the summaries of their pictures
+    beside them, and speaker notes if the options ask for them; ``.pdf`` files get their
+    text from ``pdf`` (path, text; see ``plans.pages``), since no reader of them is part
+    of this engine.  A root that is not there is an error.
+    """
+    o = options or CleanOptions()
+    files = listed(spark, folder)
+    wanted = roots.select("path") if isinstance(roots, DataFrame) else spark.createDataFrame([(r,) for r in roots], "path string")
+    if absent := [r.path for r in wanted.join(files.select("path"), "path", "left_anti").limit(20).collect()]:
         raise FileNotFoundError(", ".join(sorted(absent)))
-    textual = files.where(F.lower(F.regexp_extract("rel_path", r"\.([^./]+)$", 1)).isin("tex", "bib", "bbl", "txt", "sty", "cls", "ltx", "") | F.col("rel_path").endswith(o.figure_summary_suffix))
-    texts = textual.select("rel_path", tex.universal_newlines(tex.decoded(F.col("content"), o.encoding)).alias("content"))
-
-    # A LaTeX root sees the files of its folder and below, named from there.
-    source = tex.universal_newlines(tex.decoded(F.col("content"), o.encoding))
-    docs = found.where("kind = 'tex'").select(F.col("rel_path").alias("doc_id"), source.alias("content"))
-    parts = F.split("rel_path", "/")
-    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.struct(F.array_join(F.slice(parts, 1, i), "/").alias("folder"), F.array_join(F.slice(parts, i + 1, F.size(parts)), "/").alias("name")))
-    seen = texts.select(F.inline(above), "content")
-    folder_of = F.regexp_replace(F.regexp_extract("doc_id", r"^(.*/)?[^/]*$", 1), "/$", "")
-    mine = docs.select("doc_id", folder_of.alias("folder")).join(seen, "folder")
-    is_root = F.col("doc_id") == F.concat(F.when(F.col("folder") != "", F.concat("folder", F.lit("/"))).otherwise(""), "name")
-    project = mine.select(F.col("doc_id").alias("root_dir"), F.col("name").alias("rel_path"), "content", is_root.alias("is_root"))
-    summaries = assets.side_files(project, o.figure_summary_suffix).select(F.col("root_dir").alias("doc_id"), "stem", "text")
-    wanted = docs.select("doc_id", F.array_join(F.regexp_extract_all("content", F.lit(BIBLIOGRAPHY), 1), ",").alias("names")).where("names <> ''")
-    bibs = bibliography.resolve_bibs(wanted, mine.select("doc_id", F.col("name").alias("path")), [""])
-    read = tex.bib_entries(mine.where(F.col("name").endswith(".bib")).select(F.col("doc_id").alias("root_dir"), F.col("name").alias("bib_path"), "content"))
-    entries = bibs.where("path IS NOT NULL").join(read, (F.col("path") == F.col("bib_path")) & (F.col("doc_id") == F.col("root_dir"))).select("doc_id", "file_ord", "entry_no", "key", "kind", "fields")
-    bbl = mine.where(F.concat(F.when(F.col("folder") != "", F.concat("folder", F.lit("/"))).otherwise(""), "name") == F.regexp_replace("doc_id", r"\.[^./]+$", ".bbl")).select("doc_id", F.lit(0).alias("priority"), "content")
-    clean = cleaning.clean_latex(docs, o, files=project, entries=entries, bbl=bbl, summaries=summaries)
-    out = clean.select(F.col("doc_id").alias("path"), F.lit("tex").alias("kind"), F.col("content").alias("text"))
-    office = found.where("kind IN ('docx', 'pptx')").select(F.col("rel_path").alias("path"), "kind", office_markdown(F.col("content"), F.col("rel_path")).alias("text"))
-    out = out.unionByName(office)
-    pages = found.where("kind = 'pdf'").select(F.col("rel_path").alias("path"), "kind")
-    told = pages.withColumn("text", F.lit(None).cast("string")) if pdf is None else pages.join(pdf.select("path", "text"), "path", "left")
-    return out.unionByName(told)
+    found = files.join(wanted.distinct(), "path", "left_semi").withColumn("kind", tex.kind_of(F.col("path")))
+    textual = files.where(extension(F.col("path")).isin(*TEXTUAL) | F.col("path").endswith(o.figure_summary_suffix))
+    rooted = found.where("kind = 'tex'").where(~extension(F.col("path")).isin(*TEXTUAL)).select("path", "content")
+    texts = textual.select("path", "content").unionByName(rooted).select("path", tex.universal_newlines(tex.decoded(F.col("content"), o.encoding)).alias("content"))
+    clean = clean_projects(found.where("kind = 'tex'").select("path"), texts, o)
+    out = clean.select(F.col("doc_id").alias("path"), F.lit("tex").alias("kind"), F.col("content").alias("text"), "notes")
+    office = found.where("kind IN ('docx', 'pptx')").withColumn("_stem", F.regexp_replace("path", r"\.[^./]+$", ""))
+    told = image_summaries(texts, o.figure_summary_suffix).select(F.col("path").alias("_stem"), "summaries")
+    made = office.join(told, "_stem", "left").withColumn("text", office_markdown(F.col("content"), F.col("path"), F.col("summaries"), o.notes))
+    unread = F.array(F.struct(F.lit("unreadable").alias("code"), F.col("path").alias("detail"))).cast(notes.TYPE)
+    out = out.unionByName(made.select("path", "kind", "text", F.when(F.col("text").isNull(), unread).otherwise(notes.none()).alias("notes")))
+    pages = found.where("kind = 'pdf'").select("path", "kind")
+    read = pages.withColumn("text", F.lit(None).cast("string")) if pdf is None else pages.join(pdf.select("path", "text"), "path", "left")
+    return out.unionByName(read.withColumn("notes", notes.none()))
 
 
 def parser() -> argparse.ArgumentParser:
@@ -72,8 +123,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--keep-usepackage", action="store_true")
     p.add_argument("--figure-summary-suffix", default="_summary.txt")
     p.add_argument("--encoding", default="utf-8")
-    p.add_argument("--notes", action="store_true")
-    p.add_argument("-v", "--verbose", action="store_true")
+    p.add_argument("--notes", action="store_true", help="speaker notes of slides")
+    p.add_argument("-v", "--verbose", action="store_true", help="print how many notes of each kind there are")
     return p
 
 
@@ -81,10 +132,13 @@ def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     chosen = {k: v for k, v in vars(a).items() if k not in ("folder", "roots", "output")}
     spark = SparkSession.builder.appName("inkwell").getOrCreate()
+    counts = Observation("notes")
     try:
         out = clean_folder(spark, a.folder, a.roots, CleanOptions(**chosen))
     except FileNotFoundError as e:
         print(f"not found: {e}")
         return 1
-    tex.write_clean(out, a.output)
+    tex.write_clean(notes.observed(out, counts), a.output)
+    if a.verbose:
+        print(", ".join(f"{k}: {v}" for k, v in counts.get.items() if v) or "no notes")
     return 0

@@ -8,6 +8,7 @@ import zipfile
 from itertools import groupby
 from xml.etree import ElementTree as ET
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -213,13 +214,18 @@ def pptx_to_markdown(data: bytes | None, stem: str = "", summaries: dict[str, st
         return None
 
 
-def office_markdown(content: Column, path: Column) -> Column:
-    """Markdown of ``.docx`` and ``.pptx`` files by their paths; null for others."""
+def office_markdown(content: Column, path: Column, summaries: Column | None = None, notes: bool = False) -> Column:
+    """Markdown of ``.docx`` and ``.pptx`` files by their paths; null for others.
+    ``summaries``: a map of the pictures' summaries, keyed by the file's stem and the
+    picture's place; ``notes``: with the speaker notes of slides."""
 
     @F.pandas_udf("string")
-    def convert(data, paths):
-        read = {"docx": docx_to_markdown, "pptx": pptx_to_markdown}
-        stems = paths.map(lambda p: posixpath.splitext(posixpath.basename(p)))
-        return data.combine(stems, lambda d, s: read.get(s[1][1:].lower(), lambda *_: None)(d, s[0]))
-
-    return convert(content, path)
+    def convert(data, paths, told):
+        out = []
+        for d, p, t in zip(data, paths, told, strict=True):
+            stem, ext = posixpath.splitext(posixpath.basename(p))
+            known = dict(t) if t is not None else {}
+            out.append(docx_to_markdown(d, stem, known) if ext.lower() == ".docx" else pptx_to_markdown(d, stem, known, notes) if ext.lower() == ".pptx" else None)
+        return pd.Series(out, dtype="object")
+
+    return convert(content, path, F.create_map().cast("map<string, string>") if summaries is None else summaries)
