@@ -40,22 +40,18 @@ def unmask(text: str, kept: list[str]) -> str:
     return re.sub(f"{kept[0]}(\\d+){kept[0]}", lambda m: kept[int(m[1])], text) if kept else text
 
 
+_SIGNS_OF_GROUPS = {"{": re.compile(r"\\.|[{}]", re.S), "[": re.compile(r"\\.|[\[\]]", re.S)}
+
+
 def group_end(text: str, at: int, opening: str = "{", closing: str = "}") -> int:
     """The place after the group that opens at ``at``; -1 where it has no end."""
-    if at >= len(text) or text[at] != opening:
+    if not text.startswith(opening, at):
         return -1
-    depth, i = 0, at
-    while i < len(text):
-        c = text[i]
-        if c == "\\":
-            i += 1
-        elif c == opening:
-            depth += 1
-        elif c == closing:
-            depth -= 1
-            if not depth:
-                return i + 1
-        i += 1
+    depth = 0
+    for m in _SIGNS_OF_GROUPS[opening].finditer(text, at):
+        depth += (m[0] == opening) - (m[0] == closing)
+        if not depth:
+            return m.end()
     return -1
 
 
