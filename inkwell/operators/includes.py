@@ -189,7 +189,13 @@ def reached(roots: DataFrame, files: DataFrame) -> DataFrame:
 def _flattened_root(roots, files):
     import pandas as pd
 
-    rows = [flatten({f["path"]: f["content"] for f in own}, r, posixpath.dirname(r)) for r, own in zip(roots, files, strict=True)]
+    def of(own) -> dict:
+        last = {}
+        for f in own:
+            last[f["path"]] = max(last.get(f["path"]) or "", f["content"]) if f["content"] is not None else last.get(f["path"])
+        return last
+
+    rows = [flatten(of(own), r, posixpath.dirname(r)) for r, own in zip(roots, files, strict=True)]
     return pd.DataFrame(rows, columns=["content", "diagnostics"])
 
 
@@ -200,8 +206,7 @@ def flatten_roots(roots: DataFrame, files: DataFrame) -> DataFrame:
     root reaches meet in its row.  A root that is not among the files gives no row; of
     files with one path the last by content counts.
     """
-    texts = files.groupBy("path").agg(F.max("content").alias("content"))
-    pairs = reached(roots, texts).join(texts, "path")
+    pairs = reached(roots, files).join(files.select("path", "content"), "path")
     whole = pairs.groupBy("root").agg(F.collect_list(F.struct("path", "content")).alias("files"))
     flat = whole.select(F.col("root").alias("path"), _flattened_root("root", "files").alias("flat"))
     return flat.select("path", "flat.content", notes.parsed(F.col("flat.diagnostics")).alias("notes"))

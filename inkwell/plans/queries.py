@@ -642,18 +642,17 @@ def _plain(spark, d):
 _SQL_PLAIN = f"(SELECT doc_id, 'a' || regexp_replace(regexp_replace(coalesce(text, ''), '{Lines.sql_marks}', ' ', 'g'), chr(10) || '{{3,}}', chr(10) || chr(10), 'g') || 'z' AS text, source FROM documents)"
 
 
-@query(f"""WITH p AS {_SQL_PLAIN}, n AS (SELECT *, count(*) OVER (PARTITION BY doc_id // 2) AS n FROM p)
-SELECT a.doc_id, string_agg('S-' || b.source || chr(10) || b.text, chr(10) ORDER BY (b.doc_id - a.doc_id + a.n) % a.n) || chr(10) || chr(92) || 'input{{d' || a.doc_id || '}}' AS content,
-'cycle:d' || a.doc_id AS note FROM n a JOIN n b ON a.doc_id // 2 = b.doc_id // 2 GROUP BY a.doc_id""".replace("{{", "{").replace("}}", "}").replace("{3,}", "{3,}"))
+@query(f"""WITH p AS {_SQL_PLAIN}, n AS (SELECT *, count(*) OVER (PARTITION BY doc_id // 2) AS n, doc_id + 1 - 2 * (doc_id % 2) AS other FROM p)
+SELECT a.doc_id, string_agg('S-' || b.source || chr(10) || b.text, chr(10) ORDER BY b.doc_id <> a.doc_id) || chr(10) || chr(92) || 'input{{d' || CASE WHEN a.n = 1 THEN a.other ELSE a.doc_id END || '}}' AS content,
+CASE WHEN a.n = 1 THEN 'not-found:d' || a.other ELSE 'cycle:d' || a.doc_id END AS note FROM n a JOIN n b ON a.doc_id // 2 = b.doc_id // 2 GROUP BY a.doc_id, a.n, a.other""".replace("{{d", "{d").replace("}}'", "}'"))
 def include_reach(spark, d):
     # All roots lie in one folder; each leads to its neighbour, a file that many share,
     # and back to itself.
-    docs = _plain(spark, d).withColumn("pair", F.expr("doc_id div 2"))
-    pairs = docs.groupBy("pair").agg(F.max("doc_id").alias("last"), F.min("doc_id").alias("first"))
-    other = F.when(F.col("doc_id") == F.col("first"), F.col("last")).otherwise(F.col("first"))
-    files = docs.join(pairs, "pair").select("doc_id", F.concat(L("d"), "doc_id", L(".tex")).alias("path"), F.concat(L("\\input{shared/"), "source", L("}\n"), "text", L("\n\\input{d"), other, L("}")).alias("content"))
+    docs = _plain(spark, d)
+    other = F.col("doc_id") + 1 - 2 * (F.col("doc_id") % 2)
+    files = docs.select(F.concat(L("d"), "doc_id", L(".tex")).alias("path"), F.concat(L("\\input{shared/"), "source", L("}\n"), "text", L("\n\\input{d"), other, L("}")).alias("content"))
     shared = docs.select("source").distinct().select(F.concat(L("shared/"), "source", L(".tex")).alias("path"), F.concat(L("S-"), "source").alias("content"))
-    flat = includes.flatten_roots(files.select("path"), files.select("path", "content").unionByName(shared))
+    flat = includes.flatten_roots(files.select("path"), files.unionByName(shared))
     return flat.select(F.regexp_extract("path", r"\d+", 0).cast("long").alias("doc_id"), "content", F.array_join(N.texts(F.col("notes")), ",").alias("note"))
 
 
@@ -662,7 +661,7 @@ _DEPTH = [f"m{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60)]
 
 @query(f"WITH p AS {_SQL_PLAIN} SELECT doc_id, repeat('<', {len(_DEPTH)}) || text || repeat('>', {len(_DEPTH)}) AS content FROM p")
 def macro_chain(spark, d):
-    """Sixty macros, each of which uses the next one on its argument."""
+    """A chain of macros, each of which uses the next one on its argument."""
     steps = "".join(f"\\newcommand{{\\{a}}}[1]{{<{f'{chr(92)}{b}{{#1}}' if b else '#1'}>}}\n" for a, b in zip(_DEPTH, [*_DEPTH[1:], None], strict=True))
     docs = _plain(spark, d).withColumn("content", F.concat(L(f"{steps}\\{_DEPTH[0]}{{"), "text", L("}")))
     return docs.select("doc_id", latex.expand_macros(F.col("content")).alias("content"))
