@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import notes
 from ..functions.paths import below, extension, folder_of
 from ..functions.text import strip, strip_line_comments
+from ..lineage import cut
 from ..operators import assets, bibliography, includes
 from ..options import CleanOptions
 from ..sources import tex
@@ -52,23 +54,26 @@ def clean_projects(roots: DataFrame, texts: DataFrame, options: CleanOptions | N
         docs = includes.flatten_roots(roots, texts).select(F.col("path").alias("doc_id"), "content", "notes")
     else:
         docs = texts.join(roots.select("path").distinct(), "path", "left_semi").select(F.col("path").alias("doc_id"), "content", notes.none().alias("notes"))
+    docs = cut(docs)  # read by every stage below
     entries = bbl = summaries = None
+    missing = []
     seen = docs.select("doc_id", strip_line_comments(F.col("content")).alias("content"))
     if o.bibliography:
         own = docs.select("doc_id", F.regexp_replace("doc_id", r"\.[^./]+$", ".bbl").alias("path"))
-        bbl = own.join(texts, "path").select("doc_id", F.lit(0).alias("priority"), "content")
+        bbl = own.join(texts.where("path LIKE '%.bbl'"), "path").select("doc_id", F.lit(0).alias("priority"), "content")
         names = F.transform(F.split(F.array_join(F.regexp_extract_all("content", F.lit(BIBLIOGRAPHY), 1), ","), ","), lambda x: F.trim(x))
         names = F.transform(F.filter(names, lambda n: n != ""), lambda n: F.when(n.endswith(".bib"), n).otherwise(F.concat(n, F.lit(".bib"))))
-        bibs = _beside(seen, names, texts)
+        bibs = _beside(seen, names, texts.where("path LIKE '%.bib'"))
         read = tex.bib_entries(bibs.where("content IS NOT NULL").select("path", "content").distinct().select(F.lit("").alias("root_dir"), F.col("path").alias("bib_path"), "content"))
         entries = bibs.where("content IS NOT NULL").select("doc_id", F.col("pos").alias("file_ord"), F.col("path").alias("bib_path")).join(read, "bib_path").select("doc_id", "file_ord", "entry_no", "key", "kind", "fields")
-        gone = bibs.where("content IS NULL").join(bbl.where("content IS NOT NULL"), "doc_id", "left_anti").select("doc_id", F.lit("missing-bib").alias("code"), F.col("name").alias("detail"))
-        docs = notes.with_rows(docs, gone)
+        missing.append(bibs.where("content IS NULL").join(bbl.where("content IS NOT NULL"), "doc_id", "left_anti").select("doc_id", F.lit("missing-bib").alias("code"), F.col("name").alias("detail")))
     if o.figures:
         stems = F.array_distinct(F.transform(F.regexp_extract_all("content", F.lit(assets.GRAPHIC), 1), lambda g: F.concat(assets.stem(g), F.lit(o.figure_summary_suffix))))
-        told = _beside(seen, stems, texts).withColumn("stem", F.expr(f"left(name, length(name) - {len(o.figure_summary_suffix)})"))
+        told = _beside(seen, stems, texts.where(F.col("path").endswith(o.figure_summary_suffix))).withColumn("stem", F.expr(f"left(name, length(name) - {len(o.figure_summary_suffix)})"))
         summaries = told.where("content IS NOT NULL").select("doc_id", "stem", strip(F.col("content")).alias("text"))
-        docs = notes.with_rows(docs, told.where("content IS NULL").select("doc_id", F.lit("missing-summary").alias("code"), F.col("stem").alias("detail")))
+        missing.append(told.where("content IS NULL").select("doc_id", F.lit("missing-summary").alias("code"), F.col("stem").alias("detail")))
+    if missing:
+        docs = notes.with_rows(docs, reduce(DataFrame.unionAll, missing))
     return cleaning.clean_with_notes(docs, o, entries, bbl, summaries)
 
 
