@@ -1,10 +1,11 @@
-"""Best-fit packing of token sequences in two levels.
+"""Hierarchical best-fit packing of token sequences.
 
 Every input partition packs its own pieces by best fit and emits the nearly full
-sequences.  The pieces of its underfull ones are left over.  All partitions' left-over
-pieces are then packed together: best fit needs their sizes only, so it runs over how
-many there are of each size, and each piece finds its place by its rank in its size.
-No piece is closed early, and no partition holds the pieces of all others.
+sequences.  The underfull ones go on as items of their own, a size and an id each; one
+that has much room left is taken apart again first, as its pieces fit in more places.
+The items of ``fan_in`` partitions meet and are packed again by best fit, then those of as
+many groups, up a tree, until all have met.  What becomes full on the way is emitted.  At
+the end every piece finds its sequence and offset by the merges on its path.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import slices, stored
@@ -25,20 +26,22 @@ from .tokens import encoder
 
 @dataclass(frozen=True)
 class Packing:
-    """``full``: from this length on a sequence is emitted by its partition, which
-    packs ``at_once`` items at a time.  ``fan_in`` is accepted and without effect:
-    all left-over pieces meet in one round."""
+    """``full``: from this length on a sequence is emitted.  ``solid``: from this share of
+    the length on an underfull one is one item.  ``fan_in`` groups meet in a round.  ``at_once`` items are packed together: a group with more of them deals
+    them out at random, so that every part has all sizes and complements still meet."""
 
     length: int = 1024
     full: int = 1022
+    solid: float = 0.875
     fan_in: int = 16
     at_once: int = 200_000
 
 
-ROW = pa.schema([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("origin", pa.int32()), ("open", pa.bool_())])
-SCHEMA = "piece int, start long, length long, ids_crc32 long, ids binary, sequence_id long, offset long, origin int, open boolean"
-#: Bits of a key that hold a piece's rank; the bits above hold its size.
-_RANK = 44
+ROW = pa.schema([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("open", pa.bool_())])
+SCHEMA = "piece int, start long, length long, ids_crc32 long, ids binary, sequence_id long, offset long, open boolean"
+#: Bits of a sequence's id below its partition; bits of a key that hold an item's rank
+#: below its size.
+_ORIGIN, _RANK = 31, 44
 
 
 def best_fit(sizes: list[int], length: int) -> list[list[int]]:
@@ -95,42 +98,40 @@ def best_fit_counts(counts: dict[int, int], length: int) -> list[tuple[int, int,
 
 
 class _Packer:
-    """Packs a partition's pieces and writes out rows: of full sequences, and of the
-    pieces left over, with their rank among those of their size as sequence_id."""
+    """Packs a partition's pieces and writes out rows; ``open`` are those of underfull
+    sequences."""
 
     def __init__(self, opts: Packing):
         self.o, self.origin, self.id_type = opts, TaskContext.get().partitionId(), pa.null()
-        self.next_id = self.origin << 31
+        self.next_id = self.origin << _ORIGIN
         self.items: list[tuple] = []
-        self.ranks: dict[int, int] = {}
         self.rows: list[tuple] = []
 
     def add(self, piece: tuple) -> None:
         if piece[3] >= self.o.full:
-            self._emit([piece])
+            self._emit([piece], False)
             return
         self.items.append(piece)
         if len(self.items) >= self.o.at_once:
             self.pack()
 
-    def _emit(self, pieces: list[tuple]) -> None:
-        self.next_id += 1
+    def _emit(self, pieces: list[tuple], is_open: bool) -> None:
         at = 0
         for p in pieces:
-            self.rows.append((*p, self.next_id, at, self.origin, False))
+            self.rows.append((*p, self.next_id, at, is_open))
             at += p[3]
+        self.next_id += 1
 
     def pack(self) -> None:
         items, self.items = self.items, []
         for group in best_fit([p[3] for p in items], self.o.length):
             pieces = [items[i] for i in group]
-            if sum(p[3] for p in pieces) >= self.o.full:
-                self._emit(pieces)
-                continue
-            for p in pieces:
-                rank = self.ranks.get(p[3], 0)
-                self.ranks[p[3]] = rank + 1
-                self.rows.append((*p, rank, 0, self.origin, True))
+            n = sum(p[3] for p in pieces)
+            if n >= self.o.solid * self.o.length:
+                self._emit(pieces, n < self.o.full)
+            else:
+                for p in pieces:
+                    self._emit([p], True)
 
     def batches(self) -> Iterator[pa.RecordBatch]:
         rows, self.rows = self.rows, []
@@ -139,6 +140,75 @@ class _Packer:
             yield pa.RecordBatch.from_arrays([pa.array(ids, self.id_type), *[pa.array(c, f.type) for c, f in zip(cols, ROW, strict=True)]], ["doc_id", *ROW.names])
 
 
+def merged(ids: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Items packed by best fit: their ids and sizes, the id of the item that each one's
+    sequence begins with, their offsets there, and the sequences' sizes.  The order of the items
+    given makes no difference."""
+    order = np.lexsort((ids, -sizes))
+    ids, sizes = ids[order], sizes[order]
+    first = np.flatnonzero(np.concatenate(([True], np.diff(sizes) != 0)))
+    n = np.diff(np.append(first, len(sizes)))
+    runs = best_fit_counts(dict(zip(sizes[first].tolist(), n.tolist(), strict=True)), length)
+    size, rank, each, sequence, offset = np.array(sorted(runs), np.int64).reshape(-1, 5).T
+    own = np.arange(len(sizes)) - np.repeat(first, n)
+    run = np.searchsorted((size << _RANK) | rank, (sizes << _RANK) | own, "right") - 1
+    own -= rank[run]
+    at, into = offset[run] + own % each[run] * sizes, sequence[run] + own // each[run]
+    head = np.zeros(into.max(initial=-1) + 1, np.int64)
+    head[into[at == 0]] = ids[at == 0]
+    return ids, sizes, head[into], at, np.bincount(into, sizes).astype(np.int64)[into]
+
+
+MERGE = "sequence long, size long, parent long, at long, whole long"
+
+
+def merge_round(open_: DataFrame, groups: int, o: Packing) -> DataFrame:
+    """One round over underfull sequences (sequence, size): where each goes, MERGE.
+    Those of ``groups`` neighbouring partitions meet."""
+    parts = int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grouped = open_.withColumn("group", F.shiftright("sequence", _ORIGIN).cast("long") / groups).withColumn("group", F.floor("group"))
+    most = grouped.groupBy("group").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
+    dealt = grouped.withColumn("part", F.pmod(F.xxhash64("sequence"), F.lit(-(-most // o.at_once))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def done() -> pa.RecordBatch:
+            columns = merged(*(np.concatenate(c) for c in zip(*held, strict=True)), o.length)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["sequence", "size", "parent", "at", "whole"])
+
+        for b in batches:
+            group, part, ids, sizes = (b.column(c).to_numpy() for c in ("group", "part", "sequence", "size"))
+            edges = np.flatnonzero((np.diff(group) != 0) | (np.diff(part) != 0)) + 1
+            for a, z in zip((0, *edges), (*edges, len(ids)), strict=True):
+                if z > a and (group[a], part[a]) != now:
+                    if held:
+                        yield done()
+                    now, held = (group[a], part[a]), []
+                held.append((ids[a:z], sizes[a:z]))
+        if held:
+            yield done()
+
+    by_group = dealt.repartition(parts, "group", "part").sortWithinPartitions("group", "part")
+    return by_group.select("group", "part", "sequence", "size").mapInArrow(run, MERGE)
+
+
+def merge_tree(open_: DataFrame, partitions: int, o: Packing) -> DataFrame:
+    """sequence, parent and at: where each underfull sequence (sequence, size) ends up.
+    Every round is written to the shared folder."""
+    open_ = stored(open_, "open")
+    path, now, groups = open_.select("sequence", F.col("sequence").alias("parent"), F.lit(0).cast("long").alias("at")), open_, 1
+    while groups == 1 or groups < partitions:
+        groups *= o.fan_in
+        step = stored(merge_round(now, groups, o), "merges")
+        solid = (F.col("whole") >= o.solid * o.length) | F.lit(groups >= partitions)  # the last round decides
+        head = step.where(solid & (F.col("at") == 0) & (F.col("whole") < o.full)).select("sequence", F.col("whole").alias("size"))
+        now = head.unionAll(step.where(~solid).select("sequence", "size"))
+        moved = step.where(solid & (F.col("sequence") != F.col("parent"))).select(F.col("sequence").alias("_from"), F.col("parent").alias("_to"), F.col("at").alias("_more"))
+        path = path.join(moved, F.col("parent") == F.col("_from"), "left").select("sequence", F.coalesce("_to", "parent").alias("parent"), (F.col("at") + F.coalesce("_more", F.lit(0))).alias("at"))
+    return path
+
+
 def pieces_of(ids: bytes, length: int) -> Iterator[tuple[int, int, bytes]]:
     """Number, start and ids of a document's pieces: all of ``length`` ids, but the
     first, which takes what is over."""
@@ -174,23 +244,10 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int, opts: Packing
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     found = stored(docs.select("doc_id", "text").mapInArrow(local, f"doc_id {id_type}, {SCHEMA}"), "packing")
-    left = found.where("open")
-    counts = left.groupBy("length", "origin").agg(F.count("*").alias("n"))
-    runs = best_fit_counts({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, o.length)
-    size, rank, each, sequence, offset = np.array(sorted(runs), np.int64).reshape(-1, 5).T
-    key = (size << _RANK) | rank
-
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Left-over pieces with their sequence and offset."""
-        for b in batches:
-            n, at = b.column("length").to_numpy(), b.column("sequence_id").to_numpy() + b.column("before").to_numpy()
-            run = np.searchsorted(key, (n << _RANK) | at, "right") - 1
-            at = at - rank[run]
-            new = {"sequence_id": (1 << 57) | (sequence[run] + at // each[run]), "offset": offset[run] + at % each[run] * n}
-            names = ["doc_id", *ROW.names[:-2]]
-            yield pa.RecordBatch.from_arrays([pa.array(new[c]) if c in new else b.column(c) for c in names], names)
-
-    # A piece's rank among all of its size: those of the partitions before, and its own.
-    before = counts.select("length", "origin", (F.sum("n").over(Window.partitionBy("length").orderBy("origin")) - F.col("n")).alias("before"))
-    kept = found.where("NOT open").drop("origin", "open")
-    return kept.unionAll(left.join(before, ["length", "origin"]).mapInArrow(placed, kept.schema))
+    open_ = found.where("open").groupBy(F.col("sequence_id").alias("sequence")).agg(F.sum("length").alias("size"))
+    last = found.agg(F.max(F.shiftright("sequence_id", _ORIGIN))).first()[0]
+    path = merge_tree(open_, (last or 0) + 1, o)
+    kept = found.where("NOT open").drop("open")
+    left = found.where("open").join(path, F.col("sequence_id") == F.col("sequence"))
+    moved = left.withColumns({"sequence_id": F.col("parent"), "offset": F.col("offset") + F.col("at")})
+    return kept.unionAll(moved.select(*kept.columns))

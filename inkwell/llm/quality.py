@@ -189,11 +189,14 @@ def score_quality(docs: DataFrame, rules: Rules | None = None, text: str = "text
 
 
 def keep_quality(docs: DataFrame, rules: Rules | None = None, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with the columns of ``docs``."""
-    # The row number keeps the filter above the projections: pushed below, every use
-    # of a verdict's inputs would be written out and computed again.
-    scored = score_quality(docs, rules, text).withColumn("_quality_row", F.monotonically_increasing_id())
-    return scored.where("kept AND _quality_row >= 0").select(*docs.columns)
+    """The rows of ``docs`` that the rules keep, with its columns as they are, whatever
+    their names.  A null text goes; an empty table stays empty."""
+    # A row's own columns stay inside one struct, apart from the names used here.  The row
+    # number keeps the filter above the projections: pushed below, every use of a verdict's
+    # inputs would be written out and computed again.
+    rows = docs.select(F.struct("*").alias("own")).withColumn("text", F.col("own").getField(text))
+    scored = score_quality(rows, rules).withColumn("row", F.monotonically_increasing_id())
+    return scored.where("kept AND row >= 0").select("own.*")
 
 
 def _shares(x: tuple[float, ...]) -> list[float]:
@@ -214,6 +217,8 @@ def oracle(rules: Rules | None = None) -> str:
     by_word = ", ".join(js(f"list_concat({share(r)}, [greatest(0::DOUBLE, 1 - list_sum({share(r)}))])", arr([*r.words.values(), 1 - sum(r.words.values())])) for r in rules.references.values())
     common = sorted({w for r in rules.references.values() for w in r.words})
     forms = quoted(sorted({*common, *(w.capitalize() for w in common)}))
+    short = f"(length(t) < {rules.min_chars} OR n_words < {rules.min_judged_words})"
+    short_for_classes = short if rules.min_class_words is None else f"n_words < {rules.min_class_words}"
     count = lambda c: f"length(regexp_replace(t, '[^{c}]', '', 'g'))"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
@@ -232,6 +237,6 @@ c AS (SELECT *, list_transform(list_concat(c6, [length(t) - list_sum(c6)]), lamb
   n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.max_repeat_percent} * n_words AS base_failed FROM b),
 e AS (SELECT *, least({by_class}) AS cd, least({by_word}) AS wd FROM c)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND (length(t) < {rules.min_chars} OR n_words < {rules.min_judged_words}
-    OR (cd <= {rules.max_class_distance} AND wd <= {rules.max_word_distance} AND cd + wd <= {rules.max_distance_sum})) AS kept
+  NOT base_failed AND ({short_for_classes} OR cd <= {rules.max_class_distance})
+    AND ({short} OR (wd <= {rules.max_word_distance} AND cd + wd <= {rules.max_distance_sum})) AS kept
 FROM e"""

@@ -22,7 +22,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return quality.score_quality(docs).select("doc_id", *quality.BASE)
+    return quality.score_quality(docs, quality.CLASSES_JUDGED).select("doc_id", *quality.BASE)
 
 
 def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,4 +97,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality.oracle(), "op3_warc_revisits": OP3_SQL, "op11_hard_negatives": negatives.oracle(), "op13_fill_in_middle": middle.oracle()}
+    return {"op1_quality_rules": quality.oracle(quality.CLASSES_JUDGED), "op3_warc_revisits": OP3_SQL, "op11_hard_negatives": negatives.oracle(), "op13_fill_in_middle": middle.oracle()}

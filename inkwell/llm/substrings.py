@@ -24,6 +24,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import hashing
 from .shared import slices, stored
@@ -380,7 +381,9 @@ def _cut(rows: list[tuple]) -> pa.RecordBatch:
 def _with_spans(docs: DataFrame, opts: Matching) -> DataFrame:
     """own (a struct of all columns), text and spans for every row of ``docs``.  Rows
     with one id and different texts are told apart by a hash of the text."""
-    keyed = docs.select(F.struct(*docs.columns).alias("own"), F.col("doc_id").cast("long").alias("doc_id"), F.expr("cast(xxhash64(text) & 2147483647 AS int)").alias("row"), "text")
+    if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        raise TypeError(f"doc_id is {docs.schema['doc_id'].dataType.simpleString()}, not a whole number")
+    keyed = docs.select(F.struct("*").alias("own"), F.col("doc_id").cast("long").alias("doc_id"), F.expr("cast(xxhash64(text) & 2147483647 AS int)").alias("row"), "text")
     found = find_repeats(keyed.select("doc_id", "row", "text"), opts).groupBy(F.col("doc_id").alias("doc"), F.col("row").alias("r")).agg(F.collect_list(F.struct("start", "runs")).alias("spans"))
     return keyed.join(found.hint("shuffle_merge"), (F.col("doc_id") == F.col("doc")) & (F.col("row") == F.col("r")), "left").select("own", "text", "spans")
 
@@ -430,7 +433,7 @@ def without_repeats(docs: DataFrame, opts: Matching | None = None) -> DataFrame:
     """``docs`` with repeated runs cut out of ``text``, all its columns kept, whatever
     their names.
 
-    As in ``remove_repeats``; where a cut goes through a character its remaining
+    As in ``remove_repeats``, so doc_id is a whole number, else it is an error; where a cut goes through a character its remaining
     bytes are dropped.  A null text stays null.  n_chars, where there is one, follows
     the new text.  Repeated rows stay as many as they are; an empty table stays empty.
     """

@@ -90,8 +90,9 @@ def grow(lines: list[str], agree: int) -> list[int]:
     return out
 
 
-def drop_templates(docs: DataFrame, tree: Tree | None = None) -> DataFrame:
-    """``docs`` with recurring lines dropped from ``text``; adds n_lines and n_dropped.
+def drop_templates(docs: DataFrame, tree: Tree | None = None, counts: bool = True) -> DataFrame:
+    """``docs`` with recurring lines dropped from ``text``; with ``counts``, adds n_lines
+    and n_dropped.
 
     Lines are split at line feeds and joined by them again.  A null text stays null
     and a text without recurring lines stays as it is, empty ones included.  A row
@@ -99,14 +100,14 @@ def drop_templates(docs: DataFrame, tree: Tree | None = None) -> DataFrame:
     lose the same lines, but that the smallest doc_id of a template keeps its lines
     (with ``copies_keep``, so do rows with the same text).  An empty table stays empty.
     Other columns stay, whatever their names, and n_chars, where there is one, follows
-    the new text; a column named n_lines or n_dropped is replaced.
+    the new text; with ``counts``, a column named n_lines or n_dropped is replaced.
     """
     o, spark = tree or Tree(), docs.sparkSession
     least = max(1, o.least_tokens)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     # A row's own columns stay inside one struct, apart from the names used here.
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), "text")
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), "text")
     known = keyed.where("id IS NOT NULL AND text IS NOT NULL").select("id", "hash", "text")
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,8 +188,9 @@ def drop_templates(docs: DataFrame, tree: Tree | None = None) -> DataFrame:
     split = F.split("text", "\n")
     kept = F.array_join(F.filter(split, lambda x, k: ~F.array_contains("drop", k)), "\n")
     new = {c: F.col("row").getField(c) for c in docs.columns}
-    new["n_lines"] = F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long")
-    new["n_dropped"] = F.coalesce(F.when(F.col("drop").isNotNull(), F.size("drop")), F.lit(0)).cast("long")
+    if counts:
+        new["n_lines"] = F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long")
+        new["n_dropped"] = F.coalesce(F.when(F.col("drop").isNotNull(), F.size("drop")), F.lit(0)).cast("long")
     new["text"] = F.when(F.col("drop").isNull(), F.col("text")).otherwise(kept)
     out = out.select(*[v.alias(c) for c, v in new.items()])
     if "n_chars" in docs.columns:

@@ -59,10 +59,9 @@ def _stretches(text: str) -> Iterator[str]:
 
 
 class Encoder:
-    """Ids of whole texts as little-endian unsigned 32-bit numbers.  ``most_words`` is
-    accepted and without effect: no words are kept."""
+    """Ids of whole texts as little-endian unsigned 32-bit numbers."""
 
-    def __init__(self, path: str, most_words: int | None = None):
+    def __init__(self, path: str):
         import tiktoken
         from tokenizers import Tokenizer
 

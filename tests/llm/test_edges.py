@@ -1,5 +1,6 @@
 """Repeated ids, wordless texts, other id types and plain libraries."""
 
+import hashlib
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from inkwell.llm import packing, pieces, planes, quality, shared, similar, tokens, toxicity, warc
+from inkwell.llm import fingerprints, packing, pieces, planes, quality, shared, similar, substrings, tokens, toxicity, warc
 from inkwell.llm.queries import vocabulary
 
 from test_operators import prose
@@ -169,3 +170,64 @@ def test_passing_folders_go(spark, tmp_path):
         assert inside.count() == 3 and Path(path).exists()
     assert not Path(path).parent.exists()
     assert shared.stored(df.where(F.col("id") > 0), "stays").count() == 2
+
+
+def test_ordered_operators_take_ids_of_any_type(spark):
+    rows = [(f"k{i:02}", prose(i, 20 + i)) for i in range(30)] + [(None, prose(99)), ("k05", "twice"), ("é", ""), ("Z", None)]
+    df = spark.createDataFrame(rows, "doc_id string, text string").repartition(5)
+    there = sorted(rows, key=lambda r: (r[0] is not None, (r[0] or "").encode(), r[1] or ""))
+    enc, want, at = tokens.encoder(vocabulary("word_bpe_49k.json")), [], 0
+    for i, t in there:
+        ids = enc.encode(t) + (1).to_bytes(4, "little")
+        want.append((i, at, len(ids) // 4, zlib.crc32(ids)))
+        at += len(ids) // 4
+    files = planes.write_token_files(df, vocabulary("word_bpe_49k.json"), 1)
+    got = planes.read_token_files(files, "string").select("doc_id", "start", "n_tokens", "ids_crc32").collect()
+    assert sorted(map(tuple, got), key=lambda r: r[1]) == want
+    marks = {(r.doc_id, r.fingerprint, r.edited_sha256) for r in fingerprints.compare_with_edits(df).collect()}
+    texts = [t or "" for _, t in there]
+    edited = [t[: len(t) - len(t) // 4] + after[: len(t) // 4] for t, after in zip(texts, [*texts[1:], texts[0]], strict=True)]
+    opts = fingerprints.Syncmers()
+    assert marks == {(i, fingerprints.sketch(t, opts).hex(), hashlib.sha256(e.encode()).hexdigest()) for (i, _), t, e in zip(there, texts, edited, strict=True)}
+
+
+def test_repeats_need_whole_numbers(spark):
+    df = spark.createDataFrame([("a", "x")], "doc_id string, text string")
+    for f in (substrings.remove_repeats, substrings.without_repeats):
+        with pytest.raises(TypeError):
+            f(df)
+
+
+@pytest.mark.parametrize("rules", [quality.Rules(), quality.CLASSES_JUDGED, quality.Rules(min_class_words=60, max_class_distance=0.1)])
+def test_the_oracle_follows_every_guard(spark, rules):
+    import duckdb
+
+    rows = [(i, " ".join(prose(i, 40 + i).split()[: 40 + i]) if i % 3 else "#$ %| " * i + prose(i, 60)) for i in range(70)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    documents = frame.toPandas()  # noqa: F841 - DuckDB reads it by its name
+    want = {r[0]: r[1] for r in duckdb.sql(f"SELECT doc_id, kept FROM ({quality.oracle(rules)})").fetchall()}
+    got = {r.doc_id: r.kept for r in quality.score_quality(frame, rules).collect()}
+    assert got == want and len(set(got.values())) == 2
+
+
+def test_the_tree_packs_as_best_fit_does(spark):
+    rng = np.random.default_rng(5)
+    for n, length in ((1, 16), (400, 64), (3000, 1024)):
+        sizes = rng.integers(1, length, n)
+        ids, _, parent, at, whole = packing.merged(rng.permutation(n), sizes, length)
+        held = {}
+        for i, p, a, w in zip(ids.tolist(), parent.tolist(), at.tolist(), whole.tolist(), strict=True):
+            held.setdefault(p, []).append((a, w, i))
+        assert len(held) == len(packing.best_fit(sizes.tolist(), length)) and all(min(x)[2] == p and min(x)[0] == 0 for p, x in held.items())
+    for opts in (packing.Packing(length=64, full=60, fan_in=2), packing.Packing(length=64, full=64, fan_in=3, at_once=40)):
+        many = [((origin << 31) | k, int(rng.integers(1, 60))) for origin in range(11) for k in range(rng.integers(0, 30))]
+        size = dict(many)
+        path = packing.merge_tree(spark.createDataFrame(many, "sequence long, size long").repartition(3), 11, opts).collect()
+        assert {r.sequence for r in path} == set(size)
+        into = {}
+        for r in path:
+            into.setdefault(r.parent, []).append((r.at, size[r.sequence]))
+        for parts in into.values():
+            ends = [0, *(a + n for a, n in sorted(parts))]
+            assert [a for a, _ in sorted(parts)] == ends[:-1] and ends[-1] <= 64
+        assert len(into) <= 1.12 * -(-sum(size.values()) // 64) + 2

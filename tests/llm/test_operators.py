@@ -154,7 +154,7 @@ def test_short_and_unspaced_lines_recur(spark):
 
 @pytest.mark.parametrize("name, end", [("byte_bpe_50k.json", 2), ("word_bpe_49k.json", 1)])
 def test_tokens(docs, name, end):
-    enc = tokens.Encoder(vocabulary(name), most_words=3)
+    enc = tokens.Encoder(vocabulary(name))
     texts = [t for _, t in pairs(docs)] + ["a  b\n c", " x", "it's İ́ 1²½", "<|endoftext|>"]
     for t in texts:
         assert np.frombuffer(enc.encode(t), "<u4").tolist() == (enc.library.encode(t, add_special_tokens=False).ids if t else [])

@@ -84,3 +84,17 @@ def test_empty_tables_and_other_columns(spark, documents):
             assert out.columns == docs.columns, name
             assert (out.count() > 0) == (docs.count() > 0)
         assert (corpus_pipeline.STAGES[-1][1](spark, docs, "").count() > 0) == (docs.count() > 0)
+
+
+NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed", "kept", "row", "n_lines", "n_dropped", "id", "hash", "drop", "spans", "changed", "first", "_quality_text", "_quality_row", "a.b", "doc", "r"]
+
+
+def test_columns_of_any_name_come_through_every_stage(spark, documents):
+    docs = spark.createDataFrame([(*d, *(f"{n}{d[0]}" for n in NAMES)) for d in documents], SCHEMA + "".join(f", `{n}` string" for n in NAMES)).repartition(3)
+    for name, f in corpus_pipeline.STAGES[:-1]:
+        out = f(spark, docs, "")
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r[n] == f"{n}{r.doc_id}" for r in rows for n in NAMES), name
+        docs = out
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count()
