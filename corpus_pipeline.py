@@ -24,7 +24,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines whose template recurs in a few texts; the first of
     them and its copies keep theirs.  Null and empty texts stay, as do rows without an
     id; an empty table stays empty."""
-    return templates.drop_templates(docs, templates.FEW_TEXTS).select(*docs.columns)
+    return templates.drop_templates(docs, templates.FEW_TEXTS, counts=False)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     an empty table stays empty."""
     groups = similar.similar_components(docs, similar.Likeness(words=5, percent=80))
     first = groups.where("doc_id = component_id OR doc_id IS NULL").select(F.col("doc_id").alias("first")).distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("own"))  # its columns' names stay apart
+    rows = docs.select(F.struct("*").alias("own"))  # its columns' names stay apart
     kept = rows.join(first.hint("shuffle_merge"), F.col("own.doc_id").eqNullSafe(F.col("first")), "left_semi")
     return kept.select("own.*")
 
@@ -43,7 +43,7 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """All documents, without the bytes of passages that earlier ones hold.  What a
     cut through a character leaves of it is dropped.  Null texts stay null; rows without
     an id lose nothing; rows that repeat an id lose nothing to each other; an empty
-    table stays empty."""
+    table stays empty.  An id that is no whole number is an error."""
     return substrings.without_repeats(docs)
 
 
