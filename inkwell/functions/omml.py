@@ -1,136 +1,160 @@
-"""Office math markup to LaTeX."""
+"""Office math markup to LaTeX, natively: one fold over the XML's tags with a stack.
+
+The XML is cut into tags and texts.  A tag that opens puts a frame on the stack; one that
+closes takes the frame off, writes its element by the rule for its name from the parts
+that its children left there, and leaves the result with the frame below.  So every
+element is written once, after its children.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from xml.etree import ElementTree as ET
 
-from .text import math_characters
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from .text import normalize_math
 
 #: Operators, accents, delimiters and function names.
 OPERATORS = {"∑": "\\sum", "∏": "\\prod", "∫": "\\int", "∬": "\\iint", "∭": "\\iiint", "∮": "\\oint", "⋀": "\\bigwedge", "⋁": "\\bigvee", "⋂": "\\bigcap", "⋃": "\\bigcup"}
 ACCENTS = {"\u0302": "\\hat", "\u0304": "\\bar", "\u0303": "\\tilde", "\u0307": "\\dot", "\u0308": "\\ddot", "\u20d7": "\\vec", "\u0305": "\\overline"}
 DELIMITERS = {"{": "\\{", "}": "\\}", "\u2329": "\\langle", "\u232a": "\\rangle", "⟨": "\\langle", "⟩": "\\rangle", "‖": "\\|"}
 FUNCTIONS = frozenset("sin cos tan sec csc cot arcsin arccos arctan sinh cosh tanh log ln exp lim max min sup inf det dim gcd arg".split())
-
-_CHARACTERS = str.maketrans(math_characters())
-
-
-def name(e: ET.Element) -> str:
-    return e.tag.rpartition("}")[2]
-
-
-def child(e: ET.Element, wanted: str) -> ET.Element | None:
-    return next((c for c in e if name(c) == wanted), None)
-
-
-def setting(e: ET.Element, group: str, item: str) -> str | None:
-    """The value of a property such as ``dPr/begChr``; None where it is not given."""
-    found = child(e, group)
-    found = child(found, item) if found is not None else None
-    return None if found is None else next((v for k, v in found.attrib.items() if k.rpartition("}")[2] == "val"), "")
-
-
-def part(e: ET.Element, wanted: str) -> str:
-    found = child(e, wanted)
-    return "" if found is None else inside(found)
-
-
-def inside(e: ET.Element) -> str:
-    return "".join(convert(c) for c in e)
-
-
-def _run(e: ET.Element) -> str:
-    return "".join(c.text or "" for c in e if name(c) == "t").translate(_CHARACTERS)
-
-
-def _radical(e: ET.Element) -> str:
-    degree = part(e, "deg")
-    return f"\\sqrt{f'[{degree}]' if degree else ''}{{{part(e, 'e')}}}"
-
-
-def _nary(e: ET.Element) -> str:
-    sub, sup, body = part(e, "sub"), part(e, "sup"), part(e, "e")
-    return OPERATORS.get(setting(e, "naryPr", "chr") or "", "\\sum") + (f"_{{{sub}}}" if sub else "") + (f"^{{{sup}}}" if sup else "") + (f" {body}" if body else "")
-
-
-def _delimited(e: ET.Element) -> str:
-    left, right, between = ((setting(e, "dPr", k) or d) for k, d in (("begChr", "("), ("endChr", ")"), ("sepChr", "|")))
-    body = f" {between} ".join(inside(c) for c in e if name(c) == "e")
-    return f"\\left{DELIMITERS.get(left, left)} {body} \\right{DELIMITERS.get(right, right)}"
-
-
-def _function(e: ET.Element) -> str:
-    called = part(e, "fName").strip()
-    return (f"\\{called.lower()}" if called.lower() in FUNCTIONS else called) + part(e, "e")
-
-
-def _matrix(e: ET.Element) -> str:
-    rows = [" & ".join(inside(c) for c in row if name(c) == "e") for row in e if name(row) == "mr"]
-    return f"\\begin{{pmatrix}} {' \\\\ '.join(rows)} \\end{{pmatrix}}"
-
-
-def _aligned(e: ET.Element) -> str:
-    return f"\\begin{{aligned}} {' \\\\ '.join(inside(c) for c in e if name(c) == 'e')} \\end{{aligned}}"
-
-
-def _brace(e: ET.Element) -> str:
-    return f"\\{'overbrace' if setting(e, 'groupChrPr', 'chr') in ('\u23de', '\ufe37') else 'underbrace'}{{{part(e, 'e')}}}"
-
-
-def _shape(form: str) -> Callable[[ET.Element], str]:
-    """A rule that fills the element's parts into ``form``, where ``<x>`` is part x in braces."""
-    pieces = form.replace(">", "<").split("<")
-    return lambda e: "".join(p if i % 2 == 0 else f"{{{part(e, p)}}}" for i, p in enumerate(pieces))
-
-
-def _based(tail: str) -> Callable[[ET.Element], str]:
-    rest = _shape(tail)
-    return lambda e: part(e, "e") + rest(e)
-
-
-RULES: dict[str, Callable[[ET.Element], str]] = {
-    "r": _run,
-    "t": lambda e: (e.text or "").translate(_CHARACTERS),
-    "sSub": _based("_<sub>"),
-    "sSup": _based("^<sup>"),
-    "sSubSup": _based("_<sub>^<sup>"),
-    "limLow": _based("_<lim>"),
-    "limUpp": _based("^<lim>"),
-    "sPre": lambda e: _shape("{}_<sub>^<sup>")(e) + part(e, "e"),
-    "f": _shape("\\frac<num><den>"),
-    "rad": _radical,
-    "nary": _nary,
-    "d": _delimited,
-    "func": _function,
-    "acc": lambda e: f"{ACCENTS.get(setting(e, 'accPr', 'chr') or '', chr(92) + 'hat')}{{{part(e, 'e')}}}",
-    "bar": lambda e: f"\\{'underline' if setting(e, 'barPr', 'pos') == 'bot' else 'overline'}{{{part(e, 'e')}}}",
-    "m": _matrix,
-    "eqArr": _aligned,
-    "groupChr": _brace,
-}
-
-
-def convert(e: ET.Element) -> str:
-    """One element.  Properties give nothing, unknown elements what is in them."""
-    tag = name(e)
-    if tag in RULES:
-        return RULES[tag](e)
-    return "" if tag.endswith("Pr") else inside(e)
-
-
-def math_to_latex(e: ET.Element) -> str:
-    """A formula between its dollar signs; a paragraph of formulas as display math."""
-    if name(e) == "oMathPara":
-        return f"$${' \\\\ '.join(inside(c) for c in e if name(c) == 'oMath')}$$"
-    return f"${inside(e) if name(e) == 'oMath' else convert(e)}$"
-
-
-def omml_to_latex(xml: str | None) -> str | None:
-    """A formula's XML as LaTeX; null stays null, text that is no XML gives null."""
-    if xml is None:
-        return None
-    try:
-        return math_to_latex(ET.fromstring(xml))
-    except ET.ParseError:
-        return None
+#: Characters that open a brace above.
+OVER = ("\u23de", "\ufe37")
+
+_TAG = r"""<[^<>"']*+(?:"[^"]*+"[^<>"']*+|'[^']*+'[^<>"']*+)*+>"""
+_TOKEN = rf"(?s)<!--.*?-->|<\?.*?\?>|<!\[CDATA\[.*?\]\]>|{_TAG}|[^<]++"
+_NAME = r"^</?(?:[^\s:/>]*:)?([^\s:/>]+)"
+_VALUE = r"""[\s:]val\s*=\s*(?:"([^"]*)"|'([^']*)')"""
+
+#: A child as its parent sees it, and an element that is still open.
+PART = "struct<tag: string, value: string, text: string, settings: array<struct<tag: string, value: string>>>"
+FRAME = f"struct<tag: string, value: string, parts: array<{PART}>>"
+STATE = f"struct<open: array<{FRAME}>, good: boolean>"
+
+
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    return F.transform(F.array(value), body)[0]
+
+
+def _unescaped(c: Column) -> Column:
+    """Character references as what they stand for."""
+    code = lambda e: F.when(e.startswith("&#x"), F.regexp_extract(e, "^&#x([0-9A-Fa-f]+);$", 1)).otherwise(F.hex(F.regexp_extract(e, "^&#([0-9]+);$", 1).cast("long")))
+    one = lambda acc, e: F.replace(acc, e, F.decode(F.unhex(F.lpad(code(e), 8, "0")), "UTF-32"))
+    numbered = F.when(c.contains("&#"), F.aggregate(F.array_distinct(F.regexp_extract_all(c, F.lit("&#x?[0-9A-Fa-f]+;"), 0)), c, one)).otherwise(c)
+    for name, sign in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
+        numbered = F.replace(numbered, F.lit(f"&{name};"), F.lit(sign))
+    return F.when(c.contains("&"), numbered).otherwise(c)
+
+
+def _value(token: Column) -> Column:
+    """The value of a tag's ``val``: null where it has no attribute of that name."""
+    found = F.when(F.regexp_extract(token, _VALUE, 1) != "", F.regexp_extract(token, _VALUE, 1)).otherwise(F.regexp_extract(token, _VALUE, 2))
+    return F.when(token.rlike(_VALUE), _unescaped(found))
+
+
+def _joined(parts: Column, tag: str | None, between: str = "") -> Column:
+    chosen = parts if tag is None else F.filter(parts, lambda p: p["tag"] == tag)
+    return F.array_join(F.transform(chosen, lambda p: p["text"]), between)
+
+
+def _of(table: dict[str, str], key: Column, other: Column) -> Column:
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key), other)
+
+
+def _written(tag: Column, parts: Column) -> Column:
+    """What the element ``tag`` gives, from what its children gave."""
+    part = lambda name: F.coalesce(F.get(F.filter(parts, lambda p: p["tag"] == name), F.lit(0))["text"], F.lit(""))
+    braced = lambda name: F.concat(F.lit("{"), part(name), F.lit("}"))
+    lit = F.lit
+
+    def setting(group: str, item: str, default: str = "") -> Column:
+        """A property's value, or the default where it is absent or empty."""
+        found = F.get(F.filter(F.get(F.filter(parts, lambda p: p["tag"] == group), lit(0))["settings"], lambda s: s["tag"] == item), lit(0))["value"]
+        return F.coalesce(F.nullif(found, lit("")), lit(default))
+
+    def optional(before: str, name: str, after: str) -> Column:
+        return _bind(part(name), lambda x: F.when(x != "", F.concat(lit(before), x, lit(after))).otherwise(""))
+
+    called = lambda x: F.when(F.lower(x).isin(*sorted(FUNCTIONS)), F.concat(lit("\\"), F.lower(x))).otherwise(x)
+    rules = {
+        "r": _joined(parts, "t"),
+        "sSub": F.concat(part("e"), lit("_"), braced("sub")),
+        "sSup": F.concat(part("e"), lit("^"), braced("sup")),
+        "sSubSup": F.concat(part("e"), lit("_"), braced("sub"), lit("^"), braced("sup")),
+        "limLow": F.concat(part("e"), lit("_"), braced("lim")),
+        "limUpp": F.concat(part("e"), lit("^"), braced("lim")),
+        "sPre": F.concat(lit("{}_"), braced("sub"), lit("^"), braced("sup"), part("e")),
+        "f": F.concat(lit("\\frac"), braced("num"), braced("den")),
+        "rad": F.concat(lit("\\sqrt"), optional("[", "deg", "]"), braced("e")),
+        "nary": F.concat(_of(OPERATORS, setting("naryPr", "chr"), lit("\\sum")), optional("_{", "sub", "}"), optional("^{", "sup", "}"), optional(" ", "e", "")),
+        "d": F.concat(
+            lit("\\left"), _bind(setting("dPr", "begChr", "("), lambda x: _of(DELIMITERS, x, x)), lit(" "),
+            _bind(setting("dPr", "sepChr", "|"), lambda s: F.array_join(F.flatten(F.transform(F.filter(parts, lambda p: p["tag"] == "e"), lambda p, i: F.when(i == 0, F.array(p["text"])).otherwise(F.array(s, p["text"])))), " ")),
+            lit(" \\right"), _bind(setting("dPr", "endChr", ")"), lambda x: _of(DELIMITERS, x, x))),
+        "func": F.concat(_bind(F.regexp_replace(part("fName"), r"(?U)^\s+|\s+$", ""), called), part("e")),
+        "acc": F.concat(_of(ACCENTS, setting("accPr", "chr"), lit("\\hat")), braced("e")),
+        "bar": F.concat(F.when(setting("barPr", "pos") == "bot", "\\underline").otherwise("\\overline"), braced("e")),
+        "mr": _joined(parts, "e", " & "),
+        "m": F.concat(lit("\\begin{pmatrix} "), _joined(parts, "mr", " \\\\ "), lit(" \\end{pmatrix}")),
+        "eqArr": F.concat(lit("\\begin{aligned} "), _joined(parts, "e", " \\\\ "), lit(" \\end{aligned}")),
+        "groupChr": F.concat(F.when(setting("groupChrPr", "chr").isin(*OVER), "\\overbrace").otherwise("\\underbrace"), braced("e")),
+        "oMathPara": _joined(parts, "oMath", " \\\\ "),
+    }
+    out = F.when(tag == "t", _joined(parts, "#"))  # texts lie under a tag of their own
+    for name, made in rules.items():
+        out = out.when(tag == name, made)
+    return out.when(tag.endswith("Pr"), lit("")).otherwise(_joined(F.filter(parts, lambda p: p["tag"] != "#"), None))
+
+
+def omml_to_latex(xml: Column) -> Column:
+    """A formula's XML as LaTeX between dollar signs, display math for a paragraph of
+    formulas.  Null stays null; a text that is no XML with one root gives null."""
+    none = F.array().cast(f"array<{PART}>")
+
+    def frame(tag: Column, value: Column) -> Column:
+        return F.struct(tag.alias("tag"), value.alias("value"), none.alias("parts")).cast(FRAME)
+
+    def put(stack: Column, part: Column) -> Column:
+        """The stack where the frame on top has one part more."""
+        top = F.element_at(stack, -1)
+        more = F.struct(top["tag"].alias("tag"), top["value"].alias("value"), F.concat(top["parts"], F.array(part.cast(PART))).alias("parts"))
+        return F.concat(F.slice(stack, 1, F.size(stack) - 1), F.array(more.cast(FRAME)))
+
+    def closed(state: Column, tag: Column) -> Column:
+        def done(top: Column) -> Column:
+            settings = F.when(top["tag"].endswith("Pr"), F.transform(top["parts"], lambda p: F.struct(p["tag"].alias("tag"), p["value"].alias("value"))))
+            part = F.struct(top["tag"].alias("tag"), top["value"].alias("value"), _written(top["tag"], top["parts"]).alias("text"), settings.alias("settings"))
+            rest = F.slice(state["open"], 1, F.size(state["open"]) - 1)
+            fits = (top["tag"] == tag) & (F.size(rest) > 0)
+            return F.when(fits, F.struct(put(rest, part).alias("open"), state["good"].alias("good"))).otherwise(F.struct(state["open"].alias("open"), F.lit(False).alias("good"))).cast(STATE)
+
+        return _bind(F.element_at(state["open"], -1), done)
+
+    def step(state: Column, token: Column) -> Column:
+        text = F.when(token.startswith("<![CDATA["), F.regexp_extract(token, r"(?s)^<!\[CDATA\[(.*)\]\]>$", 1)).otherwise(_unescaped(token))
+        as_part = F.struct(F.lit("#").alias("tag"), F.lit(None).cast("string").alias("value"), normalize_math(text).alias("text"), F.lit(None).cast("array<struct<tag: string, value: string>>").alias("settings"))
+        tag = F.regexp_extract(token, _NAME, 1)
+        opened = lambda: F.struct(F.concat(state["open"], F.array(frame(tag, _value(token)))).alias("open"), state["good"].alias("good")).cast(STATE)
+        within = F.element_at(state["open"], -1)["tag"] == "t"
+        return (
+            F.when(~state["good"] | token.startswith("<?") | token.startswith("<!--"), state)
+            .when(token.startswith("</"), closed(state, tag))
+            .when(token.startswith("<") & ~token.startswith("<!") & token.endswith("/>"), _bind(opened(), lambda s: closed(s, tag)))
+            .when(token.startswith("<") & ~token.startswith("<!"), opened())
+            .when(within, F.struct(put(state["open"], as_part).alias("open"), state["good"].alias("good")).cast(STATE))
+            .when((F.size(state["open"]) == 1) & F.regexp_replace(text, r"\s", "").__ne__(""), F.struct(state["open"].alias("open"), F.lit(False).alias("good")).cast(STATE))
+            .otherwise(state)
+        )
+
+    def finished(state: Column) -> Column:
+        root = F.element_at(state["open"], -1)["parts"]
+        whole = state["good"] & (F.size(state["open"]) == 1) & (F.size(root) == 1)
+        sign = F.when(root[0]["tag"] == "oMathPara", "$$").otherwise("$")
+        return F.when(whole, F.concat(sign, root[0]["text"], sign))
+
+    tokens = F.regexp_extract_all(xml, F.lit(_TOKEN), 0)
+    start = F.struct(F.array(frame(F.lit(""), F.lit(None).cast("string"))).alias("open"), F.lit(True).alias("good")).cast(STATE)
+    # What no token covers is no XML.
+    return F.when(F.length(F.array_join(tokens, "")) == F.length(xml), F.aggregate(tokens, start, step, finished))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import strip
+
 
 def joined(value: Column, order: Column, separator: str) -> Column:
     """An aggregate: values in order, with a separator between."""
@@ -47,22 +49,25 @@ def replace_tables(docs: DataFrame, summaries: DataFrame, content: str = "conten
 
 
 def merge_spans(spans: DataFrame, by: list[str]) -> DataFrame:
-    """Neighbouring spans of one format as one, wrapped in its marks; raw spans (``raw``)
-    are never merged.  ``spans``: by, span_no, text, fmt."""
+    """Neighbouring spans of one format as one, wrapped in its marks, blanks at its ends
+    left outside; raw spans (``raw``) are never merged.  ``spans``: by, span_no, text, fmt."""
     alone = spans.withColumn("_kind", F.when(F.col("fmt") == "raw", F.concat(F.lit("raw"), "span_no")).otherwise(F.col("fmt")))
     runs = islands(alone, by, "span_no", "_kind").groupBy(*by, "island", "fmt").agg(F.min("span_no").alias("span_no"), joined(F.col("text"), F.col("span_no"), "").alias("text"))
     mark = F.when(F.col("fmt") == "bold", "**").when(F.col("fmt") == "italic", "*").when(F.col("fmt") == "bolditalic", "***").otherwise("")
-    return runs.select(*by, "span_no", "fmt", F.concat(mark, "text", mark).alias("text"))
+    core = strip(F.col("text"))
+    marked = F.concat(F.regexp_extract("text", r"(?U)^(\s*)", 1), mark, core, mark, F.regexp_extract("text", r"(?U)(\s*)$", 1))
+    return runs.select(*by, "span_no", "fmt", F.when(core == "", F.col("text")).otherwise(marked).alias("text"))
 
 
 def pipe_tables(cells: DataFrame, by: list[str]) -> DataFrame:
-    """by and markdown, from cells (by, row_no, col_no, text)."""
-    escaped = F.replace(F.coalesce("text", F.lit("")), F.lit("|"), F.lit("\\|"))
+    """by and markdown, from cells (by, row_no, col_no, text).  Shorter rows are filled up
+    to the widest; line feeds become spaces."""
+    escaped = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
     rows = cells.groupBy(*by, "row_no").agg(joined(escaped, F.col("col_no"), " | ").alias("line"), F.count("*").alias("width"))
     rows = rows.withColumn("line", F.concat(F.lit("| "), "line", F.lit(" |")))
-    made = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("row_no", "line"))).alias("r"), F.max("width").alias("w"))
+    made = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("row_no", "line", "width"))).alias("r"), F.max("width").alias("w"))
     rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), F.col("w").cast("int")), " | "), F.lit(" |"))
-    lines = F.transform("r", lambda x: x["line"])
+    lines = F.transform("r", lambda x: F.concat(x["line"], F.repeat(F.lit("  |"), (F.col("w") - x["width"]).cast("int"))))
     return made.select(*by, F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))), "\n").alias("markdown"))
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import kernels, macros, omml
+from ..functions import kernels, macros
+from ..functions.omml import omml_to_latex as omml_to_latex
 from ..functions.text import squeeze_blank_lines, strip_comment_environments, strip_line_comments
 
 
@@ -59,9 +60,3 @@ MACRO = T.StructType([T.StructField("name", T.StringType()), T.StructField("arit
 def harvested(texts):
     """The macros that a text defines, by name."""
     return texts.map(lambda t: [{"name": m.name, "arity": m.arity, "default": m.default, "body": m.body} for _, m in sorted(kernels.harvest(t or "")[0].items())])
-
-
-@F.pandas_udf(T.StringType())
-def omml_to_latex(xmls):
-    """Office math markup as LaTeX."""
-    return xmls.map(omml.omml_to_latex, na_action="ignore")

@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import notes as N
 from ..functions import text as T
 from ..operators import assets, bibliography, blocks, includes, latex, layout
-from ..sources.office import office_markdown
-from . import cleaning, fixtures, pages, run
+from . import cleaning, fixtures, office, pages, run
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -614,13 +613,13 @@ def ocr_documents(spark, d):
 @query("SELECT doc_id, '## ' || lang || chr(10) || chr(10) || 'x' || lang || ' **' || source || '** link' || chr(10) || chr(10) || '> **Comment (Ann):** so ' || lang || chr(10) || chr(10) || '| Name | Text |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || lang || ' | ' || source || chr(92) || '| |' || chr(10) AS markdown FROM documents")
 def docx_files(spark, d):
     data = fixtures.office_file(fixtures.docx, F.col("lang"), F.concat(L("x"), "lang"), F.col("source"))
-    return documents(spark, d).select("doc_id", office_markdown(data, L("a/b.DOCX")).alias("markdown"))
+    return office.office_documents(documents(spark, d).select("doc_id", L("docx").alias("kind"), data.alias("content"))).drop("kind")
 
 
 @query("SELECT doc_id, '# Slide 1: ' || lang || chr(10) || chr(10) || 'x' || lang || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '# Slide 2' || chr(10) || chr(10) || '| Key | Value |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || lang || ' | ' || source || ' |' || chr(10) AS markdown FROM documents")
 def pptx_files(spark, d):
     data = fixtures.office_file(fixtures.pptx, F.col("lang"), F.concat(L("x"), "lang"), F.col("source"))
-    return documents(spark, d).select("doc_id", office_markdown(data, L("a/b.pptx")).alias("markdown"))
+    return office.office_documents(documents(spark, d).select("doc_id", L("pptx").alias("kind"), data.alias("content"))).drop("kind")
 
 
 @query(f"WITH {_SQL_CITED}, {_SQL_BLOCK} SELECT doc_id, '<a>' || chr(10) || 'See ' || chr(92) || 'citep{{' || keys || '}}.' || chr(10) || block || chr(10) || '% [Image: s ' || doc_id || ']' AS content FROM k JOIN b USING (doc_id)".replace("{{", "{").replace("}}", "}"))

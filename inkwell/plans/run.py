@@ -15,8 +15,7 @@ from ..lineage import cut
 from ..operators import assets, bibliography, includes
 from ..options import CleanOptions
 from ..sources import tex
-from ..sources.office import office_markdown
-from . import cleaning
+from . import cleaning, office
 
 #: Commands that name bibliography files.
 BIBLIOGRAPHY = r"\\(?:bibliography|addbibresource)\{([^}]+)\}"
@@ -77,14 +76,15 @@ def clean_projects(roots: DataFrame, texts: DataFrame, options: CleanOptions | N
     return cleaning.clean_with_notes(docs, o, entries, bbl, summaries)
 
 
-def image_summaries(texts: DataFrame, suffix: str = "_summary.txt") -> DataFrame:
-    """path (of a document, without its extension) and a map of its pictures' summaries,
-    from side files such as ``deck_slide2_image1_summary.txt`` beside it."""
-    named = texts.where(F.col("path").endswith(suffix) & F.col("content").isNotNull()).select(F.expr(f"left(path, length(path) - {len(suffix)})").alias("key"), strip(F.col("content")).alias("text"))
+def picture_summaries(documents: DataFrame, texts: DataFrame, suffix: str = "_summary.txt") -> DataFrame:
+    """doc_id, place and summary of the pictures in ``documents`` (doc_id, a path), from
+    side files such as ``deck_slide2_image1_summary.txt`` beside them."""
+    named = texts.where(F.col("path").endswith(suffix) & F.col("content").isNotNull()).select(F.expr(f"left(path, length(path) - {len(suffix)})").alias("key"), "content")
     # A key of a slide's picture may also be that of a picture in a document named so.
-    owners = [F.regexp_extract("key", rf"^(.*)_{place}$", 1) for place in (r"slide\d+_image\d+", r"image\d+")]
-    own = named.select(F.explode(F.array(*owners)).alias("path"), F.element_at(F.split("key", "/"), -1).alias("key"), "text").where("path <> ''")
-    return own.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("key", "text"))).alias("summaries"))
+    ways = [F.struct(F.regexp_extract("key", rf"^(.*)_{place}$", 1).alias("stem"), F.regexp_extract("key", rf"({place})$", 1).alias("place")) for place in (r"slide\d+_image\d+", r"image\d+")]
+    told = named.select(F.inline(F.array(*ways)), strip(F.col("content")).alias("summary")).where("stem <> ''")
+    stems = documents.select("doc_id", F.regexp_replace("doc_id", r"\.[^./]+$", "").alias("stem"))
+    return stems.join(told, "stem").select("doc_id", "place", "summary")
 
 
 def clean_folder(spark: SparkSession, folder: str, roots: list[str] | DataFrame, options: CleanOptions | None = None, pdf: DataFrame | None = None) -> DataFrame:
@@ -108,11 +108,11 @@ def clean_folder(spark: SparkSession, folder: str, roots: list[str] | DataFrame,
     texts = textual.select("path", "content").unionByName(rooted).select("path", tex.universal_newlines(tex.decoded(F.col("content"), o.encoding)).alias("content"))
     clean = clean_projects(found.where("kind = 'tex'").select("path"), texts, o)
     out = clean.select(F.col("doc_id").alias("path"), F.lit("tex").alias("kind"), F.col("content").alias("text"), "notes")
-    office = found.where("kind IN ('docx', 'pptx')").withColumn("_stem", F.regexp_replace("path", r"\.[^./]+$", ""))
-    told = image_summaries(texts, o.figure_summary_suffix).select(F.col("path").alias("_stem"), "summaries")
-    made = office.join(told, "_stem", "left").withColumn("text", office_markdown(F.col("content"), F.col("path"), F.col("summaries"), o.notes))
+    files = found.where("kind IN ('docx', 'pptx')").select(F.col("path").alias("doc_id"), "kind", "content")
+    told = picture_summaries(files, texts, o.figure_summary_suffix)
+    made = office.office_documents(files, told, o.notes).select(F.col("doc_id").alias("path"), "kind", F.col("markdown").alias("text"))
     unread = F.array(F.struct(F.lit("unreadable").alias("code"), F.col("path").alias("detail"))).cast(notes.TYPE)
-    out = out.unionByName(made.select("path", "kind", "text", F.when(F.col("text").isNull(), unread).otherwise(notes.none()).alias("notes")))
+    out = out.unionByName(made.withColumn("notes", F.when(F.col("text").isNull(), unread).otherwise(notes.none())))
     pages = found.where("kind = 'pdf'").select("path", "kind")
     read = pages.withColumn("text", F.lit(None).cast("string")) if pdf is None else pages.join(pdf.select("path", "text"), "path", "left")
     return out.unionByName(read.withColumn("notes", notes.none()))

@@ -1,21 +1,39 @@
-"""Word-processor files and slide decks from their bytes, with the standard library."""
+"""Word-processor files and slide decks as rows, from their bytes.
+
+A file is unzipped and its XML walked once, in the task that holds it; what comes out are
+rows of blocks, spans, cells, comments, shapes and media, with their places as columns.
+What they mean is up to the joins and windows of ``plans.office``.
+"""
 
 from __future__ import annotations
 
 import io
 import posixpath
 import zipfile
-from itertools import groupby
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree as ET
 
-import pandas as pd
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from ..functions.omml import child, math_to_latex, name
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 R_ID = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
-MARKS = {"bold": "**", "italic": "*", "bolditalic": "***"}
+MATH = ("oMath", "oMathPara")
+
+
+def name(e: ET.Element) -> str:
+    return e.tag.rpartition("}")[2]
+
+
+def child(e: ET.Element | None, *path: str) -> ET.Element | None:
+    for wanted in path:
+        e = None if e is None else next((c for c in e if name(c) == wanted), None)
+    return e
+
+
+def value(e: ET.Element | None) -> str | None:
+    return None if e is None else next((v for k, v in e.attrib.items() if k.rpartition("}")[2] == "val"), "")
 
 
 def _part(z: zipfile.ZipFile, path: str) -> ET.Element | None:
@@ -31,201 +49,165 @@ def _links(z: zipfile.ZipFile, path: str) -> dict[str, tuple[str, str]]:
     return {r.get("Id"): (r.get("Type", "").rpartition("/")[2], posixpath.normpath(posixpath.join(folder, r.get("Target", ""))).lstrip("/")) for r in found}
 
 
-def _value(e: ET.Element | None) -> str | None:
-    return None if e is None else next((v for k, v in e.attrib.items() if k.rpartition("}")[2] == "val"), "")
+def _blips(e: ET.Element, links: dict[str, tuple[str, str]]) -> list[str | None]:
+    """The parts of the pictures inside an element, in order; None where there is no link."""
+    return [links.get(b.get(f"{R_ID}embed", ""), ("", None))[1] for b in e.iter() if name(b) == "blip"]
 
 
-def _on(properties: ET.Element | None, what: str) -> bool:
-    e = child(properties, what) if properties is not None else None
-    return e is not None and _value(e) not in ("false", "0", "off", "none")
+#: what: doc (one for each file), block, cell, text, math, image, ref and comment.
+DOCX = "what string, block_no int, kind string, style string, row_no int, col_no int, para_no int, span_no int, fmt string, text string, media string"
 
 
-def pipe_table(rows: list[list[str]]) -> str:
-    """A pipe table; the separator has as many columns as the widest row."""
-    if not rows:
-        return ""
-    width = max(map(len, rows))
-    lines = ["| " + " | ".join(c.replace("|", "\\|").replace("\n", " ") for c in r + [""] * (width - len(r))) + " |" for r in rows]
-    return "\n".join([lines[0], "| " + " | ".join(["---"] * width) + " |", *lines[1:]])
+def docx_rows(z: zipfile.ZipFile) -> Iterator[dict]:
+    links = _links(z, "word/document.xml")
+    yield {"what": "doc"}
+    comments = next((_part(z, t) for kind, t in links.values() if kind == "comments"), _part(z, "word/comments.xml"))
+    for c in comments if comments is not None else ():
+        get = {k.rpartition("}")[2]: v for k, v in c.attrib.items()}
+        yield {"what": "comment", "kind": get.get("id"), "style": get.get("author", ""), "text": "".join(t.text or "" for t in c.iter() if name(t) == "t").strip()}
 
+    def on(props: ET.Element | None, what: str) -> bool:
+        e = child(props, what)
+        return e is not None and value(e) not in ("false", "0", "off", "none")
 
-def merge_spans(spans: list[tuple[str, str | None]]) -> str:
-    """Neighbouring runs of one format as one; raw runs are never merged."""
-    out = []
-    for fmt, group in groupby(spans, key=lambda s: s[1]):
-        texts = [t for t, _ in group]
-        if fmt in MARKS:
-            whole = "".join(texts)
-            core = whole.strip()
-            out.append(whole.replace(core, f"{MARKS[fmt]}{core}{MARKS[fmt]}", 1) if core else whole)
-        else:
-            out += texts
-    return "".join(out)
-
-
-class _Docx:
-    def __init__(self, data: bytes, stem: str, summaries: dict[str, str]):
-        self.stem, self.summaries, self.images = stem, summaries, 0
-        with zipfile.ZipFile(io.BytesIO(data)) as z:
-            self.body = child(_part(z, "word/document.xml"), "body")
-            comments = next((_part(z, t) for kind, t in _links(z, "word/document.xml").values() if kind == "comments"), _part(z, "word/comments.xml"))
-        self.comments = {}
-        for c in comments if comments is not None else ():
-            get = {k.rpartition("}")[2]: v for k, v in c.attrib.items()}
-            self.comments[get.get("id")] = (get.get("author", ""), "".join(t.text or "" for t in c.iter() if name(t) == "t").strip())
-
-    def run(self, e: ET.Element) -> list[tuple[str, str | None]]:
+    def run(e: ET.Element) -> Iterator[dict]:
         props = child(e, "rPr")
-        bold, italic = _on(props, "b"), _on(props, "i")
-        fmt = "bolditalic" if bold and italic else "bold" if bold else "italic" if italic else None
-        out: list[tuple[str, str | None]] = []
-        for c in e:
-            if name(c) in ("drawing", "pict"):
-                self.images += 1
-                if (s := self.summaries.get(f"{self.stem}_image{self.images}")) is not None:
-                    out.append((f"[Image: {s}]", "raw"))
-            elif text := {"t": c.text or "", "tab": "\t", "br": "\n"}.get(name(c), ""):
-                out.append((text, fmt))
-        return out
-
-    def spans(self, e: ET.Element) -> list[tuple[str, str | None]]:
-        out: list[tuple[str, str | None]] = []
+        fmt = ("bold" if on(props, "b") else "") + ("italic" if on(props, "i") else "") or None
+        pictures = [m for d in e.iter() if name(d) in ("inline", "anchor") for m in _blips(d, links)] or [None for c in e if name(c) in ("drawing", "pict")]
+        yield from ({"what": "image", "fmt": "raw", "media": m} for m in pictures)
+        if not pictures:
+            text = "".join({"t": c.text or "", "tab": "\t", "br": "\n"}.get(name(c), "") for c in e)
+            yield from [{"what": "text", "fmt": fmt, "text": text}] * bool(text)
+
+    def spans(e: ET.Element) -> Iterator[dict]:
         for c in e:
-            kind = name(c)
-            if kind == "r":
-                out += self.run(c)
-            elif kind in ("oMath", "oMathPara"):
-                out.append((math_to_latex(c), "raw"))
-            elif kind in ("hyperlink", "ins", "smartTag"):
-                out += self.spans(c)
-        return out
-
-    def paragraph(self, p: ET.Element) -> list[str]:
-        props = child(p, "pPr")
-        style = (_value(child(props, "pStyle")) if props is not None else "") or ""
-        digits = style[7:].strip() if style.lower().startswith("heading") else ""
-        spans = self.spans(p)
-        if digits.isdigit():
-            text = "".join(t for t, _ in spans).strip()
-            text = f"{'#' * min(max(int(digits), 1), 6)} {text}" if text else ""
-        else:
-            text = merge_spans(spans).strip()
-        ids = [next(v for k, v in r.attrib.items() if k.endswith("}id")) for r in p.iter() if name(r) == "commentReference"]
-        notes = [f"> **Comment ({self.comments[i][0]}):** {self.comments[i][1]}" for i in ids if i in self.comments]
-        return [x for x in (text, *notes) if x]
-
-    def cell(self, tc: ET.Element) -> str:
-        parts = ["".join(t for t, _ in self.spans(p)) for p in tc if name(p) == "p"]
-        return " ".join(x.strip() for x in parts if x.strip())
-
-    def markdown(self) -> str:
-        blocks: list[str] = []
-        for e in self.body:
-            if name(e) == "p":
-                blocks += self.paragraph(e)
-            elif name(e) == "tbl":
-                blocks.append(pipe_table([[self.cell(tc) for tc in tr if name(tc) == "tc"] for tr in e if name(tr) == "tr"]))
-        return "\n\n".join(b for b in blocks if b) + "\n"
-
-
-def docx_to_markdown(data: bytes | None, stem: str = "", summaries: dict[str, str] | None = None) -> str | None:
-    """A word-processor file as markdown; null for null and for what is no such file."""
-    if data is None:
-        return None
-    try:
-        return _Docx(data, stem, summaries or {}).markdown()
-    except (zipfile.BadZipFile, ET.ParseError, TypeError):
-        return None
-
-
-class _Pptx:
-    def __init__(self, data: bytes, stem: str, summaries: dict[str, str], notes: bool):
-        self.z, self.stem, self.summaries, self.notes = zipfile.ZipFile(io.BytesIO(data)), stem, summaries, notes
-
-    def text(self, body: ET.Element) -> str:
-        lines = []
-        for p in body:
-            if name(p) == "p":
-                parts = []
-                for c in p:
-                    if name(c) == "r":
-                        parts.append("".join(t.text or "" for t in c if name(t) == "t"))
-                    elif name(c) in ("oMath", "oMathPara"):
-                        parts.append(math_to_latex(c))
-                    elif name(c) == "m":
-                        parts += [math_to_latex(m) for m in c if name(m) in ("oMath", "oMathPara")]
-                lines.append("".join(parts))
-        return "\n".join(lines).strip()
-
-    def shape(self, e: ET.Element, slide: int) -> list[str]:
+            if name(c) == "r":
+                yield from run(c)
+            elif name(c) in MATH:
+                yield {"what": "math", "fmt": "raw", "text": ET.tostring(c, "unicode")}
+            elif name(c) in ("hyperlink", "ins", "smartTag"):
+                yield from spans(c)
+
+    def paragraph(p: ET.Element, at: dict) -> Iterator[dict]:
+        yield from (at | {"span_no": k} | s for k, s in enumerate(spans(p)))
+
+    for k, e in enumerate(child(_part(z, "word/document.xml"), "body")):
+        at = {"block_no": k, "kind": name(e), "style": value(child(e, "pPr", "pStyle"))}
+        if name(e) == "p":
+            yield at | {"what": "block"}
+            yield from paragraph(e, at)
+            ids = [next((v for n, v in r.attrib.items() if n.endswith("}id")), None) for r in e.iter() if name(r) == "commentReference"]
+            yield from (at | {"what": "ref", "span_no": i, "text": x} for i, x in enumerate(ids))
+        elif name(e) == "tbl":
+            for r, row in enumerate(x for x in e if name(x) == "tr"):
+                for c, cell in enumerate(x for x in row if name(x) == "tc"):
+                    yield at | {"what": "cell", "row_no": r, "col_no": c}
+                    for n, p in enumerate(x for x in cell if name(x) == "p"):
+                        yield from paragraph(p, at | {"row_no": r, "col_no": c, "para_no": n})
+
+
+#: what: doc, slide, shape, cell, text, math and notes.  A shape's path has its place
+#: among its siblings at every level; ``choices`` are the ids of those of its elements, or
+#: of itself, that stand right under a choice of alternate contents.
+PPTX = "what string, slide_no int, path array<int>, kind string, shape_id string, is_title boolean, is_image boolean, choices array<string>, row_no int, col_no int, para_no int, span_no int, text string, media string"
+_SHAPES = ("sp", "pic", "graphicFrame", "grpSp", "AlternateContent")
+
+
+def pptx_rows(z: zipfile.ZipFile) -> Iterator[dict]:
+    links = _links(z, "ppt/presentation.xml")
+    order = [links[e.get(f"{R_ID}id")][1] for e in _part(z, "ppt/presentation.xml").iter() if name(e) == "sldId"]
+    yield {"what": "doc"}
+
+    def body(e: ET.Element | None, at: dict) -> Iterator[dict]:
+        for n, p in enumerate(x for x in (e if e is not None else ()) if name(x) == "p"):
+            for k, c in enumerate(p):
+                place = at | {"para_no": n, "span_no": k}
+                if name(c) == "r":
+                    yield place | {"what": "text", "text": "".join(t.text or "" for t in c if name(t) == "t")}
+                elif name(c) in MATH:
+                    yield place | {"what": "math", "text": ET.tostring(c, "unicode")}
+                elif name(c) == "m":  # a wrapper of formulas
+                    yield from (place | {"what": "math", "text": ET.tostring(m, "unicode")} for m in c if name(m) in MATH)
+
+    def shape(e: ET.Element, at: dict, linked: dict) -> Iterator[dict]:
         kind = name(e)
+        if kind not in _SHAPES:
+            return
+        own = next((x.get("id") for x in e.iter() if name(x) == "cNvPr"), None)
+        pictures = _blips(e, linked) if kind in ("sp", "pic") else []
+        title = kind == "sp" and any(name(x) == "ph" and x.get("type") in ("title", "ctrTitle") for x in e.iter())
+        here = {k: at[k] for k in ("slide_no", "path", "choices")}
+        yield here | {"what": "shape", "kind": kind, "shape_id": own, "is_title": title, "is_image": kind == "pic" or bool(pictures), "media": next(iter(pictures), None)}
         if kind == "grpSp":
-            return [x for c in e for x in self.shape(c, slide)]
-        if kind == "AlternateContent":
+            yield from inside(e, at, linked, at["choices"])
+        elif kind == "AlternateContent":
             choice = child(e, "Choice")
-            fresh = [c for c in choice if self.id_of(c) not in self.exposed] if choice is not None else []
-            return [x for c in fresh for x in self.shape(c, slide)]
-        if kind == "pic" or kind == "sp" and any(name(x) == "blip" for x in e.iter()):
-            self.images += 1
-            s = self.summaries.get(f"{self.stem}_slide{slide}_image{self.images}")
-            return [f"[Image: {s}]"] if s is not None else []
-        if kind == "graphicFrame":
-            rows = [[self.text(b) if (b := child(tc, "txBody")) is not None else "" for tc in tr if name(tc) == "tc"] for t in e.iter() if name(t) == "tbl" for tr in t if name(tr) == "tr"]
-            return [pipe_table(rows)] if rows else []
-        body = child(e, "txBody") if kind == "sp" else None
-        return [t] if body is not None and (t := self.text(body)) else []
-
-    @staticmethod
-    def id_of(e: ET.Element) -> str | None:
-        return next((x.get("id") for x in e.iter() if name(x) == "cNvPr"), None)
-
-    @staticmethod
-    def is_title(e: ET.Element) -> bool:
-        return any(name(x) == "ph" and x.get("type") in ("title", "ctrTitle") for x in e.iter())
-
-    def slide(self, path: str, number: int) -> str:
-        tree = child(child(_part(self.z, path), "cSld"), "spTree")
-        shapes, self.images = list(tree), 0
-        title = next((s for s in shapes if name(s) == "sp" and self.is_title(s)), None)
-        self.exposed = {self.id_of(s) for s in shapes if name(s) in ("sp", "pic", "grpSp", "graphicFrame")}
-        heading = self.text(child(title, "txBody")) if title is not None and child(title, "txBody") is not None else ""
-        last = [x for s in shapes if name(s) == "AlternateContent" for x in self.shape(s, number)]
-        parts = [f"# Slide {number}" + (f": {heading}" if heading else "")]
-        parts += [x for s in shapes if s is not title and name(s) != "AlternateContent" for x in self.shape(s, number)] + last
-        if self.notes and (target := next((t for kind, t in _links(self.z, path).values() if kind == "notesSlide"), None)):
-            frames = [e for e in _part(self.z, target).iter() if name(e) == "sp" and any(name(x) == "ph" and x.get("type") == "body" for x in e.iter())]
-            if frames and (text := self.text(child(frames[0], "txBody"))):
-                parts.append(f"> **Notes:** {text}")
-        return "\n\n".join(parts)
-
-    def markdown(self) -> str:
-        links = _links(self.z, "ppt/presentation.xml")
-        order = [links[e.get(f"{R_ID}id")][1] for e in _part(self.z, "ppt/presentation.xml").iter() if name(e) == "sldId"]
-        return "\n\n---\n\n".join(self.slide(p, i) for i, p in enumerate(order, 1)) + "\n"
-
-
-def pptx_to_markdown(data: bytes | None, stem: str = "", summaries: dict[str, str] | None = None, notes: bool = False) -> str | None:
-    """A slide deck as markdown; null for null and for what is no such file."""
-    if data is None:
-        return None
-    try:
-        return _Pptx(data, stem, summaries or {}, notes).markdown()
-    except (zipfile.BadZipFile, ET.ParseError, TypeError, KeyError):
-        return None
-
-
-def office_markdown(content: Column, path: Column, summaries: Column | None = None, notes: bool = False) -> Column:
-    """Markdown of ``.docx`` and ``.pptx`` files by their paths; null for others.
-    ``summaries``: a map of the pictures' summaries, keyed by the file's stem and the
-    picture's place; ``notes``: with the speaker notes of slides."""
-
-    @F.pandas_udf("string")
-    def convert(data, paths, told):
-        out = []
-        for d, p, t in zip(data, paths, told, strict=True):
-            stem, ext = posixpath.splitext(posixpath.basename(p))
-            known = dict(t) if t is not None else {}
-            out.append(docx_to_markdown(d, stem, known) if ext.lower() == ".docx" else pptx_to_markdown(d, stem, known, notes) if ext.lower() == ".pptx" else None)
-        return pd.Series(out, dtype="object")
-
-    return convert(content, path, F.create_map().cast("map<string, string>") if summaries is None else summaries)
+            yield from inside(choice, at, linked, None) if choice is not None else ()
+        elif kind == "graphicFrame":
+            for r, row in enumerate(tr for t in e.iter() if name(t) == "tbl" for tr in t if name(tr) == "tr"):
+                for c, cell in enumerate(x for x in row if name(x) == "tc"):
+                    place = here | {"row_no": r, "col_no": c}
+                    yield place | {"what": "cell"}
+                    yield from body(child(cell, "txBody"), place)
+        else:
+            yield from body(child(e, "txBody"), here)
+
+    def inside(e: ET.Element, at: dict, linked: dict, choices: list[str] | None) -> Iterator[dict]:
+        for k, c in enumerate(e):
+            own = next((x.get("id") or "" for x in c.iter() if name(x) == "cNvPr"), "")
+            yield from shape(c, at | {"path": [*at["path"], k], "choices": [*at["choices"], own] if choices is None else choices}, linked)
+
+    for n, path in enumerate(order, 1):
+        linked = _links(z, path)
+        yield {"what": "slide", "slide_no": n}
+        tree = child(_part(z, path), "cSld", "spTree")
+        yield from inside(tree if tree is not None else ET.Element("none"), {"slide_no": n, "path": [], "choices": []}, linked, [])
+        if target := next((t for kind, t in linked.values() if kind == "notesSlide"), None):
+            frames = [e for e in _part(z, target).iter() if name(e) == "sp" and any(name(x) == "ph" and x.get("type") == "body" for x in e.iter())]
+            for r in body(child(frames[0], "txBody"), {"slide_no": n}) if frames else ():
+                yield r | {"kind": r["what"], "what": "notes"}
+
+
+MEDIA = "part string, bytes binary"
+
+
+def media_rows(z: zipfile.ZipFile) -> Iterator[dict]:
+    """The files of pictures and the like that a package holds."""
+    for part in sorted(n for n in z.namelist() if "/media/" in n and not n.endswith("/")):
+        yield {"part": part, "bytes": z.read(part)}
+
+
+def _read(files: DataFrame, rows_of: Callable[[zipfile.ZipFile], Iterator[dict]], schema: str, at_once: int = 20_000) -> DataFrame:
+    """doc_id and the rows of each of ``files`` (doc_id, content).  A null content, or one
+    that is no such file, has none."""
+    schema = f"doc_id {files.schema['doc_id'].dataType.simpleString()}, {schema}"
+    fields = to_arrow_schema(T._parse_datatype_string(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[dict] = []
+            for k in range(b.num_rows):
+                doc_id, data = b.column("doc_id")[k].as_py(), b.column("content")[k].as_py()
+                try:
+                    with zipfile.ZipFile(io.BytesIO(data or b"")) as z:
+                        rows += [r | {"doc_id": doc_id} for r in rows_of(z)]
+                except (zipfile.BadZipFile, ET.ParseError, TypeError, KeyError):
+                    continue
+                if len(rows) >= at_once or schema.endswith("binary"):
+                    yield pa.RecordBatch.from_pylist(rows, schema=fields)
+                    rows = []
+            yield pa.RecordBatch.from_pylist(rows, schema=fields)
+
+    return files.select("doc_id", "content").mapInArrow(run, schema)
+
+
+def docx_parts(files: DataFrame) -> DataFrame:
+    return _read(files, docx_rows, DOCX)
+
+
+def pptx_parts(files: DataFrame) -> DataFrame:
+    return _read(files, pptx_rows, PPTX)
+
+
+def media_parts(files: DataFrame) -> DataFrame:
+    return _read(files, media_rows, MEDIA)

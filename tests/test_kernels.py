@@ -7,12 +7,9 @@ from hypothesis import given
 from hypothesis import strategies as st
 
 from inkwell.functions import kernels as K
-from inkwell.functions.omml import omml_to_latex
 from inkwell.operators.includes import flatten
-from inkwell.sources.office import docx_to_markdown, pptx_to_markdown
 
 LATEX = st.lists(st.sampled_from([*"ab%\\{}[]# \n|", "\\verb|", "\\begin{verbatim}", "\\end{verbatim}"]), max_size=40).map("".join)
-M = 'xmlns:m="http://schemas.openxmlformats.org/officeDocument/2006/math"'
 
 
 @given(LATEX)
@@ -64,21 +61,6 @@ def test_bibtex():
     assert K.parse_bibtex("") == [] and K.parse_bibtex("@article{broken") == []
 
 
-def test_omml():
-    r = lambda x: f"<m:r><m:t>{x}</m:t></m:r>"
-    math = lambda x: omml_to_latex(f"<m:oMath {M}>{x}</m:oMath>")
-    assert math(f"<m:nary><m:naryPr><m:chr m:val='∫'/></m:naryPr><m:sub>{r('0')}</m:sub><m:sup>{r('1')}</m:sup><m:e>{r('x')}</m:e></m:nary>") == "$\\int_{0}^{1} x$"
-    assert math(f"<m:d><m:dPr><m:begChr m:val='['/><m:endChr m:val=']'/></m:dPr><m:e>{r('a')}</m:e><m:e>{r('b')}</m:e></m:d>") == "$\\left[ a | b \\right]$"
-    assert math(f"<m:func><m:fName>{r('Sin')}</m:fName><m:e>{r('x')}</m:e></m:func>") == "$\\sinx$"
-    assert math(f"<m:acc><m:accPr><m:chr m:val='\u20d7'/></m:accPr><m:e>{r('v')}</m:e></m:acc>") == "$\\vec{v}$"
-    assert math(f"<m:m><m:mr><m:e>{r('1')}</m:e><m:e>{r('2')}</m:e></m:mr><m:mr><m:e>{r('3')}</m:e></m:mr></m:m>") == "$\\begin{pmatrix} 1 & 2 \\\\ 3 \\end{pmatrix}$"
-    assert math(f"<m:sPre><m:sub>{r('a')}</m:sub><m:sup>{r('b')}</m:sup><m:e>{r('X')}</m:e></m:sPre>") == "${}_{a}^{b}X$"
-    assert math(f"<m:rad><m:deg>{r('3')}</m:deg><m:e>{r('x')}</m:e></m:rad>") == "$\\sqrt[3]{x}$"
-    assert math(f"<m:bar><m:barPr><m:pos m:val='bot'/></m:barPr><m:e>{r('x')}</m:e></m:bar>") == "$\\underline{x}$"
-    assert omml_to_latex(f"<m:oMathPara {M}><m:oMath>{r('a')}</m:oMath><m:oMath>{r('b')}</m:oMath></m:oMathPara>") == "$$a \\\\ b$$"
-    assert omml_to_latex(None) is None and omml_to_latex("<broken") is None
-
-
 def test_includes():
     files = {"main.tex": "a \\input{x} % \\input{y}\n\\include{sub/y}", "x.tex": "X", "sub/y.tex": "Y \\input{z}", "sub/z.tex": "\\input{main} \\input{no}"}
     text, notes = flatten(files, "main.tex")
@@ -92,33 +74,3 @@ def package(parts):
         for path, text in parts.items():
             z.writestr(path, text)
     return out.getvalue()
-
-
-W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
-
-
-def test_docx():
-    run = lambda t, p="": f"<w:r><w:rPr>{p}</w:rPr><w:t>{t}</w:t></w:r>"
-    body = f"""<w:p><w:pPr><w:pStyle w:val="Heading2"/></w:pPr>{run("Head", "<w:b/>")}</w:p>
-<w:p>{run("a", "<w:b/>")}{run("b ", "<w:b/>")}{run("c")}{run("d", '<w:i w:val="0"/>')}<w:r><w:commentReference w:id="5"/></w:r></w:p>
-<w:p><w:r><w:drawing/></w:r></w:p>
-<w:tbl><w:tr><w:tc><w:p>{run("x|")}</w:p></w:tc><w:tc><w:p>{run("y")}</w:p></w:tc></w:tr><w:tr><w:tc><w:p>{run("1")}</w:p></w:tc></w:tr></w:tbl>"""
-    data = package({"word/document.xml": f"<w:document {W}><w:body>{body}</w:body></w:document>", "word/comments.xml": f'<w:comments {W}><w:comment w:id="5" w:author="Al"><w:p>{run("why")}</w:p></w:comment></w:comments>'})
-    assert docx_to_markdown(data, "f", {"f_image1": "pic"}) == "## Head\n\n**ab** cd\n\n> **Comment (Al):** why\n\n[Image: pic]\n\n| x\\| | y |\n| --- | --- |\n| 1 |  |\n"
-    assert docx_to_markdown(None) is None and docx_to_markdown(b"no zip") is None
-
-
-def test_pptx():
-    ns = 'xmlns:p="p" xmlns:a="a" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships" xmlns:mc="mc"'
-    sp = lambda i, t, ph="": f'<p:sp><p:nvSpPr><p:cNvPr id="{i}"/><p:nvPr>{ph}</p:nvPr></p:nvSpPr><p:txBody><a:p><a:r><a:t>{t}</a:t></a:r></a:p></p:txBody></p:sp>'
-    pic = '<p:pic><p:nvPicPr><p:cNvPr id="9"/></p:nvPicPr></p:pic>'
-    slide = f"<p:sld {ns}><p:cSld><p:spTree>{sp(1, 'T', '<p:ph type=&quot;title&quot;/>'.replace('&quot;', chr(34)))}<p:grpSp>{sp(2, 'in group')}</p:grpSp>{pic}<mc:AlternateContent><mc:Choice>{sp(7, 'hidden')}</mc:Choice></mc:AlternateContent></p:spTree></p:cSld></p:sld>"
-    rel = lambda i, kind, target: f'<Relationship Id="{i}" Type="x/{kind}" Target="{target}"/>'
-    data = package({
-        "ppt/presentation.xml": f'<p:presentation {ns}><p:sldIdLst><p:sldId r:id="b"/></p:sldIdLst></p:presentation>',
-        "ppt/_rels/presentation.xml.rels": f"<Relationships>{rel('b', 'slide', 'slides/slide3.xml')}</Relationships>",
-        "ppt/slides/slide3.xml": slide,
-        "ppt/slides/_rels/slide3.xml.rels": f"<Relationships>{rel('n', 'notesSlide', '../notes/n.xml')}</Relationships>",
-        "ppt/notes/n.xml": f"<p:notes {ns}><p:cSld><p:spTree>{sp(1, 'say', '<p:ph type=' + chr(34) + 'body' + chr(34) + '/>')}</p:spTree></p:cSld></p:notes>",
-    })
-    assert pptx_to_markdown(data, "d", {"d_slide1_image1": "pic"}, notes=True) == "# Slide 1: T\n\nin group\n\n[Image: pic]\n\nhidden\n\n> **Notes:** say\n"
