@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import lru_cache
 
 from .graphs import circular, components
 from .literals import after_blanks, free_sign, group_end, mask, put_away, unmask
@@ -225,8 +226,16 @@ def _deepest(text: str) -> int:
     return most
 
 
-def expanded(text: str, macros: dict[str, Macro], most: int) -> str:
-    """All uses of ``macros`` replaced at once, again and again until nothing changes.
+def _settled(text: str, at: int, macro: Macro) -> bool:
+    """Whether a use inside a body, whose name ends at ``at``, takes nothing from what
+    will stand after the body or in place of an argument."""
+    after = after_blanks(text, at)
+    return after < len(text) and text[after] != "#" if not macro.arity or macro.default is not None else True
+
+
+def expanded(text: str, macros: dict[str, Macro], most: int, inside: bool = False) -> str:
+    """All uses of ``macros`` replaced at once, again and again until nothing changes;
+    ``inside`` a body only those that are settled there.
 
     A pass goes one step down the calls or into the arguments, so their depths bound the
     passes, unless arguments feed a macro to itself.  Its length is known before a pass is
@@ -236,7 +245,7 @@ def expanded(text: str, macros: dict[str, Macro], most: int) -> str:
         found, at, length = [], 0, len(text)
         for m in _USE.finditer(text):
             name = m[1] or m[2]
-            if m.start() >= at and name in bodies and (got := arguments(text, m.end(), macros[name])) is not None:
+            if m.start() >= at and name in bodies and (got := arguments(text, m.end(), macros[name])) is not None and not (inside and not _settled(text, m.end(), macros[name])):
                 found.append((m.start(), bodies[name], *got))
                 at = got[1]
                 length += bodies[name].length(got[0]) - (at - m.start())
@@ -257,6 +266,36 @@ def expanded(text: str, macros: dict[str, Macro], most: int) -> str:
         text, passes = changed, passes - 1
 
 
+class Grammar:
+    """What follows from a text's macros alone."""
+
+    def __init__(self, macros: tuple[Macro, ...]):
+        self.macros = {m.name: m for m in macros}
+        self.calls = Calls(self.macros)
+        self.lengths = Lengths({n: self.macros[n] for n in self.calls.inner_first}, self.calls.inner_first)
+        self.weight = {n: sum(self.lengths.of[n]) for n in self.calls.inner_first}
+        self._flat: dict[frozenset[str], dict[str, Macro]] = {}
+
+    def flat(self, left: frozenset[str], most: int) -> dict[str, Macro]:
+        """The macros that are not ``left``, their bodies expanded from the inner ones
+        outwards, so that a chain of any depth is one step."""
+        if left not in self._flat:
+            made: dict[str, Macro] = {}
+            for n in self.calls.inner_first:
+                if n not in left:
+                    m = self.macros[n]
+                    uses = {u: made[u] for u in self.calls.uses[n] if u in made}
+                    made[n] = replace(m, body=expanded(m.body, uses, most, inside=True)) if uses else m
+            self._flat = {left: made}
+        return self._flat[left]
+
+
+@lru_cache(maxsize=32)
+def grammar(macros: tuple[Macro, ...]) -> Grammar:
+    """Documents of one author often share their macros."""
+    return Grammar(macros)
+
+
 _CONDITIONAL = re.compile(r"\\ifodd\s+1\s(.*?)(?:\\else(?![A-Za-z]).*?)?\\fi(?![A-Za-z])", re.S)
 
 
@@ -275,17 +314,14 @@ def expand_with_notes(text: str | None, keep_packages: bool = False, bounds: Bou
     text, literals = mask(text)
     text = _CONDITIONAL.sub(lambda m: m[1], text)
     found = definitions(text)
-    macros = counting(found)
-    calls = Calls(macros)
+    made = grammar(tuple(counting(found).values()))
+    calls, lengths, weight = made.calls, made.lengths, made.weight
     most = max(b.text, b.growth * len(text))
-    open_ = calls.inner_first
-    lengths = Lengths({n: macros[n] for n in open_}, open_)
-    weight = {n: sum(lengths.of[n]) for n in open_}
-    overlong = calls.leading_to(n for n in open_ if weight[n] > max(b.use, b.growth * len(text))) - calls.circular
     bare = without(text, found)
+    overlong = calls.leading_to(n for n in weight if weight[n] > max(b.use, b.growth * len(text))) - calls.circular
     if lengths.whole(bare, overlong) > most:
         # The longest are left, as few of them as bring the text below the bound.
-        by_weight = sorted((n for n in open_ if n not in overlong), key=lambda n: (-weight[n], n))
+        by_weight = sorted((n for n in weight if n not in overlong), key=lambda n: (-weight[n], n))
         low, high = 1, len(by_weight)
         leave = lambda k: calls.leading_to([*overlong, *by_weight[:k]]) - calls.circular
         while low < high:
@@ -301,7 +337,7 @@ def expand_with_notes(text: str | None, keep_packages: bool = False, bounds: Bou
         out = re.sub(r"\\(?:DeclareMathAlphabet|SetMathAlphabet)\{[^\n]*\n?", "", out)
         out = out if keep_packages else re.sub(r"\\usepackage(?:\[[^\]]*\])?\{[^}]*\}\s*", "", out)
         try:
-            out = expanded(out, {n: macros[n] for n in open_ if n not in left}, most)
+            out = expanded(out, made.flat(frozenset(left), most), most)
             break
         except Outgrown as e:
             overlong = calls.leading_to([*overlong, e.args[0]]) - calls.circular
