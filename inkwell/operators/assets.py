@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import threading
+import time
+import uuid
 from collections.abc import Iterator
+from concurrent import futures
+from concurrent.futures import Future
+from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
@@ -120,36 +126,153 @@ class Provider(Protocol):
     def describe(self, data: bytes, mime: str, prompt_kind: str) -> str: ...
 
 
-def summarize(assets: DataFrame, summaries: DataFrame, provider: Provider, passing: tuple[str, ...] = PASSING, wait=None) -> DataFrame:
+@dataclass(frozen=True)
+class Calls:
+    """How a task asks its provider: ``at_once`` calls in flight, ``seconds`` for one
+    with its retries (None: no end), and ``ledger``, a shared folder where each answer
+    is kept by its digest and prompt, so that a repeated task asks nothing twice."""
+
+    at_once: int = 4
+    seconds: float | None = None
+    ledger: str | None = None
+    passing: tuple[str, ...] = PASSING
+
+
+def _answer(provider: Provider, call: tuple, calls: Calls, pause) -> tuple[str | None, str | None]:
+    """Text and error of one call, made again while its errors are passing ones."""
+    _, kind, data, mime = call
+    for k in range(RETRIES):
+        try:
+            return provider.describe(data, mime, kind).strip(), None
+        except Exception as e:  # noqa: BLE001 - a failing call becomes a row
+            error = str(e)
+            if not any(x in error.lower() for x in calls.passing) or k == RETRIES - 1:
+                break
+            pause(min(FIRST_WAIT * 2**k, LONGEST_WAIT))
+    return None, error
+
+
+class Ledger:
+    """Answers in a shared folder, one file each, put in place by a rename."""
+
+    def __init__(self, folder: str):
+        from pyarrow import fs
+
+        self.fs, self.root = fs.FileSystem.from_uri(folder)
+        self.fs.create_dir(self.root)
+
+    def _path(self, call: tuple) -> str:
+        return f"{self.root}/{call[0]}-{call[1]}.txt"
+
+    def get(self, call: tuple) -> str | None:
+        try:
+            with self.fs.open_input_stream(self._path(call)) as f:
+                return f.read().decode("utf-8")
+        except FileNotFoundError:
+            return None
+
+    def put(self, call: tuple, text: str) -> None:
+        put_file(self.fs, self._path(call), text.encode("utf-8", "surrogatepass"))
+
+
+def put_file(fs, path: str, data: bytes) -> None:
+    """Write a file so that a reader sees all of it or none: attempts have names of
+    their own, and the last one to finish is the file."""
+    attempt = f"{path}.{uuid.uuid4().hex}.attempt"
+    with fs.open_output_stream(attempt) as f:
+        f.write(data)
+    fs.move(attempt, path)
+
+
+def asked(batches: Iterator[pd.DataFrame], provider: Provider, calls: Calls, pause) -> Iterator[pd.DataFrame]:
+    """The answers to a task's calls, in their order.  At most ``at_once`` are in flight;
+    one that takes too long becomes an error and its thread is left behind."""
+    ledger = Ledger(calls.ledger) if calls.ledger else None
+
+    def one(call: tuple) -> tuple[str | None, str | None]:
+        if ledger and (known := ledger.get(call)) is not None:
+            return known, None
+        text, error = _answer(provider, call, calls, pause)
+        if ledger and text is not None:
+            ledger.put(call, text)
+        return text, error
+
+    def started(call: tuple) -> Future:
+        done: Future = Future()
+
+        def run() -> None:
+            try:
+                done.set_result(one(call))
+            except Exception as e:  # noqa: BLE001 - of the ledger
+                done.set_exception(e)
+
+        threading.Thread(target=run, daemon=True).start()
+        return done
+
+    for frame in batches:
+        todo = list(frame[["digest", "prompt_kind", "bytes", "mime"]].itertuples(index=False, name=None))
+        answers: dict[int, tuple] = {}
+        open_: dict[Future, tuple[int, float]] = {}
+        at = 0
+        while len(answers) < len(todo):
+            while at < len(todo) and len(open_) < calls.at_once:
+                open_[started(todo[at])] = (at, time.monotonic())
+                at += 1
+            wait = None if calls.seconds is None else max(0.0, min(t for _, t in open_.values()) + calls.seconds - time.monotonic())
+            for f in futures.wait(open_, wait, futures.FIRST_COMPLETED).done:
+                answers[open_.pop(f)[0]] = f.result()
+            for f, (k, t) in list(open_.items()):
+                if calls.seconds is not None and time.monotonic() - t >= calls.seconds:
+                    answers[k] = (None, f"no answer in {calls.seconds:g} seconds")
+                    del open_[f]
+        rows = [(*todo[k][:2], *answers[k]) for k in range(len(todo))]
+        yield pd.DataFrame(rows, columns=["digest", "prompt_kind", "text", "error"])
+
+
+def summarize(assets: DataFrame, summaries: DataFrame, provider: Provider, passing: tuple[str, ...] = PASSING, wait=None, calls: Calls | None = None) -> DataFrame:
     """stem, text and error for each asset without a summary.
 
-    ``assets``: stem, bytes, mime, prompt_kind.  Each different image and prompt is
-    asked once; passing errors are tried again, others become the error column.
+    ``assets``: stem, bytes, mime, prompt_kind; ``stem`` may stand for several columns
+    that ``summaries`` has too.  Each different image and prompt is asked once; passing
+    errors are tried again, others become the error column.
     """
+    c = calls or Calls(passing=passing)
+    key = [x for x in assets.columns if x not in ("bytes", "mime", "prompt_kind") and x in summaries.columns]
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import time
+        yield from asked(batches, provider, c, wait or time.sleep)
 
-        pause = wait or time.sleep
-        for pdf in batches:
-            rows = []
-            for d, kind, data, mime in pdf[["digest", "prompt_kind", "bytes", "mime"]].itertuples(index=False):
-                text = error = None
-                for k in range(RETRIES):
-                    try:
-                        text, error = provider.describe(data, mime, kind).strip(), None
-                        break
-                    except Exception as e:  # noqa: BLE001 - a failing call becomes a row
-                        error = str(e)
-                        if not any(x in error.lower() for x in passing) or k == RETRIES - 1:
-                            break
-                        pause(min(FIRST_WAIT * 2**k, LONGEST_WAIT))
-                rows.append((d, kind, text, error))
-            yield pd.DataFrame(rows, columns=["digest", "prompt_kind", "text", "error"])
-
-    wanted = missing(assets, summaries).withColumn("digest", F.md5("bytes"))
+    wanted = assets.join(summaries, key, "left_anti").withColumn("digest", F.md5("bytes"))
     told = distinct_calls(wanted).mapInPandas(ask, "digest string, prompt_kind string, text string, error string")
-    return wanted.join(told, ["digest", "prompt_kind"]).select("stem", "text", "error")
+    return wanted.join(told, ["digest", "prompt_kind"]).select(*key, "text", "error")
+
+
+def write_summaries(told: DataFrame, folder: str, suffix: str = "_summary.txt", encoding: str = "utf-8") -> DataFrame:
+    """Writes each summary of ``told`` (stem, text) beside its image, as
+    ``folder/stem`` + ``suffix``; returns stem, path and written (false: it was there).
+
+    The rows are worked out when the result is.  A file is put in place by a rename and
+    never written over, so a task that is repeated leaves what the first one wrote; of
+    several texts for one stem the smallest counts, null texts are none.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        there, root = fs.FileSystem.from_uri(folder)
+        for frame in batches:
+            rows = []
+            for name, text in frame[["stem", "text"]].itertuples(index=False, name=None):
+                path = f"{root}/{name}{suffix}"
+                new = there.get_file_info(path).type == fs.FileType.NotFound
+                if new:
+                    there.create_dir(path.rpartition("/")[0])
+                    put_file(there, path, text.encode(encoding))
+                rows.append((name, f"{name}{suffix}", new))
+            yield pd.DataFrame(rows, columns=["stem", "path", "written"])
+
+    one = told.where("stem IS NOT NULL AND text IS NOT NULL").groupBy("stem").agg(F.min("text").alias("text"))
+    return one.mapInPandas(run, "stem string, path string, written boolean")
 
 
 def _comment(text: Column) -> Column:
@@ -197,4 +320,4 @@ def replace_markers(pages: DataFrame, summaries: DataFrame) -> DataFrame:
     return cut.join(each, ["doc_id", "page_no"], "left").select("doc_id", "page_no", F.when(F.col("news").isNull(), F.col("text")).otherwise(whole).alias("text"))
 
 
-__all__ = ["Provider", "choose_images", "distinct_calls", "distinct_refs", "image_files", "mime_of", "missing_notes", "side_files", "joined", "missing", "numbered", "replace_markers", "stem", "substitute_figures", "summarize", "summary_key"]
+__all__ = ["Calls", "Provider", "choose_images", "distinct_calls", "distinct_refs", "image_files", "mime_of", "missing_notes", "side_files", "joined", "missing", "numbered", "replace_markers", "stem", "substitute_figures", "summarize", "summary_key", "write_summaries"]

@@ -57,6 +57,27 @@ def pptx(title: str, text: str, cell: str) -> bytes:
     })
 
 
+def deck_with_groups(title: str, text: str, picture: str) -> bytes:
+    """A slide with a picture and a text in nested groups, alternate contents of which one
+    shape is at the top too, and a second picture."""
+    para = lambda t: f'<a:p><a:r><a:t>{escape(t)}</a:t></a:r></a:p>'
+    shape = lambda n, t, kind="": f'<p:sp><p:nvSpPr><p:cNvPr id="{n}" name="x"/><p:nvPr>{kind}</p:nvPr></p:nvSpPr><p:txBody>{para(t)}</p:txBody></p:sp>'
+    pic = lambda n, r: f'<p:pic><p:nvPicPr><p:cNvPr id="{n}" name="x"/></p:nvPicPr><p:blipFill><a:blip r:embed="{r}"/></p:blipFill></p:pic>'
+    link = lambda i, kind, target: f'<Relationship Id="{i}" Type="{R}/{kind}" Target="{target}"/>'
+    rels = lambda *x: f'<Relationships xmlns="{LINKS}">{"".join(x)}</Relationships>'
+    shapes = (
+        f"<mc:AlternateContent><mc:Choice>{shape(5, 'not again')}{shape(8, 'late ' + title)}</mc:Choice></mc:AlternateContent>"
+        f"<p:grpSp>{pic(2, 'one')}<p:grpSp>{shape(3, text)}</p:grpSp></p:grpSp>{shape(5, 'top')}{pic(6, 'two')}{shape(1, title, '<p:ph type=%stitle%s/>' % (chr(34), chr(34)))}"
+    )
+    return _zip({
+        "ppt/presentation.xml": f'<p:presentation xmlns:p="{P}" xmlns:r="{R}"><p:sldIdLst><p:sldId id="256" r:id="s"/></p:sldIdLst></p:presentation>',
+        "ppt/_rels/presentation.xml.rels": rels(link("s", "slide", "slides/slide1.xml")),
+        "ppt/slides/slide1.xml": f'<p:sld xmlns:p="{P}" xmlns:a="{A}" xmlns:r="{R}" xmlns:mc="http://schemas.openxmlformats.org/markup-compatibility/2006"><p:cSld><p:spTree>{shapes}</p:spTree></p:cSld></p:sld>',
+        "ppt/slides/_rels/slide1.xml.rels": rels(link("one", "image", "../media/a.png"), link("two", "image", "../media/b.jpg")),
+        "ppt/media/a.png": picture, "ppt/media/b.jpg": text,
+    })
+
+
 def office_file(make, *columns: Column) -> Column:
     """The file that ``make`` builds of three text columns."""
 

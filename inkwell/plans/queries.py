@@ -6,6 +6,7 @@ composes the expected result from the same columns.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import notes as N
 from ..functions import text as T
+from ..lineage import cut
 from ..operators import assets, bibliography, blocks, includes, latex, layout
 from . import cleaning, fixtures, office, pages, run
 
@@ -693,6 +695,60 @@ def run_notes(spark, d):
     return done.select(F.col("doc_id").alias("path"), "content", F.inline("notes"))
 
 
+def _decks(spark, d):
+    docs = documents(spark, Line(d))
+    data = fixtures.office_file(fixtures.deck_with_groups, F.col("source"), F.col("lang"), F.concat(L("picture of "), "source"))
+    return docs.select("doc_id", L("pptx").alias("kind"), data.alias("content"))
+
+
+_SQL_LINE = f"(SELECT doc_id, 'a' || regexp_replace(regexp_replace(coalesce(text, ''), '{Line.sql_marks}', ' ', 'g'), chr(10) || '{{3,}}', chr(10) || chr(10), 'g') || 'z' AS text, source FROM documents)"
+
+
+@query(f"""SELECT doc_id, '# Slide 1: ' || source || chr(10) || chr(10) || CASE WHEN doc_id % 2 = 0 THEN '[Image: of ' || source || ']' ELSE '[Image]' END || chr(10) || chr(10) || text || chr(10) || chr(10) || 'top'
+|| chr(10) || chr(10) || '[Image]' || chr(10) || chr(10) || 'late ' || source || chr(10) AS markdown FROM {_SQL_LINE}""")
+def pptx_groups(spark, d):
+    """Nested groups flattened by path, alternate contents without what is at the top."""
+    told = documents(spark, d).where("doc_id % 2 = 0").select("doc_id", L("slide1_image1").alias("place"), F.concat(L("of "), "source").alias("summary"))
+    return office.office_documents(_decks(spark, d), told).drop("kind")
+
+
+@query(f"""WITH p AS {_SQL_LINE}, a AS (SELECT doc_id, 'slide1_image1' AS place, md5('picture of ' || source) AS digest, 'image/png' AS mime FROM p WHERE doc_id % 2 <> 0
+UNION ALL SELECT doc_id, 'slide1_image2', md5(text), 'image/jpeg' FROM p)
+SELECT *, count(*) OVER (PARTITION BY digest) AS n_targets FROM a""")
+def office_pictures(spark, d):
+    """Pictures without a summary, with how many places each different one stands for."""
+    known = documents(spark, d).where("doc_id % 2 = 0").select("doc_id", L("slide1_image1").alias("place"))
+    found = cut(office.pictures(_decks(spark, d)).join(known, ["doc_id", "place"], "left_anti"))
+    calls = assets.distinct_calls(found).select("digest", "n_targets")
+    return found.select("doc_id", "place", F.md5("bytes").alias("digest"), "mime").join(calls, "digest")
+
+
+_OMML = [
+    ("<m:sSub><m:e>X</m:e><m:sub>Y</m:sub></m:sSub>", "X_{Y}"), ("<m:sSup><m:e>X</m:e><m:sup>Y</m:sup></m:sSup>", "X^{Y}"),
+    ("<m:sSubSup><m:e>X</m:e><m:sub>Y</m:sub><m:sup>Z</m:sup></m:sSubSup>", "X_{Y}^{Z}"), ("<m:sPre><m:sub>X</m:sub><m:sup>Y</m:sup><m:e>Z</m:e></m:sPre>", "{}_{X}^{Y}Z"),
+    ("<m:f><m:num>X</m:num><m:den>Y</m:den></m:f>", "~frac{X}{Y}"), ("<m:rad><m:deg>X</m:deg><m:e>Y</m:e></m:rad>", "~sqrt[X]{Y}"),
+    ("<m:nary><m:naryPr><m:chr m:val='∏'/></m:naryPr><m:sub>X</m:sub><m:sup>Y</m:sup><m:e>Z</m:e></m:nary>", "~prod_{X}^{Y} Z"),
+    ("<m:d><m:dPr><m:begChr m:val='{'/><m:endChr m:val='⟩'/></m:dPr><m:e>X</m:e><m:e>Y</m:e></m:d>", "~left~{ X | Y ~right~rangle"),
+    ("<m:func><m:fName><m:r><m:t>Sin</m:t></m:r></m:fName><m:e>X</m:e></m:func>", "~sinX"), ("<m:acc><m:accPr><m:chr m:val='\u0303'/></m:accPr><m:e>X</m:e></m:acc>", "~tilde{X}"),
+    ("<m:bar><m:barPr><m:pos m:val='bot'/></m:barPr><m:e>X</m:e></m:bar>", "~underline{X}"), ("<m:m><m:mr><m:e>X</m:e><m:e>Y</m:e></m:mr><m:mr><m:e>Z</m:e></m:mr></m:m>", "~begin{pmatrix} X & Y ~~ Z ~end{pmatrix}"),
+    ("<m:eqArr><m:e>X</m:e><m:e>Y</m:e></m:eqArr>", "~begin{aligned} X ~~ Y ~end{aligned}"), ("<m:limLow><m:e>X</m:e><m:lim>Y</m:lim></m:limLow>", "X_{Y}"), ("<m:limUpp><m:e>X</m:e><m:lim>Y</m:lim></m:limUpp>", "X^{Y}"),
+    ("<m:groupChr><m:groupChrPr><m:chr m:val='⏞'/></m:groupChrPr><m:e>X</m:e></m:groupChr>", "~overbrace{X}"), ("<m:borderBox><m:e>X</m:e></m:borderBox>", "X"), ("<m:r><m:t>α</m:t></m:r>", "~alpha "),
+]
+_SQL_OMML = " || ' ' || ".join("'" + want.replace("~", "' || chr(92) || '").replace("X", "' || p_size || '").replace("Y", "' || p_partkey || '").replace("Z", "' || p_brand || '") + "'" for _, want in _OMML).replace("'' || ", "").replace(" || ''", "")
+
+
+@query(f"SELECT p_partkey, '$$' || {_SQL_OMML} || ' ' || chr(92) || chr(92) || ' ' || p_brand || '$$' AS latex FROM part")
+def omml_families(spark, d):
+    """Every family of math elements in one formula."""
+    values = {"X": F.col("p_size").cast("string"), "Y": F.col("p_partkey").cast("string"), "Z": F.col("p_brand")}
+    parts = [L('<m:oMathPara xmlns:m="http://schemas.openxmlformats.org/officeDocument/2006/math"><m:oMath>')]
+    for k, (form, _) in enumerate(_OMML):
+        for piece in re.split("(?<=>)([XYZ])(?=<)", ("<m:r><m:t> </m:t></m:r>" if k else "") + form):
+            parts += [L("<m:r><m:t>"), values[piece], L("</m:t></m:r>")] if piece in values else [L(piece)]
+    parts += [L("</m:oMath><m:oMath><m:r><m:t>"), F.col("p_brand"), L("</m:t></m:r></m:oMath></m:oMathPara>")]
+    return read(spark, d, "part").select("p_partkey", latex.omml_to_latex(F.concat(*parts)).alias("latex"))
+
+
 def _again(names: list[str], suffix: str, kind: type, told: Callable[[str], str]) -> None:
     """Registers queries once more over a larger job, the oracles over the same."""
     for name in names:
