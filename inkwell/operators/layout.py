@@ -37,35 +37,89 @@ def outside_regions(lines: DataFrame, regions: DataFrame) -> DataFrame:
     return lines.join(r, [*same, inside], "left_anti")
 
 
+#: Height of the bands in which boxes and obstacles of a page meet.
+BAND = 256.0
+
+
+def _banded(rows: DataFrame, low: str, high: str, prefix: str = "") -> DataFrame:
+    """``rows`` in each band that they lie in between two sides."""
+    n = lambda c: F.floor(F.col(c) / BAND)
+    return rows.withColumn(f"{prefix}band", F.explode(F.sequence(F.least(n(low), n(high)), F.greatest(n(low), n(high)))))
+
+
 def capped_padding(boxes: DataFrame, obstacles: DataFrame, pad: float = PAD) -> DataFrame:
     """``boxes`` (doc_id, page_no, box_no, x0..y1) padded, each side no further than
-    the nearest obstacle in its way."""
-    o = obstacles.select(*[F.col(c).alias(f"o_{c}") for c in (*PAGE, "x0", "y0", "x1", "y1")])
-    met = boxes.join(o, [F.col(c) == F.col(f"o_{c}") for c in PAGE], "left")
+    the nearest obstacle in its way.
+
+    An obstacle caps a side only if it lies within ``pad`` of it, so a box meets those in
+    the bands that its padded form touches, not all of its page."""
+    sides = ("x0", "y0", "x1", "y1")
+    o = _banded(obstacles.select(*[F.col(c).alias(f"o_{c}") for c in (*PAGE, *sides)]), "o_y0", "o_y1", "o_")
+    wide = _banded(boxes.select(*PAGE, "box_no", *sides, (F.col("y0") - pad).alias("lo"), (F.col("y1") + pad).alias("hi")), "lo", "hi")
+    close = (F.col("o_x1") >= F.col("x0") - pad) & (F.col("o_x0") <= F.col("x1") + pad) & (F.col("o_y1") >= F.col("lo")) & (F.col("o_y0") <= F.col("hi"))
+    met = wide.join(o, [*[F.col(c) == F.col(f"o_{c}") for c in PAGE], F.col("band") == F.col("o_band"), close], "left")
     across = (F.col("o_x1") > F.col("x0")) & (F.col("o_x0") < F.col("x1"))
     along = (F.col("o_y1") > F.col("y0")) & (F.col("o_y0") < F.col("y1"))
     near = lambda f, side, when: f(F.when(when, F.col(side)))
-    caps = met.groupBy(*PAGE, "box_no", "x0", "y0", "x1", "y1").agg(
+    caps = met.groupBy(*PAGE, "box_no", *sides).agg(
         near(F.max, "o_x1", (F.col("o_x1") <= F.col("x0")) & along).alias("left"), near(F.max, "o_y1", (F.col("o_y1") <= F.col("y0")) & across).alias("top"),
         near(F.min, "o_x0", (F.col("o_x0") >= F.col("x1")) & along).alias("right"), near(F.min, "o_y0", (F.col("o_y0") >= F.col("y1")) & across).alias("bottom"))
     return caps.select(*PAGE, "box_no", F.greatest(F.col("x0") - pad, "left").alias("x0"), F.greatest(F.col("y0") - pad, "top").alias("y0"), F.least(F.col("x1") + pad, "right").alias("x1"), F.least(F.col("y1") + pad, "bottom").alias("y1"))
 
 
+class _Grid:
+    """Hulls by the cells of a grid that they lie in, and those over many cells apart."""
+
+    most = 64
+
+    def __init__(self, side: float):
+        self.side, self.cells, self.large = side, {}, {}
+
+    def _cells(self, box: list[float], more: float = 0) -> list[tuple[int, int]] | None:
+        lo = [int((box[k] - more) // self.side) for k in (0, 1)]
+        hi = [int((box[k] + more) // self.side) for k in (2, 3)]
+        n = max(0, hi[0] - lo[0] + 1) * max(0, hi[1] - lo[1] + 1)
+        return None if n > self.most else [(i, j) for i in range(lo[0], hi[0] + 1) for j in range(lo[1], hi[1] + 1)]
+
+    def add(self, key: int, box: list[float]) -> None:
+        cells = self._cells(box)
+        for c in ["large"] if cells is None else cells:
+            (self.large if cells is None else self.cells.setdefault(c, {}))[key] = box
+
+    def remove(self, key: int, box: list[float]) -> None:
+        cells = self._cells(box)
+        for c in ["large"] if cells is None else cells:
+            del (self.large if cells is None else self.cells[c])[key]
+
+    def near(self, box: list[float], gap: float) -> set[int]:
+        cells = self._cells(box, gap)
+        found = set(self.large)
+        for c in self.cells if cells is None else cells:
+            found |= self.cells.get(c, {}).keys()
+        return found
+
+
 def united(boxes: list[list[float]], gap: float) -> list[list[float]]:
     """Hulls of boxes, united while any two are within ``gap`` on both axes, by top
-    then left."""
-    hulls, merged = boxes, True
-    while merged:
-        merged, done = False, []
-        for box in hulls:
-            near = next((d for d in done if max(d[0] - box[2], box[0] - d[2]) <= gap and max(d[1] - box[3], box[1] - d[3]) <= gap), None)
-            if near is None:
-                done.append(list(box))
-            else:
-                near[:] = [min(near[0], box[0]), min(near[1], box[1]), max(near[2], box[2]), max(near[3], box[3])]
-                merged = True
-        hulls = done
-    return sorted(hulls, key=lambda b: (b[1], b[0]))
+    then left.  A hull is compared with those in the cells around it; when it grows, it
+    looks around again, so that each union costs one look."""
+    if not boxes:
+        return []
+    within = lambda a, b: max(a[0] - b[2], b[0] - a[2]) <= gap and max(a[1] - b[3], b[1] - a[3]) <= gap
+    spans = sorted(max(abs(b[2] - b[0]), abs(b[3] - b[1])) for b in boxes)
+    grid, hulls = _Grid(max(spans[len(spans) // 2] + gap, 1e-9)), {}
+    for key, b in enumerate(boxes):
+        box, looking = list(b), True
+        while looking:
+            met = [k for k in grid.near(box, gap) if within(hulls[k], box)]
+            looking = bool(met)
+            for k in met:
+                own = hulls.pop(k)
+                grid.remove(k, own)
+                box = [min(box[0], own[0]), min(box[1], own[1]), max(box[2], own[2]), max(box[3], own[3])]
+        hulls[key] = box
+        grid.add(key, box)
+    return sorted(hulls.values(), key=lambda b: (b[1], b[0]))
 
 
 def merge_boxes(boxes: DataFrame, gap: float = MERGE_GAP) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -40,13 +41,29 @@ def _beside(docs: DataFrame, names: Column, files: DataFrame) -> DataFrame:
     return asked.join(there, F.col("_at") == F.col("path"), "left").drop("_at")
 
 
-def clean_projects(roots: DataFrame, texts: DataFrame, options: CleanOptions | None = None) -> DataFrame:
+def described_figures(docs: DataFrame, images: DataFrame, known: DataFrame, provider: assets.Provider, calls: assets.Calls | None = None) -> DataFrame:
+    """doc_id, stem and text of the graphics of ``docs`` (doc_id, content) that ``known``
+    (doc_id, stem) has no summary of, as a provider describes them.  ``images``: path,
+    content, in bytes; a name without an extension is looked up with each of them."""
+    refs = assets.distinct_refs(docs).select("doc_id", "ref")
+    bare = ~F.col("ref").rlike(rf"(?i)\.(?:{'|'.join(e[1:] for e in assets.EXTENSIONS)})$")
+    tries = F.when(bare, F.array("ref", *[F.concat("ref", F.lit(e)) for e in assets.EXTENSIONS])).otherwise(F.array("ref"))
+    each = refs.select("*", F.posexplode(tries).alias("priority", "tried")).withColumn("path", below(folder_of(F.col("doc_id")), F.col("tried")))
+    hits = each.join(images.select("path", F.col("content").alias("bytes")), "path")
+    first = hits.groupBy("doc_id", "ref").agg(F.min_by(F.struct("path", "bytes"), "priority").alias("file"))
+    found = first.select("doc_id", assets.stem(F.col("ref")).alias("stem"), "file.bytes", assets.mime_of(F.col("file.path")).alias("mime"), F.lit("figure").alias("prompt_kind")).dropDuplicates(["doc_id", "stem"])
+    return assets.summarize(found, known.select("doc_id", "stem"), provider, calls=calls).where("text IS NOT NULL").select("doc_id", "stem", "text")
+
+
+def clean_projects(roots: DataFrame, texts: DataFrame, options: CleanOptions | None = None, images: DataFrame | None = None, provider: assets.Provider | None = None, calls: assets.Calls | None = None, kept: list[DataFrame] | None = None) -> DataFrame:
     """doc_id, content and notes of the LaTeX documents at ``roots`` (path).
 
     ``texts``: path, content of all text files.  A root's includes, bibliographies and
     summaries are found by the names that stand in it, one join each, so that files it
     does not name cost it nothing.  Notes tell what was not there: includes, ``.bib``
-    files (unless a ``.bbl`` beside the root is taken) and summaries of graphics.
+    files (unless a ``.bbl`` beside the root is taken) and summaries of graphics.  Where
+    the options ask for summaries, ``provider`` describes the graphics among ``images``
+    (path, content) that have none; ``kept`` gets a table of these (path, text).
     """
     o = options or CleanOptions()
     if o.flatten:
@@ -70,7 +87,13 @@ def clean_projects(roots: DataFrame, texts: DataFrame, options: CleanOptions | N
         stems = F.array_distinct(F.transform(F.regexp_extract_all("content", F.lit(assets.GRAPHIC), 1), lambda g: F.concat(assets.stem(g), F.lit(o.figure_summary_suffix))))
         told = _beside(seen, stems, texts.where(F.col("path").endswith(o.figure_summary_suffix))).withColumn("stem", F.expr(f"left(name, length(name) - {len(o.figure_summary_suffix)})"))
         summaries = told.where("content IS NOT NULL").select("doc_id", "stem", strip(F.col("content")).alias("text"))
-        missing.append(told.where("content IS NULL").select("doc_id", F.lit("missing-summary").alias("code"), F.col("stem").alias("detail")))
+        asked = told.where("content IS NULL").select("doc_id", "stem")
+        if o.auto_summarize and provider is not None and images is not None:
+            new = cut(described_figures(seen, images, summaries, provider, calls))  # asked once
+            if kept is not None:
+                kept.append(new.select(below(folder_of(F.col("doc_id")), F.col("stem")).alias("stem"), "text"))
+            summaries, asked = summaries.unionByName(new), asked.join(new, ["doc_id", "stem"], "left_anti")
+        missing.append(asked.select("doc_id", F.lit("missing-summary").alias("code"), F.col("stem").alias("detail")))
     if missing:
         docs = notes.with_rows(docs, reduce(DataFrame.unionAll, missing))
     return cleaning.clean_with_notes(docs, o, entries, bbl, summaries)
@@ -87,7 +110,7 @@ def picture_summaries(documents: DataFrame, texts: DataFrame, suffix: str = "_su
     return stems.join(told, "stem").select("doc_id", "place", "summary")
 
 
-def clean_folder(spark: SparkSession, folder: str, roots: list[str] | DataFrame, options: CleanOptions | None = None, pdf: DataFrame | None = None) -> DataFrame:
+def clean_folder(spark: SparkSession, folder: str, roots: list[str] | DataFrame, options: CleanOptions | None = None, pdf: DataFrame | None = None, provider: assets.Provider | None = None, calls: assets.Calls | None = None) -> DataFrame:
     """path, kind, text and notes of the files of ``folder`` whose names below it are in
     ``roots`` (a list, or a table with ``path``).
 
@@ -96,8 +119,15 @@ def clean_folder(spark: SparkSession, folder: str, roots: list[str] | DataFrame,
     beside them, and speaker notes if the options ask for them; ``.pdf`` files get their
     text from ``pdf`` (path, text; see ``plans.pages``), since no reader of them is part
     of this engine.  A root that is not there is an error.
+
+    With ``auto_summarize``, ``provider`` describes the pictures that have no summary, each
+    different one once, and the answers are written beside them as side files before the
+    texts are made; a file that is there is never written over.
     """
     o = options or CleanOptions()
+    if o.auto_summarize and provider is None:
+        raise ValueError("auto_summarize needs a provider")
+    kept: list[DataFrame] = []
     files = listed(spark, folder)
     wanted = roots.select("path") if isinstance(roots, DataFrame) else spark.createDataFrame([(r,) for r in roots], "path string")
     if absent := [r.path for r in wanted.join(files.select("path"), "path", "left_anti").limit(20).collect()]:
@@ -106,10 +136,17 @@ def clean_folder(spark: SparkSession, folder: str, roots: list[str] | DataFrame,
     textual = files.where(extension(F.col("path")).isin(*TEXTUAL) | F.col("path").endswith(o.figure_summary_suffix))
     rooted = found.where("kind = 'tex'").where(~extension(F.col("path")).isin(*TEXTUAL)).select("path", "content")
     texts = textual.select("path", "content").unionByName(rooted).select("path", tex.universal_newlines(tex.decoded(F.col("content"), o.encoding)).alias("content"))
-    clean = clean_projects(found.where("kind = 'tex'").select("path"), texts, o)
+    images = files.where(F.concat(F.lit("."), extension(F.col("path"))).isin(*assets.EXTENSIONS))
+    clean = clean_projects(found.where("kind = 'tex'").select("path"), texts, o, images, provider, calls, kept)
     out = clean.select(F.col("doc_id").alias("path"), F.lit("tex").alias("kind"), F.col("content").alias("text"), "notes")
     files = found.where("kind IN ('docx', 'pptx')").select(F.col("path").alias("doc_id"), "kind", "content")
     told = picture_summaries(files, texts, o.figure_summary_suffix)
+    if o.auto_summarize:
+        new = assets.summarize(office.pictures(files), told.select("doc_id", "place"), provider, calls=calls)
+        new = cut(new.where("text IS NOT NULL").select("doc_id", "place", F.col("text").alias("summary")))
+        kept.append(new.select(F.concat(F.regexp_replace("doc_id", r"\.[^./]+$", ""), F.lit("_"), "place").alias("stem"), F.col("summary").alias("text")))
+        told = told.unionByName(new)
+        assets.write_summaries(reduce(DataFrame.unionAll, kept), folder, o.figure_summary_suffix, o.encoding).write.format("noop").mode("overwrite").save()
     made = office.office_documents(files, told, o.notes).select(F.col("doc_id").alias("path"), "kind", F.col("markdown").alias("text"))
     unread = F.array(F.struct(F.lit("unreadable").alias("code"), F.col("path").alias("detail"))).cast(notes.TYPE)
     out = out.unionByName(made.withColumn("notes", F.when(F.col("text").isNull(), unread).otherwise(notes.none())))
@@ -129,17 +166,21 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--figure-summary-suffix", default="_summary.txt")
     p.add_argument("--encoding", default="utf-8")
     p.add_argument("--notes", action="store_true", help="speaker notes of slides")
+    p.add_argument("--auto-summarize", action="store_true", help="have a provider describe pictures without a summary")
+    p.add_argument("--provider", metavar="MODULE:NAME", help="what makes the provider, without arguments")
     p.add_argument("-v", "--verbose", action="store_true", help="print how many notes of each kind there are")
     return p
 
 
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
-    chosen = {k: v for k, v in vars(a).items() if k not in ("folder", "roots", "output")}
+    chosen = {k: v for k, v in vars(a).items() if k not in ("folder", "roots", "output", "provider")}
+    module, _, made = (a.provider or "").partition(":")
+    provider = getattr(importlib.import_module(module), made)() if made else None
     spark = SparkSession.builder.appName("inkwell").getOrCreate()
     counts = Observation("notes")
     try:
-        out = clean_folder(spark, a.folder, a.roots, CleanOptions(**chosen))
+        out = clean_folder(spark, a.folder, a.roots, CleanOptions(**chosen), provider=provider)
     except FileNotFoundError as e:
         print(f"not found: {e}")
         return 1

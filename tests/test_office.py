@@ -93,3 +93,13 @@ def test_pptx_groups_choices_and_pictures(spark, told):
     assert markdown(spark, "pptx", data, told) == want
     files = spark.createDataFrame([("f", "pptx", data)], "doc_id string, kind string, content binary")
     assert sorted((r.place, bytes(r.bytes), r.mime) for r in office.pictures(files).collect()) == [("slide1_image1", b"A", "image/png"), ("slide1_image2", b"B", "image/gif")]
+
+
+def deck_of_pictures():
+    ns = f'xmlns:p="p" xmlns:a="a" xmlns:r="{RELS}"'
+    pic = lambda i, r: f'<p:pic><p:nvPicPr><p:cNvPr id="{i}"/></p:nvPicPr><a:blip r:embed="{r}"/></p:pic>'
+    return package({
+        "ppt/presentation.xml": f'<p:presentation {ns}><p:sldIdLst><p:sldId r:id="b"/></p:sldIdLst></p:presentation>', "ppt/_rels/presentation.xml.rels": rels(b="slides/s.xml"),
+        "ppt/slides/s.xml": f"<p:sld {ns}><p:cSld><p:spTree>{pic(1, 'x')}{pic(2, 'y')}</p:spTree></p:cSld></p:sld>",
+        "ppt/slides/_rels/s.xml.rels": rels(x="../media/a.png", y="../media/b.png"), "ppt/media/a.png": "one", "ppt/media/b.png": "two",
+    })
