@@ -9,12 +9,7 @@ from pyspark.sql import functions as F
 CITE_COMMANDS = ("cite", "citep", "citet", "autocite", "textcite", "parencite", "fullcite", "nocite")
 #: Marks that layout extraction splits from their letters.
 MARKS = "ˆˇ˜¯˙"
-#: Patterns of what layout extraction and text recognition leave in a
-#: text, as both regex dialects read them.
-ITALIC = r"(?<!\w)_([^_]+?)_(?!\w)"
-INDEX = r"\[\(\]\s*\[?([^\]]*?)\]?\s*\[\)\]"
-BRACKETS = r"(?:\[[^\]\d][^\]]*?\]\s*){2,}"
-BRACKET = r"\[([^\]]*)\]"
+#: Markup of recognised text, as both regex dialects read it.
 DISPLAY_MATH = r'<math display="block">(.*?)</math>'
 INLINE_MATH = r"<math>(.*?)</math>"
 BOLD = r"<b>(.*?)</b>"
@@ -95,30 +90,30 @@ def squeeze_blank_lines(c: Column) -> Column:
 
 
 def strip_italics(c: Column) -> Column:
-    return F.regexp_replace(c, f"(?U){ITALIC}", "$1")
-
-
-def _off_tables(c: Column, body) -> Column:
-    """Apply to every line but those of pipe tables."""
-    return F.array_join(F.transform(F.split(c, "\n"), lambda x: F.when(x.rlike(r"(?U)^\s*\|"), x).otherwise(body(x))), "\n")
+    """Without the underscores around italic text.
+
+    The text is cut at its underscores, and each is looked at with its two neighbours: one
+    may open where no word ends before it and the text up to the next one is not empty, if
+    no word begins behind that.  Of neighbours that may open, the first one does."""
+    pieces = F.split(c, "_")
+    last = F.size(pieces) - 1
+    piece = lambda k: F.get(pieces, k)
+    free_before = lambda i: F.when(piece(i - 1) == "", i == 1).otherwise(~piece(i - 1).rlike(r"(?U)\w\z"))
+    free_behind = lambda i: F.when(piece(i + 1) == "", i + 1 == last).otherwise(~piece(i + 1).rlike(r"(?U)\A\w"))
+    may_open = lambda i: (i < last) & (piece(i) != "") & free_before(i) & free_behind(i)
+    signs = F.array_join(F.transform(F.sequence(F.lit(1), last), lambda i: F.when(may_open(i), "o").otherwise("-")), "")
+    paired = F.split(F.regexp_replace(signs, "o.", "xx"), "")
+    left = F.transform(pieces, lambda a, k: F.when((k == 0) | (F.get(paired, k - 1) == "x"), a).otherwise(F.concat(F.lit("_"), a)))
+    return F.when(c.contains("_"), F.array_join(left, "")).otherwise(c)
 
 
 def merge_diacritics(c: Column) -> Column:
     return F.regexp_replace(c, rf"(?U)([{MARKS}])\s+([a-zA-Z])", "$1$2")
 
 
-def clean_brackets(c: Column) -> Column:
-    """Hats, parenthesised indexes, and two or more adjacent non-numeric brackets."""
-    c = F.replace(c, F.lit("[ˆ]"), F.lit("^"))
-    c = F.regexp_replace(c, f"(?U){INDEX}", "($1)")
-    run = f"(?U){BRACKETS}"
-    hits, rest = F.regexp_extract_all(c, F.lit(run), 0), F.split(c, run)
-    opened = F.transform(hits, lambda h: F.concat(F.array_join(F.regexp_extract_all(h, F.lit(BRACKET), 1), " "), F.lit(" ")))
-    return F.when(F.size(hits) == 0, c).otherwise(F.concat(F.array_join(F.zip_with(F.slice(rest, 1, F.size(hits)), opened, lambda a, b: F.concat(a, b)), ""), F.element_at(rest, -1)))
-
-
-def clean_markdown(c: Column) -> Column:
-    return _off_tables(strip_italics(c), lambda x: clean_brackets(merge_diacritics(x)))
+def off_tables(c: Column, body) -> Column:
+    """Apply to every line but those of pipe tables."""
+    return F.array_join(F.transform(F.split(c, "\n"), lambda x: F.when(x.rlike(r"(?U)^\s*\|"), x).otherwise(body(x))), "\n")
 
 
 def convert_ocr_markup(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import threading
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from concurrent import futures
 from concurrent.futures import Future
 from dataclasses import dataclass
@@ -14,19 +14,17 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..functions import figures
 from ..functions.text import strip
+from . import blocks
 from .blocks import joined
 
 #: The marker of an omitted picture, and extensions of images.
 MARKER = r"\*\*==> picture \[(\d+) x (\d+)\] intentionally omitted <==\*\*"
 EXTENSIONS = (".png", ".pdf", ".jpg", ".jpeg", ".eps", ".svg")
-#: Patterns of figures in LaTeX, their graphics and captions.
-FIGURE = r"\\begin\{figure\}\s*(\[.*?\])?(.*?)\\end\{figure\}"
-GRAPHIC = r"\\includegraphics\s*(?:\[[^\]]*\])?\s*\{([^}]+)\}"
-#: A caption's braces, one more level deep; never looks back.
-CAPTION = r"\\caption\{((?:[^{}]++|\{[^{}]*+\})*+)\}"
 #: How often a call is made, seconds before it is made again, and what
 #: marks its error as passing.
 RETRIES, FIRST_WAIT, LONGEST_WAIT = 3, 10, 60
@@ -36,10 +34,42 @@ MIMES = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "
 TAKEN = ("image/png", "image/jpeg", "image/webp", "image/heic", "image/heif")
 #: What a provider is asked for, by prompt_kind.
 PROMPTS = {
-    "figure": "Say what the figure shows to a reader who cannot see it: give a chart's data as a table, a diagram's parts and how they are connected, a photograph's contents. Add no opinion.",
-    "table": "Give the table as a pipe table in markdown with every header, label and value as it stands. Leave nothing out and add nothing.",
+    "figure": "A language model will read a paper without its pictures. Replace this one by text: its kind and subject first, then whatever can be read off it, such as values, names, steps and links. State only what is visible.",
+    "table": "A language model will read a paper without its pictures. This one is a table: copy it into pipe-table markdown, cell by cell, headings included.",
 }
 
+_HIT = T.StructType([T.StructField(n, T.StringType()) for n in ("before", "hit", "name", "label", "caption")])
+_CUT = T.StructType([T.StructField("hits", T.ArrayType(_HIT)), T.StructField("rest", T.StringType())])
+
+
+def _cut(text: str, find: Callable[[str], Iterator[figures.Hit]]) -> tuple[list[dict], str]:
+    out, at = [], 0
+    for h in find(text):
+        out.append({"before": text[at : h.start], "hit": text[h.start : h.end], "name": h.name, "label": h.label, "caption": h.caption})
+        at = h.end
+    return out, text[at:]
+
+
+@F.pandas_udf(_CUT)
+def _at_figures(texts):
+    return pd.DataFrame([_cut(t or "", figures.figures) for t in texts], columns=["hits", "rest"])
+
+
+@F.pandas_udf(_CUT)
+def _at_graphics(texts):
+    return pd.DataFrame([_cut(t or "", figures.graphics) for t in texts], columns=["hits", "rest"])
+
+
+def _cut_at(c: Column, sign: str, at) -> Column:
+    """hits and rest of texts with ``sign``; null for others, which stay native."""
+    some = c.contains(sign)
+    return F.when(some, at(F.when(some, c)))
+
+
+def graphics_of(c: Column) -> Column:
+    """The names of a text's graphics, in order."""
+    return F.transform(F.coalesce(_cut_at(c, figures.GRAPHIC, _at_graphics)["hits"], F.array().cast(T.ArrayType(_HIT))), lambda h: strip(h["name"]))
+
 
 def stem(path: Column) -> Column:
     """A path without its image extension: the key of a summary."""
@@ -69,8 +99,7 @@ def distinct_calls(assets: DataFrame) -> DataFrame:
 
 def distinct_refs(docs: DataFrame, content: str = "content") -> DataFrame:
     """doc_id, ref and pos (from 0, of its first use) of a document's different graphics."""
-    refs = F.transform(F.regexp_extract_all(F.col(content), F.lit(GRAPHIC), 1), strip)
-    return docs.select("doc_id", F.posexplode(refs).alias("pos", "ref")).groupBy("doc_id", "ref").agg(F.min("pos").alias("pos"))
+    return docs.select("doc_id", F.posexplode(graphics_of(F.col(content))).alias("pos", "ref")).groupBy("doc_id", "ref").agg(F.min("pos").alias("pos"))
 
 
 def image_files(refs: DataFrame, files: DataFrame) -> DataFrame:
@@ -280,16 +309,15 @@ def _comment(text: Column) -> Column:
     return F.concat(F.lit("% "), F.replace(text, F.lit("\n"), F.lit("\n% ")))
 
 
-def _substitute(docs: DataFrame, summaries: DataFrame, pattern: str, made) -> DataFrame:
-    """Each match whose graphic has a summary replaced by ``made(match, summary)``; all
+def _substitute(docs: DataFrame, summaries: DataFrame, cut_at: Column, made: Callable[[Column, Column], Column]) -> DataFrame:
+    """Each hit whose graphic has a summary replaced by ``made(hit, summary)``; all
     columns of ``docs`` stay."""
-    cut = docs.select("*", F.regexp_extract_all("content", F.lit(pattern), 0).alias("_hits"), F.split("content", pattern).alias("_rest"))
-    asked = cut.select("doc_id", F.posexplode("_hits").alias("n", "hit")).withColumn("stem", stem(F.regexp_extract("hit", GRAPHIC, 1)))
+    cut = docs.withColumn("_cut", cut_at)
+    asked = cut.select("doc_id", F.posexplode("_cut.hits").alias("n", "h")).withColumn("stem", stem(F.col("h.name")))
     key = ["doc_id", "stem"] if "doc_id" in summaries.columns else ["stem"]
-    told = asked.join(summaries.select(*key, strip(F.col("text")).alias("summary")), key, "left").withColumn("new", F.when(F.col("summary").isNotNull(), made(F.col("hit"), F.col("summary"))).otherwise(F.col("hit")))
-    each = told.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "new"))), lambda x: x["new"]).alias("_news"))
-    whole = F.concat(F.array_join(F.zip_with(F.slice("_rest", 1, F.size("_news")), "_news", lambda a, b: F.concat(a, b)), ""), F.element_at("_rest", -1))
-    text = F.when(F.col("_news").isNull(), F.col("content")).otherwise(whole)
+    told = asked.join(summaries.select(*key, strip(F.col("text")).alias("summary")), key, "left").withColumn("new", F.when(F.col("summary").isNotNull(), made(F.col("h"), F.col("summary"))).otherwise(F.col("h.hit")))
+    each = told.groupBy("doc_id").agg(blocks.joined(F.concat("h.before", "new"), F.col("n"), "").alias("_news"))
+    text = F.when(F.col("_news").isNull(), F.col("content")).otherwise(F.concat("_news", F.col("_cut.rest")))
     return cut.join(each, "doc_id", "left").withColumn("content", text).select(*docs.columns)
 
 
@@ -299,11 +327,12 @@ def substitute_figures(docs: DataFrame, summaries: DataFrame) -> DataFrame:
     as they are."""
 
     def figure(hit: Column, summary: Column) -> Column:
-        label, caption = F.regexp_extract(hit, r"(\\label\{[^}]+\})", 1), F.regexp_extract(hit, CAPTION, 1)
-        return F.concat_ws("\n", F.lit("% --- Figure summary ---"), F.when(label != "", label), F.when(hit.rlike(r"\\caption\{"), F.concat(F.lit("% Caption: "), F.replace(caption, F.lit("\n"), F.lit("\n% ")))), _comment(summary), F.lit("% --- End figure summary ---"))
+        caption = F.concat(F.lit("% Caption: "), F.replace(hit["caption"], F.lit("\n"), F.lit("\n% ")))
+        return F.concat_ws("\n", F.lit("% --- Figure summary ---"), hit["label"], caption, _comment(summary), F.lit("% --- End figure summary ---"))
 
-    whole = _substitute(docs, summaries, f"(?s){FIGURE}", figure)
-    return _substitute(whole, summaries, GRAPHIC, lambda _, s: F.concat(F.lit("% [Image: "), F.replace(s, F.lit("\n"), F.lit("\n% ")), F.lit("]")))
+    whole = _substitute(docs, summaries, _cut_at(F.col("content"), figures.BEGIN, _at_figures), figure)
+    single = lambda _, s: F.concat(F.lit("% [Image: "), F.replace(s, F.lit("\n"), F.lit("\n% ")), F.lit("]"))
+    return _substitute(whole, summaries, _cut_at(F.col("content"), figures.GRAPHIC, _at_graphics), single)
 
 
 def replace_markers(pages: DataFrame, summaries: DataFrame) -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import clean_markdown, convert_ocr_markup
-from ..operators import assets, blocks, layout
+from ..functions.text import convert_ocr_markup
+from ..operators import assets, blocks, layout, markdown
 
 PAGE = layout.PAGE
 #: Classes of boxes that cap the padding of pictures and tables.
@@ -31,7 +31,7 @@ def page_markdown(pages: DataFrame, images: DataFrame, tables: DataFrame) -> Dat
     one = marked.select(F.struct(*PAGE).alias("doc_id"), "text")
     told = tables.select(F.struct(*PAGE).alias("doc_id"), F.col("idx").cast("long").alias("table_no"), "summary")
     done = blocks.replace_tables(one, told, "text").select("doc_id.*", "text")
-    return layout.document_texts(done).select("doc_id", clean_markdown(F.col("text")).alias("text"))
+    return layout.document_texts(done).select("doc_id", markdown.clean_markdown(F.col("text")).alias("text"))
 
 
 def ocr_documents(lines: DataFrame, boxes: DataFrame, pages: DataFrame, images: DataFrame, tables: DataFrame, zoom: float = 2.0) -> DataFrame:

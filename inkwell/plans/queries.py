@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import notes as N
 from ..functions import text as T
 from ..lineage import cut
-from ..operators import assets, bibliography, blocks, includes, latex, layout
+from ..operators import assets, bibliography, blocks, includes, latex, layout, markdown
 from . import cleaning, fixtures, office, pages, run
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -389,7 +389,7 @@ def diacritic_merge(spark, d):
 @query("SELECT doc_id, 'x^2 (' || lang || ') ' || lang || ' ' || source || ' end [1][2] [' || lang || '] z' AS content FROM documents")
 def bracket_cleanup(spark, d):
     docs = made(spark, d, "x[ˆ]2 [(] ", LANG, " [)] [", LANG, "] [", SOURCE, "] end [1][2] [", LANG, "] z")
-    return docs.select("doc_id", T.clean_brackets(F.col("content")).alias("content"))
+    return docs.select("doc_id", markdown.clean_brackets(F.col("content")).alias("content"))
 
 
 @query("SELECT page_id, '$$' || page_id || '$$ ' || regexp_replace(regexp_replace(regexp_replace(html, '<b>(.*?)</b>', '**\\1**', 'g'), '<sup>(.*?)</sup>', '^{\\1}', 'g'), '<sub>(.*?)</sub>', '_{\\1}', 'g') AS html FROM pages")
@@ -401,7 +401,7 @@ def ocr_markup(spark, d):
 @query("SELECT doc_id, lang || chr(10) || '| _' || lang || '| ˆ a' || chr(10) || 'ˆa ' || source || ' b ' AS content FROM documents")
 def clean_markdown(spark, d):
     docs = made(spark, d, "_", LANG, "_\n| _", LANG, "| ˆ a\nˆ a [", SOURCE, "] [b] ")
-    return docs.select("doc_id", T.clean_markdown(F.col("content")).alias("content"))
+    return docs.select("doc_id", markdown.clean_markdown(F.col("content")).alias("content"))
 
 
 #: A page for each order, a line for each item: left or right by the line number's

@@ -84,7 +84,7 @@ def clean_projects(roots: DataFrame, texts: DataFrame, options: CleanOptions | N
         entries = bibs.where("content IS NOT NULL").select("doc_id", F.col("pos").alias("file_ord"), F.col("path").alias("bib_path")).join(read, "bib_path").select("doc_id", "file_ord", "entry_no", "key", "kind", "fields")
         missing.append(bibs.where("content IS NULL").join(bbl.where("content IS NOT NULL"), "doc_id", "left_anti").select("doc_id", F.lit("missing-bib").alias("code"), F.col("name").alias("detail")))
     if o.figures:
-        stems = F.array_distinct(F.transform(F.regexp_extract_all("content", F.lit(assets.GRAPHIC), 1), lambda g: F.concat(assets.stem(g), F.lit(o.figure_summary_suffix))))
+        stems = F.array_distinct(F.transform(assets.graphics_of(F.col("content")), lambda g: F.concat(assets.stem(g), F.lit(o.figure_summary_suffix))))
         told = _beside(seen, stems, texts.where(F.col("path").endswith(o.figure_summary_suffix))).withColumn("stem", F.expr(f"left(name, length(name) - {len(o.figure_summary_suffix)})"))
         summaries = told.where("content IS NOT NULL").select("doc_id", "stem", strip(F.col("content")).alias("text"))
         asked = told.where("content IS NULL").select("doc_id", "stem")
