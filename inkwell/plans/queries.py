@@ -57,10 +57,6 @@ class Line(Lines):
     marks, sql_marks = Lines.marks.replace(r" \n", " "), Lines.sql_marks.replace(r" \n", " ")
 
 
-class Every(str):
-    """A folder whose orders all have a region, and whose lines are all taken."""
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     if isinstance(sf_dir, Lines):
@@ -225,10 +221,9 @@ def bib_last_wins(spark, d):
     return bibliography.last_entries(e, ["g"]).select("key", F.element_at("fields", "author").alias("author"))
 
 
-@query(f"SELECT 's' || s_suppkey AS key, {_SQL_ENTRY} AS entry FROM supplier")
+@query(f"SELECT 's' || s_suppkey AS key, 1 AS file_ord, {_SQL_ENTRY} AS entry FROM supplier UNION ALL SELECT 's' || s_suppkey, 0, 'old.' FROM supplier")
 def bib_format(spark, d):
-    e = _entries(spark, d, None).where("file_ord = 1")
-    return e.select("key", T.format_entry(F.col("fields"), F.col("kind")).alias("entry"))
+    return _entries(spark, d, None).select("key", "file_ord", T.format_entry(F.col("fields"), F.col("kind")).alias("entry"))
 
 
 def _inlined(spark, d, bbl=None):
@@ -292,9 +287,9 @@ def image_dedup(spark, d):
     return assets.distinct_calls(a).select("digest", "prompt_kind", "n_targets")
 
 
-@query("SELECT l_orderkey AS doc_id, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice)::BIGINT AS idx FROM lineitem WHERE l_quantity > 20")
+@query("SELECT l_orderkey AS doc_id, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice)::BIGINT AS idx FROM lineitem")
 def asset_index_per_page(spark, d):
-    boxes = read(spark, d, "lineitem").where(L(isinstance(d, Every)) | (F.col("l_quantity") > 20)).withColumn("doc_id", F.col("l_orderkey"))
+    boxes = read(spark, d, "lineitem").withColumn("doc_id", F.col("l_orderkey"))
     n = assets.numbered(boxes.withColumn("o", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")), ["doc_id"], "o")
     return n.select("doc_id", "l_suppkey", F.col("idx").cast("long").alias("idx"))
 
@@ -426,8 +421,9 @@ def _pages(spark, d):
     return read(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), L(1).alias("page_no"), L(1000).alias("width"))
 
 
-def _regions(spark, d):
-    return read(spark, d, "orders").where(L(isinstance(d, Every)) | (F.col("o_orderkey") % 3 == 0)).select(F.col("o_orderkey").alias("doc_id"), L(1).alias("page_no"), L(1).alias("box_no"), L(0.0).alias("x0"), L(300.0).alias("y0"), L(500.0).alias("x1"), L(400.0).alias("y1"))
+def _regions(spark, d, every=1):
+    """A region on the page of every order, or of every so-manieth."""
+    return read(spark, d, "orders").where(F.col("o_orderkey") % every == 0).select(F.col("o_orderkey").alias("doc_id"), L(1).alias("page_no"), L(1).alias("box_no"), L(0.0).alias("x0"), L(300.0).alias("y0"), L(500.0).alias("x1"), L(400.0).alias("y1"))
 
 
 @query(f"WITH {_SQL_LINES} SELECT doc_id, line_no::BIGINT AS line_no FROM g WHERE text <> '12'")
@@ -447,18 +443,18 @@ SELECT doc_id, string_agg(text, chr(10) ORDER BY a, e, CASE WHEN f THEN 0 WHEN x
 
 @query(_SQL_ORDER)
 def reading_order(spark, d):
-    ordered = layout.reading_order(_lines(spark, d), _pages(spark, d), _regions(spark, d))
+    ordered = layout.reading_order(_lines(spark, d), _pages(spark, d), _regions(spark, d, 3))
     return layout.page_texts(ordered).select("doc_id", "text")
 
 
 @query(f"WITH {_SQL_LINES} SELECT doc_id, line_no::BIGINT AS line_no FROM g WHERE NOT (doc_id % 3 = 0 AND y0 + 5 BETWEEN 300 AND 400 AND x1 > 0 AND x0 < 500)")
 def region_filter(spark, d):
-    return layout.outside_regions(_lines(spark, d), _regions(spark, d)).select("doc_id", F.col("line_no").cast("long").alias("line_no"))
+    return layout.outside_regions(_lines(spark, d), _regions(spark, d, 3)).select("doc_id", F.col("line_no").cast("long").alias("line_no"))
 
 
 @query(f"""WITH {_SQL_LINES} SELECT r.o_orderkey AS doc_id, -30.0::DOUBLE AS x0, greatest(270, coalesce(max(CASE WHEN y1 <= 300 AND x1 > 0 AND x0 < 500 THEN y1 END), 270))::DOUBLE AS y0,
 least(530, coalesce(min(CASE WHEN x0 >= 500 AND y1 > 300 AND y0 < 400 THEN x0 END), 530))::DOUBLE AS x1, least(430, coalesce(min(CASE WHEN y0 >= 400 AND x1 > 0 AND x0 < 500 THEN y0 END), 430))::DOUBLE AS y1
-FROM orders r LEFT JOIN g ON g.doc_id = r.o_orderkey WHERE r.o_orderkey % 3 = 0 GROUP BY r.o_orderkey""")
+FROM orders r LEFT JOIN g ON g.doc_id = r.o_orderkey GROUP BY r.o_orderkey""")
 def capped_padding(spark, d):
     return layout.capped_padding(_regions(spark, d), _lines(spark, d)).select("doc_id", "x0", "y0", "x1", "y1")
 
@@ -473,8 +469,8 @@ def picture_merge(spark, d):
     return layout.significant(layout.merge_boxes(boxes)).select("doc_id", "box_no", "x0", "y0", "x1", "y1")
 
 
-@query("""SELECT o_orderkey AS doc_id, '[Image: f]' AS text, 0.0::DOUBLE AS x0, 400.0::DOUBLE AS y0, 500.0::DOUBLE AS x1, 401.0::DOUBLE AS y1 FROM orders WHERE o_orderkey % 3 = 0
-UNION ALL SELECT o_orderkey, 't', 0, 300, 1000, 301 FROM orders WHERE o_orderkey % 3 = 0""")
+@query("""SELECT o_orderkey AS doc_id, '[Image: f]' AS text, 0.0::DOUBLE AS x0, 400.0::DOUBLE AS y0, 500.0::DOUBLE AS x1, 401.0::DOUBLE AS y1 FROM orders
+UNION ALL SELECT o_orderkey, 't', 0, 300, 1000, 301 FROM orders""")
 def virtual_lines(spark, d):
     r = _regions(spark, d)
     return layout.virtual_lines(r.withColumn("text", L("f")), r.withColumn("text", L("t")), _pages(spark, d)).drop("page_no")
@@ -668,18 +664,21 @@ def macro_chain(spark, d):
     return docs.select("doc_id", latex.expand_macros(F.col("content")).alias("content"))
 
 
-_TENS = "".join(f"\\def\\t{a}{{{f'{chr(92)}t{b}' * 10}}}\n" for a, b in zip("abcdef", [*"bcdef", "g"], strict=True)) + "\\def\\tg{xyz}\n"
-_SQL_TENS = " || chr(10) || ".join(f"repeat('', 0) || chr(92) || 'def' || chr(92) || 't{a}{{' || repeat(chr(92) || 't{b}', 10) || '}}'" for a, b in zip("abcdef", "bcdefg", strict=True)).replace("repeat('', 0) || ", "") + " || chr(10) || chr(92) || 'def' || chr(92) || 'tg{xyz}' || chr(10)"
+_LEVELS = "abcdefghijkl"
+_TENS = "".join(f"\\def\\t{a}{{{f'{chr(92)}t{b}' * 10}}}\n" for a, b in zip(_LEVELS, _LEVELS[1:], strict=False)) + "\\def\\tl{xyz}\n"
+_SQL_TENS = "'" + _TENS.replace("\\", "' || chr(92) || '").replace("\n", "' || chr(10) || '") + "'"
+_SQL_HEAD = f"chr(92) || 'def' || chr(92) || 'c{{x' || chr(92) || 'c}}' || chr(10) || {_SQL_TENS}"
+_SQL_OVERLONG = " || ".join(f"CASE WHEN {3 * 10**k} > greatest(100000, 16 * n) THEN 'overlong:t{a},' ELSE '' END" for k, a in zip(range(len(_LEVELS) - 1, -1, -1), _LEVELS, strict=True))
 
 
-@query(f"WITH p AS {_SQL_PLAIN} SELECT doc_id, chr(92) || 'def' || chr(92) || 'c{{x' || chr(92) || 'c}}' || chr(10) || {_SQL_TENS} || text || ' ' || chr(92) || 'c ' || chr(92) || 'ta ' || text AS content, 'overlong:ta,overlong:tb,runaway:c' AS notes FROM p WHERE length(text) < 6000 UNION ALL SELECT doc_id, NULL, NULL FROM p WHERE length(text) >= 6000".replace("{{x", "{x").replace("c}}", "c}"))
+@query(f"""WITH p AS {_SQL_PLAIN}, h AS (SELECT *, {_SQL_HEAD} AS head FROM p),
+m AS (SELECT *, length(head || chr(92) || 'def' || chr(92) || 'w{{' || text || '}}' || chr(10) || text || ' ' || chr(92) || 'c ' || chr(92) || 'ta ' || chr(92) || 'w') AS n FROM h)
+SELECT doc_id, head || text || ' ' || chr(92) || 'c ' || chr(92) || 'ta ' || text AS content, {_SQL_OVERLONG} || 'runaway:c' AS notes FROM m""")
 def macro_limits(spark, d):
-    """Circular and overlong macros keep their definitions; longer texts bear longer
-    macros, so their rows are only counted here."""
+    """Circular and overlong macros keep their definitions; longer texts bear longer ones."""
     made = F.concat(L("\\def\\c{x\\c}\n" + _TENS + "\\def\\w{"), "text", L("}\n"), "text", L(" \\c \\ta \\w"))
     docs = _plain(spark, d).withColumn("stage", latex.macro_stage(made))
-    short = F.length("text") < 6000
-    return docs.select("doc_id", F.when(short, F.col("stage.text")).alias("content"), F.when(short, F.array_join(F.array_sort("stage.notes"), ",")).alias("notes"))
+    return docs.select("doc_id", F.col("stage.text").alias("content"), F.array_join(F.array_sort("stage.notes"), ",").alias("notes"))
 
 
 @query(f"""WITH p AS {_SQL_PLAIN}, n AS (SELECT 'p' || doc_id || '/main.tex' AS path, text FROM p),
@@ -766,8 +765,6 @@ _again(
     "_text", Lines, _over_texts(Lines),
 )
 _again(["figure_summary", "figure_standalone", "table_blocks", "table_block_summary", "italic_strip", "diacritic_merge", "bracket_cleanup", "clean_markdown", "normalize_math", "full_pipeline", "distinct_refs", "table_summary", "page_markdown", "docx_files", "pptx_files"], "_text", Line, _over_texts(Line))
-_again(["capped_padding", "virtual_lines", "asset_index_per_page"], "_every", Every, lambda sql: sql.replace(" WHERE r.o_orderkey % 3 = 0", "").replace(" WHERE o_orderkey % 3 = 0", "").replace(" WHERE l_quantity > 20", ""))
-
 
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
