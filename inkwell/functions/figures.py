@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from .literals import after_blanks, group_end
@@ -53,3 +54,30 @@ def figures(text: str) -> Iterator[Hit]:
         if (graphic := argument(text, GRAPHIC, start, end, options=True)) is not None:
             label, caption = (argument(text, c, start, end) for c in ("\\label", "\\caption"))
             yield Hit(start, at, graphic[2], label and text[label[0] : label[1]], caption and caption[2])
+
+
+def commented(text: str) -> str:
+    """A text that goes on in a comment from line to line."""
+    return text.replace("\n", "\n% ")
+
+
+def in_a_figure(hit: Hit, summary: str) -> str:
+    caption = None if hit.caption is None else f"% Caption: {commented(hit.caption)}"
+    lines = ["% --- Figure summary ---", hit.label, caption, f"% {commented(summary)}", "% --- End figure summary ---"]
+    return "\n".join(x for x in lines if x)
+
+
+def _replaced(text: str, hits: Iterator[Hit], told: dict[str, str], stem: re.Pattern, made: Callable[[Hit, str], str]) -> str:
+    out, at = [], 0
+    for h in hits:
+        if (summary := told.get(stem.sub("", h.name.strip()))) is not None:
+            out += [text[at : h.start], made(h, summary)]
+            at = h.end
+    return "".join(out) + text[at:]
+
+
+def substituted(text: str, told: dict[str, str], stem: re.Pattern) -> str:
+    """The text where figures, then single graphics, give way to their summaries.
+    ``stem``: what is cut off a graphic's name to have its key in ``told``."""
+    text = _replaced(text, figures(text), told, stem, in_a_figure)
+    return _replaced(text, graphics(text), told, stem, lambda _, s: f"% [Image: {commented(s)}]")

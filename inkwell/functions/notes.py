@@ -27,14 +27,6 @@ def texts(notes: Column) -> Column:
     return F.array_sort(F.transform(notes, lambda n: F.concat(n["code"], F.lit(":"), n["detail"])))
 
 
-def with_rows(docs: DataFrame, rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``docs`` (with notes) where the notes of ``rows`` (key, code, detail) are added
-    to those of the documents with their key; null keys are equal."""
-    each = rows.groupBy(F.col(key).alias("_of")).agg(F.array_sort(F.collect_set(F.struct("code", "detail"))).cast(TYPE).alias("_more"))
-    joined = docs.join(each, F.col(key).eqNullSafe(F.col("_of")), "left")
-    return joined.withColumn("notes", F.concat("notes", F.coalesce("_more", none()))).drop("_of", "_more")
-
-
 def observed(docs: DataFrame, observation: Observation) -> DataFrame:
     """``docs``, whose notes are counted by code while they are written."""
     count = lambda code: F.coalesce(F.sum(F.size(F.filter("notes", lambda n: n["code"] == code))), F.lit(0)).alias(code)

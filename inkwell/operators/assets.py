@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import threading
 import time
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from concurrent import futures
 from concurrent.futures import Future
 from dataclasses import dataclass
@@ -19,7 +20,6 @@ from pyspark.sql.window import Window
 
 from ..functions import figures
 from ..functions.text import strip
-from . import blocks
 from .blocks import joined
 
 #: The marker of an omitted picture, and extensions of images.
@@ -38,43 +38,31 @@ PROMPTS = {
     "table": "A language model will read a paper without its pictures. This one is a table: copy it into pipe-table markdown, cell by cell, headings included.",
 }
 
-_HIT = T.StructType([T.StructField(n, T.StringType()) for n in ("before", "hit", "name", "label", "caption")])
-_CUT = T.StructType([T.StructField("hits", T.ArrayType(_HIT)), T.StructField("rest", T.StringType())])
+#: What is cut off an image's name to have the key of its summary.
+_EXTENSION = r"(?i)\.(?:" + "|".join(e[1:] for e in EXTENSIONS) + r")$"
 
 
-def _cut(text: str, find: Callable[[str], Iterator[figures.Hit]]) -> tuple[list[dict], str]:
-    out, at = [], 0
-    for h in find(text):
-        out.append({"before": text[at : h.start], "hit": text[h.start : h.end], "name": h.name, "label": h.label, "caption": h.caption})
-        at = h.end
-    return out, text[at:]
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _graphics(texts):
+    return texts.map(lambda t: [h.name for h in figures.graphics(t or "")])
 
 
-@F.pandas_udf(_CUT)
-def _at_figures(texts):
-    return pd.DataFrame([_cut(t or "", figures.figures) for t in texts], columns=["hits", "rest"])
-
-
-@F.pandas_udf(_CUT)
-def _at_graphics(texts):
-    return pd.DataFrame([_cut(t or "", figures.graphics) for t in texts], columns=["hits", "rest"])
-
-
-def _cut_at(c: Column, sign: str, at) -> Column:
-    """hits and rest of texts with ``sign``; null for others, which stay native."""
-    some = c.contains(sign)
-    return F.when(some, at(F.when(some, c)))
+@F.pandas_udf(T.StringType())
+def _substituted(texts, told):
+    stem_of = re.compile(_EXTENSION)
+    return pd.Series([figures.substituted(t, dict(m), stem_of) if t is not None and m is not None else t for t, m in zip(texts, told, strict=True)], dtype="object")
 
 
 def graphics_of(c: Column) -> Column:
-    """The names of a text's graphics, in order."""
-    return F.transform(F.coalesce(_cut_at(c, figures.GRAPHIC, _at_graphics)["hits"], F.array().cast(T.ArrayType(_HIT))), lambda h: strip(h["name"]))
+    """The names of a text's graphics, in order.  Texts without one stay native."""
+    some = c.contains(figures.GRAPHIC)
+    names = F.when(some, _graphics(F.when(some, c)))
+    return F.transform(F.coalesce(names, F.array().cast("array<string>")), strip)
 
 
 def stem(path: Column) -> Column:
     """A path without its image extension: the key of a summary."""
-    ends = "|".join(e[1:] for e in EXTENSIONS)
-    return F.regexp_replace(strip(path), rf"(?i)\.(?:{ends})$", "")
+    return F.regexp_replace(strip(path), _EXTENSION, "")
 
 
 def summary_key(doc: Column, place: str, number: Column, kind: str, index: Column) -> Column:
@@ -304,35 +292,28 @@ def write_summaries(told: DataFrame, folder: str, suffix: str = "_summary.txt",
     return one.mapInPandas(run, "stem string, path string, written boolean")
 
 
-def _comment(text: Column) -> Column:
-    """Every line of a text as a comment."""
-    return F.concat(F.lit("% "), F.replace(text, F.lit("\n"), F.lit("\n% ")))
+def told_maps(docs: DataFrame, summaries: DataFrame) -> DataFrame:
+    """doc_id and a map of the summaries of the graphics that stand in it, for documents
+    that have one.  ``summaries``: stem, text, and doc_id where they belong to one
+    document; of several for one key the largest counts."""
+    asked = docs.select("doc_id", F.explode(F.array_distinct(F.transform(graphics_of(F.col("content")), stem))).alias("stem"))
+    key = ["doc_id", "stem"] if "doc_id" in summaries.columns else ["stem"]
+    told = asked.join(summaries.select(*key, strip(F.col("text")).alias("summary")).where("summary IS NOT NULL"), key)
+    one = told.groupBy("doc_id", "stem").agg(F.max("summary").alias("summary"))
+    return one.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("stem", "summary"))).alias("told"))
 
 
-def _substitute(docs: DataFrame, summaries: DataFrame, cut_at: Column, made: Callable[[Column, Column], Column]) -> DataFrame:
-    """Each hit whose graphic has a summary replaced by ``made(hit, summary)``; all
-    columns of ``docs`` stay."""
-    cut = docs.withColumn("_cut", cut_at)
-    asked = cut.select("doc_id", F.posexplode("_cut.hits").alias("n", "h")).withColumn("stem", stem(F.col("h.name")))
-    key = ["doc_id", "stem"] if "doc_id" in summaries.columns else ["stem"]
-    told = asked.join(summaries.select(*key, strip(F.col("text")).alias("summary")), key, "left").withColumn("new", F.when(F.col("summary").isNotNull(), made(F.col("h"), F.col("summary"))).otherwise(F.col("h.hit")))
-    each = told.groupBy("doc_id").agg(blocks.joined(F.concat("h.before", "new"), F.col("n"), "").alias("_news"))
-    text = F.when(F.col("_news").isNull(), F.col("content")).otherwise(F.concat("_news", F.col("_cut.rest")))
-    return cut.join(each, "doc_id", "left").withColumn("content", text).select(*docs.columns)
+def with_summaries(content: Column, told: Column) -> Column:
+    """Figures and single graphics by their summaries; texts without one stay native."""
+    return F.when(told.isNull(), content).otherwise(_substituted(F.when(told.isNotNull(), content), told))
 
 
 def substitute_figures(docs: DataFrame, summaries: DataFrame) -> DataFrame:
     """Figures and single graphics of ``docs`` (doc_id, content) by their summaries
     (stem, text, and doc_id where they belong to one document); those without one stay
-    as they are."""
-
-    def figure(hit: Column, summary: Column) -> Column:
-        caption = F.concat(F.lit("% Caption: "), F.replace(hit["caption"], F.lit("\n"), F.lit("\n% ")))
-        return F.concat_ws("\n", F.lit("% --- Figure summary ---"), hit["label"], caption, _comment(summary), F.lit("% --- End figure summary ---"))
-
-    whole = _substitute(docs, summaries, _cut_at(F.col("content"), figures.BEGIN, _at_figures), figure)
-    single = lambda _, s: F.concat(F.lit("% [Image: "), F.replace(s, F.lit("\n"), F.lit("\n% ")), F.lit("]"))
-    return _substitute(whole, summaries, _cut_at(F.col("content"), figures.GRAPHIC, _at_graphics), single)
+    as they are, and so do all other columns."""
+    joined = docs.join(told_maps(docs, summaries).withColumnRenamed("told", "_told"), "doc_id", "left")
+    return joined.withColumn("content", with_summaries(F.col("content"), F.col("_told"))).select(*docs.columns)
 
 
 def replace_markers(pages: DataFrame, summaries: DataFrame) -> DataFrame:

@@ -62,13 +62,19 @@ def inline_bibliography(docs: DataFrame, entries: DataFrame, bbl: DataFrame | No
     content; the first one there is taken as it is, and its document's entries are not
     read.  Documents with neither stay as they are.
     """
+    blocks = bibliography_blocks(docs, entries, bbl)
+    return docs.join(blocks, "doc_id", "left").withColumn("content", inline_block(F.col("content"), F.col("block"))).drop("block")
+
+
+def bibliography_blocks(docs: DataFrame, entries: DataFrame, bbl: DataFrame | None = None) -> DataFrame:
+    """doc_id and the block of every document that has a bibliography command; see
+    ``inline_bibliography``."""
     used = docs.where(F.col("content").rlike(_COMMAND))
     if bbl is not None:
         ready = bbl.where("content IS NOT NULL").groupBy("doc_id").agg(F.min_by("content", "priority").alias("block"))
         used = used.join(ready, "doc_id", "left_anti")
     made = thebibliography(chosen_entries(citation_order(used), last_entries(entries, [c for c in ("doc_id",) if c in entries.columns])))
-    blocks = made if bbl is None else made.unionByName(ready)
-    return docs.join(blocks, "doc_id", "left").withColumn("content", inline_block(F.col("content"), F.col("block"))).drop("block")
+    return made if bbl is None else made.unionByName(ready)
 
 
 def resolve_bibs(wanted: DataFrame, files: DataFrame, folders: list[str]) -> DataFrame:

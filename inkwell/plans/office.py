@@ -31,8 +31,20 @@ def _pictures(rows: DataFrame, told: DataFrame | None) -> DataFrame:
     return joined.withColumn("text", F.when(summary != "", F.concat(F.lit("[Image: "), summary, F.lit("]"))).otherwise("[Image]")).drop("summary")
 
 
-def _read_out(rows: DataFrame) -> Column:
-    return F.when(rows["what"] == "math", latex.omml_to_latex(F.when(rows["what"] == "math", rows["text"]))).otherwise(rows["text"])
+def _read_out(rows: DataFrame, kind: str = "what") -> DataFrame:
+    """``rows`` with their formulas as LaTeX, once for all that is made of them."""
+    math = (F.col("what") == "math") | (F.col(kind) == "math")
+    return rows.withColumn("text", F.when(math, latex.omml_to_latex(F.when(math, F.col("text")))).otherwise(F.col("text")))
+
+
+def docx_rows(files: DataFrame) -> DataFrame:
+    """The rows of ``office.docx_parts``, read once, formulas as LaTeX."""
+    return cut(_read_out(office.docx_parts(files)))
+
+
+def pptx_rows(files: DataFrame) -> DataFrame:
+    """The same of ``office.pptx_parts``; notes have their kind of text in ``kind``."""
+    return cut(_read_out(office.pptx_parts(files), "kind"))
 
 
 def docx_pictures(rows: DataFrame) -> DataFrame:
@@ -41,8 +53,8 @@ def docx_pictures(rows: DataFrame) -> DataFrame:
 
 
 def docx_markdown(rows: DataFrame, told: DataFrame | None = None) -> DataFrame:
-    """doc_id and markdown of the files whose rows (``office.docx_parts``) are given."""
-    said = rows.where("what IN ('text', 'math')").withColumn("text", _read_out(rows))
+    """doc_id and markdown of the files whose rows (``docx_rows``) are given."""
+    said = rows.where("what IN ('text', 'math')")
     spans = said.unionByName(_pictures(docx_pictures(rows), told).select(*said.columns))
     level = X.heading_level(F.col("style"))
 
@@ -90,11 +102,11 @@ def pptx_pictures(shapes: DataFrame) -> DataFrame:
 
 
 def pptx_markdown(rows: DataFrame, told: DataFrame | None = None, notes: bool = False) -> DataFrame:
-    """doc_id and markdown of the decks whose rows (``office.pptx_parts``) are given; with
+    """doc_id and markdown of the decks whose rows (``pptx_rows``) are given; with
     ``notes``, the speaker notes of each slide too."""
     by, place = ["doc_id", "slide_no"], ["doc_id", "slide_no", "path"]
     shapes = shown_shapes(rows)
-    said = rows.where("what IN ('text', 'math')").withColumn("text", _read_out(rows))
+    said = rows.where("what IN ('text', 'math')")
     lines = said.groupBy(*place, "row_no", "col_no", "para_no").agg(X.strip(blocks.joined(F.col("text"), F.col("span_no"), "")).alias("text")).where("text <> ''")
     texts = lines.where("row_no IS NULL").groupBy(*place).agg(blocks.joined(F.col("text"), F.col("para_no"), "\n\n").alias("text"), blocks.joined(F.col("text"), F.col("para_no"), "\n").alias("title"))
     plain = shapes.where("kind <> 'graphicFrame' AND NOT is_image").join(texts, place)
@@ -109,7 +121,7 @@ def pptx_markdown(rows: DataFrame, told: DataFrame | None = None, notes: bool =
     slides = rows.where("what = 'slide'").select(*by).join(titles, by, "left")
     spoken = None
     if notes:
-        heard = rows.where("what = 'notes'").withColumn("text", F.when(F.col("kind") == "math", latex.omml_to_latex(F.when(F.col("kind") == "math", F.col("text")))).otherwise(F.col("text")))
+        heard = rows.where("what = 'notes'")
         said_lines = heard.groupBy(*by, "para_no").agg(blocks.joined(F.col("text"), F.col("span_no"), "").alias("text"))
         spoken = said_lines.groupBy(*by).agg(X.strip(blocks.joined(F.col("text"), F.col("para_no"), "\n")).alias("text"))
     made = blocks.slides_markdown(slides, shown, spoken)
@@ -119,7 +131,7 @@ def pptx_markdown(rows: DataFrame, told: DataFrame | None = None, notes: bool =
 def office_documents(files: DataFrame, told: DataFrame | None = None, notes: bool = False) -> DataFrame:
     """doc_id, kind and markdown of ``files`` (doc_id, kind, content): those of kind
     ``docx`` or ``pptx``; null where the content is no such file."""
-    words, decks = (cut(read(files.where(f"kind = '{kind}'"))) for read, kind in ((office.docx_parts, "docx"), (office.pptx_parts, "pptx")))
+    words, decks = docx_rows(files.where("kind = 'docx'")), pptx_rows(files.where("kind = 'pptx'"))
     made = docx_markdown(words, told).unionByName(pptx_markdown(decks, told, notes))
     return files.where("kind IN ('docx', 'pptx')").select("doc_id", "kind").join(made, "doc_id", "left")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import importlib
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import notes
 from ..functions.paths import below, extension, folder_of
 from ..functions.text import strip, strip_line_comments
-from ..lineage import cut
+from ..lineage import cut, stored
 from ..operators import assets, bibliography, includes
 from ..options import CleanOptions
 from ..sources import tex
@@ -70,10 +71,12 @@ def clean_projects(roots: DataFrame, texts: DataFrame, options: CleanOptions | N
         docs = includes.flatten_roots(roots, texts).select(F.col("path").alias("doc_id"), "content", "notes")
     else:
         docs = texts.join(roots.select("path").distinct(), "path", "left_semi").select(F.col("path").alias("doc_id"), "content", notes.none().alias("notes"))
-    docs = cut(docs)  # read by every stage below
-    entries = bbl = summaries = None
+    # Texts are written once, with all that needs no other table; the stages below give
+    # one small row for a document, which meets its text once.
+    docs = stored(cleaning.clean_with_notes(docs, replace(o, bibliography=False, figures=False)))
+    seen = docs if o.comments else docs.withColumn("content", strip_line_comments(F.col("content")))
+    found = [docs.limit(0).select("doc_id", F.lit(None).cast("string").alias("block"), F.lit(None).cast("map<string, string>").alias("told"), notes.none().alias("more"))]
     missing = []
-    seen = docs.select("doc_id", strip_line_comments(F.col("content")).alias("content"))
     if o.bibliography:
         own = docs.select("doc_id", F.regexp_replace("doc_id", r"\.[^./]+$", ".bbl").alias("path"))
         bbl = own.join(texts.where("path LIKE '%.bbl'"), "path").select("doc_id", F.lit(0).alias("priority"), "content")
@@ -82,6 +85,7 @@ def clean_projects(roots: DataFrame, texts: DataFrame, options: CleanOptions | N
         bibs = _beside(seen, names, texts.where("path LIKE '%.bib'"))
         read = tex.bib_entries(bibs.where("content IS NOT NULL").select("path", "content").distinct().select(F.lit("").alias("root_dir"), F.col("path").alias("bib_path"), "content"))
         entries = bibs.where("content IS NOT NULL").select("doc_id", F.col("pos").alias("file_ord"), F.col("path").alias("bib_path")).join(read, "bib_path").select("doc_id", "file_ord", "entry_no", "key", "kind", "fields")
+        found.append(bibliography.bibliography_blocks(docs, entries, bbl))
         missing.append(bibs.where("content IS NULL").join(bbl.where("content IS NOT NULL"), "doc_id", "left_anti").select("doc_id", F.lit("missing-bib").alias("code"), F.col("name").alias("detail")))
     if o.figures:
         stems = F.array_distinct(F.transform(assets.graphics_of(F.col("content")), lambda g: F.concat(assets.stem(g), F.lit(o.figure_summary_suffix))))
@@ -93,10 +97,15 @@ def clean_projects(roots: DataFrame, texts: DataFrame, options: CleanOptions | N
             if kept is not None:
                 kept.append(new.select(below(folder_of(F.col("doc_id")), F.col("stem")).alias("stem"), "text"))
             summaries, asked = summaries.unionByName(new), asked.join(new, ["doc_id", "stem"], "left_anti")
+        found.append(summaries.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("stem", "text"))).alias("told")))
         missing.append(asked.select("doc_id", F.lit("missing-summary").alias("code"), F.col("stem").alias("detail")))
     if missing:
-        docs = notes.with_rows(docs, reduce(DataFrame.unionAll, missing))
-    return cleaning.clean_with_notes(docs, o, entries, bbl, summaries)
+        found.append(reduce(DataFrame.unionAll, missing).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("code", "detail"))).cast(notes.TYPE).alias("more")))
+    each = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)
+    small = each.groupBy("doc_id").agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("block", "told", "more")])
+    whole = docs.join(small, "doc_id", "left")
+    content = assets.with_summaries(bibliography.inline_block(F.col("content"), F.col("block")), F.col("told"))
+    return whole.select("doc_id", content.alias("content"), F.concat("notes", F.coalesce("more", notes.none())).alias("notes"))
 
 
 def picture_summaries(documents: DataFrame, texts: DataFrame, suffix: str = "_summary.txt") -> DataFrame:
