@@ -26,6 +26,8 @@ OVER = ("\u23de", "\ufe37")
 _TAG = r"""<[^<>"']*+(?:"[^"]*+"[^<>"']*+|'[^']*+'[^<>"']*+)*+>"""
 _TOKEN = rf"(?s)<!--.*?-->|<\?.*?\?>|<!\[CDATA\[.*?\]\]>|{_TAG}|[^<]++"
 _NAME = r"^</?(?:[^\s:/>]*:)?([^\s:/>]+)"
+#: A name that no tag can have: closes what the tag before has opened.
+_SAME = "\x00"
 _VALUE = r"""[\s:]val\s*=\s*(?:"([^"]*)"|'([^']*)')"""
 
 #: A child as its parent sees it, and an element that is still open.
@@ -65,13 +67,22 @@ def _of(table: dict[str, str], key: Column, other: Column) -> Column:
 
 def _written(tag: Column, parts: Column) -> Column:
     """What the element ``tag`` gives, from what its children gave."""
-    part = lambda name: F.coalesce(F.get(F.filter(parts, lambda p: p["tag"] == name), F.lit(0))["text"], F.lit(""))
+    tags = F.transform(parts, lambda p: p["tag"])
+    first = F.filter(parts, lambda p, i: F.array_position(tags, p["tag"]) == i + 1)
+    texts = F.map_from_entries(F.transform(first, lambda p: F.struct(p["tag"], p["text"])))
+    settings = F.map_from_entries(F.transform(F.filter(first, lambda p: p["settings"].isNotNull()), lambda p: F.struct(p["tag"], p["settings"])))
+    return _bind(F.struct(parts.alias("parts"), texts.alias("texts"), settings.alias("settings")), lambda x: _by_rule(tag, x["parts"], x["texts"], x["settings"]))
+
+
+def _by_rule(tag: Column, parts: Column, texts: Column, settings: Column) -> Column:
+    """``texts`` and ``settings``: of the first child of each name."""
+    part = lambda name: F.coalesce(F.element_at(texts, F.lit(name)), F.lit(""))
     braced = lambda name: F.concat(F.lit("{"), part(name), F.lit("}"))
     lit = F.lit
 
     def setting(group: str, item: str, default: str = "") -> Column:
         """A property's value, or the default where it is absent or empty."""
-        found = F.get(F.filter(F.get(F.filter(parts, lambda p: p["tag"] == group), lit(0))["settings"], lambda s: s["tag"] == item), lit(0))["value"]
+        found = F.get(F.filter(F.element_at(settings, lit(group)), lambda s: s["tag"] == item), lit(0))["value"]
         return F.coalesce(F.nullif(found, lit("")), lit(default))
 
     def optional(before: str, name: str, after: str) -> Column:
@@ -127,7 +138,7 @@ def omml_to_latex(xml: Column) -> Column:
             settings = F.when(top["tag"].endswith("Pr"), F.transform(top["parts"], lambda p: F.struct(p["tag"].alias("tag"), p["value"].alias("value"))))
             part = F.struct(top["tag"].alias("tag"), top["value"].alias("value"), _written(top["tag"], top["parts"]).alias("text"), settings.alias("settings"))
             rest = F.slice(state["open"], 1, F.size(state["open"]) - 1)
-            fits = (top["tag"] == tag) & (F.size(rest) > 0)
+            fits = ((top["tag"] == tag) | (tag == _SAME)) & (F.size(rest) > 0)  # an empty tag closes what it opened
             return F.when(fits, F.struct(put(rest, part).alias("open"), state["good"].alias("good"))).otherwise(F.struct(state["open"].alias("open"), F.lit(False).alias("good"))).cast(STATE)
 
         return _bind(F.element_at(state["open"], -1), done)
@@ -141,7 +152,6 @@ def omml_to_latex(xml: Column) -> Column:
         return (
             F.when(~state["good"] | token.startswith("<?") | token.startswith("<!--"), state)
             .when(token.startswith("</"), closed(state, tag))
-            .when(token.startswith("<") & ~token.startswith("<!") & token.endswith("/>"), _bind(opened(), lambda s: closed(s, tag)))
             .when(token.startswith("<") & ~token.startswith("<!"), opened())
             .when(within, F.struct(put(state["open"], as_part).alias("open"), state["good"].alias("good")).cast(STATE))
             .when((F.size(state["open"]) == 1) & F.regexp_replace(text, r"\s", "").__ne__(""), F.struct(state["open"].alias("open"), F.lit(False).alias("good")).cast(STATE))
@@ -155,6 +165,8 @@ def omml_to_latex(xml: Column) -> Column:
         return F.when(whole, F.concat(sign, root[0]["text"], sign))
 
     tokens = F.regexp_extract_all(xml, F.lit(_TOKEN), 0)
+    is_empty = lambda t: t.startswith("<") & t.endswith("/>")
+    pairs = F.flatten(F.transform(tokens, lambda t: F.when(is_empty(t), F.array(t, F.lit(f"</{_SAME}>"))).otherwise(F.array(t))))
     start = F.struct(F.array(frame(F.lit(""), F.lit(None).cast("string"))).alias("open"), F.lit(True).alias("good")).cast(STATE)
     # What no token covers is no XML.
-    return F.when(F.length(F.array_join(tokens, "")) == F.length(xml), F.aggregate(tokens, start, step, finished))
+    return F.when(F.length(F.array_join(tokens, "")) == F.length(xml), F.aggregate(pairs, start, step, finished))
