@@ -10,7 +10,7 @@ from .macros import expand_macros as expand_macros
 from .macros import expand_with_notes as expand_with_notes
 from .macros import harvest as harvest
 
-_PERCENT = re.compile(r"((?:[^%\\]|\\.)*)%", re.S)
+_PERCENT = re.compile(r"((?:[^%\\]++|\\.)*+)%", re.S)
 
 
 def strip_comments(text: str | None) -> str | None:
@@ -21,7 +21,7 @@ def strip_comments(text: str | None) -> str | None:
     text = re.sub(r"\\begin\{comment\}.*?\\end\{comment\}", "", text, flags=re.S)
     out = []
     for line in text.split("\n"):
-        if m := _PERCENT.match(line):
+        if "%" in line and (m := _PERCENT.match(line)):
             if not (line := m[1].rstrip()):
                 continue
         out.append(line)

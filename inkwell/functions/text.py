@@ -69,7 +69,8 @@ def strip_line_comments(c: Column) -> Column:
         head = F.regexp_replace(F.regexp_extract(x, _COMMENT, 1), r"(?U)\s+$", "")
         return F.when(x.rlike(_COMMENT), F.when(head != "", head)).otherwise(x)
 
-    return F.array_join(F.filter(F.transform(F.split(c, "\n"), line), lambda x: x.isNotNull()), "\n")
+    left = F.array_join(F.filter(F.transform(F.split(c, "\n"), line), lambda x: x.isNotNull()), "\n")
+    return F.when(c.contains("%"), left).otherwise(c)
 
 
 def resolve_conditionals(c: Column) -> Column:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import posixpath
 import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,7 +20,7 @@ from ..lineage import cut
 
 #: The commands that include a file, and the list of those allowed.
 USE = r"\\(input|include|subfile)\{([^}]+)\}"
-_USE = re.compile(USE)
+_USE = re.compile(USE.replace("[^}]", "[^}\\n]"))
 _ONLY = re.compile(r"\\includeonly\{([^}]*)\}")
 _LITERAL = re.compile(r"(?<!\\)(?:\\\\)*%")
 
@@ -63,16 +65,18 @@ class _Project:
         return next((t for t in tries if t in self.files), None)
 
     def parse(self, path: str) -> list[str | _Use]:
-        out: list[str | _Use] = []
-        for k, line in enumerate((self.files[path] or "").split("\n")):
-            sign = _LITERAL.search(line)
-            end = sign.end() - 1 if sign else len(line)
-            out, at = out + ["\n"] * (k > 0), 0
-            for m in _USE.finditer(line, 0, end):
-                out += [line[at : m.start()], _Use(m[0], m[1], m[2], self.find(m[2], posixpath.dirname(path)))]
+        text, out, at, line, end = self.files[path] or "", [], 0, -1, -1
+        for m in _USE.finditer(text):
+            if m.start() > line:  # the first on its line: where that line's comment begins
+                start = text.rfind("\n", 0, m.start()) + 1
+                line = text.find("\n", m.end())
+                line = len(text) if line < 0 else line
+                sign = _LITERAL.search(text, start, line)
+                end = sign.end() - 1 if sign else line
+            if m.end() <= end:
+                out += [text[at : m.start()], _Use(m[0], m[1], m[2], self.find(m[2], posixpath.dirname(path)))]
                 at = m.end()
-            out.append(line[at:])
-        return out
+        return [*out, text[at:]]
 
     def is_left_out(self, u: _Use) -> bool:
         return u.kind == "include" and self.allowed is not None and _stem(u.name) not in self.allowed
@@ -185,22 +189,17 @@ def reached(roots: DataFrame, files: DataFrame) -> DataFrame:
         seen = cut(seen.unionByName(frontier))
 
 
-@F.pandas_udf(FLAT)
-def _flattened_root(roots, files):
-    import pandas as pd
+def _last_of(own: list[dict]) -> dict[str, str | None]:
+    last: dict[str, str | None] = {}
+    for f in own:
+        path, content = f["path"], f["content"]
+        last[path] = last.get(path) if content is None else max(last.get(path) or "", content)
+    return last
 
-    def of(own) -> dict:
-        last = {}
-        for f in own:
-            last[f["path"]] = max(last.get(f["path"]) or "", f["content"]) if f["content"] is not None else last.get(f["path"])
-        return last
 
-    rows = [flatten(of(own), r, posixpath.dirname(r)) for r, own in zip(roots, files, strict=True)]
-    return pd.DataFrame(rows, columns=["content", "diagnostics"])
-
-
-def flatten_roots(roots: DataFrame, files: DataFrame) -> DataFrame:
-    """path, content and notes of each root, with the files that it leads to.
+def flatten_roots(roots: DataFrame, files: DataFrame, after: Callable[[str], tuple[str, list[str]]] | None = None) -> DataFrame:
+    """path, content and notes of each root, with the files that it leads to.  ``after``
+    is what else a text needs from Python, its new text and notes, in the same hop.
 
     ``roots``: path; ``files``: path, content (null: unreadable).  Only the files that a
     root reaches meet in its row.  A root that is not among the files gives no row; of
@@ -208,5 +207,17 @@ def flatten_roots(roots: DataFrame, files: DataFrame) -> DataFrame:
     """
     pairs = reached(roots, files).join(files.select("path", "content"), "path")
     whole = pairs.groupBy("root").agg(F.collect_list(F.struct("path", "content")).alias("files"))
-    flat = whole.select(F.col("root").alias("path"), _flattened_root("root", "files").alias("flat"))
-    return flat.select("path", "flat.content", notes.parsed(F.col("flat.diagnostics")).alias("notes"))
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):  # so many projects are Python objects at a time
+                some, rows = b.slice(at, 256), []
+                for root, own in zip(some.column("root").to_pylist(), some.column("files").to_pylist(), strict=True):
+                    text, told = flatten(_last_of(own), root, posixpath.dirname(root))
+                    text, more = after(text) if after else (text, [])
+                    rows.append((root, text, told + more))
+                kinds = (pa.string(), pa.string(), pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["path", "content", "diagnostics"])
+
+    flat = whole.mapInArrow(made, "path string, content string, diagnostics array<string>")
+    return flat.select("path", "content", notes.parsed(F.col("diagnostics")).alias("notes"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,22 +29,42 @@ def strip_comments(c: Column | str) -> Column:
 EXPANDED = T.StructType([T.StructField("text", T.StringType()), T.StructField("notes", T.ArrayType(T.StringType()))])
 
 
-def macro_stage(c: Column, keep_packages: bool = False) -> Column:
-    """text and notes of the macro stage, in one hop: definitions harvested, removed and
-    expanded, and what was left (``runaway:name``, ``overlong:name``).  Texts without a
-    backslash have nothing to expand and stay in native expressions."""
+def cleaner(comments: bool = True, expand: bool = True, keep_packages: bool = False) -> Callable[[str | None], tuple[str | None, list[str]]]:
+    """What gives a text without comments, its macros expanded, and the macro stage's notes."""
+
+    def clean(text: str | None) -> tuple[str | None, list[str]]:
+        text = kernels.strip_comments(text) if comments else text
+        return macros.expand_with_notes(text, keep_packages) if expand else (text, [])
+
+    return clean
+
+
+def text_stages(c: Column, comments: bool = True, expand: bool = True, keep_packages: bool = False) -> Column:
+    """text and notes of the stages that look at nothing but the text, in one hop: comments
+    go, macro definitions are harvested, removed and expanded, with notes on what was left
+    (``runaway:name``, ``overlong:name``).  Texts without a backslash have no literal passage
+    and no macro, and stay in native expressions."""
+    none = F.array().cast("array<string>").alias("notes")
+    if not expand:
+        return F.struct((strip_comments(c) if comments else c).alias("text"), none)
+    clean = cleaner(comments, expand, keep_packages)
 
     @F.pandas_udf(EXPANDED)
     def run(texts):
         import pandas as pd
 
-        return pd.DataFrame([macros.expand_with_notes(t, keep_packages) for t in texts], columns=["text", "notes"])
+        return pd.DataFrame([clean(t) for t in texts], columns=["text", "notes"])
 
     some = c.contains("\\")
-    plain = F.struct(squeeze_blank_lines(c).alias("text"), F.array().cast("array<string>").alias("notes"))
+    plain = F.struct(squeeze_blank_lines(strip_line_comments(c) if comments else c).alias("text"), none)
     return F.when(some, run(F.when(some, c))).otherwise(plain)
 
 
+def macro_stage(c: Column, keep_packages: bool = False) -> Column:
+    """text and notes of the macro stage alone."""
+    return text_stages(c, comments=False, keep_packages=keep_packages)
+
+
 def expand_macros(c: Column, keep_packages: bool = False) -> Column:
     """Definitions harvested, removed and expanded."""
     return macro_stage(c, keep_packages)["text"]

@@ -20,10 +20,8 @@ def clean_with_notes(docs: DataFrame, options: CleanOptions | None = None, entri
     if "notes" not in docs.columns:
         docs = docs.withColumn("notes", notes.none())
     docs = docs.select("doc_id", "content", "notes")
-    if o.comments:
-        docs = docs.withColumn("content", latex.strip_comments("content"))
-    if o.macros:
-        done = docs.withColumn("_done", latex.macro_stage(F.col("content"), o.keep_usepackage))
+    if o.comments or o.macros:
+        done = docs.withColumn("_done", latex.text_stages(F.col("content"), o.comments, o.macros, o.keep_usepackage))
         docs = done.select("doc_id", F.col("_done.text").alias("content"), F.concat("notes", notes.parsed(F.col("_done.notes"))).alias("notes"))
     if o.bibliography and entries is not None:
         docs = bibliography.inline_bibliography(docs, entries, bbl)

@@ -14,7 +14,7 @@ from ..functions import notes
 from ..functions.paths import below, extension, folder_of
 from ..functions.text import strip, strip_line_comments
 from ..lineage import cut, stored
-from ..operators import assets, bibliography, includes
+from ..operators import assets, bibliography, includes, latex
 from ..options import CleanOptions
 from ..sources import tex
 from . import cleaning, office
@@ -67,13 +67,15 @@ def clean_projects(roots: DataFrame, texts: DataFrame, options: CleanOptions | N
     (path, content) that have none; ``kept`` gets a table of these (path, text).
     """
     o = options or CleanOptions()
+    # Texts go through Python once and are written once, with all that needs no other
+    # table; the stages below give one small row for a document, which meets its text once.
     if o.flatten:
-        docs = includes.flatten_roots(roots, texts).select(F.col("path").alias("doc_id"), "content", "notes")
+        after = latex.cleaner(o.comments, o.macros, o.keep_usepackage)
+        docs = includes.flatten_roots(roots, texts, after).select(F.col("path").alias("doc_id"), "content", "notes")
     else:
-        docs = texts.join(roots.select("path").distinct(), "path", "left_semi").select(F.col("path").alias("doc_id"), "content", notes.none().alias("notes"))
-    # Texts are written once, with all that needs no other table; the stages below give
-    # one small row for a document, which meets its text once.
-    docs = stored(cleaning.clean_with_notes(docs, replace(o, bibliography=False, figures=False)))
+        docs = texts.join(roots.select("path").distinct(), "path", "left_semi").select(F.col("path").alias("doc_id"), "content")
+        docs = cleaning.clean_with_notes(docs, replace(o, bibliography=False, figures=False))
+    docs = stored(docs)
     seen = docs if o.comments else docs.withColumn("content", strip_line_comments(F.col("content")))
     found = [docs.limit(0).select("doc_id", F.lit(None).cast("string").alias("block"), F.lit(None).cast("map<string, string>").alias("told"), notes.none().alias("more"))]
     missing = []

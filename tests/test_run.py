@@ -1,16 +1,19 @@
 """Whole runs: reachability, notes, pictures and side files."""
 
 import io
+import re
 import zipfile
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from inkwell.functions import notes
 from inkwell.functions.graphs import circular, components
 from inkwell.functions.paths import below, folder_of
-from inkwell.operators import includes
+from inkwell.operators import includes, latex
 from inkwell.options import CleanOptions
 from inkwell.plans import run
 
@@ -102,3 +105,34 @@ def test_speaker_notes_and_pictures_in_runs(spark, tmp_path, said):
     got = {r.path: (r.kind, r.text, [tuple(n) for n in r.notes]) for r in run.clean_folder(spark, str(top), ["talks/d.PPTX", "broken.docx"], CleanOptions(notes=said)).collect()}
     assert got["talks/d.PPTX"] == ("pptx", "# Slide 1\n\nin\n\n[Image: a\u00a0graph]\n" + ("\n> **Notes:** say\n" if said else ""), [])
     assert got["broken.docx"] == ("docx", None, [("unreadable", "broken.docx")])
+
+
+def _uses_by_line(text):
+    """The include commands before each line's comment sign, plainly."""
+    found = []
+    for line in text.split("\n"):
+        at = 0
+        while at < len(line) and line[at] != "%":
+            at += 2 if line[at] == "\\" and line[at + 1 : at + 2] in ("\\", "%") else 1
+        found += re.findall(r"\\(?:input|include|subfile)\{[^}]+\}", line[:at])
+    return found
+
+
+@given(st.lists(st.sampled_from(["\\input{a}", "\\include{b c}", "\\subfile{", "}", "%", "\\", "\n", "x ", "\\input{", "\\includeonly{z}"]), max_size=14).map("".join))
+@settings(max_examples=400, deadline=None)
+def test_uses_are_found_as_line_by_line(text):
+    files = {"r.tex": text}
+    pieces = includes._Project({"r.tex": "", "t.tex": ""}, "r.tex", "", 100)
+    pieces.files = files
+    own = pieces.parse("r.tex")
+    assert [u.text for u in own if not isinstance(u, str)] == _uses_by_line(text)
+    assert "".join(u if isinstance(u, str) else u.text for u in own) == text
+
+
+def test_one_hop_gives_what_the_stages_give_one_by_one(spark):
+    texts = ["", None, "plain % gone\n\n\n\nx", "\\newcommand{\\a}{A}% c\n\\a{} \\verb|%\\a| %x", "100\\% \\x % y", "% only\n\\newcommand{\\l}{x\\l}\\l", "\\begin{comment}\\newcommand{\\z}{Z}\\end{comment}\\z", "% \\a\nx\n\n\n\ny"]
+    df = spark.createDataFrame([(t,) for t in texts], "c string").select("c", latex.strip_comments("c").alias("bare"))
+    rows = df.select(latex.text_stages(F.col("c")).alias("one"), latex.macro_stage(F.col("bare")).alias("two"), latex.text_stages(F.col("c"), expand=False)["text"].alias("bare2"), "bare").collect()
+    assert [r.one for r in rows] == [r.two for r in rows] and [r.bare for r in rows] == [r.bare2 for r in rows]
+    clean = latex.cleaner()
+    assert [(r.one.text, r.one.notes) for r in rows] == [clean(t) for t in texts]
