@@ -11,7 +11,11 @@ from ..functions.text import cited_keys, format_entry
 
 def citation_order(docs: DataFrame, content: str = "content") -> DataFrame:
     """doc_id, key and ord (from 1) of the distinct keys, by first citation."""
-    found = docs.select("doc_id", F.posexplode(cited_keys(F.col(content))).alias("pos", "key")).groupBy("doc_id", "key").agg(F.min("pos").alias("pos"))
+    return _in_order(docs.select("doc_id", cited_keys(F.col(content)).alias("keys")))
+
+
+def _in_order(keys: DataFrame) -> DataFrame:
+    found = keys.select("doc_id", F.posexplode("keys").alias("pos", "key")).groupBy("doc_id", "key").agg(F.min("pos").alias("pos"))
     return found.select("doc_id", "key", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")).alias("ord"))
 
 
@@ -66,14 +70,25 @@ def inline_bibliography(docs: DataFrame, entries: DataFrame, bbl: DataFrame | No
     return docs.join(blocks, "doc_id", "left").withColumn("content", inline_block(F.col("content"), F.col("block"))).drop("block")
 
 
+def wanted_keys(content: Column) -> Column:
+    """The citation keys of a text that has a bibliography command; null for others."""
+    return F.when(content.rlike(_COMMAND), cited_keys(content))
+
+
 def bibliography_blocks(docs: DataFrame, entries: DataFrame, bbl: DataFrame | None = None) -> DataFrame:
     """doc_id and the block of every document that has a bibliography command; see
     ``inline_bibliography``."""
-    used = docs.where(F.col("content").rlike(_COMMAND))
+    return blocks_of(docs.select("doc_id", wanted_keys(F.col("content")).alias("keys")), entries, bbl)
+
+
+def blocks_of(keys: DataFrame, entries: DataFrame, bbl: DataFrame | None = None) -> DataFrame:
+    """``bibliography_blocks`` of documents whose keys are known (doc_id, keys, as of
+    ``wanted_keys``), without their texts."""
+    used = keys.where("keys IS NOT NULL")
     if bbl is not None:
         ready = bbl.where("content IS NOT NULL").groupBy("doc_id").agg(F.min_by("content", "priority").alias("block"))
         used = used.join(ready, "doc_id", "left_anti")
-    made = thebibliography(chosen_entries(citation_order(used), last_entries(entries, [c for c in ("doc_id",) if c in entries.columns])))
+    made = thebibliography(chosen_entries(_in_order(used), last_entries(entries, [c for c in ("doc_id",) if c in entries.columns])))
     return made if bbl is None else made.unionByName(ready)
 
 

@@ -163,11 +163,6 @@ def used_names(content: Column) -> Column:
     return F.array_distinct(F.transform(named, lambda x: F.when(x.rlike(r"[^./]\.[^./]*$"), x).otherwise(F.concat(x, F.lit(".tex")))))
 
 
-def include_edges(files: DataFrame) -> DataFrame:
-    """path and name of every different include of ``files`` (path, content)."""
-    return files.select("path", F.explode(used_names(F.col("content"))).alias("name"))
-
-
 def reached(roots: DataFrame, files: DataFrame) -> DataFrame:
     """root and path of every file that a root's text leads to, the root included.
 
@@ -176,7 +171,8 @@ def reached(roots: DataFrame, files: DataFrame) -> DataFrame:
     end and the rows are as many as pairs there are, whatever lies beside the roots.  The
     top of a root is its own folder.  Each step is cut from its lineage.
     """
-    edges, there = cut(include_edges(files)), files.select(F.col("path").alias("found")).distinct()
+    known = cut(files.select("path", used_names(F.col("content")).alias("names")))  # texts are read once
+    edges, there = known.select("path", F.explode("names").alias("name")), known.select(F.col("path").alias("found")).distinct()
     frontier = roots.select(F.col("path").alias("root")).distinct().join(there, F.col("root") == F.col("found"), "left_semi").withColumn("path", F.col("root"))
     frontier = seen = cut(frontier)
     while True:

@@ -34,12 +34,11 @@ def listed(spark: SparkSession, folder: str) -> DataFrame:
     return raw.withColumn("top", F.lit(f"{home}/")).select(F.expr("substring(path, length(top) + 1)").alias("path"), "content")
 
 
-def _beside(docs: DataFrame, names: Column, files: DataFrame) -> DataFrame:
-    """``files`` (path, content) that documents name, as seen from their own folder:
-    doc_id, pos, name, path and content, null where there is none."""
+def _beside(docs: DataFrame, names: str, files: DataFrame) -> DataFrame:
+    """``files`` (path, and more) that the array ``names`` of documents has, as seen from
+    their own folder: doc_id, pos, name and the file's columns, null where there is none."""
     asked = docs.select("doc_id", F.posexplode(names).alias("pos", "name")).withColumn("_at", below(folder_of(F.col("doc_id")), F.col("name")))
-    there = files.select(F.col("path"), "content")
-    return asked.join(there, F.col("_at") == F.col("path"), "left").drop("_at")
+    return asked.join(files, F.col("_at") == F.col("path"), "left").drop("_at")
 
 
 def described_figures(docs: DataFrame, images: DataFrame, known: DataFrame, provider: assets.Provider, calls: assets.Calls | None = None) -> DataFrame:
@@ -76,26 +75,37 @@ def clean_projects(roots: DataFrame, texts: DataFrame, options: CleanOptions | N
         docs = texts.join(roots.select("path").distinct(), "path", "left_semi").select(F.col("path").alias("doc_id"), "content")
         docs = cleaning.clean_with_notes(docs, replace(o, bibliography=False, figures=False))
     docs = stored(docs)
-    seen = docs if o.comments else docs.withColumn("content", strip_line_comments(F.col("content")))
+    bare = F.col("content") if o.comments else strip_line_comments(F.col("content"))
+    side = stored(texts.where(F.col("path").rlike(r"\.(?:bib|bbl)$") | F.col("path").endswith(o.figure_summary_suffix)).where("content IS NOT NULL").select("path", "content"))
+    # What a document names, from one reading of its text.
+    named = {}
+    if o.bibliography:
+        names = F.transform(F.split(F.array_join(F.regexp_extract_all(bare, F.lit(BIBLIOGRAPHY), 1), ","), ","), lambda x: F.trim(x))
+        named["bibs"] = F.transform(F.filter(names, lambda n: n != ""), lambda n: F.when(n.endswith(".bib"), n).otherwise(F.concat(n, F.lit(".bib"))))
+        named["keys"] = bibliography.wanted_keys(F.col("content"))
+    if o.figures:
+        named["sides"] = F.array_distinct(F.transform(assets.graphics_of(bare), lambda g: F.concat(assets.stem(g), F.lit(o.figure_summary_suffix))))
+    facts = cut(docs.select("doc_id", *[v.alias(c) for c, v in named.items()]))
     found = [docs.limit(0).select("doc_id", F.lit(None).cast("string").alias("block"), F.lit(None).cast("map<string, string>").alias("told"), notes.none().alias("more"))]
     missing = []
     if o.bibliography:
-        own = docs.select("doc_id", F.regexp_replace("doc_id", r"\.[^./]+$", ".bbl").alias("path"))
-        bbl = own.join(texts.where("path LIKE '%.bbl'"), "path").select("doc_id", F.lit(0).alias("priority"), "content")
-        names = F.transform(F.split(F.array_join(F.regexp_extract_all("content", F.lit(BIBLIOGRAPHY), 1), ","), ","), lambda x: F.trim(x))
-        names = F.transform(F.filter(names, lambda n: n != ""), lambda n: F.when(n.endswith(".bib"), n).otherwise(F.concat(n, F.lit(".bib"))))
-        bibs = _beside(seen, names, texts.where("path LIKE '%.bib'"))
-        read = tex.bib_entries(bibs.where("content IS NOT NULL").select("path", "content").distinct().select(F.lit("").alias("root_dir"), F.col("path").alias("bib_path"), "content"))
-        entries = bibs.where("content IS NOT NULL").select("doc_id", F.col("pos").alias("file_ord"), F.col("path").alias("bib_path")).join(read, "bib_path").select("doc_id", "file_ord", "entry_no", "key", "kind", "fields")
-        found.append(bibliography.bibliography_blocks(docs, entries, bbl))
-        missing.append(bibs.where("content IS NULL").join(bbl.where("content IS NOT NULL"), "doc_id", "left_anti").select("doc_id", F.lit("missing-bib").alias("code"), F.col("name").alias("detail")))
+        own = facts.select("doc_id", F.regexp_replace("doc_id", r"\.[^./]+$", ".bbl").alias("path"))
+        bbl = own.join(side.where("path LIKE '%.bbl'"), "path").select("doc_id", F.lit(0).alias("priority"), "content")
+        files = side.where("path LIKE '%.bib'")
+        bibs = _beside(facts, "bibs", files.select("path").distinct())
+        cited = bibs.where("path IS NOT NULL").select("doc_id", F.col("pos").alias("file_ord"), F.col("path").alias("bib_path"))
+        # A file that many documents name is read once.
+        read = files.join(cited.select(F.col("bib_path").alias("path")).distinct(), "path", "left_semi").distinct()
+        read = tex.bib_entries(read.select(F.lit("").alias("root_dir"), F.col("path").alias("bib_path"), "content"))
+        entries = cited.join(read, "bib_path").select("doc_id", "file_ord", "entry_no", "key", "kind", "fields")
+        found.append(bibliography.blocks_of(facts.select("doc_id", "keys"), entries, bbl))
+        missing.append(bibs.where("path IS NULL").join(bbl, "doc_id", "left_anti").select("doc_id", F.lit("missing-bib").alias("code"), F.col("name").alias("detail")))
     if o.figures:
-        stems = F.array_distinct(F.transform(assets.graphics_of(F.col("content")), lambda g: F.concat(assets.stem(g), F.lit(o.figure_summary_suffix))))
-        told = _beside(seen, stems, texts.where(F.col("path").endswith(o.figure_summary_suffix))).withColumn("stem", F.expr(f"left(name, length(name) - {len(o.figure_summary_suffix)})"))
+        told = _beside(facts, "sides", side.where(F.col("path").endswith(o.figure_summary_suffix))).withColumn("stem", F.expr(f"left(name, length(name) - {len(o.figure_summary_suffix)})"))
         summaries = told.where("content IS NOT NULL").select("doc_id", "stem", strip(F.col("content")).alias("text"))
         asked = told.where("content IS NULL").select("doc_id", "stem")
         if o.auto_summarize and provider is not None and images is not None:
-            new = cut(described_figures(seen, images, summaries, provider, calls))  # asked once
+            new = cut(described_figures(docs.withColumn("content", bare), images, summaries, provider, calls))  # asked once
             if kept is not None:
                 kept.append(new.select(below(folder_of(F.col("doc_id")), F.col("stem")).alias("stem"), "text"))
             summaries, asked = summaries.unionByName(new), asked.join(new, ["doc_id", "stem"], "left_anti")
