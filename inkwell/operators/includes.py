@@ -172,7 +172,8 @@ def reached(roots: DataFrame, files: DataFrame) -> DataFrame:
     top of a root is its own folder.  Each step is cut from its lineage.
     """
     known = cut(files.select("path", used_names(F.col("content")).alias("names")))  # texts are read once
-    edges, there = known.select("path", F.explode("names").alias("name")), known.select(F.col("path").alias("found")).distinct()
+    edges = known.select("path", F.explode("names").alias("name"))
+    there = cut(known.select(F.col("path").alias("found")).distinct())  # a table, so that a join with it can be split at a hot name
     frontier = roots.select(F.col("path").alias("root")).distinct().join(there, F.col("root") == F.col("found"), "left_semi").withColumn("path", F.col("root"))
     frontier = seen = cut(frontier)
     while True:
