@@ -325,16 +325,17 @@ def find_repeats(docs: DataFrame, opts: Matching | None = None) -> DataFrame:
                 yield _cut(rows)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, size, first = [], 0, None
+        rows, size, first, alike = [], 0, None, True
         for b in batches:
             for row in zip(*[b.column(c).to_pylist() for c in ("anchor", "doc_id", "row", "start", "runs", "bytes")], strict=True):
                 new = first is None or row[0] != first[0]
-                # The rows of a run dealt alone are all equal: a block may end among them
-                # if the next begins with the smallest document again.
-                if size >= o.block and (new or row[4] == 1 and len(rows) > o.hot):
+                # A block may end among an anchor's rows only while these are all equal, as
+                # those of a run dealt alone are: the next begins with the smallest document again.
+                if size >= o.block and (new or alike):
                     yield _found(rows)
                     rows, size = ([], 0) if new else ([first], len(first[5]) + 1)
                 first = row if new else first
+                alike = new or alike and row[5] == first[5]
                 rows.append(row)
                 size += len(row[5]) + 1
         if rows:

@@ -57,6 +57,15 @@ def test_one_run_in_many_documents(spark, opts):
     assert sorted((r.doc_id, bytes(r.kept)) for r in substrings.remove_repeats(df, opts).collect()) == sorted(brute(rows))
 
 
+def test_blocks_end_between_anchors(spark):
+    # Many anchors of a few short stretches fill a block amid the stretches of one of them.
+    passages = [prose(300 + i, 14) for i in range(40)]
+    rows = [(40 * k + i, p[(k * 5) % 9 :][: 50 + k % 3]) for i, p in enumerate(passages) for k in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = substrings.remove_repeats(df, substrings.Matching(hot=12, block=800)).collect()
+    assert sorted((r.doc_id, bytes(r.kept)) for r in got) == sorted(brute(rows))
+
+
 def test_boundaries_of_whole_blocks():
     import numpy as np
 
