@@ -129,13 +129,20 @@ def convert_ocr_markup(c: Column) -> Column:
     return c
 
 
+#: All that ``math_characters`` has, and some others between them.
+_MATH_RANGES = r"\x{AC}-\x{B7}\x{D7}\x{391}-\x{3C9}\x{2026}-\x{2033}\x{2190}-\x{22EF}\x{1D400}-\x{1D7FF}"
+
+
 def normalize_math(c: Column) -> Column:
-    """Styled letters and digits by one ``translate``, symbols by a map."""
+    """Styled letters and digits by ``translate``, symbols by a map: only the characters in
+    question are looked up, what lies between them stays in whole pieces."""
     table = math_characters()
     single = {k: v for k, v in table.items() if len(v) == 1}
     several = F.create_map(*[F.lit(x) for k, v in table.items() if len(v) != 1 for x in (k, v)])
-    plain = F.translate(c, "".join(single), "".join(single.values()))
-    return F.array_join(F.transform(F.split(plain, ""), lambda x: F.coalesce(F.element_at(several, x), x)), "")
+    pieces = F.regexp_extract_all(c, F.lit(f"[{_MATH_RANGES}]|[^{_MATH_RANGES}]+"), 0)
+    meant = lambda x: F.coalesce(F.element_at(several, x), F.translate(x, "".join(single), "".join(single.values())))
+    known = F.transform(pieces, lambda x: F.when((F.length(x) == 1) & x.rlike(f"[{_MATH_RANGES}]"), meant(x)).otherwise(x))
+    return F.when(c.rlike(f"[{_MATH_RANGES}]"), F.array_join(known, "")).otherwise(c)
 
 
 def cited_keys(c: Column) -> Column:
