@@ -1,9 +1,9 @@
-"""Office math markup to LaTeX, natively: one fold over the XML's tags with a stack.
+"""Office math markup to LaTeX, natively, from the innermost elements outwards.
 
-The XML is cut into tags and texts.  A tag that opens puts a frame on the stack; one that
-closes takes the frame off, writes its element by the rule for its name from the parts
-that its children left there, and leaves the result with the frame below.  So every
-element is written once, after its children.
+The XML's tags are reduced to their names and values.  Then, level by level, every element
+without open elements inside is written by the rule for its name and leaves a record in its
+place, which the element around it reads.  So every element is written once, after its
+children, and what no rule of nesting fits is left over.  A level is one pass over the text.
 """
 
 from __future__ import annotations
@@ -26,14 +26,16 @@ OVER = ("\u23de", "\ufe37")
 _TAG = r"""<[^<>"']*+(?:"[^"]*+"[^<>"']*+|'[^']*+'[^<>"']*+)*+>"""
 _TOKEN = rf"(?s)<!--.*?-->|<\?.*?\?>|<!\[CDATA\[.*?\]\]>|{_TAG}|[^<]++"
 _NAME = r"^</?(?:[^\s:/>]*:)?([^\s:/>]+)"
-#: A name that no tag can have: closes what the tag before has opened.
-_SAME = "\x00"
 _VALUE = r"""[\s:]val\s*=\s*(?:"([^"]*)"|'([^']*)')"""
 
-#: A child as its parent sees it, and an element that is still open.
-PART = "struct<tag: string, value: string, text: string, settings: array<struct<tag: string, value: string>>>"
-FRAME = f"struct<tag: string, value: string, parts: array<{PART}>>"
-STATE = f"struct<open: array<{FRAME}>, good: boolean>"
+#: A record is RECORD, tag, SEP, value, SEP, LaTeX, SEP, settings, END; a setting is ITEM,
+#: tag, EQUALS, value.  LT and GT stand for angle brackets in texts; no XML has these signs.
+RECORD, SEP, END, ITEM, EQUALS, LT, GT = "\x01\x02\x03\x04\x05\x06\x07"
+_ILLEGAL = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
+_ILLEGAL_REFERENCE = r"&#(?:0*(?:[0-8]|1[124-9]|2[0-9]|3[01])|x0*(?:[0-8BbCcEeFf]|1[0-9A-Fa-f]));"
+#: An element with no other inside, any other tag, or what is between tags.
+_PIECE = rf"<([^<>{SEP}]*+){SEP}[^<>]*+>[^<>]*+</\1>|<[^<>]*+>|[^<>]++"
+_ELEMENT = rf"^<([^<>{SEP}]*+){SEP}([^<>]*+)>([^<>]*+)</"
 
 
 def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -51,38 +53,36 @@ def _unescaped(c: Column) -> Column:
 
 
 def _value(token: Column) -> Column:
-    """The value of a tag's ``val``: null where it has no attribute of that name."""
+    """The value of a tag's ``val``, empty where it has none."""
     found = F.when(F.regexp_extract(token, _VALUE, 1) != "", F.regexp_extract(token, _VALUE, 1)).otherwise(F.regexp_extract(token, _VALUE, 2))
-    return F.when(token.rlike(_VALUE), _unescaped(found))
+    return F.when(token.contains("val"), _unescaped(found)).otherwise("")
 
 
-def _joined(parts: Column, tag: str | None, between: str = "") -> Column:
-    chosen = parts if tag is None else F.filter(parts, lambda p: p["tag"] == tag)
-    return F.array_join(F.transform(chosen, lambda p: p["text"]), between)
+def _joined(inside: Column, tag: str | None, between: str = "") -> Column:
+    """The children's LaTeX, of those of one name or of all."""
+    name = f"[^{SEP}]*" if tag is None else tag
+    return F.array_join(F.regexp_extract_all(inside, F.lit(f"{RECORD}{name}{SEP}[^{SEP}]*{SEP}([^{SEP}]*){SEP}"), 1), between)
 
 
-def _of(table: dict[str, str], key: Column, other: Column) -> Column:
-    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key), other)
+def _joined_by(inside: Column, tag: str, between: Column) -> Column:
+    texts = F.regexp_extract_all(inside, F.lit(f"{RECORD}{tag}{SEP}[^{SEP}]*{SEP}([^{SEP}]*){SEP}"), 1)
+    return F.array_join(F.transform(texts, lambda x, i: F.when(i == 0, x).otherwise(F.concat(between, x))), "")
 
 
-def _written(tag: Column, parts: Column) -> Column:
-    """What the element ``tag`` gives, from what its children gave."""
-    tags = F.transform(parts, lambda p: p["tag"])
-    first = F.filter(parts, lambda p, i: F.array_position(tags, p["tag"]) == i + 1)
-    texts = F.map_from_entries(F.transform(first, lambda p: F.struct(p["tag"], p["text"])))
-    settings = F.map_from_entries(F.transform(F.filter(first, lambda p: p["settings"].isNotNull()), lambda p: F.struct(p["tag"], p["settings"])))
-    return _bind(F.struct(parts.alias("parts"), texts.alias("texts"), settings.alias("settings")), lambda x: _by_rule(tag, x["parts"], x["texts"], x["settings"]))
+def _of(table: dict[str, str], key: Column, other: Column) -> Column:
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key), other)
 
 
-def _by_rule(tag: Column, parts: Column, texts: Column, settings: Column) -> Column:
-    """``texts`` and ``settings``: of the first child of each name."""
-    part = lambda name: F.coalesce(F.element_at(texts, F.lit(name)), F.lit(""))
+def _written(tag: Column, inside: Column) -> Column:
+    """What the element ``tag`` gives, from its children's records."""
+    part = lambda name: F.regexp_extract(inside, f"{RECORD}{name}{SEP}[^{SEP}]*{SEP}([^{SEP}]*){SEP}", 1)  # noqa: E731  of the first
     braced = lambda name: F.concat(F.lit("{"), part(name), F.lit("}"))
     lit = F.lit
 
     def setting(group: str, item: str, default: str = "") -> Column:
         """A property's value, or the default where it is absent or empty."""
-        found = F.get(F.filter(F.element_at(settings, lit(group)), lambda s: s["tag"] == item), lit(0))["value"]
+        first = F.regexp_extract(inside, f"{RECORD}{group}{SEP}[^{SEP}]*{SEP}[^{SEP}]*{SEP}([^{END}]*)", 1)
+        found = F.regexp_extract(first, f"{ITEM}{item}{EQUALS}([^{ITEM}]*)", 1)
         return F.coalesce(F.nullif(found, lit("")), lit(default))
 
     def optional(before: str, name: str, after: str) -> Column:
@@ -90,7 +90,7 @@ def _by_rule(tag: Column, parts: Column, texts: Column, settings: Column) -> Col
 
     called = lambda x: F.when(F.lower(x).isin(*sorted(FUNCTIONS)), F.concat(lit("\\"), F.lower(x))).otherwise(x)
     rules = {
-        "r": _joined(parts, "t"),
+        "r": _joined(inside, "t"),
         "sSub": F.concat(part("e"), lit("_"), braced("sub")),
         "sSup": F.concat(part("e"), lit("^"), braced("sup")),
         "sSubSup": F.concat(part("e"), lit("_"), braced("sub"), lit("^"), braced("sup")),
@@ -102,71 +102,68 @@ def _by_rule(tag: Column, parts: Column, texts: Column, settings: Column) -> Col
         "nary": F.concat(_of(OPERATORS, setting("naryPr", "chr"), lit("\\sum")), optional("_{", "sub", "}"), optional("^{", "sup", "}"), optional(" ", "e", "")),
         "d": F.concat(
             lit("\\left"), _bind(setting("dPr", "begChr", "("), lambda x: _of(DELIMITERS, x, x)), lit(" "),
-            _bind(setting("dPr", "sepChr", "|"), lambda s: F.array_join(F.flatten(F.transform(F.filter(parts, lambda p: p["tag"] == "e"), lambda p, i: F.when(i == 0, F.array(p["text"])).otherwise(F.array(s, p["text"])))), " ")),
+            _bind(setting("dPr", "sepChr", "|"), lambda s: _joined_by(inside, "e", F.concat(lit(" "), s, lit(" ")))),
             lit(" \\right"), _bind(setting("dPr", "endChr", ")"), lambda x: _of(DELIMITERS, x, x))),
         "func": F.concat(_bind(F.regexp_replace(part("fName"), r"(?U)^\s+|\s+$", ""), called), part("e")),
         "acc": F.concat(_of(ACCENTS, setting("accPr", "chr"), lit("\\hat")), braced("e")),
         "bar": F.concat(F.when(setting("barPr", "pos") == "bot", "\\underline").otherwise("\\overline"), braced("e")),
-        "mr": _joined(parts, "e", " & "),
-        "m": F.concat(lit("\\begin{pmatrix} "), _joined(parts, "mr", " \\\\ "), lit(" \\end{pmatrix}")),
-        "eqArr": F.concat(lit("\\begin{aligned} "), _joined(parts, "e", " \\\\ "), lit(" \\end{aligned}")),
+        "mr": _joined(inside, "e", " & "),
+        "m": F.concat(lit("\\begin{pmatrix} "), _joined(inside, "mr", " \\\\ "), lit(" \\end{pmatrix}")),
+        "eqArr": F.concat(lit("\\begin{aligned} "), _joined(inside, "e", " \\\\ "), lit(" \\end{aligned}")),
         "groupChr": F.concat(F.when(setting("groupChrPr", "chr").isin(*OVER), "\\overbrace").otherwise("\\underbrace"), braced("e")),
-        "oMathPara": _joined(parts, "oMath", " \\\\ "),
+        "oMathPara": _joined(inside, "oMath", " \\\\ "),
     }
-    out = F.when(tag == "t", _joined(parts, "#"))  # texts lie under a tag of their own
+    out = F.when(tag == "t", _bind(F.regexp_replace(inside, f"{RECORD}[^{END}]*{END}", ""), normalize_math))
     for name, made in rules.items():
         out = out.when(tag == name, made)
-    return out.when(tag.endswith("Pr"), lit("")).otherwise(_joined(F.filter(parts, lambda p: p["tag"] != "#"), None))
+    return out.when(tag.endswith("Pr"), lit("")).otherwise(_joined(inside, None))
 
 
 def omml_to_latex(xml: Column) -> Column:
     """A formula's XML as LaTeX between dollar signs, display math for a paragraph of
     formulas.  Null stays null; a text that is no XML with one root gives null."""
-    none = F.array().cast(f"array<{PART}>")
-
-    def frame(tag: Column, value: Column) -> Column:
-        return F.struct(tag.alias("tag"), value.alias("value"), none.alias("parts")).cast(FRAME)
-
-    def put(stack: Column, part: Column) -> Column:
-        """The stack where the frame on top has one part more."""
-        top = F.element_at(stack, -1)
-        more = F.struct(top["tag"].alias("tag"), top["value"].alias("value"), F.concat(top["parts"], F.array(part.cast(PART))).alias("parts"))
-        return F.concat(F.slice(stack, 1, F.size(stack) - 1), F.array(more.cast(FRAME)))
-
-    def closed(state: Column, tag: Column) -> Column:
-        def done(top: Column) -> Column:
-            settings = F.when(top["tag"].endswith("Pr"), F.transform(top["parts"], lambda p: F.struct(p["tag"].alias("tag"), p["value"].alias("value"))))
-            part = F.struct(top["tag"].alias("tag"), top["value"].alias("value"), _written(top["tag"], top["parts"]).alias("text"), settings.alias("settings"))
-            rest = F.slice(state["open"], 1, F.size(state["open"]) - 1)
-            fits = ((top["tag"] == tag) | (tag == _SAME)) & (F.size(rest) > 0)  # an empty tag closes what it opened
-            return F.when(fits, F.struct(put(rest, part).alias("open"), state["good"].alias("good"))).otherwise(F.struct(state["open"].alias("open"), F.lit(False).alias("good"))).cast(STATE)
-
-        return _bind(F.element_at(state["open"], -1), done)
-
-    def step(state: Column, token: Column) -> Column:
-        text = F.when(token.startswith("<![CDATA["), F.regexp_extract(token, r"(?s)^<!\[CDATA\[(.*)\]\]>$", 1)).otherwise(_unescaped(token))
-        as_part = F.struct(F.lit("#").alias("tag"), F.lit(None).cast("string").alias("value"), normalize_math(text).alias("text"), F.lit(None).cast("array<struct<tag: string, value: string>>").alias("settings"))
-        tag = F.regexp_extract(token, _NAME, 1)
-        opened = lambda: F.struct(F.concat(state["open"], F.array(frame(tag, _value(token)))).alias("open"), state["good"].alias("good")).cast(STATE)
-        within = F.element_at(state["open"], -1)["tag"] == "t"
+    hidden = lambda c: F.translate(c, "<>", LT + GT)
+
+    def reduced(token: Column) -> Column:
+        name = F.regexp_extract(token, _NAME, 1)
+        opening = F.concat(F.lit("<"), name, F.lit(SEP), hidden(_value(token)), F.lit(">"))
+        closing = F.concat(F.lit("</"), name, F.lit(">"))
         return (
-            F.when(~state["good"] | token.startswith("<?") | token.startswith("<!--"), state)
-            .when(token.startswith("</"), closed(state, tag))
-            .when(token.startswith("<") & ~token.startswith("<!"), opened())
-            .when(within, F.struct(put(state["open"], as_part).alias("open"), state["good"].alias("good")).cast(STATE))
-            .when((F.size(state["open"]) == 1) & F.regexp_replace(text, r"\s", "").__ne__(""), F.struct(state["open"].alias("open"), F.lit(False).alias("good")).cast(STATE))
-            .otherwise(state)
+            F.when(~token.startswith("<"), hidden(_unescaped(token)))
+            .when(token.startswith("</"), closing)
+            .when(token.startswith("<![CDATA["), hidden(F.regexp_extract(token, r"(?s)^<!\[CDATA\[(.*)\]\]>$", 1)))
+            .when(token.startswith("<?") | token.startswith("<!--"), "")
+            .when(token.startswith("<!"), hidden(token))
+            .when(token.endswith("/>"), F.concat(opening, closing))
+            .otherwise(opening)
         )
 
-    def finished(state: Column) -> Column:
-        root = F.element_at(state["open"], -1)["parts"]
-        whole = state["good"] & (F.size(state["open"]) == 1) & (F.size(root) == 1)
-        sign = F.when(root[0]["tag"] == "oMathPara", "$$").otherwise("$")
-        return F.when(whole, F.concat(sign, root[0]["text"], sign))
-
-    tokens = F.regexp_extract_all(xml, F.lit(_TOKEN), 0)
-    is_empty = lambda t: t.startswith("<") & t.endswith("/>")
-    pairs = F.flatten(F.transform(tokens, lambda t: F.when(is_empty(t), F.array(t, F.lit(f"</{_SAME}>"))).otherwise(F.array(t))))
-    start = F.struct(F.array(frame(F.lit(""), F.lit(None).cast("string"))).alias("open"), F.lit(True).alias("good")).cast(STATE)
-    # What no token covers is no XML.
-    return F.when(F.length(F.array_join(tokens, "")) == F.length(xml), F.aggregate(pairs, start, step, finished))
+    def record(piece: Column) -> Column:
+        tag, value, inside = (F.regexp_extract(piece, _ELEMENT, k).alias(n) for k, n in ((1, "tag"), (2, "value"), (3, "inside")))
+        return _bind(F.struct(tag, value, inside), lambda e: as_record(e["tag"], e["value"], e["inside"]))
+
+    def as_record(tag: Column, value: Column, inside: Column) -> Column:
+        items = F.regexp_replace(inside, f"[^{RECORD}]*{RECORD}([^{SEP}]*){SEP}([^{SEP}]*){SEP}[^{END}]*{END}[^{RECORD}]*", f"{ITEM}$1{EQUALS}$2")
+        settings = F.when(tag.endswith("Pr") & inside.contains(RECORD), items).otherwise("")
+        return F.concat(F.lit(RECORD), tag, F.lit(SEP), value, F.lit(SEP), _written(tag, inside), F.lit(SEP), settings, F.lit(END))
+
+    def level(text: Column, _: Column) -> Column:
+        pieces = F.regexp_extract_all(text, F.lit(_PIECE), 0)
+        done = F.array_join(F.transform(pieces, lambda p: F.when(p.startswith("<") & p.contains("</") & ~p.startswith("</"), record(p)).otherwise(p)), "")
+        # What no longer changes is no XML, and null from here on.
+        return F.when(text.contains("<"), _bind(done, lambda d: F.when(d != text, d))).otherwise(text)
+
+    def finished(text: Column) -> Column:
+        root = rf"^\s*{RECORD}([^{SEP}]*){SEP}[^{SEP}]*{SEP}([^{SEP}]*){SEP}[^{END}]*{END}\s*$"
+        sign = F.when(F.regexp_extract(text, root, 1) == "oMathPara", "$$").otherwise("$")
+        return F.when(text.rlike(root), F.translate(F.concat(sign, F.regexp_extract(text, root, 2), sign), LT + GT, "<>"))
+
+    def made(tokens: Column) -> Column:
+        # What no token covers is no XML, nor are signs that it must not have.
+        illegal = xml.rlike(_ILLEGAL) | (xml.contains("&#") & F.exists(tokens, lambda t: ~t.startswith("<!") & t.rlike(_ILLEGAL_REFERENCE)))
+        whole = (F.length(F.array_join(tokens, "")) == F.length(xml)) & ~illegal
+        # There are no more levels than tags that close.
+        levels = lambda text: F.sequence(F.lit(0), F.regexp_count(text, F.lit("</")))
+        return F.when(whole, _bind(F.array_join(F.transform(tokens, reduced), ""), lambda text: F.aggregate(levels(text), text, level, finished)))
+
+    return _bind(F.regexp_extract_all(xml, F.lit(_TOKEN), 0), made)

@@ -64,3 +64,16 @@ def test_random_trees(spark, seed):
     rng = np.random.default_rng(seed)
     xmls = [f"<m:oMath {M}>{tree(rng, 0)}{tree(rng, 0)}</m:oMath>" for _ in range(120)]
     assert run(spark, xmls) == [plainly(x) for x in xmls]
+
+
+def test_signs_that_no_xml_has(spark):
+    assert run(spark, [f"<m:oMath {M}>{r(x)}</m:oMath>" for x in ("a\x02b", "a&#2;b", "a&#x41;", "<![CDATA[&#2;]]>")]) == [None, None, "$aA$", "$&#2;$"]
+
+
+def test_many_rows_of_one_file_are_dealt_out(spark, tmp_path):
+    from inkwell.plans import queries
+
+    spark.createDataFrame([(k, k, f"b{k}") for k in range(40)], "p_partkey long, p_size int, p_brand string").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    for name in ("omml_to_latex", "omml_families"):
+        made = queries.queries()[name](spark, str(tmp_path))
+        assert made.rdd.getNumPartitions() > 1 and made.where("latex LIKE '$%$'").count() == 40
