@@ -8,11 +8,10 @@ children, and what no rule of nesting fits is left over.  A level is one pass ov
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import bound as _bind
 from .text import normalize_math
 
 #: Operators, accents, delimiters and function names.
@@ -38,10 +37,6 @@ _PIECE = rf"<([^<>{SEP}]*+){SEP}[^<>]*+>[^<>]*+</\1>|<[^<>]*+>|[^<>]++"
 _ELEMENT = rf"^<([^<>{SEP}]*+){SEP}([^<>]*+)>([^<>]*+)</"
 
 
-def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    return F.transform(F.array(value), body)[0]
-
-
 def _unescaped(c: Column) -> Column:
     """Character references as what they stand for."""
     code = lambda e: F.when(e.startswith("&#x"), F.regexp_extract(e, "^&#x([0-9A-Fa-f]+);$", 1)).otherwise(F.hex(F.regexp_extract(e, "^&#([0-9]+);$", 1).cast("long")))

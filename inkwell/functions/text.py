@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,6 +47,11 @@ def math_characters() -> dict[str, str]:
     return table
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` looks at it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -96,15 +103,13 @@ def strip_italics(c: Column) -> Column:
     The text is cut at its underscores, and each is looked at with its two neighbours: one
     may open where no word ends before it and the text up to the next one is not empty, if
     no word begins behind that.  Of neighbours that may open, the first one does."""
-    pieces = F.split(c, "_")
-    last = F.size(pieces) - 1
-    piece = lambda k: F.get(pieces, k)
-    free_before = lambda i: F.when(piece(i - 1) == "", i == 1).otherwise(~piece(i - 1).rlike(r"(?U)\w\z"))
-    free_behind = lambda i: F.when(piece(i + 1) == "", i + 1 == last).otherwise(~piece(i + 1).rlike(r"(?U)\A\w"))
-    may_open = lambda i: (i < last) & (piece(i) != "") & free_before(i) & free_behind(i)
-    signs = F.array_join(F.transform(F.sequence(F.lit(1), last), lambda i: F.when(may_open(i), "o").otherwise("-")), "")
-    paired = F.split(F.regexp_replace(signs, "o.", "xx"), "")
-    left = F.transform(pieces, lambda a, k: F.when((k == 0) | (F.get(paired, k - 1) == "x"), a).otherwise(F.concat(F.lit("_"), a)))
+    # A sign for each piece: empty, or where a word touches its ends.
+    word = lambda x, at: F.substring(x, at, 1).rlike(r"(?U)^\w")
+    sign = lambda x: F.when(x == "", "e").when(word(x, 1), F.when(word(x, -1), "b").otherwise("s")).otherwise(F.when(word(x, -1), "z").otherwise("n"))
+    signs = F.array_join(F.transform(F.split(c, "_"), sign), "")
+    opening = F.regexp_replace(signs, r"(?<=^e|[ns])[nszb](?=e\z|[nz])", "o")  # by the sign of the piece behind it
+    paired = F.regexp_replace(F.regexp_replace(opening, "o.", "xx"), "^.", "x")  # the first piece has none before it
+    left = F.zip_with(F.split(c, "_"), F.split(paired, ""), lambda a, p: F.when(p == "x", a).otherwise(F.concat(F.lit("_"), a)))
     return F.when(c.contains("_"), F.array_join(left, "")).otherwise(c)
 
 

@@ -53,3 +53,12 @@ def test_figures():
     assert [(h.name, text[h.start : h.end][:20]) for h in figures.graphics(text)] == [("x/{y}.png", "\\includegraphics [w="), ("g", "\\includegraphics{g}")]
     (only,) = figures.figures(text)
     assert (only.name, only.label, only.caption) == ("g", "\\label{f:1}", "A {b {c {d}}} \\} e") and text[only.end :].startswith(" \\begin{figure}none")
+
+
+def test_many_italics_in_one_text(spark):
+    import time
+
+    start, n = time.monotonic(), 20_000
+    df = spark.createDataFrame([("_a_ b " * n,)], "x string").repartition(1)
+    assert df.select(strip_italics(F.col("x")).alias("y")).first().y == "a b " * n
+    assert time.monotonic() - start < 30  # a text cut anew at each of its signs takes minutes
