@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,9 +14,9 @@ from ..functions.omml import omml_to_latex as omml_to_latex
 from ..functions.text import squeeze_blank_lines, strip_comment_environments, strip_line_comments
 
 
-@F.pandas_udf(T.StringType())
-def _strip_around_literals(texts):
-    return texts.map(kernels.strip_comments, na_action="ignore")
+@F.arrow_udf("string")
+def _strip_around_literals(texts: pa.Array) -> pa.Array:
+    return kernels.mapped(texts, kernels.strip_comments, pa.string())
 
 
 def strip_comments(c: Column | str) -> Column:
@@ -27,6 +28,7 @@ def strip_comments(c: Column | str) -> Column:
 
 
 EXPANDED = T.StructType([T.StructField("text", T.StringType()), T.StructField("notes", T.ArrayType(T.StringType()))])
+ARROW_EXPANDED = pa.struct([("text", pa.string()), ("notes", pa.list_(pa.string()))])
 
 
 def cleaner(comments: bool = True, expand: bool = True, keep_packages: bool = False) -> Callable[[str | None], tuple[str | None, list[str]]]:
@@ -49,11 +51,9 @@ def text_stages(c: Column, comments: bool = True, expand: bool = True, keep_pack
         return F.struct((strip_comments(c) if comments else c).alias("text"), none)
     clean = cleaner(comments, expand, keep_packages)
 
-    @F.pandas_udf(EXPANDED)
-    def run(texts):
-        import pandas as pd
-
-        return pd.DataFrame([clean(t) for t in texts], columns=["text", "notes"])
+    @F.arrow_udf(EXPANDED)
+    def run(texts: pa.Array) -> pa.Array:
+        return kernels.mapped(texts, lambda t: dict(zip(("text", "notes"), clean(t), strict=True)), ARROW_EXPANDED)
 
     some = c.contains("\\")
     plain = F.struct(squeeze_blank_lines(strip_line_comments(c) if comments else c).alias("text"), none)

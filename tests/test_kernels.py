@@ -74,3 +74,13 @@ def package(parts):
         for path, text in parts.items():
             z.writestr(path, text)
     return out.getvalue()
+
+
+def test_few_texts_are_objects_at_a_time():
+    import pyarrow as pa
+
+    from inkwell.functions import kernels
+
+    texts = pa.array([None if k % 7 == 0 else f"t{k}" for k in range(1000)])
+    assert kernels.mapped(texts, str.upper, pa.string()).to_pylist() == [None if k % 7 == 0 else f"T{k}" for k in range(1000)]
+    assert kernels.mapped(texts.slice(0, 0), str.upper, pa.string()).to_pylist() == []
