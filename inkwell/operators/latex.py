@@ -14,7 +14,7 @@ from ..functions.omml import omml_to_latex as omml_to_latex
 from ..functions.text import squeeze_blank_lines, strip_comment_environments, strip_line_comments
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def _strip_around_literals(texts: pa.Array) -> pa.Array:
     return kernels.mapped(texts, kernels.strip_comments, pa.string())
 

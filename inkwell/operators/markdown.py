@@ -5,17 +5,18 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import brackets, kernels
 from ..functions.text import merge_diacritics, off_tables, strip_italics
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def _clean(texts: pa.Array) -> pa.Array:
     return kernels.mapped(texts, brackets.clean, pa.string())
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def _clean_lines(texts: pa.Array) -> pa.Array:
     return kernels.mapped(texts, brackets.clean_lines, pa.string())
 

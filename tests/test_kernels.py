@@ -84,3 +84,12 @@ def test_few_texts_are_objects_at_a_time():
     texts = pa.array([None if k % 7 == 0 else f"t{k}" for k in range(1000)])
     assert kernels.mapped(texts, str.upper, pa.string()).to_pylist() == [None if k % 7 == 0 else f"T{k}" for k in range(1000)]
     assert kernels.mapped(texts.slice(0, 0), str.upper, pa.string()).to_pylist() == []
+
+
+def test_modules_need_no_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__; __spark_entry__.queries()"], cwd=Path(__file__).resolve().parent.parent, capture_output=True)
+    assert done.returncode == 0, done.stderr[-500:]
