@@ -153,7 +153,9 @@ def normalize_math(c: Column) -> Column:
 def cited_keys(c: Column) -> Column:
     """All citation keys in order, repeated as often as they are cited."""
     groups = F.regexp_extract_all(c, F.lit(rf"\\(?:{'|'.join(CITE_COMMANDS)})(?:\[[^\]]*\])*\{{([^}}]+)\}}"), 1)
-    return F.filter(F.flatten(F.transform(groups, lambda g: F.transform(F.split(g, ","), strip))), lambda k: k != "")
+    # Most groups have no white space; of those, no key is looked at.
+    keys = lambda g: F.when(g.rlike(r"(?U)\s"), F.transform(F.split(g, ","), strip)).otherwise(F.split(g, ","))
+    return F.filter(F.flatten(F.transform(groups, keys)), lambda k: k != "")
 
 
 def format_entry(fields: Column, kind: Column) -> Column:

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..functions.text import cited_keys, format_entry
+from ..functions.text import bound, cited_keys, format_entry
 
 
 def citation_order(docs: DataFrame, content: str = "content") -> DataFrame:
@@ -15,8 +14,8 @@ def citation_order(docs: DataFrame, content: str = "content") -> DataFrame:
 
 
 def _in_order(keys: DataFrame) -> DataFrame:
-    found = keys.select("doc_id", F.posexplode("keys").alias("pos", "key")).groupBy("doc_id", "key").agg(F.min("pos").alias("pos"))
-    return found.select("doc_id", "key", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")).alias("ord"))
+    # The array has the order already, so no rows need to be grouped or sorted for it.
+    return keys.select("doc_id", F.posexplode(F.array_distinct("keys")).alias("pos", "key")).select("doc_id", "key", (F.col("pos") + 1).alias("ord"))
 
 
 def last_entries(entries: DataFrame, by: list[str]) -> DataFrame:
@@ -30,18 +29,22 @@ def chosen_entries(citations: DataFrame, entries: DataFrame) -> DataFrame:
     others by key.  Unknown keys have no entry.  ``entries`` without a doc_id belong to
     all documents alike; of those, ``\\nocite{*}`` adds none."""
     if "doc_id" not in entries.columns:
-        place = F.struct(F.lit(0).alias("late"), F.col("ord"), F.lit("").alias("name")).alias("place")
-        return citations.select("doc_id", "key", place).join(entries, "key")
+        return citations.select("doc_id", "key", F.col("ord").alias("place")).join(entries, "key")
     cited = entries.join(citations.select("doc_id", "key", F.struct(F.lit(0).alias("late"), F.col("ord"), F.lit("").alias("name")).alias("place")), ["doc_id", "key"])
     everything = citations.where("key = '*'").select("doc_id").distinct()
     rest = entries.join(everything, "doc_id", "left_semi").join(citations, ["doc_id", "key"], "left_anti")
     return cited.unionByName(rest.withColumn("place", F.struct(F.lit(1).alias("late"), F.lit(0).alias("ord"), F.col("key").alias("name"))))
 
 
-def thebibliography(chosen: DataFrame) -> DataFrame:
-    """doc_id and the assembled block."""
+def with_item(entries: DataFrame) -> DataFrame:
+    """``entries`` with their ``item`` of a block in place of kind and fields."""
     item = F.concat(F.lit("\\bibitem{"), "key", F.lit("}\n"), format_entry(F.col("fields"), F.col("kind")), F.lit("\n\n"))
-    made = chosen.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("place", item.alias("item")))).alias("items"))
+    return entries.withColumn("item", item).drop("kind", "fields")
+
+
+def thebibliography(chosen: DataFrame) -> DataFrame:
+    """doc_id and the block assembled of items (doc_id, place, item)."""
+    made = chosen.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("place", "item"))).alias("items"))
     body = F.array_join(F.transform("items", lambda x: x["item"]), "")
     return made.select("doc_id", F.concat(F.lit("\\begin{thebibliography}{"), F.size("items"), F.lit("}\n\n"), body, F.lit("\\end{thebibliography}")).alias("block"))
 
@@ -53,9 +56,9 @@ def inline_block(content: Column, block: Column) -> Column:
     """The block in place of the first bibliography command; further ones and the
     style line go.  A null block leaves the text alone."""
     plain = F.regexp_replace(content, r"\\bibliographystyle\{[^}]+\}\s*\n?", "")
-    rest = F.split(plain, _COMMAND)
-    whole = F.concat(F.get(rest, F.lit(0)), block, F.array_join(F.slice(rest, 2, F.greatest(F.size(rest) - 1, F.lit(0))), ""))
-    return F.when(block.isNotNull() & (F.size(rest) > 1), whole).otherwise(content)
+    whole = lambda rest: F.concat(rest[0], block, F.array_join(F.slice(rest, 2, F.size(rest)), ""))
+    made = bound(F.split(plain, _COMMAND, -1), lambda rest: F.when(F.size(rest) > 1, whole(rest)))
+    return F.when(block.isNull(), content).otherwise(F.coalesce(made, content))
 
 
 def inline_bibliography(docs: DataFrame, entries: DataFrame, bbl: DataFrame | None = None) -> DataFrame:
@@ -84,11 +87,15 @@ def bibliography_blocks(docs: DataFrame, entries: DataFrame, bbl: DataFrame | No
 def blocks_of(keys: DataFrame, entries: DataFrame, bbl: DataFrame | None = None) -> DataFrame:
     """``bibliography_blocks`` of documents whose keys are known (doc_id, keys, as of
     ``wanted_keys``), without their texts."""
-    used = keys.where("keys IS NOT NULL")
+    used = keys  # no row comes of null keys; a filter would read each text once more
     if bbl is not None:
         ready = bbl.where("content IS NOT NULL").groupBy("doc_id").agg(F.min_by("content", "priority").alias("block"))
         used = used.join(ready, "doc_id", "left_anti")
-    made = thebibliography(chosen_entries(_in_order(used), last_entries(entries, [c for c in ("doc_id",) if c in entries.columns])))
+    if "doc_id" in entries.columns:
+        made = with_item(chosen_entries(_in_order(used), last_entries(entries, ["doc_id"])))
+    else:  # an entry that all documents may cite is written once, not for each of them
+        made = chosen_entries(_in_order(used), with_item(last_entries(entries, [])))
+    made = thebibliography(made)
     return made if bbl is None else made.unionByName(ready)
 
 
