@@ -3,6 +3,7 @@
 import re
 
 from inkwell.operators import bibliography as B
+from inkwell.plans.cleaning import clean_latex
 from inkwell.plans import queries as Q
 
 DATA = "/root/testdata/sf0.001"
@@ -52,3 +53,15 @@ def test_an_entry_is_written_once_and_a_text_read_once(spark):
     join = next(x for x in re.finditer(r"Join \[key#", found))
     assert "author" not in found[: join.start()] and "author" in found[join.start() :]
     assert "Filter CASE" not in found
+
+
+def test_a_text_is_flattened_once(spark):
+    assert "_flattened" not in plan(Q.full_pipeline_bib(spark, DATA))
+
+
+def test_documents_with_and_without_files(spark):
+    docs = spark.createDataFrame([(1, "own"), (2, "own % gone"), (3, "\\def\\r{\\r}\\r{}"), (4, None)], "doc_id int, content string")
+    files = spark.createDataFrame([(1, "main.tex", "\\def\\q{\\q}\\input{a} \\input{b}", True), (1, "a.tex", "x % y", False)], "root_dir int, rel_path string, content string, is_root boolean")
+    got = {r.doc_id: (r.content, r.diagnostics) for r in clean_latex(docs, files=files, entries=entries(spark), diagnostics=True).collect()}
+    assert got[1][1] == ["not-found:b", "runaway:q"]
+    assert got[2] == ("own", []) and got[3][1] == ["runaway:r"] and got[4][0] is None
