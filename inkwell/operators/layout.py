@@ -193,6 +193,8 @@ def document_texts(pages: DataFrame, separator: str = "\n-----\n\n") -> DataFram
 
 def fallback_summaries(pages: DataFrame, summaries: DataFrame) -> DataFrame:
     """For pages without regions: image summaries 1, 2, ... up to the first gap."""
+    # Numbered before they meet the pages: the join finds them in its order, without those
+    # behind a gap.  Pages are many, so that their list is never held whole.
     n = F.row_number().over(Window.partitionBy(*PAGE).orderBy("idx"))
-    told = summaries.join(pages, PAGE, "left_semi").withColumn("n", n).where("idx = n")
+    told = summaries.withColumn("n", n).where("idx = n").join(pages.hint("merge"), PAGE, "left_semi")
     return told.select(*PAGE, "idx", F.concat(F.lit("[Image: "), "summary", F.lit("]")).alias("text"))

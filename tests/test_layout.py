@@ -48,3 +48,12 @@ def test_padding_of_dense_pages(spark):
         along, across = [o for o in own if o[3] > y0 and o[1] < y1], [o for o in own if o[2] > x0 and o[0] < x1]
         want = (max([x0 - 30, *(o[2] for o in along if o[2] <= x0)]), max([y0 - 30, *(o[3] for o in across if o[3] <= y0)]), min([x1 + 30, *(o[0] for o in along if o[0] >= x1)]), min([y1 + 30, *(o[1] for o in across if o[1] >= y1)]))
         assert got[d, n] == want
+
+
+def test_fallback_summaries_are_numbered_before_the_join(spark):
+    told = spark.createDataFrame([(1, 1, 1, "a"), (1, 1, 2, "b"), (1, 1, 4, "c"), (2, 1, 2, "d"), (3, 1, 1, "e")], "doc_id int, page_no int, idx int, summary string")
+    pages = spark.createDataFrame([(1, 1), (2, 1)], "doc_id int, page_no int")
+    found = layout.fallback_summaries(pages, told)
+    assert sorted((r.doc_id, r.idx, r.text) for r in found.collect()) == [(1, 1, "[Image: a]"), (1, 2, "[Image: b]")]
+    made = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in made and made.index("SortMergeJoin") < made.index("Window")
