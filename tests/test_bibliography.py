@@ -65,3 +65,8 @@ def test_documents_with_and_without_files(spark):
     got = {r.doc_id: (r.content, r.diagnostics) for r in clean_latex(docs, files=files, entries=entries(spark), diagnostics=True).collect()}
     assert got[1][1] == ["not-found:b", "runaway:q"]
     assert got[2] == ("own", []) and got[3][1] == ["runaway:r"] and got[4][0] is None
+
+
+def test_ready_blocks_need_no_window_either(spark):
+    found = plan(Q.bbl_priority(spark, DATA))
+    assert "Window" not in found and "Filter CASE" not in found
