@@ -167,14 +167,17 @@ def reading_order(lines: DataFrame, pages: DataFrame, regions: DataFrame | None
 
     Margin numbers go.  A full-width line and each edge of a region end a segment; in
     a segment the left column comes before the right one.
+
+    Pages are as many as documents, so that no list of them or of their edges is held
+    whole: both are merged with the lines, in the order that numbers them.
     """
-    seen = lines.join(pages, PAGE)
+    seen = lines.join(pages.hint("merge"), PAGE)
     seen = seen.where(~margin_number(F.col("width"))).withColumn("cls", line_class(F.col("width")))
     down = Window.partitionBy(*PAGE).orderBy("y0", "line_no").rowsBetween(Window.unboundedPreceding, 0)
     seen = seen.withColumn("full", F.sum((F.col("cls") == "full").cast("int")).over(down))
     if regions is not None:
         edges = regions.select(*PAGE, F.explode(F.array("y0", "y1")).alias("e")).groupBy(*PAGE).agg(F.collect_set("e").alias("edges"))
-        seen = seen.join(edges, PAGE, "left").withColumn("passed", F.coalesce(F.size(F.filter("edges", lambda e: e <= F.col("y0"))), F.lit(0)))
+        seen = seen.join(edges.hint("merge"), PAGE, "left").withColumn("passed", F.coalesce(F.size(F.filter("edges", lambda e: e <= F.col("y0"))), F.lit(0)))
         seen = seen.withColumn("passed", F.when(F.col("edges").isNull(), 0).otherwise(F.col("passed")))
     else:
         seen = seen.withColumn("passed", F.lit(0))

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from inkwell.operators import layout
+from inkwell.plans import queries as Q
 
 
 def plainly(boxes, gap):
@@ -57,3 +58,18 @@ def test_fallback_summaries_are_numbered_before_the_join(spark):
     assert sorted((r.doc_id, r.idx, r.text) for r in found.collect()) == [(1, 1, "[Image: a]"), (1, 2, "[Image: b]")]
     made = found._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in made and made.index("SortMergeJoin") < made.index("Window")
+
+
+def test_a_large_table_is_dealt_over_more_tasks(spark, monkeypatch):
+    data = "/root/testdata/sf0.001"
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    few = Q.reading_order(spark, data)
+    assert "Broadcast" not in plan(few)
+    monkeypatch.setattr(Q, "TASK_ROWS", 500)
+    n = -(-Q.read(spark, data, "lineitem").count() // 500)
+    many = Q.reading_order(spark, data)
+    # The lines are dealt once, pages and edges go to their tasks, and none of them whole to all.
+    made = plan(many)
+    assert n > 4 and made.count(f", {n}), REPARTITION_BY_NUM") == 1 and made.count(f", {n}), ENSURE_REQUIREMENTS") == 2
+    assert "Broadcast" not in made
+    assert sorted(many.collect()) == sorted(few.collect())
