@@ -103,3 +103,28 @@ def deck_of_pictures():
         "ppt/slides/s.xml": f"<p:sld {ns}><p:cSld><p:spTree>{pic(1, 'x')}{pic(2, 'y')}</p:spTree></p:cSld></p:sld>",
         "ppt/slides/_rels/s.xml.rels": rels(x="../media/a.png", y="../media/b.png"), "ppt/media/a.png": "one", "ppt/media/b.png": "two",
     })
+
+
+@pytest.mark.parametrize("kind", ["docx", "pptx"])
+def test_no_text_is_exchanged_or_stored(spark, kind):
+    files = spark.range(3).selectExpr("id AS doc_id", f"'{kind}' AS kind", "CAST(NULL AS binary) AS content")
+    made = office.office_documents(files, notes=True)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and not any(x in plan for x in ("Exchange", "Sort", "Join", "ExistingRDD"))
+    assert sorted(map(tuple, made.collect())) == [(k, kind, None) for k in range(3)]
+
+
+def test_a_comment_twice_a_ragged_table_and_an_empty_deck(spark):
+    run = lambda t, p="": f"<w:r><w:rPr>{p}</w:rPr><w:t>{t}</w:t></w:r>"
+    ref = lambda i: f'<w:r><w:commentReference w:id="{i}"/></w:r>'
+    cell = lambda *t: f"<w:tc>{''.join(f'<w:p>{x}</w:p>' for x in t)}</w:tc>"
+    body = (
+        f'<w:p>{ref(1)}{ref(9)}{ref(1)}</w:p><w:p>{run(" ", "<w:b/>")}{run("x", "<w:b/>")}{run(" ")}{run("y ", "<w:i/>")}</w:p><w:p><w:pPr><w:pStyle w:val="Heading9"/></w:pPr>{run("h", "<w:i/>")}{run("i")}</w:p>'
+        f"<w:tbl><w:tr/></w:tbl><w:tbl><w:tr>{cell(run('a', '<w:b/>'), '', run('b'))}</w:tr><w:tr/><w:tr>{cell()}{cell(run('c'))}{cell()}</w:tr></w:tbl>"
+    )
+    comments = "".join(f'<w:comment w:id="1" w:author="{a}"><w:p>{run("said")}</w:p></w:comment>' for a in ("B", "A"))
+    data = package({"word/document.xml": f"<w:document {W}><w:body>{body}</w:body></w:document>", "word/comments.xml": f"<w:comments {W}>{comments}</w:comments>"})
+    quotes = "> **Comment (A):** said\n\n> **Comment (B):** said"
+    assert markdown(spark, "docx", data) == f"{quotes}\n\n{quotes}\n\n**x** *y*\n\n###### hi\n\n| a b |  |  |\n| --- | --- | --- |\n|  | c |  |\n"
+    deck = package({"ppt/presentation.xml": "<p:presentation xmlns:p='p'/>"})
+    assert markdown(spark, "pptx", deck) == "\n"
